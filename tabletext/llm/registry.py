@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from tabletext.llm import mixing
+from tabletext.llm import jaccard, mixing, pii, sentencepiece, warc
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_pii": pii.op4_pii,
+    "op6_warc": warc.op6_warc,
+    "op7_sentencepiece": sentencepiece.op7_sentencepiece,
+    "op9_jaccard": jaccard.op9_jaccard,
 }
 ORACLES = {
     "op3_mixing": mixing.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op9_jaccard": jaccard.ORACLE,
 }
