@@ -45,17 +45,18 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of one piece hold at most ``size`` bytes (or are one row). Null texts become empty."""
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES, fill: bool = True) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of one piece hold at most ``size`` bytes (or are one row). ``fill``: null texts become empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        texts = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
+        texts = batch.column(at).cast(pa.large_string())
+        texts = pc.fill_null(texts, "") if fill else texts
         batch = pa.RecordBatch.from_arrays(
             [texts if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names
         )
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         start, base = 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabletext.llm import jaccard, mixing, pii, sentencepiece, warc
+from tabletext.llm import jaccard, mixing, pii, sentencepiece, toxicity, warc
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_pii": pii.op4_pii,
     "op6_warc": warc.op6_warc,

@@ -220,16 +220,10 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(name)
-        for whole in batches:
-            nulls = whole.column(whole.schema.get_field_index(text)).is_null()
-            done = 0
-            for batch in text_chunks(iter([whole]), text):
-                texts = batch.column(batch.schema.get_field_index(text))
-                masked = nulls.slice(done, batch.num_rows)
-                done += batch.num_rows
-                texts = pc.if_else(masked, pa.scalar(None, texts.type), texts)
-                columns = [texts.cast(pa.string()) if c == text else batch.column(batch.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pieces.encode(texts)], names=[*kept, ids])
+        for batch in text_chunks(batches, text, fill=False):
+            texts = batch.column(batch.schema.get_field_index(text))
+            columns = [texts.cast(pa.string()) if c == text else batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pieces.encode(texts)], names=[*kept, ids])
 
     return docs.mapInArrow(run, schema)
 
