@@ -38,10 +38,11 @@ SEEDS = ["idiot", "moron", "stupid", "loser", "clown", "trash", "scum", "patheti
 #: Words of address, in English, German, French and Spanish.
 ADDRESS = ["you", "your", "youre", "du", "dein", "ihr", "tu", "toi", "vous", "eres", "usted", "tú"]
 VOTERS = [
-    "seed", "seed twice", "two seeds", "stem", "stem twice", "two stems", "dense", "very dense", "spelled in digits", "addressed",
-    "shouted", "clean", "long and clean",
+    "seed", "two seeds", "stem", "two stem forms", "two loose forms", "three loose forms", "dense", "spelled in digits", "addressed",
+    "shouted", "loose form", "clean", "long and clean",
 ]
-COUNTS = ["words", "seed", "seeds", "stem", "stems", "leet", "addressed", "shouted"]
+#: A stem is firm if nearly all labelled documents with it are toxic, else loose.
+COUNTS = ["words", "seed", "seeds", "firm", "firm forms", "loose", "loose forms", "leet", "addressed", "shouted"]
 
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(97, 123)) + list(range(128, 256))] = True
@@ -72,10 +73,11 @@ def _hash_words(words: list[bytes]) -> np.ndarray:
 
 
 class Lexicon:
-    """Stems by byte length; a word hits the first stem that it starts with. The first ``len(SEEDS)`` are the seeds."""
+    """Stems by byte length; a word hits the shortest stem that it starts with. Seeds come first, then firm and loose stems."""
 
-    def __init__(self, stems: list[str]):
-        self.stems = [*SEEDS, *[s for s in stems if s not in SEEDS]]
+    def __init__(self, firm: list[str], loose: list[str]):
+        self.stems = [*SEEDS, *[s for s in firm if s not in SEEDS], *[s for s in loose if s not in SEEDS]]
+        self.bounds = [0, len(SEEDS), len(self.stems) - len([s for s in loose if s not in SEEDS]), len(self.stems)]
         coded = [s.encode() for s in self.stems]
         self.by_size = {}
         for size in sorted({len(c) for c in coded}):
@@ -103,11 +105,11 @@ class Lexicon:
         raw, raw_offsets = text_bytes(texts)
         starts, ends, rows = _runs(_LETTER[data], offsets)
         hit = self.hits(data, starts, ends)
-        count = lambda keep: np.bincount(rows[keep], minlength=n)
-        seed, stem = hit >= 0, hit >= len(SEEDS)
-        seed &= ~stem
-        pairs = np.unique(np.column_stack([rows[hit >= 0], hit[hit >= 0]]), axis=0)
-        distinct = lambda keep: np.bincount(pairs[keep, 0], minlength=n)
+        tiers = []
+        for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):  # tokens and distinct words of each tier
+            at = np.flatnonzero((hit >= a) & (hit < b))
+            pairs = np.unique(np.column_stack([rows[at].astype(np.uint64), span_hashes(data, starts[at], ends[at])]), axis=0)
+            tiers += [np.bincount(rows[at], minlength=n), np.bincount(pairs[:, 0].astype(np.int64), minlength=n)]
         # a word of address right before the hit
         found = np.flatnonzero(hit >= 0)
         before = found[(found > 0) & (rows[np.maximum(found - 1, 0)] == rows[found])] - 1
@@ -133,25 +135,28 @@ class Lexicon:
                 plain = self.hits(_LEET[data], s2, e2) >= 0
                 leet = np.bincount(r2[plain], minlength=n)
         words = np.bincount(rows, minlength=n)
-        return np.column_stack([
-            words, count(seed), distinct(pairs[:, 1] < len(SEEDS)), count(stem), distinct(pairs[:, 1] >= len(SEEDS)), leet, addressed, shouted,
-        ]).astype(np.float64)
+        return np.column_stack([words, *tiers, leet, addressed, shouted]).astype(np.float64)
 
 
 def votes_of(counts: np.ndarray) -> np.ndarray:
     """Votes as bits of an integer, one for each of VOTERS."""
-    words, seed, seeds, stem, stems, leet, addressed, shouted = counts.T
-    hits = seed + stem
+    words, seed, seeds, firm, forms, loose, loose_forms, leet, addressed, shouted = counts.T
+    hits = seed + firm + loose
     none = hits + leet == 0
-    said = [seed > 0, seed > 1, seeds > 1, stem > 0, stem > 1, stems > 1, hits * 200 > words, hits * 40 > words, leet > 0, addressed > 0, shouted > 0, none, none & (words >= 100)]
+    said = [
+        seed > 0, seeds > 1, firm > 0, forms > 1, loose_forms > 1, loose_forms > 2, (hits > 1) & (hits * 100 > words), leet > 0, addressed > 0,
+        shouted > 0, loose > 0, none, none & (words >= 100),
+    ]
     return sum((v.astype(np.int64) << i for i, v in enumerate(said)), np.zeros(len(words), np.int64))
 
 
 def inputs_of(counts: np.ndarray) -> np.ndarray:
     """Inputs of the classifier: a constant, logs of counts, densities, and whether there is any hit."""
-    words, hits = counts[:, 0], counts[:, 1] + counts[:, 3]
+    words, hits = counts[:, 0], counts[:, 1] + counts[:, 3] + counts[:, 5]
+    sure = counts[:, 1] + counts[:, 3] > 0
     return np.column_stack([
-        np.ones(len(counts)), np.log1p(counts) / 5, np.minimum(20 * hits / np.maximum(words, 1), 1), hits > 0, counts[:, 5] > 0,
+        np.ones(len(counts)), np.log1p(counts) / 5, np.minimum(20 * hits / np.maximum(words, 1), 1), sure, counts[:, 7] > 0,
+        counts[:, 6] > 1, counts[:, 6] > 2, counts[:, 6] > 4,
     ])
 
 
@@ -163,7 +168,7 @@ class LabelModel:
         m = len(VOTERS)
         self.bits = (votes[:, None] >> np.arange(m)) & 1
         free = np.maximum(weight - toxic - clean, 0)
-        says = self.bits[:, :11].any(axis=1)
+        says = self.bits[:, :10].any(axis=1)
         post = np.where(says, 0.8, 0.02)
         self.parents = [-1] * m
         for turn in range(rounds):
@@ -235,8 +240,8 @@ def _stems(text: str) -> set[str]:
     return out
 
 
-def learn_stems(sample: DataFrame) -> list[str]:
-    """Prefixes that mark toxic documents, from (text, toxic) rows: in at least 1 in 200 toxic ones, and 50 times as often as in others."""
+def learn_stems(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """Prefixes that mark toxic documents, firm and loose ones, from (text, toxic) rows of a bounded sample."""
 
     def tally(wanted: frozenset[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,18 +267,42 @@ def learn_stems(sample: DataFrame) -> list[str]:
     kind = "stem string, toxic int, n long"
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not total.get(1) or not total.get(0):
-        return []
-    least = max(4, total[1] / 200)
+        return [], []
+    base = total[1] / (total[0] + total[1])
+    least = max(4, total[1] / 500)
     tried = rows.where("toxic = 1").mapInArrow(tally(None), kind).groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     tried = {r["stem"]: r["n"] for r in tried.orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()}
     clean = rows.where("toxic = 0").mapInArrow(tally(frozenset(tried)), kind).groupBy("stem").agg(F.sum("n").alias("n")).collect()
     clean = {r["stem"]: r["n"] for r in clean}
-    marks = [s for s, n in tried.items() if n / total[1] >= 50 * (clean.get(s, 0) + 0.25) / total[0]]
+
+    def marks(n: int, c: int) -> bool:
+        """Whether n toxic and c other documents with a stem are far from chance (Chernoff's bound, over all stems tried)."""
+        share = n / (n + c)
+        if share < max(0.3, 2 * base):
+            return False
+        far = share * np.log(share / base) + ((1 - share) * np.log((1 - share) / (1 - base)) if share < 1 else 0)
+        return (n + c) * far > np.log(CANDIDATES / 1e-3)
+
+    good = {s for s, n in tried.items() if marks(n, clean.get(s, 0))}
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(_stems(t.as_py() or "") & good) for t in batch.column(0)], pa.list_(pa.string()))], names=["stems"])
+
+    left = [r["stems"] for r in rows.where("toxic = 1").mapInArrow(mine, "stems array<string>").collect()]  # of the sample
     kept: list[str] = []
-    for s in sorted(marks, key=lambda s: (len(s.encode()), -tried[s], s)):  # the shortest prefix stands for its extensions
-        if not any(s.startswith(k) for k in [*kept, *SEEDS]):
-            kept.append(s)
-    return sorted(kept, key=lambda s: (-tried[s], s))[:MAX_STEMS]
+    while left and len(kept) < MAX_STEMS:  # stems that only occur beside kept ones, as words of copied documents do, add nothing
+        cover = Counter(s for stems in left for s in stems)
+        if not cover:
+            break
+        most = max(cover.values())
+        stem = max((s for s, n in cover.items() if n >= 0.98 * most), key=lambda s: (-clean.get(s, 0), len(s), s))
+        if cover[stem] < least or not marks(tried[stem], clean.get(stem, 0)):
+            break
+        kept.append(stem)
+        left = [stems for stems in left if stem not in stems]
+    firm = [s for s in kept if clean.get(s, 0) * 9 <= tried[s]]
+    return firm, [s for s in kept if s not in firm]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -282,7 +311,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
     known = labels.where(learn & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("toxic"))
     known = written(known.where("key is not null").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS), "toxicity-labels")
     # at most SAMPLE_ROWS keys and labels
-    lexicon = Lexicon(learn_stems(docs.join(F.broadcast(known), "key")))
+    lexicon = Lexicon(*learn_stems(docs.join(F.broadcast(known), "key")))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
