@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabletext.llm import jaccard, mixing, pii, sentencepiece, toxicity, warc
+from tabletext.llm import jaccard, mixing, pii, quality, repeats, sentencepiece, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -10,10 +10,13 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op6_warc": warc.op6_warc,
     "op7_sentencepiece": sentencepiece.op7_sentencepiece,
+    "op8_repeats": repeats.op8_repeats,
     "op9_jaccard": jaccard.op9_jaccard,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op3_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op8_repeats": repeats.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
 }
