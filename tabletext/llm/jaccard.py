@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = written(members.join(sizes, "group").select("cls", "rep", "group", "blocks"), "jaccard-members")
     drop_written(rarest)
     texts = (
-        docs.join(members, F.col("key") == F.col("rep"))
+        docs.join(members.hint("merge"), F.col("key") == F.col("rep"))  # members grow with the input: the same plan at every size
         .dropDuplicates(["rep"])
         .withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
