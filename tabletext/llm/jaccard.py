@@ -25,7 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabletext.llm.common import drop_written, mix, read, row_starts, signed, text_chunks, window_hashes, words_of, written
 from tabletext.llm.components import components
@@ -249,8 +251,11 @@ def links_within(groups: DataFrame) -> DataFrame:
     return groups.groupBy("group", "left_block", "right_block").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, n_shingles, n_class, component) for every document; component is the smallest key it is linked with."""
+def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows of ``set_rows`` for every document, and (cls, rep, n_class, component) for every class of equal sets.
+
+    ``rep`` is the smallest key of a class, ``component`` the smallest one it is linked with.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -288,13 +293,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     roots = components(written(links_within(texts), "jaccard-forest"), "jaccard")
     named = classes.select("cls", "rep", "n_class").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = written(named.join(smallest, "root").select("cls", "n_class", "component"), "jaccard-components")
-    return (
-        base.join(named.select(F.col("cls").alias("c"), "n_class", "component"), (F.col("cls") == F.col("c")) & (F.col("n_shingles") > 0), "left")
-        .select("key", "n_words", "n_shingles", "n_class", F.coalesce("component", "key").alias("component"))
+    return base, written(named.join(smallest, "root").select("cls", "rep", "n_class", "component"), "jaccard-components")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_words, n_shingles, n_class, component) for every document."""
+    base, classes = duplicate_classes(docs, key, text)
+    classes = classes.select(F.col("cls").alias("c"), "n_class", "component")
+    return base.join(classes, (F.col("cls") == F.col("c")) & (F.col("n_shingles") > 0), "left").select(
+        "key", "n_words", "n_shingles", "n_class", F.coalesce("component", "key").alias("component")
     )
 
 
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, that with the smallest key (of equal rows one), and all documents without words."""
+    _, classes = duplicate_classes(docs, key, text)
+    first = classes.where(F.col("rep").eqNullSafe(F.col("component"))).select("cls", "rep")
+    names, schema = docs.columns, docs.schema
+    marked = T.StructType([*schema, T.StructField("jaccard_cls", T.LongType()), T.StructField("jaccard_size", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text))], names=["text"])
+            found = [shingle_sets(c.column(0))[:2] for c in text_chunks(iter([texts]))]
+            if found:
+                ids, sizes = (np.concatenate(x) for x in zip(*[(class_ids(*f), np.diff(f[1])) for f in found], strict=True))
+                columns = [pa.array(signed(ids)), pa.array(sizes.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, "jaccard_cls", "jaccard_size"])
+
+    # joined by key and class, so that many copies of one text do not meet in one task
+    both = lambda a, b: F.xxhash64(a, b).alias("jaccard_key")
+    rows = docs.mapInArrow(run, marked)
+    pairs = first.select(F.col("cls").alias("first_cls"), F.col("rep").alias("first_key"), both("rep", "cls")).hint("merge")
+    kept = rows.where("jaccard_size > 0").select("*", both(key, "jaccard_cls")).join(pairs, "jaccard_key")
+    kept = kept.where(F.col(key).eqNullSafe(F.col("first_key")) & (F.col("jaccard_cls") == F.col("first_cls")))
+    turn = F.row_number().over(W.partitionBy("jaccard_key").orderBy("jaccard_key"))
+    kept = kept.withColumn("jaccard_turn", turn).where("jaccard_turn = 1")
+    return kept.select(*names).unionByName(rows.where("jaccard_size = 0").select(*names))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return near_duplicates(docs).select(

@@ -316,8 +316,8 @@ def find_pii(docs: DataFrame, field: Field | None = None, text: str = "text", re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        for batch in text_chunks(batches, text):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        for batch in text_chunks(batches, text, fill=False):
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             both = [all_spans(t, field) for t in texts]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             columns = [c.cast(pa.string()) if c.type == pa.large_string() else c for c in columns]

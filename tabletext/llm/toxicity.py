@@ -305,8 +305,22 @@ def learn_stems(sample: DataFrame) -> tuple[list[str], list[str]]:
     return firm, [s for s in kept if s not in firm]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(key, score, predicted, votes, posterior) for every document; ``learn`` says which labels may be used."""
+class Toxicity:
+    """A fitted lexicon, classifier and label model."""
+
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray, posteriors: np.ndarray):
+        self.lexicon, self.weights, self.posteriors = lexicon, weights, posteriors
+
+    def scores(self, counts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(inputs_of(counts) @ self.weights, -30, 30)))
+
+
+def _counts(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(COUNTS)).astype(float)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Toxicity, DataFrame]:
+    """The fitted model, and (key, votes, counts) of every document. ``learn`` says which labels may be used."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     known = labels.where(learn & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("toxic"))
     known = written(known.where("key is not null").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS), "toxicity-labels")
@@ -324,30 +338,30 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
     seen = docs.mapInArrow(look, f"key {docs.schema['key'].dataType.simpleString()}, votes long, counts array<float>")
     seen = written(seen, "toxicity-votes")
     voted = seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** len(VOTERS) rows
-    taught = seen.join(F.broadcast(known), "key").select("votes", "toxic", "counts").collect()  # as many as labels were taken
+    taught = seen.join(F.broadcast(known), "key").select("votes", "toxic", "counts").limit(2 * SAMPLE_ROWS).collect()
     votes = np.array([r["votes"] for r in voted], np.int64)
     tally = {t: Counter(r["votes"] for r in taught if r["toxic"] == t) for t in (0, 1)}
     of = lambda t: np.array([tally[t][v] for v in votes.tolist()], float)
     weights = np.zeros(len(inputs_of(np.zeros((1, len(COUNTS))))[0]))
-    posterior: dict[int, float] = {}
+    posteriors = np.zeros(1 << len(VOTERS))
     if len(votes):
         model = LabelModel(votes, np.array([r["n"] for r in voted], float), of(1), of(0))
-        posterior = dict(zip(votes.tolist(), model.posterior.tolist(), strict=True))
-        rows = [(r["counts"], posterior[r["votes"]]) for r in taught] or [
-            (r["counts"], posterior[r["votes"]]) for r in seen.orderBy(F.xxhash64("key")).limit(SAMPLE_ROWS).collect()
-        ]
-        weights = fit_classifier(inputs_of(np.array([c for c, _ in rows], float)), np.array([p for _, p in rows]))
-    posteriors = np.full(1 << len(VOTERS), 0.0)
-    for v, p in posterior.items():
-        posteriors[v] = p
+        posteriors[votes] = model.posterior
+        rows = taught or seen.select("votes", "counts").orderBy(F.xxhash64("key")).limit(SAMPLE_ROWS).collect()
+        weights = fit_classifier(inputs_of(np.array([r["counts"] for r in rows], float)), posteriors[[r["votes"] for r in rows]])
+    return Toxicity(lexicon, weights, posteriors), seen
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(key, score, predicted, votes, posterior) for every document."""
+    model, seen = fit_toxicity(docs, labels, learn, key, text, label)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(COUNTS)).astype(float)
-            score = 1 / (1 + np.exp(-np.clip(inputs_of(counts) @ weights, -30, 30)))
+            score = model.scores(_counts(batch.column(2)))
             v = batch.column(1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), batch.column(1), pa.array(posteriors[v])],
+                [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), batch.column(1), pa.array(model.posteriors[v])],
                 names=["key", "score", "predicted", "votes", "posterior"],
             )
 
@@ -355,6 +369,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
     return seen.mapInArrow(classify, kind)
 
 
+def keep_clean(docs: DataFrame, model: Toxicity, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text))], names=["text"])
+            low = [shared.value.scores(shared.value.lexicon.counts(c.column(0))) < threshold for c in text_chunks(iter([texts]))]
+            if low:
+                yield batch.filter(pa.array(np.concatenate(low)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus)) == remainder
 
