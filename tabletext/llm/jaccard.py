@@ -258,7 +258,7 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = written(set_rows(docs, "key", "text"), "jaccard-sets")
     full = base.where("n_shingles > 0")
     classes = full.groupBy("cls").agg(

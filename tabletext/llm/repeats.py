@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """(key, n_words, n_removed, kept_sha256) for every document; with ``with_text`` also ``kept``, the words left."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = written(base_rows(docs), "repeats-base")
     # one document stands for each text
     texts = base.where(F.col("n_words") >= window).groupBy("text_id").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found, places in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for text, found, places in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 words = text.as_py().encode().split()
                 edge = np.zeros(len(words) + window + 1, np.int64)
                 for s in found.as_py():
@@ -349,13 +349,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]],
-                names=["cut_id", "cut", "cut_sha256", "cut_text"],
+                [batch.column(0), batch.column(1), *[pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]],
+                names=["cut_key", "cut_id", "cut", "cut_sha256", "cut_text"],
             )
 
-    done = single.select("text_id", "text", "found", "places").mapInArrow(cut, "cut_id long, cut long, cut_sha256 string, cut_text string")
+    done = single.select("key", "text_id", "text", "found", "places").mapInArrow(
+        cut, f"cut_key {kind}, cut_id long, cut long, cut_sha256 string, cut_text string"
+    )
     copies = texts.where("copies > 1").select(F.col("text_id").alias("copied"))
-    result = base.join(copies, F.col("text_id") == F.col("copied"), "left").join(done, F.col("text_id") == F.col("cut_id"), "left")
+    # by key and text: rows of one text do not meet in one task
+    same = F.col("key").eqNullSafe(F.col("cut_key")) & (F.col("text_id") == F.col("cut_id"))
+    result = base.join(copies, F.col("text_id") == F.col("copied"), "left").join(done, same, "left")
     all_gone = F.col("copied").isNotNull()
     result = result.select(
         "key",
