@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabletext.functions import text, values
+from tabletext.operators import checks, documents, enrich, logs, records
 from tabletext.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +43,524 @@ SELECT strftime(o_orderdate, '%Y-%m') AS file_month, o_orderkey AS record_key,
   || chr(10) || chr(10) || '- 国: ' || n_name || chr(10) || '- 状態: ' || o_orderstatus AS block
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 """
+
+
+def query(name: str, oracle: str | None = None) -> Callable:
+    """Register a query and the DuckDB statement it must equal."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+@query(
+    "token_estimate_documents",
+    """SELECT doc_id, ((length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) * 33
+      + (length(t) - length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) - length(regexp_replace(t, '[^0-9]', '', 'g'))
+         - length(regexp_replace(t, '[^!-/:-@\\[-`{-~]', '', 'g'))) * 15
+      + length(regexp_replace(t, '[^!-/:-@\\[-`{-~]', '', 'g')) * 30 + length(regexp_replace(t, '[^0-9]', '', 'g')) * 10
+      + len(regexp_extract_all(t, '[0-9]+')) * 30 + 29) // 30)::BIGINT AS est_tokens
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+)
+def token_estimate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens("text").alias("est_tokens"))
+
+
+@query(
+    "month_groups_orders",
+    """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total,
+      min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1""",
+)
+def month_groups_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")
+    )
+
+
+KIND_SQL = """CASE WHEN coalesce(trim(v), '') = '' THEN 'blank' WHEN upper(trim(v)) IN ('TRUE', 'FALSE') THEN 'bool'
+  WHEN upper(trim(v)) IN ('#N/A','#REF!','#VALUE!','#DIV/0!','#NAME?','#NULL!','#NUM!') THEN 'error'
+  WHEN regexp_matches(trim(v), '^[12][0-9]{3}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}日?[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$') THEN 'datetime'
+  WHEN regexp_matches(trim(v), '^[12][0-9]{3}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}日?$')
+    OR regexp_matches(trim(v), '^(19|20|21)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$')
+    OR regexp_matches(trim(v), '^(0?[1-9]|1[0-2])/(0?[1-9]|[12][0-9]|3[01])$') THEN 'date'
+  WHEN regexp_matches(trim(v), '^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$') THEN 'time'
+  WHEN regexp_matches(trim(v), '^0[0-9]+$') THEN 'code'
+  WHEN regexp_matches(trim(v), '^[-+−△▲]?(([0-9]{1,3}(,[0-9]{3})+)|[0-9]+)(\\.[0-9]+)?([eE][-+]?[0-9]+)?%?$') THEN 'number'
+  WHEN regexp_matches(trim(v), '[0-9]') AND regexp_matches(trim(v), '^[A-Za-z0-9][A-Za-z0-9_./#-]{0,39}$') THEN 'code'
+  WHEN length(trim(v)) > 40 OR contains(v, chr(10)) THEN 'text' ELSE 'string' END"""
+PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {c}::VARCHAR AS v FROM {t}" for t, c in [("customer", "c_name"), ("customer", "c_mktsegment"), ("customer", "c_acctbal")]
+)
+
+
+@query("value_kind_profile", f"SELECT column_name, {KIND_SQL} AS kind, count(*) AS n FROM ({PROFILE_SQL}) GROUP BY 1, 2")
+def value_kind_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_name", "c_mktsegment", F.col("c_acctbal").cast("string").alias("c_acctbal"))
+    return checks.kind_profile(rows, rows.columns)
+
+
+@query(
+    "infer_column_type",
+    f"""WITH k AS (SELECT column_name, {KIND_SQL} AS kind FROM ({PROFILE_SQL})),
+    s AS (SELECT column_name, count(*) FILTER (kind = 'text') / count(*) AS text, count(*) FILTER (kind = 'datetime') / count(*) AS datetime,
+      count(*) FILTER (kind = 'date') / count(*) AS date, count(*) FILTER (kind = 'number') / count(*) AS number,
+      count(*) FILTER (kind = 'code') / count(*) AS code, mode(kind) AS top FROM k WHERE kind <> 'blank' GROUP BY column_name)
+    SELECT column_name, CASE WHEN text >= 0.2 THEN 'text' WHEN datetime >= 0.2 THEN 'datetime' WHEN date >= 0.5 THEN 'date'
+      WHEN number >= 0.5 AND code < 0.2 THEN 'number' WHEN code >= 0.2 THEN 'code' ELSE top END AS inferred_type FROM s""",
+)
+def infer_column_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.infer_types(value_kind_profile(spark, sf_dir))
+
+
+@query(
+    "record_keys",
+    """WITH r AS (SELECT l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR AS base, l_partkey, l_suppkey,
+      row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+        l_returnflag, l_linestatus) AS n FROM lineitem)
+    SELECT CASE WHEN n = 1 THEN base ELSE base || '#' || n::VARCHAR END AS record_key, l_partkey, l_suppkey FROM r""",
+)
+def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    return records.record_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("record_key", "l_partkey", "l_suppkey")
+
+
+@query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    "fill_down",
+    """SELECT event_id, last_value(CASE WHEN event_id % 4 = 0 THEN event_type END IGNORE NULLS)
+      OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS filled FROM events""",
+)
+def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise("").alias("kind"))
+    return records.fill_down(rows, "kind", ["user_id"], ["event_id"], "filled").select("event_id", "filled")
+
+
+@query(
+    "running_reconcile",
+    """WITH d AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, round(o_totalprice * 100)::BIGINT AS cents FROM orders),
+    s AS (SELECT month, sum(cents)::BIGINT AS stated FROM d GROUP BY month)
+    SELECT month, stated, stated AS running_sum, (sum(stated) OVER (ORDER BY month))::BIGINT AS grand_sum, 0::BIGINT AS difference FROM s""",
+)
+def running_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly subtotal rows set behind the orders of the month, checked against the sums above them.
+
+    Orders are summed by day first: the window over all rows in order then sees days, not orders.
+    """
+    orders = table(spark, sf_dir, "orders")
+    days = orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("value"))
+    days = days.select(F.date_format("day", "yyyy-MM").alias("month"), F.dayofmonth("day").alias("ord"), "value")
+    subtotals = days.groupBy("month").agg(F.lit(99).alias("ord"), F.sum("value").alias("value"))
+    rows = days.withColumn("sub", F.lit(False)).unionByName(subtotals.withColumn("sub", F.lit(True))).withColumn("sheet", F.lit(1))
+    found = records.reconcile(rows, "value", F.col("sub"), ["sheet"], ["month", "ord"])
+    return found.select("month", F.col("value").alias("stated"), "running_sum", "grand_sum", "difference")
+
+
+@query(
+    "continuation_merge",
+    """WITH n AS (SELECT conv_id, turn, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS record_no
+      FROM conversations)
+    SELECT conv_id, record_no::BIGINT AS record_no, string_agg(text, chr(10) ORDER BY turn, text) AS text, count(*) AS n_rows FROM n GROUP BY 1, 2""",
+)
+def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    numbered = records.record_number(rows, F.col("role") == "user", ["conv_id"], ["turn", "role", "text"])
+    parts = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    return numbered.groupBy("conv_id", "record_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("ditto_fill", "SELECT conv_id, turn, role FROM conversations")
+def ditto_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles equal to the one above are written as ditto marks and filled again: the roles come back."""
+    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations")
+    marked = rows.withColumn("mark", F.when(F.lag("role").over(w) == F.col("role"), "〃").otherwise(F.col("role")))
+    filled = records.ditto_fill(marked, "mark", ["conv_id"], ["turn", "role", "text"], "filled")
+    return filled.select("conv_id", "turn", F.col("filled").alias("role"))
+
+
+@query(
+    "date_outliers",
+    """WITH y AS (SELECT o_orderkey, year(o_orderdate)::INTEGER AS y FROM orders),
+    m AS (SELECT list_sort(list(y))[count(*) // 2 + 1] AS middle, count(*) AS n FROM y)
+    SELECT o_orderkey, y FROM y, m WHERE n >= 3 AND abs(y - middle) > 2""",
+)
+def date_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.year_outliers(table(spark, sf_dir, "orders"), F.year("o_orderdate"), 2).select("o_orderkey", "y")
+
+
+@query(
+    "type_error_rate",
+    """WITH c AS (SELECT p_brand, regexp_extract(p_name, '([0-9][0-9,.]*)', 1) AS t, p_type FROM part),
+    v AS (SELECT p_brand, p_type, coalesce(trim(p_type), '') NOT IN ('', '-') AS checked,
+      regexp_matches(trim(p_type), '^[-+−△▲]?([0-9]+)([.][0-9]+)?[^0-9()+−-]{0,6}$') AS good FROM c)
+    SELECT p_brand, count(*) FILTER (checked) AS n_checked, count(*) FILTER (checked AND NOT good) AS n_errors,
+      round(count(*) FILTER (checked AND NOT good) / count(*) FILTER (checked), 6) AS error_rate,
+      CASE WHEN count(*) FILTER (checked AND NOT good) / count(*) FILTER (checked) > 0.1 THEN 'error'
+        WHEN count(*) FILTER (checked AND NOT good) / count(*) FILTER (checked) >= 0.02 THEN 'warning' ELSE 'ok' END AS level
+    FROM v GROUP BY p_brand""",
+)
+def type_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.type_errors(table(spark, sf_dir, "part"), "p_type", values.parse_number("p_type"), ["p_brand"])
+
+
+ENUM_COLUMNS = ["o_orderstatus", "o_orderpriority", "o_custkey", "o_orderkey"]
+
+
+@query(
+    "enum_candidates",
+    "WITH p AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS value FROM orders" for c in ENUM_COLUMNS)
+    + """) SELECT column_name, count(*) AS n_rows, count(DISTINCT value) AS n_values FROM p WHERE value IS NOT NULL
+    GROUP BY column_name HAVING count(*) >= 20 AND count(DISTINCT value) <= 12 AND count(DISTINCT value) <= 0.2 * count(*)""",
+)
+def enum_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.enum_candidates(table(spark, sf_dir, "orders"), ENUM_COLUMNS)
+
+
+@query(
+    "allowed_values",
+    """SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
+    GROUP BY 1 ORDER BY n DESC, value LIMIT 8""",
+)
+def allowed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.not_allowed(table(spark, sf_dir, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"])
+
+
+@query(
+    "undated_and_required_empty",
+    """SELECT lang, count(*) AS n_records, count(*) FILTER (quality IS NULL) AS n_missing FROM documents
+    LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY lang""",
+)
+def undated_and_required_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("quality").isNull()).alias("n_missing")
+    )
+
+
+@query(
+    "latest_per_key",
+    """SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
+    WHERE n = 1""",
+)
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and type, as a maximum: it is combined before the shuffle, unlike a rank."""
+    events = table(spark, sf_dir, "events")
+    return events.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("paging", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 100")
+def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").offset(100).limit(100)
+
+
+@query(
+    "sort_dated_first",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY d IS NULL, d, o_orderkey) AS position FROM
+    (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS d FROM orders) QUALIFY position <= 200""",
+)
+def sort_dated_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("d"))
+    first = rows.orderBy(*documents.dated_first("d", "o_orderkey")).limit(200)  # a page: small enough for one ordered window
+    position = F.row_number().over(W.orderBy(*documents.dated_first("d", "o_orderkey")))
+    return first.select("o_orderkey", position.cast("bigint").alias("position"))
+
+
+@query(
+    "size_split_files",
+    """WITH s AS (SELECT lang, doc_id, coalesce(n_chars, 0) AS n, sum(coalesce(n_chars, 0)) OVER (PARTITION BY lang) AS total,
+      sum(coalesce(n_chars, 0)) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents),
+    p AS (SELECT lang, doc_id, n, greatest(1, ceil(total / 100000))::BIGINT AS parts, total, upto FROM s)
+    SELECT lang, parts, (least(floor((upto - n / 2) * parts / greatest(total, 1)), parts - 1) + 1)::BIGINT AS part, count(*) AS n_records, sum(n)::BIGINT AS n_chars
+    FROM p GROUP BY 1, 2, 3""",
+)
+def size_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    cut = documents.part_sizes(rows, ["lang"], ["doc_id"], "n", 100_000)
+    return cut.groupBy("lang", "parts", "part").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_chars"))
+
+
+@query(
+    "title_suffix",
+    """SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand, p_type) > 1 THEN p_type || '（' || p_partkey::VARCHAR || '行目）' ELSE p_type END AS title
+    FROM part""",
+)
+def title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.title_suffixes(table(spark, sf_dir, "part"), "p_type", ["p_brand"], "p_partkey").select("p_partkey", "title")
+
+
+@query(
+    "prev_next_file",
+    """WITH m AS (SELECT DISTINCT o_orderstatus, strftime(o_orderdate, '%Y-%m') || '.md' AS name FROM orders)
+    SELECT o_orderstatus, name, lag(name) OVER w AS prev_name, lead(name) OVER w AS next_name FROM m WINDOW w AS (PARTITION BY o_orderstatus ORDER BY name)""",
+)
+def prev_next_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "orders").select("o_orderstatus", F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit(".md")).alias("name")).distinct()
+    return documents.neighbours(files, "name", ["o_orderstatus"], "name")
+
+
+@query(
+    "mask_pii",
+    """SELECT doc_id, md5(m) AS masked_md5, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))::INTEGER AS n_mail
+    FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+', '［メール］', 'g'),
+      '\\+?[0-9]{2,4}[- ][0-9]{2,4}[- ][0-9]{3,4}', '［電話番号］', 'g'), '[¥￥][0-9][0-9,]*|[0-9][0-9,]*円', '［金額］', 'g') AS m FROM documents)""",
+)
+def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(text.mask_text("text")).alias("masked_md5"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(text.EMAIL)).alias("n_mail")
+    )
+
+
+@query(
+    "identifiers",
+    """SELECT doc_id, count(*) AS n_tokens, min(x) AS first_token, max(x) AS last_token FROM
+      (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]*'),
+        lambda x: regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]'))) AS x FROM documents) GROUP BY doc_id""",
+)
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", text.identifiers("text").alias("tokens"))
+    # counted inside the row: no token leaves it
+    return found.where(F.size("tokens") > 0).select(
+        "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.array_min("tokens").alias("first_token"), F.array_max("tokens").alias("last_token")
+    )
+
+
+@query(
+    "split_dated_lines",
+    """WITH l AS (SELECT doc_id, row_number() OVER () AS r, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+      unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+    h AS (SELECT doc_id, pos, line, regexp_matches(line, '^[12][0-9]{3}[-/][0-9]{1,2}[-/][0-9]{1,2}') AS head FROM l)
+    SELECT doc_id, (1 + count(*) FILTER (head AND pos > 1))::BIGINT AS n_pieces FROM h GROUP BY doc_id""",
+)
+def split_dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of a text that start at lines headed by a date with a year; other lines go on the piece."""
+    heads = logs.split_pieces("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(heads).cast("bigint").alias("n_pieces"))
+
+
+GLOSSARY = {"the": "THE", "then": "THEN", "of": "OF", "and": "AND", "THE": "x"}
+
+
+@query("glossary_replace")
+def glossary_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.apply_glossary("text", GLOSSARY)).alias("replaced_md5"))
+
+
+@query("dedupe_requests", "SELECT sha256(coalesce(text, '')) AS cache_key, count(*) AS n_rows FROM documents GROUP BY 1")
+def dedupe_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = table(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("cache_key"))
+    return enrich.one_request_each(works, "cache_key")
+
+
+@query(
+    "cache_anti_join",
+    "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE sha256(coalesce(b.text, '')) = sha256(coalesce(documents.text, '')))",
+)
+def cache_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.sha2(F.coalesce("text", F.lit("")), 256).alias("cache_key")
+    works = table(spark, sf_dir, "documents").select("doc_id", key)
+    return enrich.missing(works, table(spark, sf_dir, "benchmark").select(key), "cache_key").select("doc_id")
+
+
+@query(
+    "stale_items",
+    """SELECT doc_id, version, quality FROM (SELECT doc_id, length(text) % 2 AS version FROM documents) JOIN labels USING (doc_id)
+    WHERE version IS DISTINCT FROM quality""",
+)
+def stale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") % 2).cast("bigint").alias("version"))
+    return works.join(table(spark, sf_dir, "labels"), "doc_id").where(enrich.is_stale([("version", "quality")])).select("doc_id", "version", "quality")
+
+
+@query(
+    "p75_estimate",
+    """SELECT lang, count(*) AS n_rows, quantile_cont(n_chars::DOUBLE, 0.75) AS p75, count(*) * quantile_cont(n_chars::DOUBLE, 0.75) AS total_tokens,
+      round(count(*) * 8.0::DOUBLE / 240.0::DOUBLE, 6) AS minutes FROM documents GROUP BY lang""",
+)
+def p75_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = enrich.estimate(table(spark, sf_dir, "documents"), F.col("n_chars").cast("double"), ["lang"])
+    return found.withColumn("minutes", F.round("minutes", 6))
+
+
+@query("status_counts", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "route_rows",
+    """SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'skipped' WHEN length(coalesce(text, '')) >= 40 AND contains(coalesce(text, ''), 'th')
+      THEN 'ai' ELSE 'rule_only' END AS route FROM conversations""",
+)
+def route_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", enrich.route("text", 40, ["th"]).alias("route"))
+
+
+@query(
+    "markdown_escape",
+    """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS t FROM documents)
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '^(\\s{0,3})(#{1,6}(?:\\s|$)|[-*+](?:\\s|$)|>|```|~~~|\\|)', '\\1\\\\\\2'),
+      '^(\\s{0,3}[0-9]{1,9})([.)](?:\\s|$))', '\\1\\\\\\2'), '^(\\s{0,3})([-*_=](?:\\s*[-*_=])+\\s*)$', '\\1\\\\\\2') AS escaped FROM l""",
+)
+def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
+    return table(spark, sf_dir, "documents").select("doc_id", first.alias("t")).select("doc_id", text.escape_md_line("t").alias("escaped"))
+
+
+SAFE_SQL = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[.\\[\\]]', '', 'g'), '[\\x00-\\x1F<>:"/\\\\|?*#^\\s]+', '_', 'g'), '_+', '_', 'g'), '^[._]+|[._]+$', '', 'g')"""
+
+
+@query(
+    "safe_file_names",
+    f"""WITH s AS (SELECT page_id, regexp_replace(substr({SAFE_SQL}, 1, 60), '[._]+$', '') AS t FROM pages),
+    n AS (SELECT page_id, (CASE WHEN t = '' THEN '無題' ELSE t END) || '.md' AS name FROM s),
+    r AS (SELECT page_id, name, row_number() OVER (PARTITION BY lower(name) ORDER BY page_id) AS n FROM n)
+    SELECT page_id, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\\.md$', '') || '_' || n::VARCHAR || '.md' END AS unique_name FROM r""",
+)
+def safe_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", text.md_filename(text.safe_file_part("url")).alias("name"))
+    return documents.unique_names(pages, "name", ["page_id"]).select("page_id", "unique_name")
+
+
+@query(
+    "formula_guard",
+    """SELECT p_partkey, CASE WHEN regexp_matches(t, '^[=+\\-@\\t\\r＝＋－＠]') THEN '''' || t ELSE t END AS guarded
+    FROM (SELECT p_partkey, ['=', '+', '-', '@', '', '', '＝'][(p_partkey % 7 + 1)::INTEGER] || p_name AS t FROM part)""",
+)
+def formula_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array(*[F.lit(m) for m in ["=", "+", "-", "@", "", "", "＝"]])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.element_at(marks, (F.col("p_partkey") % 7 + 1).cast("int")), "p_name").alias("t"))
+    return rows.select("p_partkey", text.guard_formula("t").alias("guarded"))
+
+
+@query(
+    "entity_code_split",
+    """SELECT c_custkey, regexp_extract(c_name, '^(.+?)#([0-9]+)$', 1) || '-' || regexp_extract(c_name, '^(.+?)#([0-9]+)$', 2) AS code, c_mktsegment AS name
+    FROM customer""",
+)
+def entity_code_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.concat(F.col("c_mktsegment"), F.lit("（"), F.regexp_replace("c_name", "#", "-"), F.lit("）"))
+    split = text.split_entity_code("written")
+    return table(spark, sf_dir, "customer").select("c_custkey", written.alias("written")).select("c_custkey", split["code"].alias("code"), split["name"].alias("name"))
+
+
+@query(
+    "unit_convert",
+    """SELECT l_linenumber, round(sum(l_quantity * 60.0), 2) AS minutes, round(sum(l_quantity * 3600.0), 2) AS seconds FROM lineitem GROUP BY l_linenumber""",
+)
+def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity")
+    to = lambda unit: F.round(F.sum(F.col("l_quantity") * values.unit_factor(F.lit("h"), F.lit(unit))), 2)
+    return rows.groupBy("l_linenumber").agg(to("分").alias("minutes"), to("秒").alias("seconds"))
+
+
+@query(
+    "left_join_ai",
+    """SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'rule_only' WHEN l.quality = 1 THEN 'ok' ELSE 'flagged' END AS status
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def left_join_ai(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    status = F.when(F.col("quality").isNull(), "rule_only").when(F.col("quality") == 1, "ok").otherwise("flagged")
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", status.alias("status"))
+
+
+@query(
+    "record_markdown",
+    """SELECT c_custkey, '## 【' || c_custkey::VARCHAR || '】' || c_name || chr(10) || chr(10) || '- 国: ' || n_name || chr(10) || '- 区分: ' || c_mktsegment || chr(10) AS block
+    FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+)
+def record_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    title = F.concat(F.lit("## 【"), F.col("c_custkey").cast("string"), F.lit("】"), F.col("c_name"))
+    body = F.concat_ws("\n", text.md_bullet(F.lit("国"), "n_name"), text.md_bullet(F.lit("区分"), "c_mktsegment"))
+    return rows.select("c_custkey", text.join_blocks(F.array(title, body)).alias("block"))
+
+
+@query(
+    "record_split_400",
+    "SELECT doc_id, md5(coalesce(text, '')) AS joined_md5, true AS within FROM documents",
+)
+def record_split_400(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to pieces of at most 400 estimated tokens; joined, the pieces are the text again."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cut = documents.split_texts(rows, "text")
+    within = F.forall("pieces", lambda p: text.estimate_tokens(p) <= documents.BLOCK_TOKENS)
+    return cut.select("doc_id", F.md5(F.array_join("pieces", "")).alias("joined_md5"), within.alias("within"))
+
+
+NUMBERS_SQL = "list_transform(regexp_extract_all({}, '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: replace(x, ',', ''))"
+
+
+@query(
+    "verify_numbers",
+    f"""SELECT doc_id, len(list_distinct(list_filter({NUMBERS_SQL.format("a")}, lambda x: NOT list_contains({NUMBERS_SQL.format("b")}, x))))::INTEGER AS n_unsupported
+    FROM (SELECT doc_id, coalesce(text, '') AS a, substr(coalesce(text, ''), 1, length(coalesce(text, '')) // 2) AS b FROM documents)""",
+)
+def verify_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a text that its first half does not hold."""
+    whole = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", whole.alias("a"), F.substring(whole, F.lit(1), F.expr("int(length(coalesce(text, '')) div 2)")).alias("b"))
+    return rows.select("doc_id", F.size(enrich.unsupported_numbers("a", "b")).alias("n_unsupported"))
+
+
+@query("months_histogram", "SELECT strftime(ts, '%Y-%m') AS month, day(ts)::INTEGER AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def months_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), F.dayofmonth("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "fiscal_year",
+    "SELECT (CASE WHEN month(o_orderdate) >= 4 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END)::INTEGER AS fiscal_year, count(*) AS n FROM orders GROUP BY 1",
+)
+def fiscal_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(values.fiscal_year("o_orderdate").alias("fiscal_year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "round_half_up_fmt",
+    "SELECT o_orderkey, regexp_replace(format('{:,.2f}', round(o_totalprice, 2)), '\\.?0+$', '') AS shown FROM orders",
+)
+def round_half_up_fmt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.format_number("o_totalprice").alias("shown"))
+
+
+@query(
+    "blank_runs",
+    """WITH e AS (SELECT user_id, event_id, event_type = 'view' AS blank FROM events),
+    g AS (SELECT *, sum(CASE WHEN blank THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM e)
+    SELECT event_id, CASE WHEN blank THEN (sum(blank::INTEGER) OVER (PARTITION BY user_id, g ORDER BY event_id))::BIGINT ELSE 0::BIGINT END AS blank_run FROM g""",
+)
+def blank_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return records.blank_runs(events, F.col("event_type") == "view", ["user_id"], ["event_id"]).select("event_id", "blank_run")
+
+
+@query(
+    "cache_upsert",
+    """SELECT doc_id, 2 AS version FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 1 AS version FROM labels WHERE doc_id % 3 <> 0""",
+)
+def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("version"))
+    return enrich.upsert(old, old.where("doc_id % 3 = 0").withColumn("version", F.lit(2)), ["doc_id"])
+
+
+@query(
+    "month_files",
+    """WITH b AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, '## 【' || o_orderkey::VARCHAR || '】' || o_orderstatus AS block FROM orders)
+    SELECT month, md5(string_agg(block, chr(10) || chr(10) ORDER BY o_orderkey)) AS text_md5, count(*) AS n_records FROM b GROUP BY month""",
+)
+def month_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = F.concat(F.lit("## 【"), F.col("o_orderkey").cast("string"), F.lit("】"), "o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", block.alias("block"))
+    files = documents.file_groups(rows, ["month"], [F.col("o_orderkey")], "block")
+    return files.select("month", F.md5("text").alias("text_md5"), "n_records")
