@@ -183,8 +183,8 @@ def split_entity_code(c: Column | str) -> Column:
     pick = lambda p, i: F.regexp_extract(t, p, i)
     none = F.lit("")
     return F.struct(
-        F.when(t.rlike(front), pick(front, 1)).when(t.rlike(space), pick(space, 1)).when(t.rlike(back), pick(back, 2)).when(t.rlike(alone), t).otherwise(none).alias("code"),
-        F.when(t.rlike(front), pick(front, 2)).when(t.rlike(space), pick(space, 2)).when(t.rlike(back), pick(back, 1)).when(t.rlike(alone), none).otherwise(t).alias("name"),
+        F.when(t.rlike(front), pick(front, 1)).when(t.rlike(back), pick(back, 2)).when(t.rlike(space), pick(space, 1)).when(t.rlike(alone), t).otherwise(none).alias("code"),
+        F.when(t.rlike(front), pick(front, 2)).when(t.rlike(back), pick(back, 1)).when(t.rlike(space), pick(space, 2)).when(t.rlike(alone), none).otherwise(t).alias("name"),
     )
 
 
