@@ -65,33 +65,31 @@ class Pieces:
     def viterbi(self, word: str) -> list[int]:
         """Best ids of a word in which spaces are already marks and U+E000 stands for a mark of the text itself."""
         n = len(word)
-        best, back = [0.0] + [-float("inf")] * n, [(0, -1)] * (n + 1)
-        done = 0
-
-        def spell(upto: int) -> None:  # positions before ``upto`` are final; a character without a piece is spelled
-            nonlocal done
-            while done < upto:
-                done += 1
-                score = best[done - 1] + BYTE_SCORE
-                if score > best[done]:
-                    best[done], back[done] = score, (done - 1, -1)
-
+        best, start, piece = [0.0] + [-float("inf")] * n, [0] * (n + 1), [-1] * (n + 1)
+        done = 0  # positions up to here are final: a character without a better way is spelled in bytes
         for end, (k, size, score) in self.automaton.iter(word):
-            spell(end)  # every position up to this piece's last character has its final score
+            while done < end:
+                score_here = best[done] + BYTE_SCORE
+                done += 1
+                if score_here > best[done]:
+                    best[done], start[done], piece[done] = score_here, done - 1, -1
             at = end + 1
             score += best[at - size]
-            if score > best[at] or score == best[at] and size > at - back[at][0]:
-                best[at], back[at] = score, (at - size, k)
-        spell(n)
+            if score > best[at] or score == best[at] and size > at - start[at]:
+                best[at], start[at], piece[at] = score, at - size, k
+        while done < n:
+            score_here = best[done] + BYTE_SCORE
+            done += 1
+            if score_here > best[done]:
+                best[done], start[done], piece[done] = score_here, done - 1, -1
         out, at = [], n
         while at:
-            start, k = back[at]
+            k, at = piece[at], start[at]
             if k >= 0:
                 out.append(k)
             else:
-                char = MARK if word[start] == "\ue000" else word[start]
+                char = MARK if word[at] == "\ue000" else word[at]
                 out.extend(self.byte_ids[b] for b in reversed(char.encode()))
-            at = start
         return out[::-1]
 
     def word_ids(self, word: str) -> np.ndarray:
