@@ -16,6 +16,7 @@ from tabletext.functions import text as tx
 from tabletext.functions import values as vl
 from tabletext.operators import columns, layout
 from tabletext.operators.checks import BLOCK_RATE, WARN_RATE
+from tabletext.plans.spec import TableSpec, apply_values, columns_of, spec_issues, validate
 from tabletext.sources.files import read_files
 
 
@@ -57,13 +58,24 @@ def convert(df: DataFrame, fiscal_year: int | None = None, year: int | None = No
 
 
 def read_records(
-    spark: SparkSession, path: str, standards: list[columns.Standard] | None = None, fiscal_year: int | None = None, year: int | None = None, **read: object
+    spark: SparkSession,
+    path: str,
+    standards: list[columns.Standard] | None = None,
+    fiscal_year: int | None = None,
+    year: int | None = None,
+    spec: TableSpec | None = None,
+    **read: object,
 ) -> Imported:
-    """Read, detect, infer, normalize and check all files under a path."""
+    """Read, detect, infer, normalize and check all files under a path. A spec stands in for the inferred columns."""
+    if spec is not None:
+        if problems := validate(spec):
+            raise ValueError("; ".join(problems))
+        fiscal_year, year = fiscal_year or spec.fiscal_year, year or spec.year
     rows = read_files(spark, path, **read)
     words = frozenset(n for s in standards or columns.STANDARDS for n in s.names)
-    rows_in = layout.classify(rows, layout.detect_layouts(rows, words)).persist()
-    cols = columns.suggest_columns(rows_in, standards).persist()
+    layouts = layout.detect_layouts(rows, words)
+    rows_in = layout.classify(rows, layouts).persist()
+    cols = (columns.suggest_columns(rows_in, standards) if spec is None else columns_of(spark, spec, layouts)).persist()
 
     sheet = W.partitionBy("file", "sheet").orderBy("row_index")
     upto = sheet.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -115,6 +127,9 @@ def read_records(
     records = records.withColumn("base", base).withColumn("turn", turn)
     records = records.withColumn("record_key", F.when(F.col("turn") == 1, F.col("base")).otherwise(F.concat("base", F.lit("#"), F.col("turn").cast("string"))))
     issues = check(done, records, rows, rows_in)
+    if spec is not None:
+        issues = issues.unionByName(spec_issues(records, cols, spec))
+        records = apply_values(records, spec)
     subtotals = reconcile_subtotals(rows_in, cols)
     records = records.select("file", "sheet", "record_row", "record_key", "date_value", "values", "originals", "warnings")
     return Imported(records, issues, subtotals, cols, rows_in)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabletext.operators import columns, layout, logs
-from tabletext.plans import export
+from tabletext.plans import export, spec
 from tabletext.plans.import_plan import read_records
 from tabletext.sources import encodings, workbook
 from tabletext.sources.files import read_files, sniff_files
@@ -86,6 +86,31 @@ def test_rows_to_records(spark, tmp_path):
     assert csv.startswith(b"\xef\xbb\xbf") and b"\r\n" in csv
 
 
+def test_spec(spark, tmp_path):
+    (tmp_path / "list.csv").write_text(table_csv(12))
+    make = lambda: spec.TableSpec(
+        "t",
+        [
+            spec.ColumnSpec("管理No", "no", "code", "key"), spec.ColumnSpec("発生日時", "at", "datetime", "date"), spec.ColumnSpec("設備番号", "eq", "code", "entity", value_map={"EQ-00": "A"}, allowed=["EQ-00", "EQ-01"]),
+            spec.ColumnSpec("停止時間", "stop", "number", "measure", unit="分", required=True), spec.ColumnSpec("担当者", "who", output="omit"), spec.ColumnSpec("無い列", "none", required=True),
+        ],
+        ["at"],
+    )
+    s = make()
+    assert spec.validate(s) == [] and spec.TableSpec.load({**__import__("json").loads(s.json()), "old": 1}).hash() == s.hash() == make().hash()
+    assert spec.resolve(s, HEADER.split(","))["stop"] == 5 and "none" not in spec.resolve(s, HEADER.split(","))
+    got = read_records(spark, str(tmp_path), spec=s)
+    values = {r["record_key"]: r["values"] for r in got.records.collect()}
+    assert values["K-000"] == {"no": "K-000", "at": "2026-04-01 10:00", "eq": "A", "stop": "0"}
+    codes = {(r["code"], r["column"], r["n"]) for r in got.issues.collect()}
+    assert ("column_missing", "none", 1) in codes and ("not_allowed", "eq", 6) in codes
+    bad = spec.TableSpec("t", [spec.ColumnSpec("a", "A b", "x", "y", "分", "z"), spec.ColumnSpec("b", "k", role="date"), spec.ColumnSpec("c", "k")], ["q"])
+    assert len(spec.validate(bad)) >= 7
+    with pytest.raises(ValueError):
+        read_records(spark, str(tmp_path), spec=bad)
+    assert spec.from_suggestions("t", [r.asDict() for r in read_records(spark, str(tmp_path)).columns.collect()]).group == ["occurred_at"]
+
+
 def sheet_xlsx(rows, merges="", links="", rels="", hidden=(), date1904=False):
     """A workbook of inline cells; a row is a list of (text or number, style)."""
     body = ""
