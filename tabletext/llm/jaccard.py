@@ -251,10 +251,40 @@ def links_within(groups: DataFrame) -> DataFrame:
     return groups.groupBy("group", "left_block", "right_block").applyInArrow(run, "a long, b long")
 
 
+def with_classes(docs: DataFrame, text: str) -> DataFrame:
+    """Adds ``jaccard_cls`` and ``jaccard_size``, the class and size of each document's set."""
+    names = docs.columns
+    marked = T.StructType([*docs.schema, T.StructField("jaccard_cls", T.LongType()), T.StructField("jaccard_size", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text))], names=["text"])
+            found = [shingle_sets(c.column(0))[:2] for c in text_chunks(iter([texts]))]
+            if found:
+                ids, sizes = (np.concatenate(x) for x in zip(*[(class_ids(*f), np.diff(f[1])) for f in found], strict=True))
+                columns = [pa.array(signed(ids)), pa.array(sizes.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, "jaccard_cls", "jaccard_size"])
+
+    return docs.mapInArrow(run, marked)
+
+
+def of_classes(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Rows of ``with_classes`` that stand for a class of (cls, rep), with its columns.
+
+    Joined by key and class: keys may be null or repeated, and copies of one text do not meet in one task. Classes grow
+    with the input, so the plan is the same merge join at every size.
+    """
+    both = lambda a, b: F.xxhash64(a, b).alias("jaccard_key")
+    classes = classes.select("*", both("rep", "cls")).hint("merge")
+    found = rows.where("jaccard_size > 0").select("*", both(key, "jaccard_cls")).join(classes, "jaccard_key")
+    return found.where(F.col(key).eqNullSafe(F.col("rep")) & (F.col("jaccard_cls") == F.col("cls")))
+
+
 def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows of ``set_rows`` for every document, and (cls, rep, n_class, component) for every class of equal sets.
+    """Rows of ``set_rows`` for every document, and (cls, rep, n_class, component, first) for every class of equal sets.
 
-    ``rep`` is the smallest key of a class, ``component`` the smallest one it is linked with.
+    ``rep`` is the smallest key of a class, ``component`` the smallest one it is linked with; one class of a component is
+    its ``first``.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -284,16 +314,18 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     members = written(members.join(sizes, "group").select("cls", "rep", "group", "blocks"), "jaccard-members")
     drop_written(rarest)
     texts = (
-        docs.join(members.hint("merge"), F.col("key") == F.col("rep"))  # members grow with the input: the same plan at every size
-        .dropDuplicates(["rep"])
+        of_classes(with_classes(docs, "text"), members, "key")
+        .dropDuplicates(["cls"])
         .withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("group", F.least("mine", "other").alias("left_block"), F.greatest("mine", "other").alias("right_block"), "cls", "text")
     )
     roots = components(written(links_within(texts), "jaccard-forest"), "jaccard")
     named = classes.select("cls", "rep", "n_class").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    return base, written(named.join(smallest, "root").select("cls", "rep", "n_class", "component"), "jaccard-components")
+    order = F.struct(F.col("rep").isNull(), "rep", "cls")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component"), F.min_by("cls", order).alias("first_cls"))
+    found = named.join(smallest, "root").select("cls", "rep", "n_class", "component", (F.col("cls") == F.col("first_cls")).alias("first"))
+    return base, written(found, "jaccard-components")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,28 +340,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the smallest key (of equal rows one), and all documents without words."""
     _, classes = duplicate_classes(docs, key, text)
-    first = classes.where(F.col("rep").eqNullSafe(F.col("component"))).select("cls", "rep")
-    names, schema = docs.columns, docs.schema
-    marked = T.StructType([*schema, T.StructField("jaccard_cls", T.LongType()), T.StructField("jaccard_size", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text))], names=["text"])
-            found = [shingle_sets(c.column(0))[:2] for c in text_chunks(iter([texts]))]
-            if found:
-                ids, sizes = (np.concatenate(x) for x in zip(*[(class_ids(*f), np.diff(f[1])) for f in found], strict=True))
-                columns = [pa.array(signed(ids)), pa.array(sizes.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, "jaccard_cls", "jaccard_size"])
-
-    # joined by key and class, so that many copies of one text do not meet in one task
-    both = lambda a, b: F.xxhash64(a, b).alias("jaccard_key")
-    rows = docs.mapInArrow(run, marked)
-    pairs = first.select(F.col("cls").alias("first_cls"), F.col("rep").alias("first_key"), both("rep", "cls")).hint("merge")
-    kept = rows.where("jaccard_size > 0").select("*", both(key, "jaccard_cls")).join(pairs, "jaccard_key")
-    kept = kept.where(F.col(key).eqNullSafe(F.col("first_key")) & (F.col("jaccard_cls") == F.col("first_cls")))
+    first = classes.where("first").select("cls", "rep")
+    rows = with_classes(docs, text)
+    kept = of_classes(rows, first, key)
     turn = F.row_number().over(W.partitionBy("jaccard_key").orderBy("jaccard_key"))
     kept = kept.withColumn("jaccard_turn", turn).where("jaccard_turn = 1")
-    return kept.select(*names).unionByName(rows.where("jaccard_size = 0").select(*names))
+    return kept.select(*docs.columns).unionByName(rows.where("jaccard_size = 0").select(*docs.columns))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

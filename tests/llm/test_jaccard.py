@@ -97,6 +97,16 @@ def test_edges(edge_docs, no_docs):
     assert jaccard.near_duplicates(no_docs).collect() == []
 
 
+def test_null_and_repeated_keys(spark):
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join(["y", *base]), "other text of seven words in all", "other text of seven words in all more"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[4])]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = sorted((r["n_shingles"], r["component"]) for r in found if r["key"] is not None)
+    assert sizes == [(3, 7), (4, 7), (4, 7), (37, 7)]
+    assert [r["component"] for r in found if r["key"] is None] == [7, 7]
+
+
 def test_keep_first(edge_docs, no_docs):
     kept = jaccard.keep_first(edge_docs)
     assert kept.columns == edge_docs.columns
