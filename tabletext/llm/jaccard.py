@@ -39,7 +39,7 @@ PARTS = 0.40
 #: Features in one block of a candidate group; a task holds two blocks.
 BLOCK_FEATURES = 2_000_000
 #: Bytes of text whose signatures are packed together.
-PACK_BYTES = 2_000_000
+PACK_BYTES = 1_000_000
 
 
 def linked(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:

@@ -194,7 +194,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = mapping(_matrix(batch, "stats")) @ weights
+            raw = np.round(mapping(_matrix(batch, "stats")) @ weights, 9)  # products of matrices can differ in the last places by batch
             score = np.clip(np.interp(raw, centres, values), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["key", "score", "predicted"])
 

@@ -32,7 +32,7 @@ from tabletext.llm.common import _STEP, _powers, mix, read, row_starts, signed,
 WINDOW = 35
 ROUNDS = 3
 #: Bytes of text whose segments are combined and sent together.
-PACK_BYTES = 2_000_000
+PACK_BYTES = 1_000_000
 FULL, PART, WITNESS = 2, 1, 3
 WINDOW_TAG = np.uint64(0x1234567)
 

@@ -31,8 +31,8 @@ from tabletext.llm.common import read, text_chunks
 MARK = "\u2581"
 #: Score of a character spelled in bytes, far below any sum of piece scores of a word.
 BYTE_SCORE = -1e9
-#: Encoded words that a task remembers. Only speed depends on it.
-REMEMBERED = 400_000
+#: Encoded words in each of two generations that a task remembers. Only speed depends on it.
+REMEMBERED = 120_000
 MODEL = os.environ.get("TABLETEXT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -52,7 +52,8 @@ class Pieces:
             self.automaton.add_word(piece, (k, len(piece), float(score)))
             self.crosses |= MARK in piece.lstrip(MARK)
         self.automaton.make_automaton()
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -92,13 +93,15 @@ class Pieces:
                 out.extend(self.byte_ids[b] for b in reversed(char.encode()))
         return out[::-1]
 
-    def word_ids(self, word: str) -> np.ndarray:
+    def word_ids(self, word: str) -> bytes:
         ids = self.seen.get(word)
         if ids is None:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            ids = np.array(self.viterbi(word), np.int32)
+            ids = self.older.get(word)
+            if ids is None:
+                ids = np.array(self.viterbi(word), np.int32).tobytes()
             if len(word) <= 64:
+                if len(self.seen) >= REMEMBERED:  # words that were met since the last turn stay
+                    self.older, self.seen = self.seen, {}
                 self.seen[word] = ids
         return ids
 
@@ -119,10 +122,10 @@ class Pieces:
             words = pc.split_pattern(cut, "\x00")
         flat = words.flatten().dictionary_encode()
         ids = [self.word_ids(w) for w in flat.dictionary.to_pylist()]
-        sizes = np.array([len(x) for x in ids], np.int64)
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
         starts = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(sizes, out=starts[1:])
-        joined = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        joined = np.frombuffer(b"".join(ids), np.int32)
         which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = sizes[which]
         ends = np.zeros(len(which) + 1, np.int64)

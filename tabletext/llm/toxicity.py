@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletext.llm.common import read, span_hashes, text_bytes, text_chunks, written
+from tabletext.llm.common import SpanHasher, read, span_hashes, text_bytes, text_chunks, written
 
 #: Labelled documents that stems and classifier are learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -87,12 +87,12 @@ class Lexicon:
             self.by_size[size] = hashes[order], which[order]
         self.address = np.sort(_hash_words([w.encode() for w in ADDRESS]))
 
-    def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def hits(self, hasher: SpanHasher, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Index of the stem of each word, -1 if it has none."""
         out = np.full(len(starts), -1)
         for size, (hashes, which) in self.by_size.items():
             long = np.flatnonzero((ends - starts >= size) & (out < 0))
-            h = span_hashes(data, starts[long], starts[long] + size)
+            h = hasher(starts[long], starts[long] + size)
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             ok = hashes[at] == h
             out[long[ok]] = which[at[ok]]
@@ -104,16 +104,17 @@ class Lexicon:
         data, offsets = text_bytes(pc.utf8_lower(texts))
         raw, raw_offsets = text_bytes(texts)
         starts, ends, rows = _runs(_LETTER[data], offsets)
-        hit = self.hits(data, starts, ends)
+        hasher = SpanHasher(data)
+        hit = self.hits(hasher, starts, ends)
         tiers = []
         for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):  # tokens and distinct words of each tier
             at = np.flatnonzero((hit >= a) & (hit < b))
-            pairs = np.unique(np.column_stack([rows[at].astype(np.uint64), span_hashes(data, starts[at], ends[at])]), axis=0)
+            pairs = np.unique(np.column_stack([rows[at].astype(np.uint64), hasher(starts[at], ends[at])]), axis=0)
             tiers += [np.bincount(rows[at], minlength=n), np.bincount(pairs[:, 0].astype(np.int64), minlength=n)]
         # a word of address right before the hit
         found = np.flatnonzero(hit >= 0)
         before = found[(found > 0) & (rows[np.maximum(found - 1, 0)] == rows[found])] - 1
-        h = span_hashes(data, starts[before], ends[before])
+        h = hasher(starts[before], ends[before])
         at = np.minimum(np.searchsorted(self.address, h), len(self.address) - 1)
         addressed = np.bincount(rows[before[self.address[at] == h]], minlength=n)
         # hits in capitals; only where lower-casing keeps byte positions
@@ -132,7 +133,7 @@ class Lexicon:
             mixed = (odd > 0) & (odd * 2 <= e2 - s2)
             s2, e2, r2 = s2[mixed], e2[mixed], r2[mixed]
             if len(s2):
-                plain = self.hits(_LEET[data], s2, e2) >= 0
+                plain = self.hits(SpanHasher(_LEET[data]), s2, e2) >= 0
                 leet = np.bincount(r2[plain], minlength=n)
         words = np.bincount(rows, minlength=n)
         return np.column_stack([words, *tiers, leet, addressed, shouted]).astype(np.float64)
@@ -312,7 +313,8 @@ class Toxicity:
         self.lexicon, self.weights, self.posteriors = lexicon, weights, posteriors
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(inputs_of(counts) @ self.weights, -30, 30)))
+        # summed row by row and rounded: equal texts get equal scores in any batch
+        return np.round(1 / (1 + np.exp(-np.clip((inputs_of(counts) * self.weights).sum(axis=1), -30, 30))), 12)
 
 
 def _counts(lists: pa.Array) -> np.ndarray:
