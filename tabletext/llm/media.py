@@ -232,7 +232,8 @@ def pages_of_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as a page with one image; the image comes from the store by digest."""
     docs = read(spark, sf_dir, "documents")
-    facts = media_facts(store_texts(docs))
+    # written, so that a digest that very many texts share can be split in the join
+    facts = written(media_facts(store_texts(docs)), "media-facts")
     items = resolve(interleave(pages_of_texts(docs)), facts, "key").where("kind = 'image'")
     return items.select(
         F.col("key").alias("doc_id"),
