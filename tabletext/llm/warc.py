@@ -181,12 +181,13 @@ def plan_records(pages: DataFrame, key: str = "page_id", uri: str = "url", paylo
     rows = pages.select(
         F.col(key).alias("key"), F.col(uri).alias("target_uri"), F.encode(F.coalesce(payload, F.lit("")), "UTF-8").alias("payload")
     ).withColumn("digest", F.sha1("payload"))
-    # grouped before it is joined: a digest that many rows share is one row here, and Spark splits the other side
-    groups = (
+    # grouped and written before it is joined: a digest that many rows share is one row here, and Spark can split the other side
+    groups = written(
         rows.where(F.length("payload") >= REVISIT_MIN)
         .groupBy(F.col("digest").alias("same"))
         .agg(F.max("key").alias("answer"), F.count(F.lit(1)).alias("times"))
-        .where("times > 1")
+        .where("times > 1"),
+        "warc-groups",
     )
     revisit = F.col("answer").isNotNull() & ~F.col("key").eqNullSafe(F.col("answer"))
     urn = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
