@@ -306,6 +306,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     base = written(base_rows(docs), "repeats-base")
     # one document stands for each text
     texts = base.where(F.col("n_words") >= window).groupBy("text_id").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    texts = written(texts, "repeats-texts")  # joins with it can then split the rows of a hot text
     states = segment_states(docs, window, rounds, buckets)
     found = (
         states.join(texts, "text_id")
