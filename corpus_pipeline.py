@@ -40,10 +40,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether they decode to it."""
-    coded = sentencepiece.encode(docs.select("doc_id", "source", "lang", "text")).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
-    return sentencepiece.decode(coded).select(
-        "doc_id", "source", "lang", "ids", F.size("ids").alias("n_ids"), F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip")
-    )
+    coded = sentencepiece.encode(docs.select("doc_id", "source", "lang", "text"), decoded="decoded")
+    return coded.select("doc_id", "source", "lang", "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 STAGES = [

@@ -15,12 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 500_000
 
 
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults (10,000 rows, 64 MB).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits from their defaults: whole texts are long rows, and every task holds a batch or two."""
+    prefix = "spark.sql.execution.arrow."
+    if spark.conf.get(f"{prefix}maxRecordsPerBatch") == "10000":
+        spark.conf.set(f"{prefix}maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set(f"{prefix}maxBytesPerBatch", BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none."""
+    bounded_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = f"{tempfile.gettempdir()}/tabletext-checkpoints"

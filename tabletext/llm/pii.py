@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabletext.llm.common import read, text_chunks
+from tabletext.llm.common import bounded_batches, read, text_chunks
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Longest entity in tokens, the bound of the dynamic program.
@@ -312,6 +312,7 @@ _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 def find_pii(docs: DataFrame, field: Field | None = None, text: str = "text", redact: bool = False) -> DataFrame:
     """Add ``base_spans`` and ``pii_spans``, arrays of (kind, start, end) in code points; with ``redact`` also ``redacted``."""
+    bounded_batches(docs.sparkSession)
     field = field or fit_field(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(field)  # some hundred numbers
     names = ["base_spans", "pii_spans"] + ["redacted"] * redact

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabletext.llm.common import read, text_chunks
+from tabletext.llm.common import bounded_batches, read, text_chunks
 
 MARK = "\u2581"
 #: Score of a character spelled in bytes, far below any sum of piece scores of a word.
@@ -205,6 +205,7 @@ def pieces_of(name: str) -> Pieces:
 
 def _add_file(spark: SparkSession, model: str) -> str:
     """Send the vocabulary file to all executors, also those that start later; returns its name there."""
+    bounded_batches(spark)
     spark.sparkContext.addFile(model)
     return os.path.basename(model)
 
@@ -214,17 +215,23 @@ def _schema_with(df: DataFrame, name: str, kind: T.DataType) -> tuple[list[str],
     return kept, T.StructType([*[df.schema[c] for c in kept], T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """Add the ids of each text."""
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, decoded: str | None = None) -> DataFrame:
+    """Add the ids of each text, and in the same pass, if ``decoded`` names a column, the text that the ids spell."""
     name = _add_file(docs.sparkSession, model)
-    kept, schema = _schema_with(docs, ids, T.ArrayType(T.IntegerType()))
+    added = [ids] + ([decoded] if decoded else [])
+    kept = [c for c in docs.columns if c not in added]
+    kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(c, k) for c, k in zip(added, kinds, strict=False)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(name)
         for batch in text_chunks(batches, text, fill=False):
             texts = batch.column(batch.schema.get_field_index(text))
             columns = [texts.cast(pa.string()) if c == text else batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pieces.encode(texts)], names=[*kept, ids])
+            columns.append(pieces.encode(texts))
+            if decoded:
+                columns.append(pieces.decode(columns[-1]))
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
 
     return docs.mapInArrow(run, schema)
 
@@ -249,12 +256,11 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; the ids are given by count, digest and first ids."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs).withColumn("text_sha256", F.sha2("text", 256)).drop("text"))
-    return coded.select(
+    return encode(docs, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
         F.xxhash64("ids").alias("ids_hash"),
         F.slice("ids", 1, 8).alias("first_ids"),
         F.length("decoded").cast("long").alias("n_chars"),
-        F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
