@@ -41,6 +41,8 @@ VOTERS = [
     "seed", "two seeds", "stem", "two stem forms", "two loose forms", "three loose forms", "dense", "spelled in digits", "addressed",
     "shouted", "loose form", "clean", "long and clean",
 ]
+#: A voter that says only that others say nothing: a leaf of the tree that adds no factor to the likelihood.
+DERIVED = VOTERS.index("clean")
 #: A stem is firm if nearly all labelled documents with it are toxic, else loose.
 COUNTS = ["words", "seed", "seeds", "firm", "firm forms", "loose", "loose forms", "leet", "addressed", "shouted"]
 
@@ -191,7 +193,8 @@ class LabelModel:
                 for state in (0, 1) if p >= 0 else (None,):
                     at = slice(None) if state is None else self.bits[:, p] == state
                     rate = ((w * v)[at].sum() + 0.5) / (w[at].sum() + 1)
-                    like[at] += np.where(v[at] == 1, np.log(rate), np.log(1 - rate))
+                    if i != DERIVED:
+                        like[at] += np.where(v[at] == 1, np.log(rate), np.log(1 - rate))
                 rates.append(((w * v).sum() + 0.5) / (w.sum() + 1))
             out.append(like)
             self.accuracy.append(rates)
@@ -215,7 +218,8 @@ class LabelModel:
                     info[j, i] = info[i, j]
         parents, inside = [-1] * m, [0]
         while len(inside) < m:
-            _, new, parent = max((info[i, j], -j, i) for i in inside for j in range(m) if j not in inside)
+            left = [j for j in range(m) if j not in inside and j != DERIVED] or [DERIVED]
+            _, new, parent = max((info[i, j], -j, i) for i in inside if i != DERIVED for j in left)
             parents[-new] = parent
             inside.append(-new)
         return parents
