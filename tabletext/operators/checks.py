@@ -68,3 +68,18 @@ def enum_candidates(df: DataFrame, columns: list[str], least: int = 20, most: in
         .agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_values"))
         .where((F.col("n_rows") >= least) & (F.col("n_values") <= most) & (F.col("n_values") <= share * F.col("n_rows")))
     )
+
+
+def rough_chars(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """Rough size of the rendered records: 60 a record, and for each filled value its length and 12."""
+    one = sum((F.when(F.col(c).cast("string") != "", F.length(F.col(c).cast("string")) + 12).otherwise(0) for c in columns), F.lit(60))
+    return df.groupBy(*by).agg(F.sum(one.cast("long")).alias("rough_chars"))
+
+
+def long_values(df: DataFrame, column: str, row: str, by: list[str], limit: int = 60, shown: int = 5) -> DataFrame:
+    """(by, n_long, first_rows): how many values are longer than ``limit``, and the first rows with one. Null groups are left out."""
+    long = df.where(F.length(column) > limit).select(*by, row)
+    # the rank's limit is applied before the shuffle too
+    first = long.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(row))).where(F.col("place") <= shown)
+    first = first.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("first_rows"))
+    return long.groupBy(*by).agg(F.count(F.lit(1)).alias("n_long")).join(first, by)

@@ -31,6 +31,16 @@ def neighbours(df: DataFrame, name: str, by: list[str], order: str) -> DataFrame
     return df.withColumn("prev_name", F.lag(name).over(w)).withColumn("next_name", F.lead(name).over(w))
 
 
+def record_spans(df: DataFrame, by: list[str], order: list[Column | str], key: str, row: str) -> DataFrame:
+    """(by, n_records, first_key, last_key, first_row, last_row) of each file; rows only where they follow each other without gaps."""
+    place = F.struct(*order)
+    found = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_records"), F.min_by(key, place).alias("first_key"), F.max_by(key, place).alias("last_key"), F.min(row).alias("a"), F.max(row).alias("b")
+    )
+    whole = F.col("b") - F.col("a") + 1 == F.col("n_records")
+    return found.select(*by, "n_records", "first_key", "last_key", F.when(whole, F.col("a")).alias("first_row"), F.when(whole, F.col("b")).alias("last_row"))
+
+
 def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
     """Names told apart without case by ``_2``, ``_3`` before the extension, in order."""
     turn = F.row_number().over(W.partitionBy(F.lower(name)).orderBy(*order))

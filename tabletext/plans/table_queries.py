@@ -564,3 +564,63 @@ def month_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", block.alias("block"))
     files = documents.file_groups(rows, ["month"], [F.col("o_orderkey")], "block")
     return files.select("month", F.md5("text").alias("text_md5"), "n_records")
+
+
+@query(
+    "log_timeline",
+    """WITH o AS (SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS own FROM orders)
+    SELECT o_custkey, (row_number() OVER w)::INTEGER AS id, date, last_value(own IGNORE NULLS) OVER w AS author,
+      own IS NULL AND last_value(own IGNORE NULLS) OVER w IS NOT NULL AS author_estimated, 'K-' || o_orderkey::VARCHAR AS identifier,
+      (o_orderkey % 9 + 1)::VARCHAR || '個' AS quantity, CASE WHEN o_orderkey % 3 = 0 THEN '出荷予定' END AS plan
+    FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY date, o_orderkey ROWS UNBOUNDED PRECEDING)""",
+)
+def log_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of a customer written as one log cell, and read again as segments."""
+    day, key = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey")
+    line = F.concat(
+        day, F.lit(" "), F.when(key % 2 == 0, F.concat("o_orderstatus", F.lit("："))).otherwise(F.lit("")), F.lit("注文 K-"), key.cast("string"), F.lit(" "),
+        (key % 9 + 1).cast("string"), F.lit("個"), F.when(key % 3 == 0, F.lit("、出荷予定")).otherwise(F.lit("")),
+    )
+    cells = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(day.alias("d"), key.alias("k"), line.alias("line")))).alias("lines"))
+    cells = cells.select("o_custkey", F.array_join("lines.line", "\n").alias("cell"))
+    segments = logs.parse_log(cells, "cell").select("o_custkey", F.explode("log.segments").alias("s"))
+    return segments.select(
+        "o_custkey", "s.id", "s.date", "s.author", "s.author_estimated", F.col("s.identifiers")[0].alias("identifier"), F.col("s.quantities")[0].alias("quantity"),
+        F.try_element_at("s.plans", F.lit(1)).alias("plan"),
+    )
+
+
+@query("time_of_day", "SELECT event_id, CASE WHEN second(ts) = 0 THEN strftime(ts, '%H:%M') ELSE strftime(ts, '%H:%M:%S') END AS time FROM events")
+def time_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written in four ways, read again."""
+    way = F.col("event_id") % 3
+    written = F.when(way == 0, F.date_format("ts", "HHmmss")).when(way == 1, F.date_format("ts", "H:mm:ss")).otherwise(F.date_format("ts", "H時m分s秒"))
+    return table(spark, sf_dir, "events").select("event_id", values.time_of_day(written).alias("time"))
+
+
+@query(
+    "record_spans",
+    """SELECT month, count(*) AS n_records, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, CASE WHEN max(r) - min(r) + 1 = count(*) THEN min(r) END AS first_row,
+      CASE WHEN max(r) - min(r) + 1 = count(*) THEN max(r) END AS last_row
+    FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_orderkey AS r FROM orders) GROUP BY month""",
+)
+def record_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey")
+    return documents.record_spans(rows, ["month"], ["o_orderkey"], "o_orderkey", "o_orderkey")
+
+
+@query(
+    "rough_chars",
+    """SELECT c_mktsegment, sum(60 + CASE WHEN c_name <> '' THEN length(c_name) + 12 ELSE 0 END + CASE WHEN c_mktsegment <> '' THEN length(c_mktsegment) + 12 ELSE 0 END)::BIGINT AS rough_chars
+    FROM customer GROUP BY c_mktsegment""",
+)
+def rough_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.rough_chars(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"], ["c_mktsegment"])
+
+
+@query(
+    "long_values",
+    """SELECT lang, count(*) AS n_long, list_slice(list_sort(list(doc_id)), 1, 5) AS first_rows FROM documents WHERE length(text) > 60 AND lang IS NOT NULL GROUP BY lang""",
+)
+def long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.long_values(table(spark, sf_dir, "documents"), "text", "doc_id", ["lang"])
