@@ -131,3 +131,37 @@ def file_groups(records: DataFrame, group: list[str], order: list[Column], block
     return cut.groupBy(*group, "part", "parts").agg(
         joined.alias("text"), F.count(F.lit(1)).alias("n_records"), F.min("_ord").alias("first_record"), F.max("_ord").alias("last_record")
     )
+
+
+def month_label(month: Column | str) -> Column:
+    """``2026年4月`` of ``2026-04``."""
+    m = F.col(month) if isinstance(month, str) else month
+    return F.concat(F.substring(m, 1, 4), F.lit("年"), F.substring(m, 6, 2).cast("int").cast("string"), F.lit("月"))
+
+
+def file_headers(files: DataFrame, table: str, group: str, name: str, out: str = "header") -> DataFrame:
+    """Adds the head of each file of ``file_groups``: what it holds, the period if the group is a month, its part and its neighbours.
+
+    ``group`` is a month (``YYYY-MM``), another value, or empty; ``name`` is the file's name. A file that is not split names all
+    records of its group; the part of a split one names its range of records and the files before and after it.
+    """
+    g = F.coalesce(F.col(group), F.lit(""))
+    is_month = g.rlike("^[0-9]{4}-(?:0[1-9]|1[0-2])$")
+    split, count = F.col("parts") > 1, lambda c: F.format_number(c, 0)
+    whole = F.sum("n_records").over(W.partitionBy(group))
+    scope = F.when(is_month, month_label(g)).when(g != "", g).otherwise(F.lit("全件"))
+    title = F.concat(F.lit(f"# {table}"), F.when(g != "", F.concat(F.lit(" "), F.when(is_month, month_label(g)).otherwise(g))).otherwise(F.lit("")), F.lit("の記録"))
+    title = F.concat(title, F.when(split, F.concat(F.lit("（"), F.col("part").cast("string"), F.lit("/"), F.col("parts").cast("string"), F.lit("）"))).otherwise(F.lit("")))
+    first = F.try_to_date(F.concat(g, F.lit("-01")), "yyyy-MM-dd")
+    period = F.concat(F.when(split, F.lit("- まとまり全体の対象期間: ")).otherwise(F.lit("- 対象期間: ")), first.cast("string"), F.lit("〜"), F.last_day(first).cast("string"))
+    everything = F.when(scope == "全件", scope).otherwise(F.concat(scope, F.lit("の全件")))
+    some = F.concat(scope, F.lit("の"), count(F.col("whole")), F.lit("件のうち"), count(F.col("first_record")), F.lit("〜"), count(F.col("last_record")), F.lit("件目"))
+    lines = F.array(
+        F.lit(f"- データ種別: {table}（1行＝1件）の記録"),
+        F.when(is_month, period),
+        F.concat(F.lit("- このファイルの記録: "), count(F.col("n_records")), F.lit("件（"), F.when(split, some).otherwise(everything), F.lit("）")),
+        F.when(split, F.concat(F.lit("- 前のファイル: "), F.coalesce("prev_name", F.lit("なし（これが最初）")))),
+        F.when(split, F.concat(F.lit("- 次のファイル: "), F.coalesce("next_name", F.lit("なし（これが最後）")))),
+    )
+    placed = neighbours(files.withColumn("whole", whole), name, [group], "part")
+    return placed.withColumn(out, F.concat(title, F.lit("\n\n"), F.array_join(F.array_compact(lines), "\n"))).drop("whole", "prev_name", "next_name")

@@ -24,8 +24,11 @@ def record_blocks(records: DataFrame, names: dict[str, str] | None = None) -> Da
     return records.withColumn("block", F.concat(title, F.lit("\n\n"), F.array_join(F.concat(bullets, F.array(source)), "\n")))
 
 
-def render(records: DataFrame, group: Column | None = None, limit: int = documents.FILE_CHARS, names: dict[str, str] | None = None) -> DataFrame:
-    """(file_name, text, n_records): a file for each month (or other group), cut by size, with unique names."""
+def render(records: DataFrame, group: Column | None = None, limit: int = documents.FILE_CHARS, names: dict[str, str] | None = None, table: str | None = None) -> DataFrame:
+    """(file_name, text, n_records): a file for each month (or other group), cut by size, with unique names.
+
+    With the name of the ``table``, files start with the full head of ``documents.file_headers``, else with group and count.
+    """
     month = F.coalesce(F.substring("date_value", 1, 7), F.lit("日付なし")) if group is None else group
     blocks = record_blocks(records, names).withColumn("file_group", month)
     order = [*documents.dated_first("date_value", "file", "sheet", "record_row", "record_key")]
@@ -33,7 +36,11 @@ def render(records: DataFrame, group: Column | None = None, limit: int = documen
     number = F.concat(F.lpad(F.col("part").cast("string"), F.length(F.col("parts").cast("string")), "0"), F.lit("of"), F.col("parts").cast("string"))
     name = tx.md_filename(tx.safe_file_part("file_group"), F.when(F.col("parts") > 1, number).otherwise(F.lit("")))
     named = documents.unique_names(files.withColumn("name", name), "name", ["file_group", "part"], "file_name")
-    head = F.concat(F.lit("# "), "file_group", F.lit("\n\n- 件数: "), F.col("n_records").cast("string"), F.lit("\n\n"))
+    if table is None:
+        named = named.withColumn("header", F.concat(F.lit("# "), "file_group", F.lit("\n\n- 件数: "), F.col("n_records").cast("string")))
+    else:
+        named = documents.file_headers(named, table, "file_group", "file_name")
+    head = F.concat("header", F.lit("\n\n"))
     return named.select("file_name", F.concat(head, "text", F.lit("\n")).alias("text"), "n_records")
 
 

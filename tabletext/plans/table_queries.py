@@ -624,3 +624,18 @@ def rough_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.long_values(table(spark, sf_dir, "documents"), "text", "doc_id", ["lang"])
+
+
+@query(
+    "file_headers",
+    """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, date_trunc('month', o_orderdate)::DATE AS d FROM orders)
+    SELECT month, '# 注文 ' || year(d)::VARCHAR || '年' || month(d)::VARCHAR || '月の記録' || chr(10) || chr(10) || '- データ種別: 注文（1行＝1件）の記録' || chr(10)
+      || '- 対象期間: ' || d::VARCHAR || '〜' || last_day(d)::VARCHAR || chr(10) || '- このファイルの記録: ' || format('{:,}', count(*)) || '件（' || year(d)::VARCHAR || '年'
+      || month(d)::VARCHAR || '月の全件）' AS header
+    FROM o GROUP BY month, d""",
+)
+def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of the month files of orders, none of them split."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_records"))
+    files = rows.select("month", F.concat("month", F.lit(".md")).alias("name"), "n_records", F.lit(1).alias("part"), F.lit(1).alias("parts"), F.lit(1).cast("long").alias("first_record"), F.col("n_records").alias("last_record"))
+    return documents.file_headers(files, "注文", "month", "name").select("month", "header")

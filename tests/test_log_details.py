@@ -60,3 +60,18 @@ def test_spans_and_sizes(spark):
     assert sizes == {"a": 2 * (60 + 14), "b": 60 + 14 + 60 + 82, "c": 60}
     assert [tuple(x) for x in checks.long_values(df, "k", "r", ["g"]).collect()] == [("b", 1, [9])]
     assert checks.long_values(df.where(F.lit(False)), "k", "r", ["g"]).count() == 0
+
+
+def test_file_headers(spark):
+    files = spark.createDataFrame(
+        [("2026-04", 1, 2, 2, 1, 2, "a_1.md"), ("2026-04", 2, 2, 1, 3, 3, "a_2.md"), ("2026-02", 1, 1, 1200, 1, 1200, "b.md"), ("日付なし", 1, 1, 4, 1, 4, "c.md"), ("", 1, 1, 5, 1, 5, "d.md")],
+        "g string, part int, parts int, n_records long, first_record int, last_record int, name string",
+    )
+    heads = {r["name"]: r["header"].split("\n") for r in documents.file_headers(files, "点検", "g", "name").collect()}
+    assert heads["a_1.md"] == [
+        "# 点検 2026年4月の記録（1/2）", "", "- データ種別: 点検（1行＝1件）の記録", "- まとまり全体の対象期間: 2026-04-01〜2026-04-30",
+        "- このファイルの記録: 2件（2026年4月の3件のうち1〜2件目）", "- 前のファイル: なし（これが最初）", "- 次のファイル: a_2.md",
+    ]
+    assert heads["a_2.md"][-2:] == ["- 前のファイル: a_1.md", "- 次のファイル: なし（これが最後）"]
+    assert heads["b.md"][0] == "# 点検 2026年2月の記録" and heads["b.md"][3:] == ["- 対象期間: 2026-02-01〜2026-02-28", "- このファイルの記録: 1,200件（2026年2月の全件）"]
+    assert heads["c.md"][0] == "# 点検 日付なしの記録" and heads["d.md"] == ["# 点検の記録", "", "- データ種別: 点検（1行＝1件）の記録", "- このファイルの記録: 5件（全件）"]
