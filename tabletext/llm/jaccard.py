@@ -4,8 +4,9 @@ Documents are sets of word 5-grams. Equal sets are one class. For two classes to
 0.75), their sets may differ in at most (|A| + |B|) / 7 elements. Sets fall into size bands; each band divides the feature
 domain, by hash, into ``P`` partitions (pairs of sub-partitions, of which one may differ) and a set's signatures are its
 partitions' contents. Two linked sets share at least ``P - differences`` of them, so each set knows how many signatures
-it must share (``need``), also after its empty partitions are left out. A set whose larger partners may lie in the next
-band signs for that band as well.
+it must share (``need``), also after its empty partitions are left out. A poor set, with no more filled partitions than
+differences, keeps all its filled ones (a partner that is not poor shares one) and signs its empty ones apart, where it
+meets other poor sets. A set whose larger partners may lie in the next band signs for that band as well.
 
 Signatures meet in buckets, where those of one class only fall away. Of the rest, a class keeps its rarest ones, but for
 the last ``need - 1`` (two linked classes still share one). What shares a kept signature is a candidate group; groups are
@@ -40,6 +41,10 @@ PARTS = 0.40
 BLOCK_FEATURES = 2_000_000
 #: Bytes of text whose signatures are packed together.
 PACK_BYTES = 1_000_000
+#: Bits of a class id free for marks: signed for the next band, an empty partition.
+AHEAD, EMPTY, MARKS = np.uint64(1), np.uint64(2), np.uint64(3)
+#: What a set must share under its own band and the next: filled partitions, empty ones.
+NEEDS = ["need0", "empty0", "need1", "empty1"]
 
 
 def linked(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
@@ -76,10 +81,10 @@ def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def class_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """An id for each set, equal for equal sets; even, so that its last bit can carry a mark."""
+    """An id for each set, equal for equal sets; a multiple of four, so that its last bits can carry two marks."""
     sizes = np.diff(offsets).astype(np.uint64)
     ids = mix(_row_sums(mix(values + np.uint64(1)), offsets) + mix(sizes)) ^ mix(_row_sums(mix(values ^ np.uint64(0x5DEECE66D)), offsets))
-    return ids & ~np.uint64(1)
+    return ids & ~MARKS
 
 
 def bands(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +97,12 @@ def partitions(band: np.ndarray) -> np.ndarray:
     return 2 * np.ceil(((1 << (band + 1)) * PARTS + 2) / 2).astype(np.int64)
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row, need) under each row's own band (``ahead`` 0) or the next (1). ``need`` is per row, 0: signs nothing."""
+def signatures(values: np.ndarray, offsets: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, need, need of empty ones, whether of an empty partition) under each row's own band (``ahead`` 0) or the next (1).
+
+    Needs are per row, 0: signs nothing. Two linked sets share as many signatures of filled partitions as both need, or are
+    both poor and share as many of empty ones.
+    """
     sizes = np.diff(offsets)
     own, next_too = bands(sizes)
     # sets of one or two elements link with equal sets only
@@ -119,35 +128,36 @@ def signatures(values: np.ndarray, offsets: np.ndarray, ahead: int) -> tuple[np.
     filled = np.bincount(owner, minlength=len(sizes))
     need = parts - differ - (parts - filled)  # shared partitions that are not empty
     poor = signing & (need < 1)
-    if poor.any():  # too many empty partitions to tell: these sets sign their empty ones as well
+    n_full = len(full)
+    if poor.any():  # sets that may share no filled partition with each other sign their empty ones as well
         wanted = np.concatenate([np.arange(base[r], base[r + 1]) for r in np.flatnonzero(poor)])
         empty = np.setdiff1d(wanted, full)
         full, sums = np.concatenate([full, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
         owner = np.searchsorted(base, full, "right") - 1
-        need = np.where(poor, parts - differ, need)
     label = mix((full - base[owner]).astype(np.uint64) * np.uint64(131) + band[owner].astype(np.uint64))
-    return mix(sums ^ label), owner, np.where(signing, need, 0)
+    void = np.arange(len(full)) >= n_full
+    return mix(sums ^ label), owner, np.where(signing, np.maximum(need, 1), 0), np.where(poor, parts - differ, 0), void
 
 
 def set_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_words, n_shingles, cls, need0, need1) for every document."""
-    names = ["key", "n_words", "n_shingles", "cls", "need0", "need1"]
+    """(key, n_words, n_shingles, cls, *NEEDS) for every document."""
+    names = ["key", "n_words", "n_shingles", "cls", *NEEDS]
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             values, offsets, words = shingle_sets(batch.column(1))
-            needs = [signatures(values, offsets, ahead)[2] for ahead in (0, 1)]
+            needs = [need for ahead in (0, 1) for need in signatures(values, offsets, ahead)[2:4]]
             ids = signed(class_ids(values, offsets))
             columns = [words, np.diff(offsets), ids, *needs]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype(np.int64)) for c in columns]], names=names)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {key_type}, n_words long, n_shingles long, cls long, need0 long, need1 long")
+    return rows.mapInArrow(run, f"key {key_type}, n_words long, n_shingles long, cls long, {', '.join(f'{n} long' for n in NEEDS)}")
 
 
 def shared_signatures(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(cls, ahead, sig, freq) of the signatures that at least two classes have."""
+    """(cls, ahead, empty, sig, freq) of the signatures that at least two classes have."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes this task has signed; eight bytes for each of its documents
@@ -161,10 +171,10 @@ def shared_signatures(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                     fresh[i] = True
             sigs, marked = [], []
             for ahead in (0, 1):
-                s, owner, _ = signatures(values, offsets, ahead)
+                s, owner, _, _, void = signatures(values, offsets, ahead)
                 new = fresh[owner]
                 sigs.append(s[new])
-                marked.append(ids[owner[new]] | np.uint64(ahead))
+                marked.append(ids[owner[new]] | AHEAD * np.uint64(ahead) | EMPTY * void[new].astype(np.uint64))
             sigs, marked = np.concatenate(sigs), np.concatenate(marked)
             bucket = (sigs >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -180,7 +190,7 @@ def shared_signatures(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 rows, pa.schema([("bucket", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("cls", pa.binary())])
             )
 
-    out = pa.schema([("cls", pa.int64()), ("ahead", pa.int32()), ("sig", pa.int64()), ("freq", pa.int64())])
+    out = pa.schema([("cls", pa.int64()), ("ahead", pa.int32()), ("empty", pa.int32()), ("sig", pa.int64()), ("freq", pa.int64())])
 
     def meet(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
@@ -198,12 +208,11 @@ def shared_signatures(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         keep = freq > 1
         sig, cls, freq = sig[keep], cls[keep], freq[keep]
         sig = sig | (np.uint64(table.column("bucket")[0].as_py()) << np.uint64(40))
-        return pa.Table.from_arrays(
-            [pa.array(signed(cls & ~np.uint64(1))), pa.array((cls & np.uint64(1)).astype(np.int32)), pa.array(signed(sig)), pa.array(freq)], schema=out
-        )
+        marks = [pa.array((cls & mark > 0).astype(np.int32)) for mark in (AHEAD, EMPTY)]
+        return pa.Table.from_arrays([pa.array(signed(cls & ~MARKS)), *marks, pa.array(signed(sig)), pa.array(freq)], schema=out)
 
     packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "bucket long, low binary, high binary, cls binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "cls long, ahead int, sig long, freq long")
+    return packed.groupBy("bucket").applyInArrow(meet, "cls long, ahead int, empty int, sig long, freq long")
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -292,15 +301,15 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     base = written(set_rows(docs, "key", "text"), "jaccard-sets")
     full = base.where("n_shingles > 0")
     classes = full.groupBy("cls").agg(
-        F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_class"), *[F.first(c).alias(c) for c in ("n_shingles", "need0", "need1")]
+        F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_class"), *[F.first(c).alias(c) for c in ("n_shingles", *NEEDS)]
     )
     classes = written(classes, "jaccard-classes")
     shared = shared_signatures(docs, "text", buckets)
     rarest = (
-        shared.groupBy("cls", "ahead")
+        shared.groupBy("cls", "ahead", "empty")
         .agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("sigs"))  # at most the document's own signatures
-        .join(classes.select("cls", "need0", "need1"), "cls")
-        .withColumn("need", F.when(F.col("ahead") == 0, F.col("need0")).otherwise(F.col("need1")).cast("int"))
+        .join(classes.select("cls", *NEEDS), "cls")
+        .withColumn("need", F.element_at(F.array(*NEEDS), 2 * F.col("ahead") + F.col("empty") + 1).cast("int"))
         .where(F.size("sigs") >= F.col("need"))
         .select("cls", F.explode(F.slice("sigs", F.lit(1), F.size("sigs") - F.col("need") + 1)).alias("s"))
         .select("cls", F.col("s.sig").alias("sig"))

@@ -73,6 +73,63 @@ def test_shared_signatures_reach_need():
             assert shared >= max(needs) >= 1, (size, extra, shared, needs)
 
 
+def layouts(n, bins, most=None):
+    """Ways to put n elements into at most so many partitions, by size."""
+    if n == 0:
+        yield ()
+    elif bins:
+        for k in range(min(n, most or n), 0, -1):
+            for rest in layouts(n - k, bins - 1, k):
+                yield (k, *rest)
+
+
+def test_all_layouts_of_small_sets_meet():
+    """Linked sets of 3 to 15 elements share what both need, however their elements fall into partitions."""
+    hashes = jaccard.mix(np.arange(1, 40_000, dtype=np.uint64) ^ np.uint64(0xA5A5A5A5))
+    checked = 0
+    for size in range(3, 16):
+        for other in range(size, min(15, 4 * size // 3) + 1):
+            for gone in range(0 if other > size else 1, size):
+                if not jaccard.linked(np.array([size - gone]), size, other)[0]:
+                    break
+                own, last = (int(jaccard.bands(np.array([n]))[0][0]) for n in (size, other))
+                parts = int(jaccard.partitions(np.array([last]))[0])
+                slots = [(np.flatnonzero(hashes % np.uint64(parts) == p) + 1).astype(np.uint64) for p in range(parts)]
+                sets, new = [], other - size + gone
+                for layout in layouts(size, parts):
+                    a = [v for p, k in enumerate(layout) for v in slots[p][:k].tolist()]
+                    # elements leave the first or the last partitions, new ones come into one full or free partition or spread
+                    homes = [[0] * new, [len(layout) - 1] * new, [min(len(layout), parts - 1)] * new, [(len(layout) + i) % parts for i in range(new)]]
+                    for left in (a[gone:], a[: size - gone]):
+                        for home in homes:
+                            sets += [a, left + [int(slots[p][100 + i]) for i, p in enumerate(home)]]
+                values = np.concatenate([np.sort(np.array(s, np.uint64)) for s in sets])
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                kinds = [jaccard.signatures(values, offsets, ahead) for ahead in (0, 1)]
+                held = [[(set(), set()) for _ in sets] for _ in kinds]
+                for ahead, (sig, owner, _, _, void) in enumerate(kinds):
+                    for s, r, v in zip(sig.tolist(), owner.tolist(), void.tolist(), strict=True):
+                        held[ahead][r][int(v)].add(s)
+                for i in range(0, len(sets), 2):
+                    sides = ((last - own, i), (0, i + 1))
+                    full, empty = (len(held[sides[0][0]][i][v] & held[0][i + 1][v]) for v in (0, 1))
+                    needs, voids = ([int(kinds[k][c][r]) for k, r in sides] for c in (2, 3))
+                    assert min(needs) >= 1
+                    assert full >= max(needs) or (min(voids) > 0 and empty >= max(voids)), (sets[i], sets[i + 1])
+                    checked += 1
+    assert checked > 10_000
+
+
+def test_short_hubs_link_all_their_copies(spark):
+    """A hub and its copies with words appended are linked through the hub alone, also where it fills few partitions."""
+    rows = []
+    for hub in range(150):
+        base = [f"h{hub}w{i}" for i in range(7 + hub % 3)]  # 3 to 5 shingles; with one word more, 0.75 and above
+        rows += [(4 * hub + i, " ".join(base + [f"x{hub}y{i}"] * (i > 0))) for i in range(4)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["key"], r["component"]) for r in found} == {(k, k // 4 * 4) for k, _ in rows}
+
+
 def test_forest_links_everything_once():
     sets = [np.array(s, np.uint64) for s in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [2, 3, 4, 5], [9, 10, 11], [9, 10, 11, 12], [50])]
     links = jaccard.forest(sets)
