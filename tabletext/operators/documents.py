@@ -19,6 +19,30 @@ def dated_first(date: str, *then: str) -> list[Column]:
     return [F.col(date).isNull(), F.col(date), *[F.col(c) for c in then]]
 
 
+def positions(df: DataFrame, order: list[Column], out: str = "position", ranges: int | None = None) -> DataFrame:
+    """Adds the place of each row in a total order, from 1: its number within a range of the order, and the rows of the ranges before.
+
+    Bounds come from some hundred keys a range, drawn by hash; the range of a row depends on its keys alone, so a rerun
+    counts and numbers alike.
+    """
+    keys = [f"place_{i}" for i in range(len(order))]
+    rows = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, 100 * ranges / max(1, df.count()))
+    few = F.pmod(F.xxhash64(*keys), F.lit(10**9)) < F.lit(int(share * 10**9))
+    drawn = rows.where(few).select(*keys).distinct().orderBy(*keys).collect()
+    kinds = [rows.schema[k].dataType for k in keys]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, r, kinds, strict=True)]) for r in drawn[:: max(1, len(drawn) // ranges)][1:]]
+    at = F.size(F.filter(F.array(*bounds), lambda b: b <= F.struct(*keys))) if bounds else F.lit(0)
+    rows = rows.withColumn("place_range", at)
+    counts = rows.groupBy("place_range").agg(F.count(F.lit(1)).alias("place_rows"))
+    before = F.sum("place_rows").over(W.orderBy("place_range")) - F.col("place_rows")  # over one row a range
+    starts = F.broadcast(counts.select("place_range", before.alias("place_before")))
+    turn = F.row_number().over(W.partitionBy("place_range").orderBy(*keys))
+    placed = rows.withColumn("place_turn", turn).join(starts, "place_range")
+    return placed.withColumn(out, (F.col("place_before") + F.col("place_turn")).cast("bigint")).select(*df.columns, out)
+
+
 def title_suffixes(df: DataFrame, title: str, by: list[str], row: str, out: str = "title") -> DataFrame:
     """Titles that occur more than once in a file get their row number."""
     n = F.count(F.lit(1)).over(W.partitionBy(*by, title))

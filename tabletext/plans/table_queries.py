@@ -275,6 +275,17 @@ def sort_dated_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("o_orderkey", position.cast("bigint").alias("position"))
 
 
+@query(
+    "sort_dated_all",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY d IS NULL, d, o_orderkey) AS position FROM
+    (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS d FROM orders)""",
+)
+def sort_dated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every order, undated ones last; ``sort_dated_first`` is its first page."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("d"))
+    return documents.positions(rows, documents.dated_first("d", "o_orderkey")).select("o_orderkey", "position")
+
+
 @query(
     "size_split_files",
     """WITH s AS (SELECT lang, doc_id, coalesce(n_chars, 0) AS n, sum(coalesce(n_chars, 0)) OVER (PARTITION BY lang) AS total,

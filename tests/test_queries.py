@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tabletext.operators import documents
 from tabletext.plans import table_queries
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,19 @@ def test_results_do_not_depend_on_partitions(spark, name, monkeypatch):
     whole = table_queries.table
     monkeypatch.setattr(table_queries, "table", lambda s, d, t: whole(s, d, t).repartition(7))
     assert sorted(map(repr, table_queries.QUERIES[name](spark, SF).collect())) == first
+
+
+def test_every_order_has_a_position(spark):
+    n = table_queries.table(spark, SF, "orders").count()
+    got = table_queries.QUERIES["sort_dated_all"](spark, SF).collect()
+    assert sorted(r["position"] for r in got) == list(range(1, n + 1))
+    undated = {r["position"] for r in got if r["o_orderkey"] % 7 == 0}
+    assert undated == set(range(n - len(undated) + 1, n + 1)) and len(undated) > 0
+
+
+def test_positions_with_nulls_ties_and_few_rows(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 else i % 5) for i in range(500)], "k long, d int")
+    for few in (rows, rows.limit(1), rows.limit(0)):
+        got = documents.positions(few, documents.dated_first("d", "k"), ranges=7).collect()
+        want = sorted(((r["d"] is None, r["d"] or 0, r["k"]) for r in few.collect()))
+        assert [r["k"] for r in sorted(got, key=lambda r: r["position"])] == [k for *_, k in want]
