@@ -119,6 +119,11 @@ def escape_md_line(c: Column | str) -> Column:
     return F.regexp_replace(t, "^(\\s{0,3})([-*_=](?:\\s*[-*_=])+\\s*)$", "$1\\\\$2")
 
 
+def escape_md_text(c: Column | str) -> Column:
+    """Every line of a text by ``escape_md_line``."""
+    return F.array_join(F.transform(F.split(_c(c), "\n"), escape_md_line), "\n")
+
+
 def md_bullet(label: Column | str, value: Column | str) -> Column:
     """``- label: value``; further lines are indented; a blank value gives an empty text."""
     text = F.coalesce(_c(value), F.lit(""))

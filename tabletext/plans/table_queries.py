@@ -427,6 +427,17 @@ def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", first.alias("t")).select("doc_id", text.escape_md_line("t").alias("escaped"))
 
 
+@query(
+    "markdown_escape_text",
+    """SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)),
+      lambda t: regexp_replace(regexp_replace(regexp_replace(t, '^(\\s{0,3})(#{1,6}(?:\\s|$)|[-*+](?:\\s|$)|>|```|~~~|\\|)', '\\1\\\\\\2'),
+      '^(\\s{0,3}[0-9]{1,9})([.)](?:\\s|$))', '\\1\\\\\\2'), '^(\\s{0,3})([-*_=](?:\\s*[-*_=])+\\s*)$', '\\1\\\\\\2')), chr(10)) AS escaped FROM documents""",
+)
+def markdown_escape_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every whole text escaped; ``markdown_escape`` has first lines only."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.escape_md_text(F.coalesce("text", F.lit(""))).alias("escaped"))
+
+
 SAFE_SQL = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[.\\[\\]]', '', 'g'), '[\\x00-\\x1F<>:"/\\\\|?*#^\\s]+', '_', 'g'), '_+', '_', 'g'), '^[._]+|[._]+$', '', 'g')"""
 
 

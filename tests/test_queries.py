@@ -66,3 +66,11 @@ def test_positions_with_nulls_ties_and_few_rows(spark):
         got = documents.positions(few, documents.dated_first("d", "k"), ranges=7).collect()
         want = sorted(((r["d"] is None, r["d"] or 0, r["k"]) for r in few.collect()))
         assert [r["k"] for r in sorted(got, key=lambda r: r["position"])] == [k for *_, k in want]
+
+
+def test_every_line_of_a_text_is_escaped(spark, monkeypatch):
+    texts = ["plain\n# head\n- item\n\n1. one\n---\n  > quote\nend #", "", None, "\n\n", "* a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(table_queries, "table", lambda s, d, t: docs)
+    got = {r["doc_id"]: r["escaped"] for r in table_queries.QUERIES["markdown_escape_text"](spark, SF).collect()}
+    assert got == {0: "plain\n\\# head\n\\- item\n\n1\\. one\n\\---\n  \\> quote\nend #", 1: "", 2: "", 3: "\n\n", 4: "\\* a"}
