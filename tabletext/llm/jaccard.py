@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by PartEnum signatures, and the classes of near-duplicates it links.
+"""N-gram Jaccard join by signatures of partitions, as in PartEnum, and the classes of near-duplicates it links.
 
 Documents are sets of word 5-grams. Equal sets are one class. For two classes to link (Jaccard similarity of at least
 0.75), their sets may differ in at most (|A| + |B|) / 7 elements. Sets fall into size bands; each band divides the feature
-domain, by hash, into ``P`` partitions (pairs of sub-partitions, of which one may differ) and a set's signatures are its
-partitions' contents. Two linked sets share at least ``P - differences`` of them, so each set knows how many signatures
+domain, by hash, into ``P`` partitions and a set's signatures are the contents of single partitions; subsets of partitions,
+PartEnum's enumeration step, are not enumerated, and a rarest-signature filter stands in for them. Two linked sets share at least ``P - differences`` of them, so each set knows how many signatures
 it must share (``need``), also after its empty partitions are left out. A poor set, with no more filled partitions than
 differences, keeps all its filled ones (a partner that is not poor shares one) and signs its empty ones apart, where it
 meets other poor sets. A set whose larger partners may lie in the next band signs for that band as well.
