@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,13 +34,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder of this application's scratch tables, in the one that driver and executors share.
+
+    Where the session names none, a local folder serves if the master is local too; on a cluster that is an error.
+    """
     bounded_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"{tempfile.gettempdir()}/tabletext-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return f"{path}/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,13 +56,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by ``written`` once nothing will read it again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once no result that reads them is wanted any more."""
+    _delete(spark, shared_dir(spark))
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES, fill: bool = True) -> Iterator[pa.RecordBatch]:
@@ -96,71 +109,134 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+# --- digests of words and of ranges of words: two lanes of 61 bits each
+
+#: A prime modulus: unlike modulo a power of two, no regular sequence of words (as that of Thue and Morse) makes a polynomial vanish.
+PRIME = np.uint64((1 << 61) - 1)
+_BASES = (0x0E5B1C2F7A9D3341, 0x13D4A6B8925C7E0B)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[list[np.ndarray]] = []
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    middle = ah * bl + al * bh
+    return _reduced(((ah * bh) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + al * bl)
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Running sums modulo PRIME, from 0."""
+    out = np.zeros(len(x) + 1, np.uint64)
+    high = _reduced(np.cumsum(x >> np.uint64(32)))
+    out[1:] = _reduced(times(high, np.uint64(1 << 32)) + _reduced(np.cumsum(x & np.uint64(0xFFFFFFFF))))
+    return out
+
+
+def _powers(n: int) -> list[list[np.ndarray]]:
+    """For each lane, the first n powers of its base and of the base's inverse."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = max(n, CHUNK_BYTES // 4)
+        made = []
+        for base in _BASES:
+            lane = []
+            for b in (base, pow(base, -1, int(PRIME))):
+                run, step = np.ones(1, np.uint64), b
+                while len(run) < size:
+                    run, step = np.concatenate([run, times(run, np.uint64(step))]), step * step % int(PRIME)
+                lane.append(run[:size])
+            made.append(lane)
+        _POWERS[:] = made
+    return [[p[:n] for p in lane] for lane in _POWERS]
+
+
+class Ranges:
+    """128-bit digests (two lanes of an array) of any ranges of a sequence of names, which are two lanes themselves."""
+
+    def __init__(self, names: np.ndarray):
+        powers = _powers(names.shape[1] + 1)
+        self.down = [p[1] for p in powers]
+        self.total = [_sums(times(lane % PRIME, p[0][:-1])) for lane, p in zip(names, powers, strict=True)]
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = (end - start).astype(np.uint64) * _STEP
+        return np.stack([mix(times(_reduced(t[end] + PRIME - t[start]), d[start]) + size) for t, d in zip(self.total, self.down, strict=True)])
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of bytes that are not white space (32, 9 to 13)."""
-    if not len(data):
+    return run_spans((data != 32) & ((data < 9) | (data > 13)), offsets)
+
+
+def run_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each maximal run of marked bytes."""
+    if not len(inside):
         return (np.zeros(0, np.int64),) * 3
-    solid = (data != 32) & ((data < 9) | (data > 13))
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1]
-    last[:-1] &= ~solid[1:]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
-    first[inner] = solid[inner]
-    last[inner - 1] = solid[inner - 1]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(inside))]
+    first[inner] = inside[inner]
+    last[inner - 1] = inside[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-class SpanHasher:
-    """Hashes spans of some bytes to 64 bits; equal bytes give equal hashes wherever they stand."""
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of each span's content among the distinct ones, and these. The spans do not overlap and are in order."""
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1  # a span that ends where the next one starts leaves no edge
+    packed = data[np.cumsum(edges[:-1], dtype=np.int8) > 0]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:-1], out=self.total[1:])
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+def digest(data: bytes) -> bytes:
+    """128 bits of a cryptographic hash."""
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return SpanHasher(data)(starts, ends)
+#: Names of words met in this worker, and how many are held.
+_NAMES: dict[bytes, bytes] = {}
+_HELD = 100_000
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of a text column, in order. ``lower`` folds A-Z only."""
+    """Names (two lanes of a cryptographic digest) and row of every word of a text column, in order. ``lower`` folds A-Z only."""
     data, offsets = text_bytes(texts)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     starts, ends, rows = word_spans(data, offsets)
-    return span_hashes(data, starts, ends), rows
-
-
-def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive values, by start; the caller drops runs that cross rows."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mix(values) * up[:-1], out=total[1:])
-    return mix((total[width:] - total[:n]) * down[:n])
+    codes, words = span_codes(data, starts, ends)
+    names = []
+    for word in words.to_pylist():
+        name = _NAMES.get(word)
+        if name is None:
+            name = digest(word)
+            if len(_NAMES) < _HELD and len(word) < 64:
+                _NAMES[word] = name
+        names.append(name)
+    both = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
+    return np.stack([np.ascontiguousarray(both[:, i])[codes] for i in range(2)]), rows
+
+
+def text_ids(texts: pa.Array) -> list[bytes]:
+    """128-bit digests of whole texts."""
+    return [digest(t.as_py().encode()) for t in texts]
+
+
+def window_digests(names: np.ndarray, width: int) -> np.ndarray:
+    """Two lanes for each run of ``width`` consecutive names, by start; the caller drops runs that cross rows."""
+    starts = np.arange(max(0, names.shape[1] - width + 1))
+    return Ranges(names)(starts, starts + width)
 
 
 def row_starts(rows: np.ndarray, n: int) -> np.ndarray:

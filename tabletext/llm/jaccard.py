@@ -1,50 +1,56 @@
-"""N-gram Jaccard join by signatures of partitions, as in PartEnum, and the classes of near-duplicates it links.
-
-Documents are sets of word 5-grams. Equal sets are one class. For two classes to link (Jaccard similarity of at least
-0.75), their sets may differ in at most (|A| + |B|) / 7 elements. Sets fall into size bands; each band divides the feature
-domain, by hash, into ``P`` partitions and a set's signatures are the contents of single partitions; subsets of partitions,
-PartEnum's enumeration step, are not enumerated, and a rarest-signature filter stands in for them. Two linked sets share at least ``P - differences`` of them, so each set knows how many signatures
-it must share (``need``), also after its empty partitions are left out. A poor set, with no more filled partitions than
-differences, keeps all its filled ones (a partner that is not poor shares one) and signs its empty ones apart, where it
-meets other poor sets. A set whose larger partners may lie in the next band signs for that band as well.
-
-Signatures meet in buckets, where those of one class only fall away. Of the rest, a class keeps its rarest ones, but for
-the last ``need - 1`` (two linked classes still share one). What shares a kept signature is a candidate group; groups are
-cut into blocks of bounded size, and each pair of blocks is searched exactly, breadth first, a set being compared only
-with sets not yet reached. So a group of many copies costs little, no pair list is built, and only links of a spanning
-forest leave a task.
+"""N-gram Jaccard join by PartEnum signatures, and the classes of near-duplicates it links.
+
+Documents are sets of word 5-grams. Equal sets are one class, named by a 128-bit digest of the set. For two classes to link
+(Jaccard similarity of at least 0.75), their sets may differ in at most (|A| + |B|) / 7 elements.
+
+Signatures: sets fall into size bands [2**m, 2**(m+1)); a set whose larger partners may lie in the next band signs for that
+band as well. A band divides the feature domain, by hash, into ``n1`` parts of ``n2`` cells each. Of two linked sets, some
+part differs in at most ``k2`` cells, so they agree on ``n2 - k2`` cells of it: every subset of that many cells is
+enumerated, and a signature is what a set holds in the cells of one subset (``scheme``). Subsets that a set leaves empty
+are not signed. What the differences cannot spoil and is not empty is the number of signatures that a set must share with
+each linked one (``need``). Where that is none (a small set in few cells), the set signs under a second division as well,
+and so on until it has a need: two linked sets that both have none meet under the next division.
+
+Candidates: signatures meet in buckets of measured size. A class that has fewer shared signatures than it needs is alone;
+of the others, each keeps its rarest ones, all but ``need - 1`` (two linked classes still share one of these).
+
+Verification: each class first meets one centre, the smallest class that it shares a signature with, is compared exactly,
+and what links is contracted; so a large group of copies of one text is gone after work in proportion to its size. Where
+classes not yet contracted still share signatures, the groups of these are cut into blocks of bounded size, each pair of
+blocks is searched exactly, breadth first, and classes that are already contracted are not compared. No pair list is
+built, and only links of a spanning forest leave a task.
 
 Edge cases: a null or empty text has an empty set and links with nothing; fewer than five words make one feature; a null
 key is kept (its component is the smallest key of its class, null if there is none); repeated rows are classmates; an
-empty table gives an empty result. Columns other than key and text are not read.
+empty table gives an empty result. Columns other than key and text are not read; input columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabletext.llm.common import drop_written, mix, read, row_starts, signed, text_chunks, window_hashes, words_of, written
+from tabletext.llm.common import digest, drop_written, mix, read, row_starts, signed, text_chunks, window_digests, words_of, written
 from tabletext.llm.components import components
 
 WIDTH = 5
-#: Links need 100 * intersection >= 75 * union, hence |A xor B| <= (|A| + |B|) / 7.
-#: Partitions for each element of a band's largest set: over 2/7, the rest is what linked sets must share.
-PARTS = 0.40
 #: Features in one block of a candidate group; a task holds two blocks.
-BLOCK_FEATURES = 2_000_000
-#: Bytes of text whose signatures are packed together.
-PACK_BYTES = 1_000_000
-#: Bits of a class id free for marks: signed for the next band, an empty partition.
-AHEAD, EMPTY, MARKS = np.uint64(1), np.uint64(2), np.uint64(3)
-#: What a set must share under its own band and the next: filled partitions, empty ones.
-NEEDS = ["need0", "empty0", "need1", "empty1"]
+BLOCK_FEATURES = 500_000
+#: Bytes of text whose signatures are packed together, and of signatures in a bucket, about.
+PACK_BYTES, BUCKET_BYTES = 1_000_000, 16 << 20
+#: Marks in the highest bits of a packed signature: several classes of the batch have it; it is no more than one of these;
+#: what kind it is (first division of the own band, of the next band, or a later division).
+SHARED, KNOWN, KIND, BARE = np.uint64(1 << 63), np.uint64(1 << 62), np.uint64(60), np.uint64((1 << 60) - 1)
+#: Divisions that a set is tried under before giving up; each fails with a chance well below one half.
+DIVISIONS = 200
 
 
 def linked(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
@@ -52,39 +58,37 @@ def linked(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.n
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, offsets, number of words): the distinct hashed shingles of each row, sorted within the row."""
+    """(values, offsets, number of words): the distinct shingles of each row, two lanes, sorted within the row."""
     words, rows = words_of(texts, lower=True)
     n = len(texts)
     at = row_starts(rows, n)
     counts = np.diff(at)
-    whole = window_hashes(words, WIDTH)
-    inside = rows[: len(whole)] == rows[WIDTH - 1 :] if len(whole) else np.zeros(0, bool)
-    values, owner = [whole[inside]], [rows[: len(whole)][inside]]
+    whole = window_digests(words, WIDTH)
+    inside = rows[: whole.shape[1]] == rows[WIDTH - 1 :] if whole.shape[1] else np.zeros(0, bool)
+    values, owner = [whole[:, inside]], [rows[: whole.shape[1]][inside]]
     for size in range(1, WIDTH):  # short documents: the whole sequence
         short = np.flatnonzero(counts == size)
         if len(short):
-            values.append(mix(window_hashes(words, size)[at[short]] + np.uint64(size)))
+            values.append(window_digests(words, size)[:, at[short]])
             owner.append(short)
-    values, owner = np.concatenate(values), np.concatenate(owner)
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[new], owner[new]
+    values, owner = np.concatenate(values, axis=1), np.concatenate(owner)
+    order = np.lexsort((values[1], values[0], owner))
+    values, owner = values[:, order], owner[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (values[:, 1:] != values[:, :-1]).any(axis=0) | (owner[1:] != owner[:-1])
+    values, owner = values[:, new], owner[new]
     return values, row_starts(owner, n), counts
 
 
-def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+def class_ids(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each set, equal for equal sets."""
+    flat = np.ascontiguousarray(values.T)
+    return [digest(flat[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def class_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """An id for each set, equal for equal sets; a multiple of four, so that its last bits can carry two marks."""
-    sizes = np.diff(offsets).astype(np.uint64)
-    ids = mix(_row_sums(mix(values + np.uint64(1)), offsets) + mix(sizes)) ^ mix(_row_sums(mix(values ^ np.uint64(0x5DEECE66D)), offsets))
-    return ids & ~MARKS
+def short_ids(ids: list[bytes]) -> np.ndarray:
+    """64 bits of each class digest, for candidates only: classes that share them are all looked at."""
+    return np.frombuffer(b"".join(ids), np.uint64)[::2].copy() if ids else np.zeros(0, np.uint64)
 
 
 def bands(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,140 +97,181 @@ def bands(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m, 4 * sizes >= 3 * (1 << (m + 1))
 
 
-def partitions(band: np.ndarray) -> np.ndarray:
-    return 2 * np.ceil(((1 << (band + 1)) * PARTS + 2) / 2).astype(np.int64)
+def scheme(band: int) -> tuple[int, int, int]:
+    """(n1, n2, k2) of a band: parts, cells of a part, and cells in which a part may differ; n1 0: only equal sets link."""
+    largest = (1 << (band + 1)) - 1
+    differ = 2 * largest // 7
+    if differ < 1:
+        return 0, 0, 0
+    n2, k2 = (5, 2) if largest < 32 else (3, 1)
+    worse = differ // (k2 + 1)  # parts that can differ in more cells
+    return worse + 1 + worse // 4, n2, k2
+
+
+def least_shared(differ: np.ndarray, n1: int, n2: int, k2: int) -> np.ndarray:
+    """Subsets on which sets agree that differ in so many elements, at least, empty ones included."""
+    agree = [math.comb(n2 - d, n2 - k2) if d <= k2 else 0 for d in range(k2 + 2)]
+    left, out = differ.copy(), np.full(len(differ), n1 * agree[0])
+    for d in range(k2 + 1):  # one more difference in a part spoils less and less of its subsets
+        spent = np.minimum(left, n1)
+        out, left = out - spent * (agree[d] - agree[d + 1]), left - spent
+    return out
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row, need, need of empty ones, whether of an empty partition) under each row's own band (``ahead`` 0) or the next (1).
+def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signature, row, kind, need) of each row's set, under its own band (kind 0), the next (1) and later divisions (2).
 
-    Needs are per row, 0: signs nothing. Two linked sets share as many signatures of filled partitions as both need, or are
-    both poor and share as many of empty ones.
+    A linked set shares at least ``need`` of the signatures of this kind and band.
     """
     sizes = np.diff(offsets)
     own, next_too = bands(sizes)
-    # sets of one or two elements link with equal sets only
-    signing = (sizes >= 3) & (next_too if ahead else True)
-    band = own + ahead
-    parts = partitions(band)
-    largest = np.minimum(4 * sizes // 3, (1 << (band + 1)) - 1)
-    differ = (sizes + largest) // 7
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    use = signing[rows]
-    rows, values = rows[use], values[use]
-    base = np.zeros(len(sizes) + 1, np.int64)
-    np.cumsum(np.where(signing, parts, 0), out=base[1:])
-    slot = base[rows] + (mix(values ^ np.uint64(0xA5A5A5A5)) % parts[rows].astype(np.uint64)).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
-    slot, hashed = slot[order], mix(values[order] + np.uint64(7))
-    first = np.ones(len(slot), bool)
-    first[1:] = slot[1:] != slot[:-1]
-    at = np.flatnonzero(first)
-    sums = np.add.reduceat(hashed, at) if len(at) else np.zeros(0, np.uint64)
-    full = slot[at]
-    owner = np.searchsorted(base, full, "right") - 1
-    filled = np.bincount(owner, minlength=len(sizes))
-    need = parts - differ - (parts - filled)  # shared partitions that are not empty
-    poor = signing & (need < 1)
-    n_full = len(full)
-    if poor.any():  # sets that may share no filled partition with each other sign their empty ones as well
-        wanted = np.concatenate([np.arange(base[r], base[r + 1]) for r in np.flatnonzero(poor)])
-        empty = np.setdiff1d(wanted, full)
-        full, sums = np.concatenate([full, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        owner = np.searchsorted(base, full, "right") - 1
-    label = mix((full - base[owner]).astype(np.uint64) * np.uint64(131) + band[owner].astype(np.uint64))
-    void = np.arange(len(full)) >= n_full
-    return mix(sums ^ label), owner, np.where(signing, np.maximum(need, 1), 0), np.where(poor, parts - differ, 0), void
+    found = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    for ahead in (0, 1):
+        rows = np.flatnonzero((sizes >= 3) & (next_too if ahead else True))
+        for band in np.unique(own[rows] + ahead).tolist():
+            found += _band_signatures(values[0], offsets, rows[own[rows] + ahead == band], band, ahead)
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
+
+
+def _band_signatures(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, band: int, ahead: int) -> list[tuple[np.ndarray, ...]]:
+    n1, n2, k2 = scheme(band)
+    out = []
+    for division in range(DIVISIONS if n1 else 0):
+        if not len(rows):
+            return out
+        sizes = offsets[rows + 1] - offsets[rows]
+        ends = np.cumsum(sizes)
+        element = np.repeat(offsets[rows] - (ends - sizes), sizes) + np.arange(ends[-1])
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        hashed = mix(values[element] ^ np.uint64(0xA5A5A5A5 + 7919 * division))
+        cell = owner * (n1 * n2) + (hashed % np.uint64(n1 * n2)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell, hashed = cell[order], mix(hashed[order] + np.uint64(7))
+        at = np.flatnonzero(np.diff(cell, prepend=-1))
+        content, filled = np.zeros(len(rows) * n1 * n2, np.uint64), np.zeros(len(rows) * n1 * n2, bool)
+        content[cell[at]], filled[cell[at]] = np.add.reduceat(hashed, at), True
+        content, filled = content.reshape(-1, n2), filled.reshape(-1, n2)
+        part = np.arange(len(content))
+        label = np.uint64(band * 1_000_003 + division) + (part % n1).astype(np.uint64) * np.uint64(1 << 32)
+        signed_subsets, empty = [], np.zeros(len(rows), np.int64)
+        for i, subset in enumerate(combinations(range(n2), n2 - k2)):
+            some = filled[:, subset].any(axis=1)
+            empty += (~some).reshape(-1, n1).sum(axis=1)
+            sums = content[some][:, subset].sum(axis=1, dtype=np.uint64)
+            signed_subsets.append((mix(sums ^ mix(label[some] * np.uint64(16) + np.uint64(i))), part[some] // n1))
+        largest = np.minimum(4 * sizes // 3, (1 << (band + 1)) - 1)
+        need = least_shared((sizes + largest) // 7, n1, n2, k2) - empty
+        asked = np.maximum(need, 1) if division == 0 else np.ones(len(rows), np.int64)
+        for sig, i in signed_subsets:
+            out.append((sig, rows[i], np.full(len(i), 2 if division else ahead), asked[i]))
+        rows = rows[need < 1]
+    if n1 and len(rows):
+        raise RuntimeError("a set has no division with enough filled cells")
+    return out
 
 
 def set_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_words, n_shingles, cls, *NEEDS) for every document."""
-    names = ["key", "n_words", "n_shingles", "cls", *NEEDS]
+    """(key, n_words, n_shingles, cls, short) for every document."""
+    names = ["key", "n_words", "n_shingles", "cls", "short"]
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             values, offsets, words = shingle_sets(batch.column(1))
-            needs = [need for ahead in (0, 1) for need in signatures(values, offsets, ahead)[2:4]]
-            ids = signed(class_ids(values, offsets))
-            columns = [words, np.diff(offsets), ids, *needs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype(np.int64)) for c in columns]], names=names)
+            ids = class_ids(values, offsets)
+            columns = [pa.array(words.astype(np.int64)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(ids, pa.binary()), pa.array(signed(short_ids(ids)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {key_type}, n_words long, n_shingles long, cls long, {', '.join(f'{n} long' for n in NEEDS)}")
+    return rows.mapInArrow(run, f"key {key_type}, n_words long, n_shingles long, cls binary, short long")
 
 
 def shared_signatures(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(cls, ahead, empty, sig, freq) of the signatures that at least two classes have."""
+    """(sig, short, kind, need) of the signatures that at least two classes have. A row can occur twice."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # classes this task has signed; eight bytes for each of its documents
+        seen: set[bytes] = set()  # classes this task has signed; some hundred bytes for each of its documents
         for batch in text_chunks(batches, size=PACK_BYTES):
             values, offsets, _ = shingle_sets(batch.column(0))
             ids = class_ids(values, offsets)
             fresh = np.zeros(len(ids), bool)
-            for i, c in enumerate(ids.tolist()):
+            for i, c in enumerate(ids):
                 if c not in seen:
                     seen.add(c)
                     fresh[i] = True
-            sigs, marked = [], []
-            for ahead in (0, 1):
-                s, owner, _, _, void = signatures(values, offsets, ahead)
-                new = fresh[owner]
-                sigs.append(s[new])
-                marked.append(ids[owner[new]] | AHEAD * np.uint64(ahead) | EMPTY * void[new].astype(np.uint64))
-            sigs, marked = np.concatenate(sigs), np.concatenate(marked)
-            bucket = (sigs >> np.uint64(40)) % np.uint64(buckets)
+            sig, owner, kind, need = signatures(values, offsets)
+            use = fresh[owner]
+            sig = sig[use] & BARE | kind[use].astype(np.uint64) << KIND
+            cls, need = short_ids(ids)[owner[use]], np.minimum(need[use], 65_535).astype(np.uint16)
+            order = np.lexsort((cls, sig & BARE))
+            sig, cls, need = sig[order], cls[order], need[order]
+            bare = sig & BARE
+            first = np.ones(len(sig), bool)
+            first[1:] = bare[1:] != bare[:-1]
+            group = np.diff(np.append(np.flatnonzero(first), len(sig)))
+            several = np.repeat(group, group) > 1
+            # the first of the classes that share a signature here stands for them where it meets; the others are known to share it
+            bucket = np.where(first, bare >> np.uint64(20), mix(cls ^ bare)) % np.uint64(buckets)
+            sig = sig | np.where(several, SHARED, 0).astype(np.uint64) | np.where(first, 0, KNOWN).astype(np.uint64)
             order = np.argsort(bucket, kind="stable")
-            sigs, marked = sigs[order], marked[order]
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            low, high = sigs.astype(np.uint32), (sigs >> np.uint64(32)).astype(np.uint8)
-            rows = [
-                {"bucket": b, "low": low[i:j].tobytes(), "high": high[i:j].tobytes(), "cls": marked[i:j].tobytes()}
-                for b, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-                if j > i
-            ]
-            yield pa.RecordBatch.from_pylist(
-                rows, pa.schema([("bucket", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("cls", pa.binary())])
-            )
-
-    out = pa.schema([("cls", pa.int64()), ("ahead", pa.int32()), ("empty", pa.int32()), ("sig", pa.int64()), ("freq", pa.int64())])
+            sig, cls, need = sig[order], cls[order], need[order]
+            which, starts = np.unique(bucket[order], return_index=True)
+            spans = list(zip(which.tolist(), starts.tolist(), np.append(starts[1:], len(sig)).tolist(), strict=False))
+            columns = [pa.array([b for b, _, _ in spans], pa.int64()), *[pa.array([x[i:j].tobytes() for _, i, j in spans], pa.binary()) for x in (sig, cls, need)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "sig", "cls", "need"])
 
     def meet(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        sig = (join("high", np.uint8).astype(np.uint64) << np.uint64(32)) | join("low", np.uint32)
-        cls = join("cls", np.uint64)
-        order = np.lexsort((cls, sig))
-        sig, cls = sig[order], cls[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        sig, cls = sig[new], cls[new]
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        sizes = np.diff(np.append(np.flatnonzero(first), len(sig)))
-        freq = np.repeat(sizes, sizes)
-        keep = freq > 1
-        sig, cls, freq = sig[keep], cls[keep], freq[keep]
-        sig = sig | (np.uint64(table.column("bucket")[0].as_py()) << np.uint64(40))
-        marks = [pa.array((cls & mark > 0).astype(np.int32)) for mark in (AHEAD, EMPTY)]
-        return pa.Table.from_arrays([pa.array(signed(cls & ~MARKS)), *marks, pa.array(signed(sig)), pa.array(freq)], schema=out)
-
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "bucket long, low binary, high binary, cls binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "cls long, ahead int, empty int, sig long, freq long")
-
-
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the link graph of some sets: breadth first, each set compared with sets not yet reached."""
+        sig, cls, need = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("sig", np.uint64), ("cls", np.uint64), ("need", np.uint16)))
+        order = np.lexsort((sig & KNOWN, sig & BARE))
+        sig, cls, need = sig[order], cls[order], need[order]
+        at = np.flatnonzero(np.diff(sig & BARE, prepend=~(sig[:1] & BARE)))
+        group = np.diff(np.append(at, len(sig)))
+        marked = np.logical_or.reduceat(sig & (SHARED | KNOWN) > 0, at) if len(at) else np.zeros(0, bool)
+        differs = np.maximum.reduceat(cls, at) != np.minimum.reduceat(cls, at) if len(at) else marked
+        keep = np.repeat(marked | differs, group) if len(at) else np.zeros(0, bool)
+        sig, cls, need = sig[keep], cls[keep], need[keep]
+        kind = ((sig >> KIND) & np.uint64(3)).astype(np.int32)
+        return pa.table({"sig": signed(sig & BARE), "short": signed(cls), "kind": kind, "need": need.astype(np.int32)})
+
+    packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "bucket long, sig binary, cls binary, need binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "sig long, short long, kind int, need int")
+
+
+def rarest_signatures(shared: DataFrame) -> DataFrame:
+    """(sig, short): for each class with enough shared signatures, the rarest ones, all but ``need - 1``."""
+    shared = shared.groupBy("sig", "short", "kind").agg(F.min("need").alias("need"))
+    often = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("freq"))
+    return (
+        shared.join(often, "sig")
+        .groupBy("short", "kind")
+        .agg(F.min("need").alias("need"), F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("sigs"))  # at most the document's own signatures
+        .where(F.size("sigs") >= F.col("need"))
+        .select("short", F.explode(F.slice("sigs", F.lit(1), F.size("sigs") - F.col("need") + 1)).alias("s"))
+        .select(F.col("s.sig").alias("sig"), "short")
+    )
+
+
+def forest(sets: list[np.ndarray], roots: list, pivots: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links that span the link graph of some sets, those with equal roots being linked already.
+
+    Breadth first, each set compared with sets not yet reached. With ``pivots``, these alone are compared with the others.
+    """
     sizes = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
     ends = np.cumsum(sizes)
+    root = np.unique(np.array(roots, object).astype(str), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
     own = lambda i: codes[ends[i] - sizes[i] : ends[i]]
     left, flat, mark = np.arange(len(sets)), codes, np.zeros(int(codes.max(initial=-1)) + 1, bool)
     out, queue = [], []
+    starts = None if pivots is None else [i for i, p in enumerate(pivots) if p]
     while len(left) or queue:
         if not queue:
-            queue.append(int(left[0]))
-            flat, left = flat[sizes[left[0]] :], left[1:]
+            if starts is not None and not starts:
+                break
+            i = int(left[0]) if starts is None else starts.pop()
+            queue.append(i)
+            stay = left != i
+            flat, left = flat[np.repeat(stay, sizes[left])], left[stay]
         if not len(left):
             break
         pivot = queue.pop()
@@ -235,44 +280,47 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         hits = np.concatenate([[0], np.cumsum(mark[flat])])
         common = hits[bounds[1:]] - hits[bounds[:-1]]
         mark[own(pivot)] = False
-        found = linked(common, sizes[pivot], sizes[left])
+        known = root[left] == root[pivot]
+        found = linked(common, sizes[pivot], sizes[left]) | known
         if found.any():
-            reached = left[found].tolist()
-            out += [(pivot, r) for r in reached]
-            queue += reached
+            out += [(pivot, r) for r in left[found & ~known].tolist()]
+            if starts is None:
+                queue += left[found].tolist()
             flat, left = flat[np.repeat(~found, sizes[left])], left[~found]
     return out
 
 
-def links_within(groups: DataFrame) -> DataFrame:
-    """(a, b) links between classes of (group, left_block, right_block, cls, text) rows."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+LINKS = "a binary, b binary"
+
+
+def links_of(rows: DataFrame, by: list[str], pivots: bool) -> DataFrame:
+    """(a, b) links between classes within groups of (*by, cls, root, pivot, shingles) rows."""
 
     def run(table: pa.Table) -> pa.Table:
         cls = table.column("cls").to_pylist()
-        sets = []
-        for batch in text_chunks(iter(table.select(["text"]).to_batches())):
-            values, offsets, _ = shingle_sets(batch.column(0))
-            sets += [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        found = forest(sets)
-        return pa.Table.from_pylist([{"a": min(cls[i], cls[j]), "b": max(cls[i], cls[j])} for i, j in found], out)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        found = forest(sets, table.column("root").to_pylist(), table.column("pivot").to_pylist() if pivots else None)
+        return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.binary()), "b": pa.array([cls[j] for _, j in found], pa.binary())})
 
-    return groups.groupBy("group", "left_block", "right_block").applyInArrow(run, "a long, b long")
+    return rows.groupBy(*by).applyInArrow(run, LINKS)
 
 
-def with_classes(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``jaccard_cls`` and ``jaccard_size``, the class and size of each document's set."""
-    names = docs.columns
-    marked = T.StructType([*docs.schema, T.StructField("jaccard_cls", T.LongType()), T.StructField("jaccard_size", T.LongType())])
+def with_classes(docs: DataFrame, text: str, shingles: bool = False) -> DataFrame:
+    """Adds ``jaccard_cls`` and ``jaccard_size``, class and size of each document's set; with ``shingles`` these, in place of the text."""
+    kept = [c for c in docs.columns if not (shingles and c == text)]
+    added = [T.StructField("jaccard_cls", T.BinaryType()), T.StructField("jaccard_size", T.LongType())] + [T.StructField("jaccard_set", T.BinaryType())] * shingles
+    marked = T.StructType([*[docs.schema[c] for c in kept], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text))], names=["text"])
-            found = [shingle_sets(c.column(0))[:2] for c in text_chunks(iter([texts]))]
-            if found:
-                ids, sizes = (np.concatenate(x) for x in zip(*[(class_ids(*f), np.diff(f[1])) for f in found], strict=True))
-                columns = [pa.array(signed(ids)), pa.array(sizes.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, "jaccard_cls", "jaccard_size"])
+        for batch in text_chunks(batches, text, fill=False):
+            column = batch.column(batch.schema.get_field_index(text))
+            values, offsets, _ = shingle_sets(column.fill_null(""))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            columns = [c.cast(pa.string()) if c.type == pa.large_string() else c for c in columns]
+            columns += [pa.array(class_ids(values, offsets), pa.binary()), pa.array(np.diff(offsets).astype(np.int64))]
+            if shingles:
+                columns.append(pa.array([values[0, a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(marked, columns, strict=True)]))
 
     return docs.mapInArrow(run, marked)
 
@@ -289,47 +337,69 @@ def of_classes(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     return found.where(F.col(key).eqNullSafe(F.col("rep")) & (F.col("jaccard_cls") == F.col("cls")))
 
 
+def _blocks(total: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.sum(total) / BLOCK_FEATURES)).cast("int")
+
+
+def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) links that span each component of classes; docs (key, text), classes (cls, short, rep, n_shingles)."""
+    total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(64, int(total * 14 // BUCKET_BYTES))  # some 14 bytes of signatures a shingle
+    met = written(shared_signatures(docs, "text", buckets), "jaccard-met")
+    shared = written(rarest_signatures(met), "jaccard-shared")
+    drop_written(met)
+    centres = shared.groupBy("sig").agg(F.min("short").alias("centre"), F.max("short").alias("most")).where("centre <> most").drop("most")
+    met = shared.join(centres, "sig")
+    stars = written(met.groupBy("short").agg(F.min(F.when(F.col("short") != F.col("centre"), F.col("centre"))).alias("centre")), "jaccard-stars")
+    wanted = stars.select("short").join(classes, "short").select("cls", "short", "rep")
+    sets = of_classes(with_classes(docs, "text", shingles=True), wanted, "key").dropDuplicates(["cls"])
+    sets = written(sets.select("cls", "short", F.col("jaccard_size").alias("n"), F.col("jaccard_set").alias("shingles")), "jaccard-sets")
+    stars = stars.where("centre is not null")
+    members = sets.join(stars, "short").select("centre", "cls", "n", "shingles")
+    parts = written(sets.select("short", "n").join(stars, "short").groupBy("centre").agg(_blocks("n").alias("parts")), "jaccard-parts")
+    rows = members.join(parts, "centre").select("centre", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), "cls", F.lit(False).alias("pivot"), "shingles")
+    middle = sets.join(parts, F.col("short") == F.col("centre")).select(
+        "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", F.lit(True).alias("pivot"), "shingles"
+    )
+    rows = rows.unionByName(middle).withColumn("root", F.hex("cls"))
+    first = written(links_of(rows, ["centre", "part"], pivots=True), "jaccard-star-links")
+    # what is left: signatures whose classes have several roots
+    roots = components(first, "jaccard-roots")
+    rooted = sets.select("cls", "short").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "short", F.coalesce("root", "cls").alias("root"))
+    rooted = shared.join(rooted, "short").select("sig", "cls", "root")
+    open_ = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("cls").alias("a")).where("low <> high")
+    edges = rooted.join(open_.select("sig", "a"), "sig").select("a", F.col("cls").alias("b"), "root")
+    edges = written(edges.distinct(), "jaccard-open")
+    groups = components(edges.select("a", "b"), "jaccard-groups").select(F.col("node").alias("cls"), F.col("root").alias("group"))
+    groups = groups.join(edges.select(F.col("b").alias("cls"), "root").distinct(), "cls")
+    sized = sets.select("cls", "n", "shingles").join(groups, "cls")
+    blocks = written(groups.join(sets.select("cls", "n"), "cls").groupBy("group").agg(_blocks("n").alias("blocks")), "jaccard-blocks")
+    rows = (
+        sized.join(blocks, "group")
+        .withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("group", F.least("mine", "other").alias("left_block"), F.greatest("mine", "other").alias("right_block"), "cls", F.hex("root").alias("root"), F.lit(False).alias("pivot"), "shingles")
+    )
+    second = links_of(rows, ["group", "left_block", "right_block"], pivots=False)
+    links = written(first.unionByName(second), "jaccard-links")
+    for df in (shared, stars, sets, parts, first, edges, blocks):
+        drop_written(df)
+    return links
+
+
 def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows of ``set_rows`` for every document, and (cls, rep, n_class, component, first) for every class of equal sets.
 
     ``rep`` is the smallest key of a class, ``component`` the smallest one it is linked with; one class of a component is
     its ``first``.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = written(set_rows(docs, "key", "text"), "jaccard-sets")
-    full = base.where("n_shingles > 0")
-    classes = full.groupBy("cls").agg(
-        F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_class"), *[F.first(c).alias(c) for c in ("n_shingles", *NEEDS)]
+    base = written(set_rows(docs, "key", "text"), "jaccard-base")
+    classes = base.where("n_shingles > 0").groupBy("cls").agg(
+        F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.first("n_shingles").alias("n_shingles"), F.first("short").alias("short")
     )
     classes = written(classes, "jaccard-classes")
-    shared = shared_signatures(docs, "text", buckets)
-    rarest = (
-        shared.groupBy("cls", "ahead", "empty")
-        .agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("sigs"))  # at most the document's own signatures
-        .join(classes.select("cls", *NEEDS), "cls")
-        .withColumn("need", F.element_at(F.array(*NEEDS), 2 * F.col("ahead") + F.col("empty") + 1).cast("int"))
-        .where(F.size("sigs") >= F.col("need"))
-        .select("cls", F.explode(F.slice("sigs", F.lit(1), F.size("sigs") - F.col("need") + 1)).alias("s"))
-        .select("cls", F.col("s.sig").alias("sig"))
-    )
-    rarest = written(rarest, "jaccard-rarest")
-    centres = rarest.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z")
-    stars = rarest.join(centres, "sig").where("a <> cls").select("a", F.col("cls").alias("b"))
-    groups = components(stars, "jaccard-groups")
-    members = groups.select(F.col("node").alias("cls"), F.col("root").alias("group")).join(classes, "cls")
-    sizes = members.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_FEATURES).cast("int").alias("blocks"))
-    members = written(members.join(sizes, "group").select("cls", "rep", "group", "blocks"), "jaccard-members")
-    drop_written(rarest)
-    texts = (
-        of_classes(with_classes(docs, "text"), members, "key")
-        .dropDuplicates(["cls"])
-        .withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("group", F.least("mine", "other").alias("left_block"), F.greatest("mine", "other").alias("right_block"), "cls", "text")
-    )
-    roots = components(written(links_within(texts), "jaccard-forest"), "jaccard")
+    roots = components(class_links(docs, classes), "jaccard")
     named = classes.select("cls", "rep", "n_class").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     order = F.struct(F.col("rep").isNull(), "rep", "cls")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"), F.min_by("cls", order).alias("first_cls"))
@@ -348,13 +418,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the smallest key (of equal rows one), and all documents without words."""
-    _, classes = duplicate_classes(docs, key, text)
+    columns = docs.columns
+    plain = docs.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(columns)])  # no name of the input can clash with those added
+    key, text = (f"kept_{columns.index(c)}" for c in (key, text))
+    _, classes = duplicate_classes(plain, key, text)
     first = classes.where("first").select("cls", "rep")
-    rows = with_classes(docs, text)
+    rows = with_classes(plain, text)
     kept = of_classes(rows, first, key)
     turn = F.row_number().over(W.partitionBy("jaccard_key").orderBy("jaccard_key"))
     kept = kept.withColumn("jaccard_turn", turn).where("jaccard_turn = 1")
-    return kept.select(*docs.columns).unionByName(rows.where("jaccard_size = 0").select(*docs.columns))
+    out = kept.select(*plain.columns).unionByName(rows.where("jaccard_size = 0").select(*plain.columns))
+    return out.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

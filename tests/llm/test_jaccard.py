@@ -50,74 +50,74 @@ def test_against_brute_force(spark):
     assert {(r["key"], r["n_shingles"], r["component"]) for r in found} == brute(rows)
 
 
-def test_shared_signatures_reach_need():
-    """Linked sets share at least as many signatures as both need."""
+def meet(pairs):
+    """Whether each pair of neighbours shares the signatures that both need, in some kind of one band."""
+    values = np.concatenate([np.sort(np.array(s, np.uint64)) for s in pairs])
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in pairs])])
+    held = [({}, {}) for _ in pairs]
+    for sig, row, kind, need in zip(*[x.tolist() for x in jaccard.signatures(np.stack([values, values]), offsets)], strict=True):
+        held[row][0].setdefault(kind, set()).add(sig)
+        held[row][1][kind] = need
+    ok = []
+    for a, b in zip(held[::2], held[1::2], strict=True):
+        ok.append(any(len(x & y) >= max(a[1][i], b[1][j]) for i, x in a[0].items() for j, y in b[0].items() if (i == 2) == (j == 2)))
+    return ok
+
+
+def test_schemes_enumerate_subsets():
+    for band in range(2, 14):
+        n1, n2, k2 = jaccard.scheme(band)
+        differ = 2 * ((1 << (band + 1)) - 1) // 7
+        assert n2 > 2 and 0 < k2 < n2 and n1 * (k2 + 1) > differ  # some part differs in at most k2 cells
+    assert jaccard.scheme(1)[0] == 0
+
+
+def test_linked_sets_share_a_signature():
     rng = np.random.Generator(np.random.PCG64(1))
-    pool = rng.integers(1, 2**62, 4000).astype(np.uint64)
-    for size in [3, 4, 5, 7, 8, 11, 16, 31, 64, 150, 511, 512, 600]:
-        for extra in range(0, size // 3 + 1, max(1, size // 9)):
-            a = np.sort(pool[:size])
-            most = (size + size + extra) // 7
-            gone = max(0, min((most - extra) // 2, size // 7))
-            b = np.sort(np.concatenate([pool[gone:size], pool[size : size + extra]]))
-            common = len(np.intersect1d(a, b))
-            if not jaccard.linked(np.array([common]), len(a), len(b))[0] or len(np.union1d(a, b)) == common:
+    pairs = []
+    for size in [*range(3, 40), 47, 48, 63, 64, 95, 96, 127, 128, 150, 191, 192, 255, 256, 511, 512, 600]:
+        for turn in range(40 if size < 40 else 6):
+            pool = rng.integers(1, 2**62, 2 * size + 10).astype(np.uint64)
+            for extra in {0, turn % (size // 3 + 1), size // 3}:
+                gone = max((g for g in range(size // 4 + 1) if jaccard.linked(np.array([size - g]), size, size + extra)[0]), default=None)
+                if gone is None or gone + extra == 0:
+                    continue
+                pairs += [pool[:size], np.concatenate([pool[gone:size], pool[size : size + gone + extra]])]
+    assert len(pairs) > 3000 and all(meet(pairs))
+
+
+def test_sets_in_few_cells_share_a_signature():
+    """Sets that fill few cells of the first division, down to a single one."""
+    pairs, rng = [], np.random.Generator(np.random.PCG64(2))
+    candidates = rng.integers(1, 2**62, 60_000).astype(np.uint64)
+    for size in range(3, 32):
+        for ahead in (0, 1):
+            n1, n2, _ = jaccard.scheme(int(np.log2(size)) + ahead)
+            if not n1:
                 continue
-            signs = []
-            for s in (a, b):
-                both = [jaccard.signatures(s, np.array([0, len(s)]), ahead) for ahead in (0, 1)]
-                signs.append((set(both[0][0].tolist()) | set(both[1][0].tolist()), [int(x[2][0]) for x in both]))
-            shared = len(signs[0][0] & signs[1][0])
-            band = max(int(jaccard.bands(np.array([len(s)]))[0][0]) for s in (a, b))
-            needs = [n[band - int(jaccard.bands(np.array([len(s)]))[0][0])] for s, (_, n) in zip((a, b), signs, strict=True)]
-            assert shared >= max(needs) >= 1, (size, extra, shared, needs)
-
-
-def layouts(n, bins, most=None):
-    """Ways to put n elements into at most so many partitions, by size."""
-    if n == 0:
-        yield ()
-    elif bins:
-        for k in range(min(n, most or n), 0, -1):
-            for rest in layouts(n - k, bins - 1, k):
-                yield (k, *rest)
-
-
-def test_all_layouts_of_small_sets_meet():
-    """Linked sets of 3 to 15 elements share what both need, however their elements fall into partitions."""
-    hashes = jaccard.mix(np.arange(1, 40_000, dtype=np.uint64) ^ np.uint64(0xA5A5A5A5))
-    checked = 0
-    for size in range(3, 16):
-        for other in range(size, min(15, 4 * size // 3) + 1):
-            for gone in range(0 if other > size else 1, size):
-                if not jaccard.linked(np.array([size - gone]), size, other)[0]:
-                    break
-                own, last = (int(jaccard.bands(np.array([n]))[0][0]) for n in (size, other))
-                parts = int(jaccard.partitions(np.array([last]))[0])
-                slots = [(np.flatnonzero(hashes % np.uint64(parts) == p) + 1).astype(np.uint64) for p in range(parts)]
-                sets, new = [], other - size + gone
-                for layout in layouts(size, parts):
-                    a = [v for p, k in enumerate(layout) for v in slots[p][:k].tolist()]
-                    # elements leave the first or the last partitions, new ones come into one full or free partition or spread
-                    homes = [[0] * new, [len(layout) - 1] * new, [min(len(layout), parts - 1)] * new, [(len(layout) + i) % parts for i in range(new)]]
-                    for left in (a[gone:], a[: size - gone]):
-                        for home in homes:
-                            sets += [a, left + [int(slots[p][100 + i]) for i, p in enumerate(home)]]
-                values = np.concatenate([np.sort(np.array(s, np.uint64)) for s in sets])
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                kinds = [jaccard.signatures(values, offsets, ahead) for ahead in (0, 1)]
-                held = [[(set(), set()) for _ in sets] for _ in kinds]
-                for ahead, (sig, owner, _, _, void) in enumerate(kinds):
-                    for s, r, v in zip(sig.tolist(), owner.tolist(), void.tolist(), strict=True):
-                        held[ahead][r][int(v)].add(s)
-                for i in range(0, len(sets), 2):
-                    sides = ((last - own, i), (0, i + 1))
-                    full, empty = (len(held[sides[0][0]][i][v] & held[0][i + 1][v]) for v in (0, 1))
-                    needs, voids = ([int(kinds[k][c][r]) for k, r in sides] for c in (2, 3))
-                    assert min(needs) >= 1
-                    assert full >= max(needs) or (min(voids) > 0 and empty >= max(voids)), (sets[i], sets[i + 1])
-                    checked += 1
-    assert checked > 10_000
+            cell = jaccard.mix(candidates ^ np.uint64(0xA5A5A5A5)) % np.uint64(n1 * n2)
+            for cells in (1, 2, 3):
+                near, other = candidates[cell < cells], candidates[cell >= cells]
+                for extra in range(size // 3 + 1):
+                    for pool in (near[size:], other):
+                        gone = max((g for g in range(size) if jaccard.linked(np.array([size - g]), size, size + extra)[0]), default=None)
+                        if gone is not None and gone + extra:
+                            pairs += [near[:size], np.concatenate([near[gone:size], pool[: gone + extra]])]
+    assert len(pairs) > 1000 and all(meet(pairs))
+
+
+def thue_morse(a, b, n):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_regular_words_do_not_collide(spark):
+    """A Thue-Morse word and its swap, of letters and of words, are different."""
+    x, y = thue_morse("a", "b", 1024), thue_morse("b", "a", 1024)
+    rows = [(1, f"q w e r {x}"), (2, f"q w e r {y}"), (3, thue_morse("a ", "b ", 4096)), (4, thue_morse("b ", "a ", 4096) + "c")]
+    found = {r["key"]: (r["n_shingles"], r["component"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()}
+    assert found == {1: (1, 1), 2: (1, 2)}
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["key"], r["n_shingles"], r["component"]) for r in found} == brute(rows)
 
 
 def test_short_hubs_link_all_their_copies(spark):
@@ -132,16 +132,19 @@ def test_short_hubs_link_all_their_copies(spark):
 
 def test_forest_links_everything_once():
     sets = [np.array(s, np.uint64) for s in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [2, 3, 4, 5], [9, 10, 11], [9, 10, 11, 12], [50])]
-    links = jaccard.forest(sets)
+    links = jaccard.forest(sets, list(range(6)))
     assert len(links) == 3
     assert {frozenset(x) for x in links} >= {frozenset((3, 4))}
+    assert len(jaccard.forest(sets, [0, 0, 1, 2, 2, 3])) == 1  # what is linked already is not compared
+    assert {frozenset(x) for x in jaccard.forest(sets, list(range(6)), [True] + [False] * 5)} == {frozenset((0, 1))}
 
 
 def test_blocks_of_one_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_FEATURES", 40)
     rows = [(i, " ".join(f"w{j}" for j in range(30)) + f" tail{i}") for i in range(12)]
+    rows += [(20 + i, " ".join(f"v{j}" for j in range(i, i + 40))) for i in range(12)]  # a chain: far ends do not link
     found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["component"] for r in found} == {0}
+    assert {(r["key"], r["component"]) for r in found} == {(k, 20 * (k >= 20)) for k, _ in rows}
 
 
 def test_edges(edge_docs, no_docs):
@@ -165,8 +168,10 @@ def test_null_and_repeated_keys(spark):
 
 
 def test_keep_first(edge_docs, no_docs):
+    clashing = {"jaccard_key": "a", "jaccard_cls": "b", "cls": "c", "rep": "d"}
+    edge_docs = edge_docs.withColumns({c: F.lit(v) for c, v in clashing.items()})
     kept = jaccard.keep_first(edge_docs)
-    assert kept.columns == edge_docs.columns
+    assert kept.columns == edge_docs.columns and all(r["cls"] == "c" for r in kept.collect())
     ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.select("doc_id").collect())
     assert ids == [(False, 0), (False, 1), (False, 2), (False, 3), (False, 5), (False, 6), (False, 8), (True, 0)]
     assert jaccard.keep_first(no_docs).count() == 0
