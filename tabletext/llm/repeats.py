@@ -1,15 +1,17 @@
 """Removal of repeated passages, found by recompression.
 
-Words get 64-bit names. A round of recompression names each run of equal symbols, then each pair of a left and a right
+Words get names, 128-bit digests of their bytes. A round of recompression names each run of equal symbols, then each pair of a left and a right
 symbol (a hash of the name decides the side), so a name depends only on the words under it and equal passages get equal
 names everywhere, without any table. What stands at the rim of a window may be joined with words outside it; each round,
 the window gives up those symbols, and what is left is the same wherever the window's words occur. The longest symbol
 left (the first of the greatest by name among equals) is the window's anchor: equal windows share anchor and offset.
 
-Neighbouring windows with one anchor form a segment (anchor, hash of all its words, text, first window, number). Segments
-meet by anchor in buckets: an anchor that occurs once is gone; a segment that occurs twice is repeated as a whole; the
-rest (segments that only partly agree, at the rims of repeated passages) are settled window by window, by hash, in a
-second meeting. Windows without an anchor, such as runs of one word, meet by their own hash. Within a task, equal
+Neighbouring windows with one anchor form a segment (anchor, digest of all its words, text, first window, number). Segments
+meet by anchor in buckets of measured size: an anchor that occurs once is gone; a segment that occurs twice is repeated as a whole; the
+rest (segments that only partly agree, at the rims of repeated passages) are settled window by window, by a digest of all
+words, in a second meeting. Windows without an anchor, such as runs of one word, meet by their own digest. Texts are told
+apart by 128-bit digests; segments by anchor and digest, 125 bits together; windows by 122 bits. Digests of ranges are
+polynomials modulo a prime over names that are cryptographic, so no regular sequence of letters or words makes them meet. Within a task, equal
 segments and windows are combined before they are sent, so that a passage in very many documents stays small.
 
 Edge cases: null and empty texts have no words; texts with fewer than ``window`` words lose nothing; documents with equal
@@ -27,26 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletext.llm.common import _STEP, _powers, mix, read, row_starts, signed, span_hashes, text_bytes, text_chunks, word_spans, written
+from tabletext.llm.common import Ranges, drop_written, mix, read, row_starts, text_chunks, text_ids, words_of, written
 
 WINDOW = 35
 ROUNDS = 3
-#: Bytes of text whose segments are combined and sent together.
-PACK_BYTES = 1_000_000
+#: Bytes of text whose segments are combined and sent together, and of segments in a bucket, about.
+PACK_BYTES, BUCKET_BYTES = 1_000_000, 16 << 20
 FULL, PART, WITNESS = 2, 1, 3
-WINDOW_TAG = np.uint64(0x1234567)
-
-
-class Ranges:
-    """Hashes of any ranges of a sequence of names."""
-
-    def __init__(self, names: np.ndarray):
-        up, self.down = _powers(len(names) + 1)
-        self.total = np.zeros(len(names) + 1, np.uint64)
-        np.cumsum(mix(names) * up[:-1], out=self.total[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-        return mix(mix((self.total[end] - self.total[start]) * self.down[start] + np.uint64(salt)) + (end - start).astype(np.uint64) * _STEP)
 
 
 def _first_of_greatest(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -112,39 +101,28 @@ def anchors(names: np.ndarray, rows: np.ndarray, window: int = WINDOW, rounds: i
 
 
 def segments(names: np.ndarray, rows: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """(anchor, hash of all words, first window, number of windows): maximal runs of windows with one anchor."""
-    starts, name, where, found = anchors(names, rows, window, rounds)
+    """(anchor, digest of all words, first window, number of windows): maximal runs of windows with one anchor."""
+    starts, name, where, found = anchors(names[0], rows, window, rounds)
     ranges = Ranges(names)
     bare = found == 0
     if bare.any():
-        name[bare] = mix(ranges(starts[bare], starts[bare] + window) ^ WINDOW_TAG)
+        name[bare] = ranges(starts[bare], starts[bare] + window)[1]
     new = np.ones(len(starts), bool)
     new[1:] = (starts[1:] != starts[:-1] + 1) | (where[1:] != where[:-1]) | (found[1:] != found[:-1]) | bare[1:]
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(starts)))
     first = starts[at]
     offset = np.where(bare[at], 0, where[at] - first).astype(np.uint64)
-    return name[at], mix(ranges(first, first + count + window - 1) + mix(offset)), first, count
-
-
-def text_ids(texts: pa.Array) -> np.ndarray:
-    data, offsets = text_bytes(texts)
-    return span_hashes(data, offsets[:-1], offsets[1:]) if len(texts) else np.zeros(0, np.uint64)
-
+    return name[at], mix(ranges(first, first + count + window - 1)[0] + mix(offset)), first, count
 
-def named_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = text_bytes(texts)
-    starts, ends, rows = word_spans(data, offsets)
-    return span_hashes(data, starts, ends), rows
 
-
-def _packed(bucket: np.ndarray, columns: list[np.ndarray], buckets: int, names: list[str]) -> pa.RecordBatch:
+def _packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     """One row for each bucket that has entries, with its entries' columns as bytes."""
     order = np.argsort(bucket, kind="stable")
     columns = [c[order] for c in columns]
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=bucket.dtype))
-    full = [(b, i, j) for b, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if j > i]
-    arrays = [pa.array([b for b, _, _ in full], pa.int64()), *[pa.array([c[i:j].tobytes() for _, i, j in full], pa.binary()) for c in columns]]
+    which, starts = np.unique(bucket[order], return_index=True)
+    spans = list(zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=False))
+    arrays = [pa.array(which.astype(np.int64)), *[pa.array([c[i:j].tobytes() for i, j in spans], pa.binary()) for c in columns]]
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", *names])
 
 
@@ -152,6 +130,14 @@ def _unpacked(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
+def _digests(ids: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(ids), np.uint64).reshape(-1, 2)
+
+
+def _binaries(ids: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+
+
 def _groups(*columns: np.ndarray) -> np.ndarray:
     """Marks the first row of each group of equal rows in sorted columns."""
     new = np.ones(len(columns[0]), bool)
@@ -175,29 +161,29 @@ def base_rows(docs: DataFrame) -> DataFrame:
             words = [t.encode().split() for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(signed(text_ids(texts))), pa.array([len(w) for w in words], pa.int64()),
+                    batch.column(0), pa.array(text_ids(texts), pa.binary()), pa.array([len(w) for w in words], pa.int64()),
                     pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string()),
                 ],
                 names=["key", "text_id", "n_words", "whole"],
             )
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, text_id long, n_words long, whole string")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, text_id binary, n_words long, whole string")
 
 
 def segment_states(docs: DataFrame, window: int, rounds: int, buckets: int) -> DataFrame:
     """(text_id, first, count, state) of the segments that may be repeated."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # texts of this task, eight bytes each
+        seen: set[bytes] = set()  # digests of the task's texts
         for batch in text_chunks(batches, size=PACK_BYTES):
             ids = text_ids(batch.column(0))
             fresh = []
-            for i, t in enumerate(ids.tolist()):
+            for i, t in enumerate(ids):
                 if t not in seen:
                     seen.add(t)
                     fresh.append(i)
-            batch, ids = batch.take(pa.array(fresh, pa.int64())), ids[fresh]
-            names, rows = named_words(batch.column(0))
+            batch, ids = batch.take(pa.array(fresh, pa.int64())), _digests([ids[i] for i in fresh])
+            names, rows = words_of(batch.column(0))
             begin = row_starts(rows, len(ids))
             anchor, words, first, count = segments(names, rows, window, rounds)
             owner = rows[first] if len(first) else first
@@ -208,21 +194,20 @@ def segment_states(docs: DataFrame, window: int, rounds: int, buckets: int) -> D
             twice = _sizes(new) > 1
             # the first of equal segments goes to its anchor's bucket, marked; the others are known to be repeated
             mark = count | (twice.astype(np.uint32) << np.uint32(31)) | ((~new).astype(np.uint32) << np.uint32(30))
-            bucket = np.where(new, anchor, mix(text)) % np.uint64(buckets)
-            yield _packed(bucket, [anchor, words, text, local, mark], buckets, ["anchor", "words", "text", "first", "mark"])
-
-    out = pa.schema([("text_id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("state", pa.int32())])
+            bucket = np.where(new, anchor, mix(text[:, 0])) % np.uint64(buckets)
+            yield _packed(bucket, [anchor, words, text, local, mark], ["anchor", "words", "text", "first", "mark"])
 
     def meet(table: pa.Table) -> pa.Table:
         anchor, words, text = (_unpacked(table, c, np.uint64) for c in ("anchor", "words", "text"))
+        text = text.reshape(-1, 2)
         first, mark = _unpacked(table, "first", np.uint32), _unpacked(table, "mark", np.uint32)
         known = (mark >> np.uint32(30)) & np.uint32(1) == 1
         sure = text[known], first[known], mark[known] & np.uint32(0x3FFFFFFF), np.full(int(known.sum()), FULL)
         anchor, words, text, first, mark = (c[~known] for c in (anchor, words, text, first, mark))
-        order = np.lexsort((mark, first, text, words, anchor))
+        order = np.lexsort((mark, first, text[:, 1], text[:, 0], words, anchor))
         anchor, words, text, first, mark = (c[order] for c in (anchor, words, text, first, mark))
         last = np.ones(len(anchor), bool)  # of equal texts that several tasks sent, keep one entry, a marked one if any
-        last[:-1] = _groups(anchor, words, text, first)[1:]
+        last[:-1] = _groups(anchor, words, text[:, 0], text[:, 1], first)[1:]
         anchor, words, text, first, mark = (c[last] for c in (anchor, words, text, first, mark))
         twice = mark >> np.uint32(31) == 1
         per_anchor = _groups(anchor)
@@ -237,10 +222,10 @@ def segment_states(docs: DataFrame, window: int, rounds: int, buckets: int) -> D
         state = np.where(full, np.where(mixed & kinds, WITNESS, FULL), PART)
         parts = text[keep], first[keep], mark[keep] & np.uint32(0x3FFFFFFF), state[keep]
         columns = [np.concatenate([a, b]) for a, b in zip(sure, parts, strict=True)]
-        return pa.Table.from_arrays([pa.array(signed(columns[0])), *[pa.array(c.astype(np.int32)) for c in columns[1:]]], schema=out)
+        return pa.Table.from_arrays([_binaries(columns[0]), *[pa.array(c.astype(np.int32)) for c in columns[1:]]], names=["text_id", "first", "count", "state"])
 
     packed = docs.select("text").mapInArrow(pack, "bucket long, anchor binary, words binary, text binary, first binary, mark binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "text_id long, first int, count int, state int")
+    return packed.groupBy("bucket").applyInArrow(meet, "text_id binary, first int, count int, state int")
 
 
 def repeated_windows(joined: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -248,7 +233,7 @@ def repeated_windows(joined: DataFrame, window: int, buckets: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, size=PACK_BYTES):
-            names, rows = named_words(batch.column(1))
+            names, rows = words_of(batch.column(1))
             begin = row_starts(rows, batch.num_rows)
             found = batch.column(2)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
@@ -261,49 +246,47 @@ def repeated_windows(joined: DataFrame, window: int, buckets: int) -> DataFrame:
             local = np.repeat(first - (ends - count), count) + np.arange(total)
             owner = np.repeat(owner, count)
             start = begin[owner] + local
-            ranges = Ranges(names)
-            h, check = ranges(start, start + window), ranges(start, start + window, 99).astype(np.uint32)
-            text = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[owner]
-            order = np.lexsort((local, text, check, h))
+            h, check = Ranges(names)(start, start + window)
+            text = _digests(batch.column(0).to_pylist())[owner]
+            order = np.lexsort((local, text[:, 1], text[:, 0], check, h))
             h, check, text, local = (c[order] for c in (h, check, text, local))
-            one = _groups(h, check, text, local)
+            one = _groups(h, check, text[:, 0], text[:, 1], local)
             h, check, text, local = (c[one] for c in (h, check, text, local))
             new = _groups(h, check)
             twice = _sizes(new) > 1
             mark = local.astype(np.uint32) | (twice.astype(np.uint32) << np.uint32(31)) | ((~new).astype(np.uint32) << np.uint32(30))
-            yield _packed(np.where(new, h, mix(text)) % np.uint64(buckets), [h, check, text, mark], buckets, ["h", "check", "text", "mark"])
+            yield _packed(np.where(new, h, mix(text[:, 0])) % np.uint64(buckets), [h, check, text, mark], ["h", "check", "text", "mark"])
 
     def meet(table: pa.Table) -> pa.Table:
-        h, text = _unpacked(table, "h", np.uint64), _unpacked(table, "text", np.uint64)
-        check, mark = _unpacked(table, "check", np.uint32), _unpacked(table, "mark", np.uint32)
+        h, check, text = (_unpacked(table, c, np.uint64) for c in ("h", "check", "text"))
+        text, mark = text.reshape(-1, 2), _unpacked(table, "mark", np.uint32)
         known = (mark >> np.uint32(30)) & np.uint32(1) == 1
         sure = text[known], mark[known] & np.uint32(0x3FFFFFFF)
         h, check, text, mark = (c[~known] for c in (h, check, text, mark))
         local = mark & np.uint32(0x3FFFFFFF)
-        order = np.lexsort((mark, local, text, check, h))
+        order = np.lexsort((mark, local, text[:, 1], text[:, 0], check, h))
         h, check, text, mark, local = (c[order] for c in (h, check, text, mark, local))
         last = np.ones(len(h), bool)
-        last[:-1] = _groups(h, check, text, local)[1:]
+        last[:-1] = _groups(h, check, text[:, 0], text[:, 1], local)[1:]
         h, check, text, mark, local = (c[last] for c in (h, check, text, mark, local))
         new = _groups(h, check)
         some = np.flatnonzero(new)
         twice = np.repeat(np.logical_or.reduceat(mark >> np.uint32(31) == 1, some), np.diff(np.append(some, len(h)))) if len(some) else new
         keep = twice | (_sizes(new) > 1)
         columns = np.concatenate([sure[0], text[keep]]), np.concatenate([sure[1], local[keep]])
-        return pa.Table.from_arrays(
-            [pa.array(signed(columns[0])), pa.array(columns[1].astype(np.int32))], schema=pa.schema([("text_id", pa.int64()), ("first", pa.int32())])
-        )
+        return pa.Table.from_arrays([_binaries(columns[0]), pa.array(columns[1].astype(np.int32))], names=["text_id", "first"])
 
     packed = joined.select("text_id", "text", "found").mapInArrow(pack, "bucket long, h binary, check binary, text binary, mark binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "text_id long, first int")
+    return packed.groupBy("bucket").applyInArrow(meet, "text_id binary, first int")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = False) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) for every document; with ``with_text`` also ``kept``, the words left."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = written(base_rows(docs), "repeats-base")
+    n_words = base.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_words * 6 // BUCKET_BYTES)  # some six bytes of segments a word
     # one document stands for each text
     texts = base.where(F.col("n_words") >= window).groupBy("text_id").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
     texts = written(texts, "repeats-texts")  # joins with it can then split the rows of a hot text
@@ -318,11 +301,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     def with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            ids = pa.array(signed(text_ids(batch.column(1))))
+            ids = pa.array(text_ids(batch.column(1)), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), ids], names=["key", "text", "text_id"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    texted = docs.mapInArrow(with_ids, f"key {kind}, text string, text_id long").join(
+    texted = docs.mapInArrow(with_ids, f"key {kind}, text string, text_id binary").join(
         found.withColumnRenamed("text_id", "found_id"), F.col("text_id").eqNullSafe(F.col("found_id")) & F.col("key").eqNullSafe(F.col("rep"))
     )
     open_ = texted.where(F.exists("found", lambda s: s["state"] != FULL))
@@ -355,7 +338,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             )
 
     done = single.select("key", "text_id", "text", "found", "places").mapInArrow(
-        cut, f"cut_key {kind}, cut_id long, cut long, cut_sha256 string, cut_text string"
+        cut, f"cut_key {kind}, cut_id binary, cut long, cut_sha256 string, cut_text string"
     )
     copies = texts.where("copies > 1").select(F.col("text_id").alias("copied"))
     # by key and text: rows of one text do not meet in one task

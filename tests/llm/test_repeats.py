@@ -48,6 +48,22 @@ def test_against_brute_force(spark, seed):
     assert result(repeats.remove_repeats(df)) == brute(rows)
 
 
+def test_regular_words_do_not_collide(spark):
+    """Windows that differ by a Thue-Morse word and its swap, and passages that do by such sequences of words, are different."""
+    line = lambda a, b, n: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+    head = " ".join(f"h{i}" for i in range(34))
+    rows = [(1, f"{head} {line('a', 'b', 1024)}"), (2, f"{head} {line('b', 'a', 1024)}")]
+    assert [r[2] for r in result(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))] == [0, 0]
+    rows += [(3, line("a ", "b ", 2048)), (4, line("b ", "a ", 2048) + "c")]
+    assert result(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    df = spark.createDataFrame([(1, f"a {shared}", 1, "x", 2), (2, shared, 3, "y", 4)], "doc_id long, text string, key int, found string, cut int")
+    assert {r["key"]: r["n_removed"] for r in repeats.remove_repeats(df).collect()} == {1: 40, 2: 40}
+
+
 def test_anchor_depends_on_window_only():
     rng = np.random.Generator(np.random.PCG64(5))
     inner = rng.integers(1, 40, 35).astype(np.uint64)
