@@ -2,9 +2,9 @@
 
 The base patterns find e-mail, IP, card and phone spans. The field scores whole candidate segments (digit counts,
 checksum, grouping, shape, words before) and a dynamic program over segments of at most ``MAX_TOKENS`` tokens chooses
-boundaries and kinds together. It is fitted on a bounded sample of documents, labelled by the base patterns; half of the
-training copies hide the surface marks that the base patterns need, so that the field learns the rest. Base spans always
-stay; the field works on what lies between them.
+boundaries and kinds together; it adds no longer ones. It is fitted on islands of tokens of a bounded sample of distinct
+texts, labelled by the base patterns; half of the training copies hide the surface marks that the base patterns need, so
+that the field learns the rest. Base spans always stay; the field works on what lies between them.
 
 Edge cases: a null text counts as empty and has no spans; equal texts have equal spans; an empty table gives an empty
 result (and an untrained field, which adds nothing); the added columns replace input columns of the same names.
@@ -13,6 +13,7 @@ result (and an untrained field, which adds nothing); the added columns replace i
 from __future__ import annotations
 
 import bisect
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -22,18 +23,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabletext.llm.common import bounded_batches, read, text_chunks
+from tabletext.llm.common import bounded_batches, drop_written, mix, read, text_chunks, written
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Longest entity in tokens, the bound of the dynamic program.
 MAX_TOKENS = 6
-#: Documents that the field is fitted on, at most (those with the smallest hashes); and islands taken from them.
+#: Distinct texts with a digit or @ that the field is fitted on, about (those with the smallest hashes); and islands taken
+#: from them, at most half of them with base spans.
 SAMPLE_DOCS = 1500
 SAMPLE_ISLANDS = 400
-#: Rows of any kind that the sample is taken from, about.
-SAMPLED_FROM = 12_000
-#: Longer texts are not in that sample (they are searched like all others).
-SAMPLE_CHARS = 20_000
+#: A longer island is cut for training, between entities.
+ISLAND_TOKENS = 24
 SEED = "pii"
 
 Span = tuple[int, int, int]  # start, end, kind
@@ -231,40 +231,57 @@ class Field:
         return dw, ds
 
 
-def training_islands(texts: list[str]) -> list[tuple[int, dict, list]]:
-    """Islands with their base labels; where a base span is not a whole run of tokens, the island is left out."""
-    found, plain = [], []
-    for text in texts:
-        spans = base_spans(text)
-        for run in islands(text, []):
-            if len(run) > 24:
-                continue
+def training_islands(text: str) -> Iterator[tuple[bool, tuple[int, dict, list]]]:
+    """(whether it holds base spans, island) with base labels; where a base span is not a whole run of tokens, the island is left out."""
+    spans = base_spans(text)
+    for whole in islands(text, []):
+        for run in _cut(whole, spans):
             inside = [s for s in spans if s[0] < run[-1][1] and s[1] > run[0][0]]
             starts, ends = {a: i for i, (a, _) in enumerate(run)}, {b: i + 1 for i, (_, b) in enumerate(run)}
-            gold, at, ok = [], 0, True
+            gold, at = [], 0
             for a, b, kind in inside:
                 i, j = starts.get(a), ends.get(b)
                 if i is None or j is None or i < at or j - i > MAX_TOKENS:
-                    ok = False
                     break
                 gold += [(t, t + 1, 0) for t in range(at, i)] + [(i, j, kind + 1)]
                 at = j
-            if ok:
+            else:
                 gold += [(t, t + 1, 0) for t in range(at, len(run))]
-                (found if inside else plain).append((len(run), segments(text, run), gold))
-    half = SAMPLE_ISLANDS // 2
-    return found[:half] + plain[:half]
+                yield bool(inside), (len(run), segments(text, run), gold)
+
+
+def _cut(run: list[tuple[int, int]], spans: list[Span]) -> Iterator[list[tuple[int, int]]]:
+    """Pieces of about ISLAND_TOKENS tokens that cut no span."""
+    start = 0
+    for i in range(1, len(run)):
+        if i - start >= ISLAND_TOKENS and not any(a < run[i][0] and b > run[i - 1][1] for a, b, _ in spans):
+            yield run[start:i]
+            start = i
+    if start < len(run):
+        yield run[start:]
 
 
 def fit_field(docs: DataFrame, text: str = "text", passes: int = 40, rate: float = 0.3) -> Field:
-    """Fit on the SAMPLE_DOCS texts with candidates that have the smallest hashes."""
-    # a share of all rows, by hash, that leaves some SAMPLE_DOCS candidates: what tasks send does not grow with the input
-    share = min(1.0, SAMPLED_FROM / max(1, docs.count()))
+    """Fit on islands of some SAMPLE_DOCS texts with candidates, a share by hash of all such texts, of any length."""
     key = F.xxhash64(F.lit(SEED), F.col(text))
-    short = F.col(text).rlike("[0-9@]") & (F.length(text) <= SAMPLE_CHARS)
+    candidates = docs.where(F.col(text).rlike("[0-9@]"))
+    share = min(1.0, SAMPLE_DOCS / max(1, candidates.select(F.approx_count_distinct(key, 0.02)).first()[0]))
     few = F.pmod(F.xxhash64(F.lit(f"{SEED}:share"), F.col(text)), F.lit(10**12)) < F.lit(int(share * 10**12))
-    rows = docs.where(few & short).select(F.col(text).alias("t"), key.alias("k")).groupBy("k").agg(F.min("t").alias("t")).orderBy("k").limit(SAMPLE_DOCS).collect()
-    data = training_islands([r["t"] for r in rows])
+    sample = candidates.where(few).select(F.col(text).alias("t"), key.alias("k")).dropDuplicates(["k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = [(inside, pickle.dumps(island)) for inside, island in training_islands(t.as_py())]
+                order = [mix(np.array([k + i & 2**64 - 1], np.uint64))[0] >> np.uint64(1) for i in range(len(found))]
+                columns = [pa.array(np.array(order, np.int64)), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["turn", "inside", "island"])
+
+    found = written(sample.mapInArrow(run, "turn long, inside boolean, island binary"), "pii-islands")
+    half = SAMPLE_ISLANDS // 2
+    rows = [r for inside in (True, False) for r in found.where(F.col("inside") == inside).orderBy("turn", "island").limit(half).collect()]
+    drop_written(found)
+    data = [pickle.loads(r["island"]) for r in rows]
     if not data:
         return Field()
     field = Field(np.zeros((len(KINDS) + 1, N_FEATURES)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletext.llm.common import read, span_hashes, text_bytes, text_chunks, word_spans, written
+from tabletext.llm.common import drop_written, read, span_codes, text_bytes, text_chunks, word_spans, written
 from tabletext.llm.toxicity import held_out
 
 STATISTICS = [
@@ -31,6 +31,8 @@ FEATURES = 192
 WIDTH = 3.0  # of the Gaussian kernel, in standard deviations of the statistics
 RIDGE = 1e-3
 BINS = 2000
+#: Features are rounded to multiples of 1 / SCALE before they are summed.
+SCALE = float(1 << 12)
 #: Partitions that sum normal equations, at most: bounds the rows that the sums are made of.
 SUMMERS = 128
 
@@ -64,13 +66,14 @@ def statistics(texts: pa.Array) -> np.ndarray:
     comma, dot = (data == 44), (data == 46)
     sign = (data > 32) & ~(upper | lower | high | digit | comma | dot)
     letters = sums(upper | lower)
-    hashes = span_hashes(data, starts, ends)
+    codes, kinds = span_codes(data, starts, ends)
+    codes = codes.astype(np.int64)
     length = ends - starts
     by = lambda keep: np.bincount(rows[keep], minlength=n).astype(float)
-    distinct, most = _distinct(rows, hashes, n)
+    distinct, most = _distinct(rows, codes, n)
     again = np.zeros(len(rows), bool)
-    again[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
-    pairs = hashes[1:] * np.uint64(3) + hashes[:-1]
+    again[1:] = (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])
+    pairs = codes[1:] * len(kinds) + codes[:-1]
     same = rows[1:] == rows[:-1]
     distinct_pairs, _ = _distinct(rows[1:][same], pairs[same], n)
     last, first = data[ends - 1] if len(ends) else data, data[starts] if len(starts) else data
@@ -87,7 +90,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     solid = stop > cut
     cut, stop, owner = cut[solid], stop[solid], owner[solid]
     lines = np.bincount(owner, minlength=n).astype(float)
-    line_kinds, _ = _distinct(owner, span_hashes(data, cut, stop), n)
+    line_kinds, _ = _distinct(owner, span_codes(data, cut, stop)[0].astype(np.int64), n)
     return np.column_stack([
         np.log1p(words), np.log1p(size), np.minimum(_share(size, words), 40) / 10, _share(by(length > 20), words), _share(sums(upper), letters),
         _share(by(capital(first) & capital(second)), words), _share(sums(sign), size), _share(sums(digit), size), _share(sums(high), size),
@@ -130,20 +133,22 @@ def statistics_of(docs: DataFrame) -> DataFrame:
 
 
 def normal_equations(taught: DataFrame, mapping: FourierMap) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of z z' and z y over (stats, y) rows."""
+    """Sums of z z' and z y over (stats, y) rows, in whole multiples of 1 / SCALE: the same in any order of tasks."""
     d = FEATURES + len(STATISTICS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d + 1))
         for batch in batches:
             z, y = mapping(_matrix(batch, "stats")), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            total += z.T @ np.column_stack([z, y])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+            z = np.rint(z * SCALE)  # products of whole numbers below 2 ** 53 are exact in doubles
+            total += z.T @ np.column_stack([z, np.rint(y * SCALE)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(np.rint(total.ravel()).astype(np.int64))], names=["i", "v"])
 
-    rows = taught.select("stats", "y").coalesce(SUMMERS).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    exact = F.sum(F.col("v").cast("decimal(38,0)")).alias("v")
+    rows = taught.select("stats", "y").coalesce(SUMMERS).mapInArrow(run, "i long, v long").groupBy("i").agg(exact).collect()
     total = np.zeros(d * (d + 1))
     for r in rows:
-        total[r["i"]] = r["v"]
+        total[r["i"]] = float(r["v"]) / SCALE**2
     total = total.reshape(d, d + 1)
     return total[:, :d], total[:, d]
 
@@ -166,8 +171,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
     taught = written(seen.join(known, "key").select("stats", F.col("y").cast("double").alias("y")), "quality-taught")
     moments = taught.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(len(STATISTICS))],
-        *[F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(len(STATISTICS))],
+        *[F.round(F.avg(F.col("stats")[i]), 6).alias(f"m{i}") for i in range(len(STATISTICS))],
+        *[F.round(F.stddev_pop(F.col("stats")[i]), 6).alias(f"s{i}") for i in range(len(STATISTICS))],
     ).first()
     kind = f"key {seen.schema['key'].dataType.simpleString()}, score double, predicted int"
     if not moments["n"]:

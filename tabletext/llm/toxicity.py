@@ -2,12 +2,14 @@
 
 Lexicon and pattern voters look at each text. A generative label model, fitted by expectation maximization on how often
 each combination of votes occurs over all documents, estimates how accurate the voters are in each class and, by a tree of
-the strongest dependencies given the class, how they correlate. Its posterior labels train a linear classifier on counts
-and densities of what the voters saw; the classifier gives the score.
+the strongest dependencies given the class, how they correlate; labelled documents count there with their label. Its
+posterior labels, of a hashed sample of all documents and of the labelled ones, train a linear classifier on counts and
+densities of what the voters saw; the classifier gives the score. ``Toxicity.learned`` states accuracies and dependencies.
 
-The lexicon holds insults and stems that are learned from labelled documents: prefixes that occur in toxic documents and
-next to never in others. Only rows whose ``learn`` flag holds teach anything; at most ``SAMPLE_ROWS`` labelled documents
-(those with the smallest hashes) are read for that. Vote counts cover all documents.
+Words are runs of Unicode letters, for voters and for learning alike. The lexicon holds insults and stems that are learned
+from labelled documents: prefixes that occur in toxic documents and next to never in others. Only rows whose ``learn`` flag
+holds teach anything; at most ``SAMPLE_ROWS`` labelled documents and as many of all documents (those with the smallest
+hashes) are read for learning. Vote counts cover all documents.
 
 Edge cases: a null or empty text has no hits and gets the low score of a text without words; equal texts have equal
 scores; without usable labels only the fixed lexicon votes; an empty table gives an empty result; other columns are not
@@ -16,7 +18,7 @@ read. A document with several labels counts as toxic if any says so.
 
 from __future__ import annotations
 
-import re
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,12 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletext.llm.common import SpanHasher, read, span_hashes, text_bytes, text_chunks, written
+from tabletext.llm.common import drop_written, read, run_spans, span_codes, text_bytes, text_chunks, written
 
-#: Labelled documents that stems and classifier are learned from, at most.
+#: Labelled documents that stems and classifier are learned from, at most; and documents of any kind for the classifier.
 SAMPLE_ROWS = 20_000
-#: Stems tried, and stems kept, at most.
-CANDIDATES, MAX_STEMS = 20_000, 64
 STEM_BYTES = range(4, 9)
 #: Insults known beforehand.
 SEEDS = ["idiot", "moron", "stupid", "loser", "clown", "trash", "scum", "pathetic", "worthless", "disgusting"]
@@ -46,32 +46,43 @@ DERIVED = VOTERS.index("clean")
 #: A stem is firm if nearly all labelled documents with it are toxic, else loose.
 COUNTS = ["words", "seed", "seeds", "firm", "firm forms", "loose", "loose forms", "leet", "addressed", "shouted"]
 
-_LETTER = np.zeros(256, bool)
-_LETTER[list(range(97, 123)) + list(range(128, 256))] = True
 _LEET = np.arange(256, dtype=np.uint8)
 for _a, _b in zip(b"013457@$", b"oieastas", strict=True):
     _LEET[_a] = _b
-_LEET_LETTER = _LETTER.copy()
-_LEET_LETTER[list(b"013457@$")] = True
-
-
-def _runs(letters: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each run of letters."""
-    if not len(letters):
-        return (np.zeros(0, np.int64),) * 3
-    first, last = letters.copy(), letters.copy()
-    first[1:] &= ~letters[:-1]
-    last[:-1] &= ~letters[1:]
-    inner = offsets[(offsets > 0) & (offsets < len(letters))]
-    first[inner], last[inner - 1] = letters[inner], letters[inner - 1]
-    starts = np.flatnonzero(first)
-    return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
-
-
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words]).astype(np.int64)
-    return span_hashes(data, ends - [len(w) for w in words], ends) if words else np.zeros(0, np.uint64)
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b"013457@$")] = True
+
+
+@functools.cache
+def _alphabet() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Marks the bytes of UTF-8 text that belong to letters."""
+    plain = (data >= 97) & (data <= 122) | (data >= 65) & (data <= 90)
+    heads = np.flatnonzero(data >= 0xC0)
+    if not len(heads):
+        return plain
+    size = 2 + (data[heads] >= 0xE0) + (data[heads] >= 0xF0)
+    point = (data[heads] & np.array([0x1F, 0x0F, 0x07], np.uint8)[size - 2]).astype(np.int64)
+    tail = np.concatenate([data, np.zeros(3, np.uint8)])
+    for k in (1, 2, 3):
+        point = np.where(size > k, point << 6 | tail[heads + k] & 0x3F, point)
+    heads, size = (x[_alphabet()[np.minimum(point, 0x10FFFF)]] for x in (heads, size))
+    for k in range(4):
+        plain[heads[size > k] + k] = True
+    return plain
+
+
+def prefixes(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes from each start, as whole numbers of at most eight bytes, by columns."""
+    tail = np.concatenate([data, np.zeros(size, np.uint8)])
+    out = np.zeros((-(-size // 8), len(starts)), np.uint64)
+    for k in range(size):
+        out[k // 8] = out[k // 8] << np.uint64(8) | tail[starts + k]
+    return out
 
 
 class Lexicon:
@@ -84,20 +95,22 @@ class Lexicon:
         self.by_size = {}
         for size in sorted({len(c) for c in coded}):
             which = np.array([i for i, c in enumerate(coded) if len(c) == size])
-            hashes = _hash_words([coded[i] for i in which])
-            order = np.argsort(hashes)
-            self.by_size[size] = hashes[order], which[order]
-        self.address = np.sort(_hash_words([w.encode() for w in ADDRESS]))
+            keys = prefixes(np.frombuffer(b"".join(coded[i] for i in which), np.uint8), np.arange(len(which)) * size, size)
+            order = np.lexsort(keys[::-1])
+            self.by_size[size] = keys[:, order], which[order]
 
-    def hits(self, hasher: SpanHasher, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Index of the stem of each word, -1 if it has none."""
         out = np.full(len(starts), -1)
-        for size, (hashes, which) in self.by_size.items():
+        for size, (keys, which) in self.by_size.items():
             long = np.flatnonzero((ends - starts >= size) & (out < 0))
-            h = hasher(starts[long], starts[long] + size)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            ok = hashes[at] == h
-            out[long[ok]] = which[at[ok]]
+            key = prefixes(data, starts[long], size)
+            at = np.searchsorted(keys[0], key[0])
+            for _ in range(np.unique(keys[0], return_counts=True)[1].max()):  # stems that share their first eight bytes
+                near = np.minimum(at, len(which) - 1)
+                ok = (keys[:, near] == key).all(axis=0)
+                out[long[ok]] = which[near[ok]]
+                at = at + 1
         return out
 
     def counts(self, texts: pa.Array) -> np.ndarray:
@@ -105,20 +118,20 @@ class Lexicon:
         n = len(texts)
         data, offsets = text_bytes(pc.utf8_lower(texts))
         raw, raw_offsets = text_bytes(texts)
-        starts, ends, rows = _runs(_LETTER[data], offsets)
-        hasher = SpanHasher(data)
-        hit = self.hits(hasher, starts, ends)
+        letter = letters(data)
+        starts, ends, rows = run_spans(letter, offsets)
+        hit = self.hits(data, starts, ends)
         tiers = []
         for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):  # tokens and distinct words of each tier
             at = np.flatnonzero((hit >= a) & (hit < b))
-            pairs = np.unique(np.column_stack([rows[at].astype(np.uint64), hasher(starts[at], ends[at])]), axis=0)
+            pairs = np.unique(np.column_stack([rows[at], span_codes(data, starts[at], ends[at])[0]]), axis=0)
             tiers += [np.bincount(rows[at], minlength=n), np.bincount(pairs[:, 0].astype(np.int64), minlength=n)]
         # a word of address right before the hit
         found = np.flatnonzero(hit >= 0)
         before = found[(found > 0) & (rows[np.maximum(found - 1, 0)] == rows[found])] - 1
-        h = hasher(starts[before], ends[before])
-        at = np.minimum(np.searchsorted(self.address, h), len(self.address) - 1)
-        addressed = np.bincount(rows[before[self.address[at] == h]], minlength=n)
+        codes, words = span_codes(data, starts[before], ends[before])
+        known = np.array([w.decode("utf-8", "replace") in ADDRESS for w in words.to_pylist()], bool)
+        addressed = np.bincount(rows[before[known[codes]]] if len(codes) else rows[:0], minlength=n)
         # hits in capitals; only where lower-casing keeps byte positions
         same = np.diff(offsets) == np.diff(raw_offsets)
         loud = found[same[rows[found]]]
@@ -129,13 +142,13 @@ class Lexicon:
         signs = (_LEET[data] != data)
         leet = np.zeros(n, np.int64)
         if signs.any():
-            s2, e2, r2 = _runs(_LEET_LETTER[data], offsets)
+            s2, e2, r2 = run_spans(letter | _SIGN[data], offsets)
             total = np.concatenate([[0], np.cumsum(signs)])
             odd = total[e2] - total[s2]
             mixed = (odd > 0) & (odd * 2 <= e2 - s2)
             s2, e2, r2 = s2[mixed], e2[mixed], r2[mixed]
             if len(s2):
-                plain = self.hits(SpanHasher(_LEET[data]), s2, e2) >= 0
+                plain = self.hits(_LEET[data], s2, e2) >= 0
                 leet = np.bincount(r2[plain], minlength=n)
         words = np.bincount(rows, minlength=n)
         return np.column_stack([words, *tiers, leet, addressed, shouted]).astype(np.float64)
@@ -235,16 +248,25 @@ def fit_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int
     return w
 
 
-def _stems(text: str) -> set[str]:
-    out = set()
-    for word in set(re.findall(r"[^\W\d_]+", text.lower())):
-        code = word.encode()
-        for size in STEM_BYTES:
-            if len(code) >= size and (len(code) == size or code[size] & 0xC0 != 0x80):
-                out.add(code[:size].decode())
+def _stems(texts: pa.Array) -> list[set[str]]:
+    """Prefixes of the words of each text."""
+    data, offsets = text_bytes(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
+    starts, ends, rows = run_spans(letters(data), offsets)
+    codes, words = span_codes(data, starts, ends)
+    cut = [[w[:size].decode() for size in STEM_BYTES if len(w) >= size and (len(w) == size or w[size] & 0xC0 != 0x80)] for w in words.to_pylist()]
+    out: list[set[str]] = [set() for _ in range(len(texts))]
+    for row, code in {*zip(rows.tolist(), codes.tolist(), strict=True)}:
+        out[row].update(cut[code])
     return out
 
 
+def smallest_hashes(rows: DataFrame, key: str, size: int, *then: str) -> DataFrame:
+    """The rows with the smallest hashes of a key, about as many as ``size`` and no more; ties are settled by other columns."""
+    share = min(1.0, 1.5 * size / max(1, rows.count()))  # so that tasks send few rows each
+    few = F.pmod(F.xxhash64(F.lit("share"), key), F.lit(10**12)) < F.lit(int(share * 10**12))
+    return rows.where(few).orderBy(F.xxhash64(key), key, *then).limit(size)
+
+
 def learn_stems(sample: DataFrame) -> tuple[list[str], list[str]]:
     """Prefixes that mark toxic documents, firm and loose ones, from (text, toxic) rows of a bounded sample."""
 
@@ -252,8 +274,7 @@ def learn_stems(sample: DataFrame) -> tuple[list[str], list[str]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
             for batch in batches:
-                for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    stems = _stems(text.as_py() or "")
+                for stems, toxic in zip(_stems(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                     found.update((s, toxic) for s in (stems if wanted is None else stems & wanted))
                 if len(found) > 500_000:
                     yield out(found)
@@ -276,7 +297,7 @@ def learn_stems(sample: DataFrame) -> tuple[list[str], list[str]]:
     base = total[1] / (total[0] + total[1])
     least = max(4, total[1] / 500)
     tried = rows.where("toxic = 1").mapInArrow(tally(None), kind).groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    tried = {r["stem"]: r["n"] for r in tried.orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()}
+    tried = {r["stem"]: r["n"] for r in tried.collect()}  # of the sample
     clean = rows.where("toxic = 0").mapInArrow(tally(frozenset(tried)), kind).groupBy("stem").agg(F.sum("n").alias("n")).collect()
     clean = {r["stem"]: r["n"] for r in clean}
 
@@ -286,17 +307,17 @@ def learn_stems(sample: DataFrame) -> tuple[list[str], list[str]]:
         if share < max(0.3, 2 * base):
             return False
         far = share * np.log(share / base) + ((1 - share) * np.log((1 - share) / (1 - base)) if share < 1 else 0)
-        return (n + c) * far > np.log(CANDIDATES / 1e-3)
+        return (n + c) * far > np.log(max(len(tried), 1000) / 1e-3)
 
     good = {s for s, n in tried.items() if marks(n, clean.get(s, 0))}
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(_stems(t.as_py() or "") & good) for t in batch.column(0)], pa.list_(pa.string()))], names=["stems"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(s & good) for s in _stems(batch.column(0))], pa.list_(pa.string()))], names=["stems"])
 
     left = [r["stems"] for r in rows.where("toxic = 1").mapInArrow(mine, "stems array<string>").collect()]  # of the sample
     kept: list[str] = []
-    while left and len(kept) < MAX_STEMS:  # stems that only occur beside kept ones, as words of copied documents do, add nothing
+    while left:  # stems that only occur beside kept ones, as words of copied documents do, add nothing
         cover = Counter(s for stems in left for s in stems)
         if not cover:
             break
@@ -311,10 +332,13 @@ def learn_stems(sample: DataFrame) -> tuple[list[str], list[str]]:
 
 
 class Toxicity:
-    """A fitted lexicon, classifier and label model."""
+    """A fitted lexicon, classifier and label model.
+
+    ``learned``: for each voter, how often it fires among clean and toxic documents, and the voter it depends on.
+    """
 
-    def __init__(self, lexicon: Lexicon, weights: np.ndarray, posteriors: np.ndarray):
-        self.lexicon, self.weights, self.posteriors = lexicon, weights, posteriors
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray, posteriors: np.ndarray, learned: dict[str, tuple]):
+        self.lexicon, self.weights, self.posteriors, self.learned = lexicon, weights, posteriors, learned
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         # summed row by row and rounded: equal texts get equal scores in any batch
@@ -329,7 +353,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "
     """The fitted model, and (key, votes, counts) of every document. ``learn`` says which labels may be used."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     known = labels.where(learn & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("toxic"))
-    known = written(known.where("key is not null").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS), "toxicity-labels")
+    known = written(smallest_hashes(known.where("key is not null"), "key", SAMPLE_ROWS), "toxicity-labels")
     # at most SAMPLE_ROWS keys and labels
     lexicon = Lexicon(*learn_stems(docs.join(F.broadcast(known), "key")))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -344,18 +368,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "
     seen = docs.mapInArrow(look, f"key {docs.schema['key'].dataType.simpleString()}, votes long, counts array<float>")
     seen = written(seen, "toxicity-votes")
     voted = seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** len(VOTERS) rows
-    taught = seen.join(F.broadcast(known), "key").select("votes", "toxic", "counts").limit(2 * SAMPLE_ROWS).collect()
+    labelled = seen.join(F.broadcast(known), "key")
+    tally = {(r["votes"], r["toxic"]): r["n"] for r in labelled.groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     votes = np.array([r["votes"] for r in voted], np.int64)
-    tally = {t: Counter(r["votes"] for r in taught if r["toxic"] == t) for t in (0, 1)}
-    of = lambda t: np.array([tally[t][v] for v in votes.tolist()], float)
-    weights = np.zeros(len(inputs_of(np.zeros((1, len(COUNTS))))[0]))
+    of = lambda t: np.array([tally.get((v, t), 0) for v in votes.tolist()], float)
+    weights, learned = np.zeros(len(inputs_of(np.zeros((1, len(COUNTS))))[0])), {}
     posteriors = np.zeros(1 << len(VOTERS))
     if len(votes):
         model = LabelModel(votes, np.array([r["n"] for r in voted], float), of(1), of(0))
         posteriors[votes] = model.posterior
-        rows = taught or seen.select("votes", "counts").orderBy(F.xxhash64("key")).limit(SAMPLE_ROWS).collect()
+        learned = {
+            v: (model.accuracy[0][i], model.accuracy[1][i], VOTERS[model.parents[i]] if model.parents[i] >= 0 else None) for i, v in enumerate(VOTERS)
+        }
+        rows = [
+            r for df in (seen, labelled) for r in smallest_hashes(df.select("key", "votes", "counts"), "key", SAMPLE_ROWS, "votes", "counts").select("votes", "counts").collect()
+        ]
         weights = fit_classifier(inputs_of(np.array([r["counts"] for r in rows], float)), posteriors[[r["votes"] for r in rows]])
-    return Toxicity(lexicon, weights, posteriors), seen
+    return Toxicity(lexicon, weights, posteriors, learned), seen
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:

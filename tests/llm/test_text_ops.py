@@ -42,7 +42,7 @@ def test_base_spans_match_the_plain_patterns():
 def test_field_learns_and_decodes():
     texts = [f"call +{i % 9 + 1} 555 {100 + i} {2000 + i} now" for i in range(80)] + [f"room {i} has {i * 3} chairs" for i in range(80)]
     field = pii.Field(np.zeros((5, pii.N_FEATURES)))
-    data = pii.training_islands(texts)
+    data = [island for t in texts for _, island in pii.training_islands(t)]
     assert any(y for _, _, gold in data for _, _, y in gold) and any(all(y == 0 for _, _, y in gold) for _, _, gold in data)
     # the gradient agrees with differences of the log-likelihood
     n, segs, gold = next(d for d in data if any(y for _, _, y in d[2]))
@@ -103,6 +103,44 @@ def _accuracy(rows, truth):
     return np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
 
 
+def test_long_islands_are_cut_between_spans():
+    text = " ".join(["a1"] * 23 + ["+49 30 1234 5678"] + ["b2"] * 60)
+    found = list(pii.training_islands(text))
+    assert sum(n for _, (n, _, _) in found) == 87 and all(n <= pii.ISLAND_TOKENS + pii.MAX_TOKENS for _, (n, _, _) in found)
+    assert sum(inside for inside, _ in found) == 1
+
+
+def test_words_are_runs_of_letters():
+    lexicon = toxicity.Lexicon(["brüll"], ["disgustibl"])
+    texts = pa.array(["you “idiot” «IDIOT» idiot—ic", "BRÜLLEND brüll’s x漢字y", "1d10t st00ge stup1d", "idio", "", "disgusti disgustible disgusting " + "a" * 5000])
+    counts = dict(zip(toxicity.COUNTS, lexicon.counts(texts).T.tolist(), strict=True))
+    assert counts["seed"] == [3, 0, 0, 0, 0, 1] and counts["firm"] == [0, 2, 0, 0, 0, 0] and counts["loose"] == [0, 0, 0, 0, 0, 1]
+    assert counts["leet"] == [0, 0, 1, 0, 0, 0] and counts["addressed"] == [1, 0, 0, 0, 0, 0] and counts["shouted"][0] == 1
+    assert counts["words"] == [5, 4, 6, 1, 0, 4]
+    assert [sorted(x) for x in toxicity._stems(pa.array(["«Üben» ab", None]))] == [["üben"], []]
+
+
+def test_quality_against_plain_equations(spark):
+    """Normal equations and scores as plain numpy computes them from the same statistics."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    stats = rng.normal(size=(300, len(quality.STATISTICS))).astype(np.float32)
+    y = (stats[:, 0] > 0).astype(float)
+    df = spark.createDataFrame([(s.tolist(), float(v)) for s, v in zip(stats, y, strict=True)], "stats array<float>, y double").repartition(5)
+    mapping = quality.FourierMap(np.zeros(stats.shape[1]), np.ones(stats.shape[1]))
+    zz, zy = quality.normal_equations(df, mapping)
+    z = mapping(stats.astype(float))
+    assert np.allclose(zz, z.T @ z, atol=0.2) and np.allclose(zy, z.T @ y, atol=0.2)
+    again = quality.normal_equations(df.repartition(3), mapping)
+    assert (zz == again[0]).all() and (zy == again[1]).all()  # whatever the order of tasks
+    wide = rng.standard_normal((20_000, stats.shape[1])) / 4
+    kernel = np.exp(-((wide[::2] - wide[1::2]) ** 2).sum(axis=1) / (2 * quality.WIDTH**2))
+    d = quality.FEATURES
+    near = (mapping(wide[::2])[:, :d] * mapping(wide[1::2])[:, :d]).sum(axis=1)
+    assert abs(near - kernel).max() < 0.4 and abs((near - kernel).mean()) < 0.05
+    centres, values = quality.isotonic(np.arange(6.0), np.array([0, 0.5, 0.2, 0.9, 0.8, 1]), np.array([1, 1, 1, 1, 3, 1]))
+    assert values.tolist() == pytest.approx([0, 0.35, 0.825, 1]) and centres.tolist() == pytest.approx([0, 1.5, 3.75, 5])
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"  # the smaller tables hold too few toxic documents to learn stems from
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
