@@ -16,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,7 +30,8 @@ from tabletext.llm.common import read, text_chunks, written
 #: Samples in a row of an image; payloads are padded to a multiple of it.
 ROW = 192
 _MEDIA = {"img": "image", "video": "video", "audio": "audio"}
-_HIDDEN = {"script", "style", "template", "noscript", "head"}
+#: Elements whose text is not shown. The end tag of head is optional; what it holds beside these is shown nowhere or is body already.
+_HIDDEN = {"script", "style", "template", "noscript", "title"}
 _BLOCKS = {
     "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
@@ -42,7 +44,7 @@ _ITEM_ARROW = pa.list_(pa.struct([("position", pa.int32()), *[(c, pa.string()) f
 
 
 class Sequence(HTMLParser):
-    """Collects the items of one page."""
+    """Collects the items of one page. A caption ends with its tag, its figure, the next caption or figure, or the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -50,7 +52,7 @@ class Sequence(HTMLParser):
         self.words: list[str] = []
         self.caption: list[str] | None = None
         self.figure: list[int] | None = None  # items of the open figure
-        self.hidden = 0
+        self.hidden = dict.fromkeys(_HIDDEN, 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -58,11 +60,31 @@ class Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text})
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text = " ".join("".join(self.caption).split())
+        self.caption = None
+        for i in self.figure or []:
+            self.items[i]["caption"] = text or self.items[i].get("caption")
+        if not self.figure and text:  # a caption of no media stays as text
+            self.items.append({"kind": "text", "text": text})
+
+    def end(self) -> None:
+        self.end_caption()
+        self.flush()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _HIDDEN:
-            self.hidden += 1
-        if tag in _BLOCKS or tag in _MEDIA:
+            self.hidden[tag] += 1
+        if tag == "body":
+            self.hidden["title"] = self.hidden["noscript"] = 0
+        if tag in ("figure", "figcaption"):
+            self.end_caption()
+        if self.caption is None and (tag in _BLOCKS or tag in _MEDIA):
             self.flush()
+        if tag in _BLOCKS and self.caption is not None:
+            self.caption.append(" ")
         if tag == "figure":
             self.figure = []
         elif tag == "figcaption":
@@ -84,22 +106,17 @@ class Sequence(HTMLParser):
             item["digest"] = digest.removeprefix("sha256:").lower() if digest.startswith("sha256:") else None
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _HIDDEN and self.hidden:
-            self.hidden -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for i in self.figure or []:
-                self.items[i]["caption"] = text or self.items[i].get("caption")
-            if self.figure is None and text:
-                self.items.append({"kind": "text", "text": text})
-        elif tag in _BLOCKS:
+        if tag in _HIDDEN and self.hidden[tag]:
+            self.hidden[tag] -= 1
+        if tag in ("figcaption", "figure"):
+            self.end_caption()
+        if tag in _BLOCKS and self.caption is None:
             self.flush()
         if tag == "figure":
             self.figure = None
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if not any(self.hidden.values()):
             (self.words if self.caption is None else self.caption).append(data)
 
 
@@ -107,7 +124,7 @@ def sequence(html: str) -> list[dict]:
     parser = Sequence()
     parser.feed(html)
     parser.close()
-    parser.flush()
+    parser.end()
     return [dict.fromkeys(ITEM.names) | item | {"position": i} for i, item in enumerate(parser.items)]
 
 
@@ -213,7 +230,7 @@ def media_facts(store: DataFrame) -> DataFrame:
 
 
 def pages_of_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, html): a page that refers to the image of the text, with a caption."""
+    """(key, n_bytes, html): the lines of the text as paragraphs, and between them a reference to its image, with a caption."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -222,7 +239,9 @@ def pages_of_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 t = t.as_py()
                 digest = hashlib.sha256(padded(t)).hexdigest()
                 size = len(t.encode())
-                rows.append((size, f'<article><h1>Text</h1><figure><img src="sha256:{digest}"><figcaption>{size} bytes</figcaption></figure></article>'))
+                lines = [f"<p>{escape(line, quote=False)}" for line in t.split("\n")]
+                middle = f'<figure><img src="sha256:{digest}"><figcaption>{size} bytes</figure>'
+                rows.append((size, f"<html><head><title>Text</title><body>{''.join(lines[: len(lines) // 2])}{middle}{''.join(lines[len(lines) // 2 :])}"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["key", "n_bytes", "html"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -230,7 +249,7 @@ def pages_of_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text as a page with one image; the image comes from the store by digest."""
+    """Each text as a page of its lines with one image between them; the image comes from the store by digest."""
     docs = read(spark, sf_dir, "documents")
     # written, so that a digest that very many texts share can be split in the join
     facts = written(media_facts(store_texts(docs)), "media-facts")

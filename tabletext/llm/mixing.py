@@ -2,16 +2,17 @@
 
 Each source gets a mean repetition rate so that its expected share of the output is its target weight. Each document
 is then repeated k times, k being the inverse of a Poisson distribution at a number that only the document's key, the
-seed and the rate fix. The copies are dealt out and ordered by a hash of key and copy, a global shuffle that a rerun
-repeats exactly.
+seed and the rate fix. The copies are dealt out by a hash of key and copy, uniform in [0, 1), and
+ordered by it within each part: a global shuffle that a rerun repeats exactly and that needs no sample of its keys.
 
 Edge cases: a null source is a source of its own; a null key has the hash of the empty text; repeated rows are repeated
-alike; an empty table gives an empty result; columns of the input named like the added ones are replaced by them.
+alike and dealt out together; an empty table gives an empty result; columns of the input named like the added ones are replaced by them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabletext.llm.common import read, written
@@ -54,8 +55,8 @@ def source_rates(docs: DataFrame, source: str, weights: DataFrame | None, temper
         counts = counts.join(given, F.col("mix_source").eqNullSafe(F.col("given_source")), "left").select(
             "mix_source", "mix_rows", F.coalesce("given_weight", F.lit(0.0)).alias("mix_weight")
         )
-    totals = counts.agg(F.sum("mix_weight").alias("all_weight"), F.sum("mix_rows").alias("all_rows"))
-    return counts.join(F.broadcast(totals)).select(  # one row of totals
+    over = lambda c: F.sum(c).over(W.partitionBy(F.lit(0)))  # noqa: E731  of one row a source
+    return counts.withColumn("all_weight", over("mix_weight")).withColumn("all_rows", over("mix_rows")).select(
         "mix_source",
         "mix_rows",
         F.when(F.col("all_weight") > 0, F.col("mix_weight") / F.col("all_weight")).otherwise(0.0).alias("mix_share"),
@@ -102,15 +103,15 @@ def mix_sources(
     )
     if not shuffle:
         return mixed
-    return mixed.repartitionByRange(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", key, "copy")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = mixed.repartition(parts, F.floor(F.col("shuffle_key") * (1 << 20)))  # a hash of a uniform number: equal shares, no sampling pass
+    return dealt.sortWithinPartitions("shuffle_key", key, "copy")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, sources at square-root weights, as many rows out as in on average."""
     docs = read(spark, sf_dir, "documents")
-    return mix_sources(docs).select(
-        "doc_id", "copy", "source", F.round("rate", 9).alias("rate"), F.round("shuffle_key", 12).alias("shuffle_key"), "text"
-    ).withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")))).drop("text")
+    return mix_sources(docs).select("doc_id", "copy", "source", F.round("rate", 9).alias("rate"), F.round("shuffle_key", 12).alias("shuffle_key"), "text")
 
 
 ORACLE = """
@@ -128,7 +129,6 @@ m AS (SELECT d.doc_id, d.source, d.text, d.rate,
 e AS (SELECT m.*, unnest(generate_series(1, times)) AS copy FROM m WHERE times > 0)
 SELECT doc_id, copy::INTEGER AS copy, source, round(rate, 9) AS rate,
   round(('0x' || substr(md5('mix:order:' || doc_id::VARCHAR || ':' || copy::VARCHAR), 1, 13))::BIGINT::DOUBLE
-    / 4503599627370496.0, 12) AS shuffle_key,
-  md5(coalesce(text, '')) AS text_md5
+    / 4503599627370496.0, 12) AS shuffle_key, text
 FROM e
 """

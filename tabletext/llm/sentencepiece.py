@@ -254,13 +254,12 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode and decode every whole text; the ids are given by count, digest and first ids."""
+    """Encode and decode every whole text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return encode(docs, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
-        F.xxhash64("ids").alias("ids_hash"),
-        F.slice("ids", 1, 8).alias("first_ids"),
+        "ids",
         F.length("decoded").cast("long").alias("n_chars"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )

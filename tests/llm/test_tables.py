@@ -61,6 +61,45 @@ def test_sequence():
     assert media.sequence("") == [] and media.sequence("<p><figure><img>")[0]["kind"] == "image"
 
 
+def test_optional_end_tags():
+    found = lambda html: [(i["kind"], i["text"], i["caption"]) for i in media.sequence(html)]
+    assert found("<html><head><title>t</title><body><p>Hello</p><img src=a>") == [("text", "Hello", None), ("image", None, None)]
+    assert found("<head><title>t</title><style>p{}</style><p>x") == [("text", "x", None)]
+    assert found("<figure><img src=a><figcaption>c</figure><p>after") == [("image", None, "c"), ("text", "after", None)]
+    assert found("<figure><figcaption>c<p>d<img src=a></figure>z<img src=b>") == [("image", None, "c d"), ("text", "z", None), ("image", None, None)]
+    assert found("<p>a<figcaption>lone") == [("text", "a", None), ("text", "lone", None)]
+
+
+def test_given_pages_keep_their_words(spark):
+    """Every word outside tags, titles, scripts and styles of the given pages is in the items, in order."""
+    import re
+    from html import unescape
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html")
+    items = {r["page_id"]: r["items"] for r in media.interleave(pages).collect()}
+    rows = pages.collect()
+    assert len(items) == len({r["page_id"] for r in rows}) and any(i["kind"] == "text" for x in items.values() for i in x)
+    for r in rows:
+        plain = re.sub(r"(?is)<(script|style|title|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ", r["html"] or "")
+        words = "".join(unescape(re.sub(r"(?s)<[^>]*>", " ", plain)).split())
+        said = "".join("".join((i["text"] or i["caption"] or "").split()) for i in items[r["page_id"]])
+        assert words == said, r["page_id"]
+
+
+def test_documents_as_pages_keep_their_words(spark, edge_docs):
+    rows = media.interleave(media.pages_of_texts(edge_docs)).collect()
+    for r in rows:
+        assert [i["kind"] for i in r["items"]].count("image") == 1
+    words = sorted(" ".join(i["text"] for i in r["items"] if i["kind"] == "text") for r in rows)
+    assert words == sorted(" ".join((r["text"] or "").split()) for r in edge_docs.collect())
+
+
+def test_media_and_warc_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert media.op5_media(spark, str(tmp_path)).collect() == [] and warc.op6_warc(spark, str(tmp_path)).collect() == []
+
+
 def test_resolve_keeps_places(spark):
     pages = spark.createDataFrame([(1, HTML, "x"), (2, None, "y"), (3, "<p>a<img data-digest='sha256:ab'>b", "z")], "page_id long, html string, digest string")
     facts = spark.createDataFrame([("ab", 7)], "digest string, size int")
