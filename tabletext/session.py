@@ -15,6 +15,9 @@ def build_session(app: str = "tabletext", cores: str | int | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # whole texts are long rows, and every task holds a batch or two
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
