@@ -117,7 +117,7 @@ def test_words_are_runs_of_letters():
     assert counts["seed"] == [3, 0, 0, 0, 0, 1] and counts["firm"] == [0, 2, 0, 0, 0, 0] and counts["loose"] == [0, 0, 0, 0, 0, 1]
     assert counts["leet"] == [0, 0, 1, 0, 0, 0] and counts["addressed"] == [1, 0, 0, 0, 0, 0] and counts["shouted"][0] == 1
     assert counts["words"] == [5, 4, 6, 1, 0, 4]
-    assert [sorted(x) for x in toxicity._stems(pa.array(["«Üben» ab", None]))] == [["üben"], []]
+    assert [sorted(x) for x in toxicity._stems(pa.array(["«Üben» ab", None]))] == [["übe", "üben"], []]
 
 
 def test_quality_against_plain_equations(spark):
