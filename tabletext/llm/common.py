@@ -78,7 +78,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: i
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        texts = batch.column(at).cast(pa.large_string())
+        texts = batch.column(at)
+        texts = texts if pa.types.is_binary(texts.type) else texts.cast(pa.large_string())
         texts = pc.fill_null(texts, "") if fill else texts
         batch = pa.RecordBatch.from_arrays(
             [texts if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names
@@ -206,7 +207,7 @@ def digest(data: bytes) -> bytes:
 
 #: Names of words met in this worker, and how many are held.
 _NAMES: dict[bytes, bytes] = {}
-_HELD = 100_000
+_HELD = 200_000
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -233,10 +234,20 @@ def text_ids(texts: pa.Array) -> list[bytes]:
     return [digest(t.as_py().encode()) for t in texts]
 
 
+#: Odd factors of the names in a window, for each lane.
+_FACTORS = mix(np.arange(1, 129, dtype=np.uint64) * _STEP).reshape(2, 64) | np.uint64(1)
+
+
 def window_digests(names: np.ndarray, width: int) -> np.ndarray:
-    """Two lanes for each run of ``width`` consecutive names, by start; the caller drops runs that cross rows."""
-    starts = np.arange(max(0, names.shape[1] - width + 1))
-    return Ranges(names)(starts, starts + width)
+    """A digest, in as many lanes as the names have, for each run of ``width`` consecutive names, by start; the caller drops runs that cross rows."""
+    n = max(0, names.shape[1] - width + 1)
+    out = np.empty((len(names), n), np.uint64)
+    for lane, (values, factors) in enumerate(zip(names, _FACTORS, strict=False)):
+        total = np.full(n, width, np.uint64)
+        for i in range(width if n else 0):
+            total += values[i : i + n] * factors[i]
+        out[lane] = mix(total)
+    return out
 
 
 def row_starts(rows: np.ndarray, n: int) -> np.ndarray:

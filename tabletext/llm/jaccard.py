@@ -11,8 +11,12 @@ are not signed. What the differences cannot spoil and is not empty is the number
 each linked one (``need``). Where that is none (a small set in few cells), the set signs under a second division as well,
 and so on until it has a need: two linked sets that both have none meet under the next division.
 
-Candidates: signatures meet in buckets of measured size. A class that has fewer shared signatures than it needs is alone;
-of the others, each keeps its rarest ones, all but ``need - 1`` (two linked classes still share one of these).
+First, sets that have no partner are left out, exactly: in one order of all shingles (by hash), the first
+``prefix_size`` ones of two linked sets share at least ``prefix_need`` (the prefix filter), so a class of whose prefix
+fewer shingles occur in other classes is alone. Only the rest is signed.
+
+Candidates: prefixes and signatures meet in buckets of measured size. A class that has fewer shared signatures than it
+needs is alone; of the others, each keeps its rarest ones, all but ``need - 1`` (two linked classes still share one).
 
 Verification: each class first meets one centre, the smallest class that it shares a signature with, is compared exactly,
 and what links is contracted; so a large group of copies of one text is gone after work in proportion to its size. Where
@@ -33,6 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,13 +47,16 @@ from tabletext.llm.common import digest, drop_written, mix, read, row_starts, si
 from tabletext.llm.components import components
 
 WIDTH = 5
+#: Shingles of a set that is small: a set that differs from it in one shingle need not be linked with it.
+SMALL = 8
 #: Features in one block of a candidate group; a task holds two blocks.
 BLOCK_FEATURES = 500_000
-#: Bytes of text whose signatures are packed together, and of signatures in a bucket, about.
+#: Bytes of sets whose signatures are packed together, half of them, and of entries in a bucket, about.
 PACK_BYTES, BUCKET_BYTES = 1_000_000, 16 << 20
-#: Marks in the highest bits of a packed signature: several classes of the batch have it; it is no more than one of these;
-#: what kind it is (first division of the own band, of the next band, or a later division).
-SHARED, KNOWN, KIND, BARE = np.uint64(1 << 63), np.uint64(1 << 62), np.uint64(60), np.uint64((1 << 60) - 1)
+#: Marks in the highest of a packed signature's 56 bits: several classes of the batch have it; it is no more than one of
+#: these; what kind it is (first division of the own band, of the next band, or a later division; 3: a need, not a signature).
+SHARED, KNOWN, KIND, BARE = np.uint64(1 << 55), np.uint64(1 << 54), np.uint64(52), np.uint64((1 << 52) - 1)
+SHORT = np.uint64((1 << 48) - 1)
 #: Divisions that a set is tried under before giving up; each fails with a chance well below one half.
 DIVISIONS = 200
 
@@ -57,38 +65,73 @@ def linked(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.n
     return 100 * common >= 75 * (a + b - common)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, offsets, number of words): the distinct shingles of each row, two lanes, sorted within the row."""
-    words, rows = words_of(texts, lower=True)
-    n = len(texts)
-    at = row_starts(rows, n)
-    counts = np.diff(at)
+def _shingles(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, in the lanes of the words, and their rows; those of a short document are its whole sequence."""
+    counts = np.bincount(rows, minlength=n)
+    at = np.cumsum(counts) - counts
     whole = window_digests(words, WIDTH)
     inside = rows[: whole.shape[1]] == rows[WIDTH - 1 :] if whole.shape[1] else np.zeros(0, bool)
     values, owner = [whole[:, inside]], [rows[: whole.shape[1]][inside]]
-    for size in range(1, WIDTH):  # short documents: the whole sequence
+    for size in range(1, WIDTH):
         short = np.flatnonzero(counts == size)
         if len(short):
             values.append(window_digests(words, size)[:, at[short]])
             owner.append(short)
-    values, owner = np.concatenate(values, axis=1), np.concatenate(owner)
-    order = np.lexsort((values[1], values[0], owner))
-    values, owner = values[:, order], owner[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (values[:, 1:] != values[:, :-1]).any(axis=0) | (owner[1:] != owner[:-1])
-    values, owner = values[:, new], owner[new]
-    return values, row_starts(owner, n), counts
+    return np.concatenate(values, axis=1), np.concatenate(owner)
+
 
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(values, offsets, number of words, class): the distinct shingles of each row, sorted within the row.
 
-def class_ids(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """A 128-bit digest of each set, equal for equal sets."""
-    flat = np.ascontiguousarray(values.T)
-    return [digest(flat[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    The class is a 128-bit digest of the set. That of a small set takes in both lanes of its shingles; larger sets that
+    differed in shingles with equal first lanes would be linked in any case.
+    """
+    words, rows = words_of(texts, lower=True)
+    n = len(texts)
+    values, owner = _shingles(words[:1], rows, n)
+    values = values[0]
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    values, owner = values[new], owner[new]
+    offsets = row_starts(owner, n)
+    sizes = np.diff(offsets)
+    few = np.flatnonzero((sizes > 0) & (sizes <= SMALL))
+    extra = dict.fromkeys(few.tolist(), b"")
+    if len(few):
+        use = np.isin(rows, few)
+        second, owner = _shingles(words[1:, use], rows[use], n)
+        pairs = np.unique(np.column_stack([owner.astype(np.uint64), second[0]]), axis=0)
+        ends = row_starts(pairs[:, 0].astype(np.int64), n)
+        extra = {i: pairs[ends[i] : ends[i + 1], 1].tobytes() for i in few.tolist()}
+    data, bounds = values.tobytes(), (8 * offsets).tolist()
+    classes = [digest(data[a:b] + extra.get(i, b"")) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+    return values, offsets, np.bincount(rows, minlength=n), classes
 
 
 def short_ids(ids: list[bytes]) -> np.ndarray:
-    """64 bits of each class digest, for candidates only: classes that share them are all looked at."""
-    return np.frombuffer(b"".join(ids), np.uint64)[::2].copy() if ids else np.zeros(0, np.uint64)
+    """48 bits of each class digest, for candidates only: classes that share them are all looked at."""
+    return np.frombuffer(b"".join(ids), np.uint64)[::2] & SHORT if ids else np.zeros(0, np.uint64)
+
+
+def _cut(x: np.ndarray, size: int) -> np.ndarray:
+    """The low bytes of each number."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :size]
+
+
+def _uncut(data: list[bytes], size: int) -> np.ndarray:
+    return np.pad(np.frombuffer(b"".join(data), np.uint8).reshape(-1, size), ((0, 0), (0, 8 - size))).view(np.uint64).ravel()
+
+
+def prefix_size(sizes: np.ndarray) -> np.ndarray:
+    """Shingles of a set's prefix: those that may be missing in a linked set, and a tenth of all."""
+    return np.minimum(sizes, sizes - -(-3 * sizes // 4) + sizes // 10 + 1)
+
+
+def prefix_need(sizes: np.ndarray) -> np.ndarray:
+    """Shingles that the prefixes of a set and a linked one share, at least; the linked one may be smaller by a quarter."""
+    return -(-3 * sizes // 4) // 10 + 1
 
 
 def bands(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +148,7 @@ def scheme(band: int) -> tuple[int, int, int]:
         return 0, 0, 0
     n2, k2 = (5, 2) if largest < 32 else (3, 1)
     worse = differ // (k2 + 1)  # parts that can differ in more cells
-    return worse + 1 + worse // 4, n2, k2
+    return worse + 1 + worse // 8, n2, k2
 
 
 def least_shared(differ: np.ndarray, n1: int, n2: int, k2: int) -> np.ndarray:
@@ -129,7 +172,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     for ahead in (0, 1):
         rows = np.flatnonzero((sizes >= 3) & (next_too if ahead else True))
         for band in np.unique(own[rows] + ahead).tolist():
-            found += _band_signatures(values[0], offsets, rows[own[rows] + ahead == band], band, ahead)
+            found += _band_signatures(values, offsets, rows[own[rows] + ahead == band], band, ahead)
     return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
 
@@ -145,11 +188,9 @@ def _band_signatures(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray,
         owner = np.repeat(np.arange(len(rows)), sizes)
         hashed = mix(values[element] ^ np.uint64(0xA5A5A5A5 + 7919 * division))
         cell = owner * (n1 * n2) + (hashed % np.uint64(n1 * n2)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        cell, hashed = cell[order], mix(hashed[order] + np.uint64(7))
-        at = np.flatnonzero(np.diff(cell, prepend=-1))
         content, filled = np.zeros(len(rows) * n1 * n2, np.uint64), np.zeros(len(rows) * n1 * n2, bool)
-        content[cell[at]], filled[cell[at]] = np.add.reduceat(hashed, at), True
+        np.add.at(content, cell, mix(hashed + np.uint64(7)))
+        filled[cell] = True
         content, filled = content.reshape(-1, n2), filled.reshape(-1, n2)
         part = np.arange(len(content))
         label = np.uint64(band * 1_000_003 + division) + (part % n1).astype(np.uint64) * np.uint64(1 << 32)
@@ -171,80 +212,148 @@ def _band_signatures(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray,
 
 
 def set_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_words, n_shingles, cls, short) for every document."""
-    names = ["key", "n_words", "n_shingles", "cls", "short"]
+    """(key, n_words, n_shingles, cls, short, prefix) for every document; a task gives the prefix of a class once."""
+    names = ["key", "n_words", "n_shingles", "cls", "short", "prefix"]
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # classes of this task; some hundred bytes for each of its documents
         for batch in text_chunks(batches):
-            values, offsets, words = shingle_sets(batch.column(1))
-            ids = class_ids(values, offsets)
-            columns = [pa.array(words.astype(np.int64)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(ids, pa.binary()), pa.array(signed(short_ids(ids)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            values, offsets, words, ids = shingle_sets(batch.column(1))
+            sizes = np.diff(offsets)
+            ends = offsets[:-1] + prefix_size(sizes)
+            prefixes = []
+            for c, start, end in zip(ids, offsets[:-1].tolist(), ends.tolist(), strict=True):
+                prefixes.append(None if c in seen or start == end else _cut(values[start:end] >> np.uint64(8), 7).tobytes())
+                seen.add(c)
+            columns = [pa.array(words.astype(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(ids, pa.binary()), pa.array(signed(short_ids(ids)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(prefixes, pa.binary())], names=names)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {key_type}, n_words long, n_shingles long, cls binary, short long")
+    return rows.mapInArrow(run, f"key {key_type}, n_words long, n_shingles long, cls binary, short long, prefix binary")
 
 
-def shared_signatures(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(sig, short, kind, need) of the signatures that at least two classes have. A row can occur twice."""
+def _buckets_of(entries: int) -> int:
+    return max(64, entries * 13 // BUCKET_BYTES)
+
+
+def _spread(entries: np.ndarray, cls: np.ndarray, buckets: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Entries that meet by value, in buckets that are ranges of it, and the places of the others.
+
+    ``entries`` are sorted, values below BARE with marks above. The first of the classes of a batch that share a value
+    stands for them, marked SHARED; the others are known to share it.
+    """
+    bare = entries & BARE
+    first = np.diff(bare, prepend=~bare[:1]) != 0
+    group = np.diff(np.append(np.flatnonzero(first), len(bare)))
+    entries = entries | np.where(np.repeat(group, group) > 1, SHARED, 0).astype(np.uint64)
+    width = (BARE + np.uint64(1)) // np.uint64(buckets) + np.uint64(1)
+    return _in_buckets((bare // width)[first], entries[first], cls[first]), np.flatnonzero(~first)
+
+
+def _meeting(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(entries, classes) that several classes share, and those marked KNOWN, of the packed rows of a bucket; equal entries once."""
+    sig, cls = _uncut(table.column("sig").to_pylist(), 7), _uncut(table.column("cls").to_pylist(), 6)
+    order = np.lexsort((cls, sig & ~SHARED))
+    sig, cls = sig[order], cls[order]
+    plain = sig & ~SHARED
+    new = np.ones(len(sig), bool)
+    new[1:] = (plain[1:] != plain[:-1]) | (cls[1:] != cls[:-1])
+    marked = np.logical_or.reduceat(sig & SHARED > 0, np.flatnonzero(new)) if len(sig) else new
+    plain, cls = plain[new], cls[new]
+    apart = plain & KNOWN > 0
+    bare = np.where(apart, np.arange(len(plain), dtype=np.uint64) | KNOWN, plain & BARE)
+    order = np.argsort(bare, kind="stable")
+    at = np.flatnonzero(np.diff(bare[order], prepend=~bare[order][:1]))
+    keep = np.zeros(len(plain), bool)
+    if len(at):
+        group = np.diff(np.append(at, len(plain)))
+        keep[order] = np.repeat(np.logical_or.reduceat(marked[order], at) | (group > 1), group)
+    keep |= apart
+    return plain[keep], cls[keep]
+
+
+def shared_prefixes(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """(short, n): how many shingles of a class's prefix occur in prefixes of other classes, in parts. n can be too large."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = _uncut(batch.column(1).to_pylist(), 7) >> np.uint64(4)
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 7
+            cls = np.repeat(batch.column(0).to_numpy().view(np.uint64), sizes)
+            order = np.argsort(values)
+            met, others = _spread(values[order], cls[order], buckets)
+            yield met
+            which, counts = np.unique(cls[order][others], return_counts=True)
+            apart = counts.astype(np.uint64) | KNOWN
+            bucket = mix(which) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            yield _in_buckets(bucket[order], apart[order], which[order])
+
+    def meet(table: pa.Table) -> pa.Table:
+        sig, cls = _meeting(table)
+        counts = np.where(sig & KNOWN > 0, sig & BARE, np.uint64(1)).astype(np.int64)
+        which, at = np.unique(cls, return_inverse=True)
+        return pa.table({"short": signed(which), "n": np.bincount(at, counts, len(which)).astype(np.int64)})
+
+    packed = prefixes.mapInArrow(pack, "bucket long, sig binary, cls binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "short long, n long")
+
+
+def shared_signatures(sets: DataFrame, buckets: int) -> DataFrame:
+    """(sig, short, kind, need) of the signatures that at least two classes have, and rows without ``sig`` of needs above one.
+
+    ``sets`` (short, shingles) has one row a class.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # classes this task has signed; some hundred bytes for each of its documents
-        for batch in text_chunks(batches, size=PACK_BYTES):
-            values, offsets, _ = shingle_sets(batch.column(0))
-            ids = class_ids(values, offsets)
-            fresh = np.zeros(len(ids), bool)
-            for i, c in enumerate(ids):
-                if c not in seen:
-                    seen.add(c)
-                    fresh[i] = True
+        for batch in text_chunks(batches, "shingles", fill=False, size=2 * PACK_BYTES):
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 8)])
+            short = batch.column(0).to_numpy().view(np.uint64)
             sig, owner, kind, need = signatures(values, offsets)
-            use = fresh[owner]
-            sig = sig[use] & BARE | kind[use].astype(np.uint64) << KIND
-            cls, need = short_ids(ids)[owner[use]], np.minimum(need[use], 65_535).astype(np.uint16)
-            order = np.lexsort((cls, sig & BARE))
-            sig, cls, need = sig[order], cls[order], need[order]
-            bare = sig & BARE
-            first = np.ones(len(sig), bool)
-            first[1:] = bare[1:] != bare[:-1]
-            group = np.diff(np.append(np.flatnonzero(first), len(sig)))
-            several = np.repeat(group, group) > 1
-            # the first of the classes that share a signature here stands for them where it meets; the others are known to share it
-            bucket = np.where(first, bare >> np.uint64(20), mix(cls ^ bare)) % np.uint64(buckets)
-            sig = sig | np.where(several, SHARED, 0).astype(np.uint64) | np.where(first, 0, KNOWN).astype(np.uint64)
+            asked = np.unique(np.column_stack([owner, kind, need]), axis=0)
+            asked = asked[asked[:, 2] > 1].astype(np.uint64)
+            order = np.argsort(sig & BARE)
+            entries, cls = (sig & BARE | kind.astype(np.uint64) << KIND)[order], short[owner[order]]
+            met, others = _spread(entries, cls, buckets)
+            yield met
+            # what is known to be shared goes anywhere, as do the needs of classes
+            apart = np.concatenate([entries[others] | KNOWN, np.minimum(asked[:, 2], BARE >> np.uint64(2)) << np.uint64(2) | asked[:, 1] | np.uint64(3) << KIND | KNOWN])
+            of = np.concatenate([cls[others], short[asked[:, 0].astype(np.int64)]])
+            bucket = mix(of ^ apart) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            sig, cls, need = sig[order], cls[order], need[order]
-            which, starts = np.unique(bucket[order], return_index=True)
-            spans = list(zip(which.tolist(), starts.tolist(), np.append(starts[1:], len(sig)).tolist(), strict=False))
-            columns = [pa.array([b for b, _, _ in spans], pa.int64()), *[pa.array([x[i:j].tobytes() for _, i, j in spans], pa.binary()) for x in (sig, cls, need)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "sig", "cls", "need"])
+            yield _in_buckets(bucket[order], apart[order], of[order])
 
     def meet(table: pa.Table) -> pa.Table:
-        sig, cls, need = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("sig", np.uint64), ("cls", np.uint64), ("need", np.uint16)))
-        order = np.lexsort((sig & KNOWN, sig & BARE))
-        sig, cls, need = sig[order], cls[order], need[order]
-        at = np.flatnonzero(np.diff(sig & BARE, prepend=~(sig[:1] & BARE)))
-        group = np.diff(np.append(at, len(sig)))
-        marked = np.logical_or.reduceat(sig & (SHARED | KNOWN) > 0, at) if len(at) else np.zeros(0, bool)
-        differs = np.maximum.reduceat(cls, at) != np.minimum.reduceat(cls, at) if len(at) else marked
-        keep = np.repeat(marked | differs, group) if len(at) else np.zeros(0, bool)
-        sig, cls, need = sig[keep], cls[keep], need[keep]
-        kind = ((sig >> KIND) & np.uint64(3)).astype(np.int32)
-        return pa.table({"sig": signed(sig & BARE), "short": signed(cls), "kind": kind, "need": need.astype(np.int32)})
-
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "bucket long, sig binary, cls binary, need binary")
+        sig, cls = _meeting(table)
+        kind, bare = ((sig >> KIND) & np.uint64(3)).astype(np.int32), sig & BARE
+        asked = kind == 3
+        need = np.where(asked, bare >> np.uint64(2), 1).astype(np.int32)
+        kind = np.where(asked, bare & np.uint64(3), kind).astype(np.int32)
+        return pa.table({"sig": pa.array(signed(bare), mask=asked), "short": signed(cls), "kind": kind, "need": need})
+
+    packed = sets.select("short", "shingles").mapInArrow(pack, "bucket long, sig binary, cls binary")
     return packed.groupBy("bucket").applyInArrow(meet, "sig long, short long, kind int, need int")
 
 
+def _in_buckets(bucket: np.ndarray, sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, of entries sorted by bucket."""
+    which, starts = np.unique(bucket, return_index=True)
+    spans = list(zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=False))
+    columns = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (_cut(sig, 7), _cut(cls, 6))]
+    return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), *columns], names=["bucket", "sig", "cls"])
+
+
 def rarest_signatures(shared: DataFrame) -> DataFrame:
     """(sig, short): for each class with enough shared signatures, the rarest ones, all but ``need - 1``."""
-    shared = shared.groupBy("sig", "short", "kind").agg(F.min("need").alias("need"))
-    often = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("freq"))
+    shared = shared.groupBy("sig", "short", "kind").agg(F.max("need").alias("need"))
+    often = shared.where("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("freq"))
     return (
-        shared.join(often, "sig")
+        shared.join(often, "sig", "left")
         .groupBy("short", "kind")
-        .agg(F.min("need").alias("need"), F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("sigs"))  # at most the document's own signatures
+        # at most the document's own signatures
+        .agg(F.max("need").alias("need"), F.sort_array(F.collect_list(F.when(F.col("sig").isNotNull(), F.struct("freq", "sig")))).alias("sigs"))
         .where(F.size("sigs") >= F.col("need"))
         .select("short", F.explode(F.slice("sigs", F.lit(1), F.size("sigs") - F.col("need") + 1)).alias("s"))
         .select(F.col("s.sig").alias("sig"), "short")
@@ -314,12 +423,12 @@ def with_classes(docs: DataFrame, text: str, shingles: bool = False) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, text, fill=False):
             column = batch.column(batch.schema.get_field_index(text))
-            values, offsets, _ = shingle_sets(column.fill_null(""))
+            values, offsets, _, ids = shingle_sets(column.fill_null(""))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             columns = [c.cast(pa.string()) if c.type == pa.large_string() else c for c in columns]
-            columns += [pa.array(class_ids(values, offsets), pa.binary()), pa.array(np.diff(offsets).astype(np.int64))]
+            columns += [pa.array(ids, pa.binary()), pa.array(np.diff(offsets).astype(np.int64))]
             if shingles:
-                columns.append(pa.array([values[0, a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()))
+                columns.append(pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(marked, columns, strict=True)]))
 
     return docs.mapInArrow(run, marked)
@@ -341,19 +450,22 @@ def _blocks(total: str) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.sum(total) / BLOCK_FEATURES)).cast("int")
 
 
-def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) links that span each component of classes; docs (key, text), classes (cls, short, rep, n_shingles)."""
+def class_links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) links that span each component of classes; docs (key, text), base as of ``set_rows``, classes (cls, short, rep, n_shingles)."""
     total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(64, int(total * 14 // BUCKET_BYTES))  # some 14 bytes of signatures a shingle
-    met = written(shared_signatures(docs, "text", buckets), "jaccard-met")
+    met = shared_prefixes(base.where("prefix is not null").select("short", "prefix"), _buckets_of(int(0.36 * total)))
+    met = met.groupBy("short").agg(F.sum("n").alias("met"))
+    need = F.floor(F.ceil(F.col("n_shingles") * 3 / 4) / 10) + 1
+    wanted = written(classes.join(met, "short").where(F.col("met") >= need).select("cls", "short", "rep", "n_shingles"), "jaccard-wanted")
+    total = wanted.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    sets = of_classes(with_classes(docs, "text", shingles=True), wanted.drop("n_shingles"), "key").dropDuplicates(["cls"])
+    sets = written(sets.select("cls", "short", F.col("jaccard_size").alias("n"), F.col("jaccard_set").alias("shingles")), "jaccard-sets")
+    met = written(shared_signatures(sets, _buckets_of(int(0.7 * total))), "jaccard-met")
     shared = written(rarest_signatures(met), "jaccard-shared")
     drop_written(met)
     centres = shared.groupBy("sig").agg(F.min("short").alias("centre"), F.max("short").alias("most")).where("centre <> most").drop("most")
     met = shared.join(centres, "sig")
     stars = written(met.groupBy("short").agg(F.min(F.when(F.col("short") != F.col("centre"), F.col("centre"))).alias("centre")), "jaccard-stars")
-    wanted = stars.select("short").join(classes, "short").select("cls", "short", "rep")
-    sets = of_classes(with_classes(docs, "text", shingles=True), wanted, "key").dropDuplicates(["cls"])
-    sets = written(sets.select("cls", "short", F.col("jaccard_size").alias("n"), F.col("jaccard_set").alias("shingles")), "jaccard-sets")
     stars = stars.where("centre is not null")
     members = sets.join(stars, "short").select("centre", "cls", "n", "shingles")
     parts = written(sets.select("short", "n").join(stars, "short").groupBy("centre").agg(_blocks("n").alias("parts")), "jaccard-parts")
@@ -382,7 +494,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
     second = links_of(rows, ["group", "left_block", "right_block"], pivots=False)
     links = written(first.unionByName(second), "jaccard-links")
-    for df in (shared, stars, sets, parts, first, edges, blocks):
+    for df in (shared, stars, sets, parts, first, edges, blocks, wanted):
         drop_written(df)
     return links
 
@@ -399,7 +511,7 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
         F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.first("n_shingles").alias("n_shingles"), F.first("short").alias("short")
     )
     classes = written(classes, "jaccard-classes")
-    roots = components(class_links(docs, classes), "jaccard")
+    roots = components(class_links(docs, base, classes), "jaccard")
     named = classes.select("cls", "rep", "n_class").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     order = F.struct(F.col("rep").isNull(), "rep", "cls")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"), F.min_by("cls", order).alias("first_cls"))

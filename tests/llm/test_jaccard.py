@@ -55,7 +55,7 @@ def meet(pairs):
     values = np.concatenate([np.sort(np.array(s, np.uint64)) for s in pairs])
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in pairs])])
     held = [({}, {}) for _ in pairs]
-    for sig, row, kind, need in zip(*[x.tolist() for x in jaccard.signatures(np.stack([values, values]), offsets)], strict=True):
+    for sig, row, kind, need in zip(*[x.tolist() for x in jaccard.signatures(values, offsets)], strict=True):
         held[row][0].setdefault(kind, set()).add(sig)
         held[row][1][kind] = need
     ok = []
@@ -86,6 +86,21 @@ def test_linked_sets_share_a_signature():
     assert len(pairs) > 3000 and all(meet(pairs))
 
 
+def test_prefixes_of_linked_sets_share_their_need():
+    rng = np.random.Generator(np.random.PCG64(7))
+    for size in [*range(1, 60), 100, 333, 1000]:
+        for _ in range(30 if size < 60 else 5):
+            pool = rng.permutation(10 * size + 50)
+            for extra in {0, 1, size // 6, size // 3}:
+                gone = max((g for g in range(size // 4 + 1) if jaccard.linked(np.array([size - g]), size, size + extra)[0]), default=None)
+                if gone is None:
+                    continue
+                a, b = np.sort(pool[:size]), np.sort(np.concatenate([pool[gone:size], pool[size : size + gone + extra]]))
+                sizes = np.array([len(a), len(b)])
+                n, need = jaccard.prefix_size(sizes), jaccard.prefix_need(sizes)
+                assert len(np.intersect1d(a[: n[0]], b[: n[1]])) >= need.max(), (size, extra, gone)
+
+
 def test_sets_in_few_cells_share_a_signature():
     """Sets that fill few cells of the first division, down to a single one."""
     pairs, rng = [], np.random.Generator(np.random.PCG64(2))
@@ -178,7 +193,20 @@ def test_keep_first(edge_docs, no_docs):
 
 
 def test_sets_have_whole_texts():
-    values, offsets, words = jaccard.shingle_sets(pa.array(["A b c d e f", "a B c d e f", "a b c", ""]))
-    assert words.tolist() == [6, 6, 3, 0]
-    assert np.diff(offsets).tolist() == [2, 2, 1, 0]
-    assert jaccard.class_ids(values, offsets)[0] == jaccard.class_ids(values, offsets)[1]
+    same = "x y z u v " * 3
+    values, offsets, words, ids = jaccard.shingle_sets(pa.array(["A b c d e f", "a B c d e f", "a b c", "", same + "x y", same + "x"]))
+    assert words.tolist() == [6, 6, 3, 0, 17, 16]
+    assert np.diff(offsets).tolist() == [2, 2, 1, 0, 5, 5]
+    assert ids[0] == ids[1] and ids[4] == ids[5] and len(set(ids)) == 4
+
+
+def test_window_factors_keep_differences():
+    """Sums and differences of the factors of a window, as regular sequences of two words make them, are far from zero."""
+    from itertools import product
+
+    from tabletext.llm import common
+
+    for lane in common._FACTORS[:, :5].tolist():
+        for signs in product((-1, 0, 1), repeat=5):
+            total = sum(a * b for a, b in zip(lane, signs, strict=True)) % 2**64
+            assert not any(signs) or total % 2**12
