@@ -347,7 +347,6 @@ def _in_buckets(bucket: np.ndarray, sig: np.ndarray, cls: np.ndarray) -> pa.Reco
 
 def rarest_signatures(shared: DataFrame) -> DataFrame:
     """(sig, short): for each class with enough shared signatures, the rarest ones, all but ``need - 1``."""
-    shared = shared.groupBy("sig", "short", "kind").agg(F.max("need").alias("need"))
     often = shared.where("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("freq"))
     return (
         shared.join(often, "sig", "left")
