@@ -43,6 +43,25 @@ def nfkc_keep_enclosed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one)
 
 
+# Full-width forms of ASCII, the ideographic space, and units in one character; NFKC maps them alike.
+FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000￥"
+HALF_WIDTH = "".join(chr(0x21 + i) for i in range(94)) + " ¥"
+SQUARED_UNITS = {"㎜": "mm", "㎝": "cm", "㎞": "km", "㎏": "kg", "㎎": "mg", "㎡": "m2", "㎥": "m3", "㏄": "cc", "℃": "°C", "㍉": "ミリ", "㌔": "キロ", "㌢": "センチ"}
+
+
+def narrow(c: Column | str) -> Column:
+    """Full-width ASCII as ASCII: what numbers, dates and marks need of NFKC, without a Python worker."""
+    return F.translate(_c(c), FULL_WIDTH, HALF_WIDTH)
+
+
+def plain_units(c: Column | str) -> Column:
+    """Units written in one character, spelled out."""
+    out = _c(c)
+    for one, spelled in SQUARED_UNITS.items():
+        out = F.replace(out, F.lit(one), F.lit(spelled))
+    return out
+
+
 def trim_spaces(c: Column | str) -> Column:
     """Strip white space of any script from both ends."""
     return F.regexp_replace(_c(c), "(?U)^\\s+|\\s+$", "")
@@ -68,15 +87,15 @@ def short(c: Column | str, n: int = 30) -> Column:
 
 
 def is_ditto(c: Column | str) -> Column:
-    return F.coalesce(trim_spaces(c), F.lit("")).isin(DITTO_MARKS)
+    return F.coalesce(trim_spaces(c), F.lit("")).isin(DITTO_MARKS) | F.coalesce(trim_spaces(narrow(c)), F.lit("")).isin(DITTO_MARKS)
 
 
 def is_na(c: Column | str) -> Column:
-    return F.lower(F.coalesce(trim_spaces(c), F.lit(""))).isin(NA_TOKENS)
+    return F.lower(F.coalesce(trim_spaces(narrow(c)), F.lit(""))).isin(NA_TOKENS)
 
 
 def is_excel_error(c: Column | str) -> Column:
-    return F.upper(F.coalesce(trim_spaces(c), F.lit(""))).isin(EXCEL_ERRORS)
+    return F.upper(F.coalesce(trim_spaces(narrow(c)), F.lit(""))).isin(EXCEL_ERRORS)
 
 
 def estimate_tokens(c: Column | str) -> Column:
@@ -91,7 +110,7 @@ def estimate_tokens(c: Column | str) -> Column:
 
 def value_kind(c: Column | str) -> Column:
     """Kind of a cell's text, most special first."""
-    t = trim_spaces(c)
+    t = trim_spaces(narrow(c))
     kinds = [
         (F.coalesce(t, F.lit("")) == "", "blank"),
         (F.upper(t).isin("TRUE", "FALSE"), "bool"),
@@ -146,7 +165,7 @@ def guard_formula(c: Column | str) -> Column:
 
 def safe_file_part(c: Column | str, limit: int = 60) -> Column:
     """A file-name part: unsafe characters to one underscore, ends stripped, reserved names marked."""
-    t = F.regexp_replace(_c(c), "[.\\[\\]]", "")
+    t = F.regexp_replace(narrow(c), "[.\\[\\]]", "")
     t = F.regexp_replace(t, "[\\x00-\\x1F<>:\"/\\\\|?*#^\\s]+", "_")
     t = F.regexp_replace(F.regexp_replace(t, "_+", "_"), "^[._]+|[._]+$", "")
     t = F.regexp_replace(F.substring(t, 1, limit), "[._]+$", "")
@@ -160,7 +179,7 @@ def md_filename(*parts: Column) -> Column:
 
 def normalize_label(c: Column | str) -> Column:
     """A label for comparison: no white space, no paired marks around it, lower case."""
-    t = F.regexp_replace(_c(c), "(?U)\\s+", "")
+    t = F.regexp_replace(narrow(c), "(?U)\\s+", "")
     t = F.regexp_replace(t, "^[\\[\\](){}<>【】「」『』（）〔〕■●◆○★※・:：*]+|[\\[\\](){}<>【】「」『』（）〔〕■●◆○★※・:：*]+$", "")
     return F.lower(t)
 
@@ -179,18 +198,29 @@ def is_month_label(c: Column | str) -> Column:
     return trim_spaces(c).rlike("^(([12][0-9]{3}[-/.年])?(0?[1-9]|1[0-2])月(度|分)?|[12][0-9]{3}[-/.](0?[1-9]|1[0-2])|[12][0-9]{3}(0[1-9]|1[0-2])|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\.?)$")
 
 
+# Notes in brackets behind a code that are no name.
+CODE_NOTES = ["推定", "仮", "予定", "調査中", "不明", "未定", "確認中", "暫定", "候補", "要確認", "代替", "予備", "旧", "新"]
+
+
 def split_entity_code(c: Column | str) -> Column:
-    """Struct (code, name) of ``CODE(name)``, ``CODE name`` or ``name(CODE)``; a code has a letter and a digit."""
-    t = trim_spaces(c)
+    """Struct (code, name) of ``name(CODE)``, ``CODE(name)`` or ``CODE name``; a code has a letter and a digit.
+
+    A note in the brackets is no name; a name of codes only is none either. What does not split is (text, ""), also null.
+    """
+    t = one_line(F.coalesce(_c(c), F.lit("")))
     code = "(?=[A-Za-z0-9_#./-]*[A-Za-z])(?=[A-Za-z0-9_#./-]*[0-9])[A-Za-z0-9][A-Za-z0-9_#./-]*"
-    front, space, back = f"^({code})[(（](.+)[)）]$", f"^({code})[ 　:：]+(.+)$", f"^(.+?)[ 　]*[(（]({code})[)）]$"
-    alone = f"^{code}$"
-    pick = lambda p, i: F.regexp_extract(t, p, i)
-    none = F.lit("")
-    return F.struct(
-        F.when(t.rlike(front), pick(front, 1)).when(t.rlike(back), pick(back, 2)).when(t.rlike(space), pick(space, 1)).when(t.rlike(alone), t).otherwise(none).alias("code"),
-        F.when(t.rlike(front), pick(front, 2)).when(t.rlike(back), pick(back, 1)).when(t.rlike(space), pick(space, 2)).when(t.rlike(alone), none).otherwise(t).alias("name"),
-    )
+    shapes = [(f"^(.+?)[ 　]*[(（]({code})[)）]$", 2, 1), (f"^({code})[(（](.+)[)）]$", 1, 2), (f"^({code})[ 　:：]+(.+)$", 1, 2)]
+    out = F.struct(t.alias("code"), F.lit("").alias("name"))
+    for pattern, at, other in reversed(shapes):
+        found, name = F.regexp_extract(t, pattern, at), F.trim(F.regexp_extract(t, pattern, other))
+        only_codes = F.forall(F.filter(F.split(name, "[\\s,、/]+"), lambda x: x != ""), lambda x: x.rlike(f"^{code}$"))
+        bracketed = pattern.endswith("[)）]$") and at == 1
+        named = F.struct(found.alias("code"), name.alias("name"))
+        if bracketed:
+            out = F.when((found != "") & name.isin(CODE_NOTES), F.struct(found.alias("code"), F.lit("").alias("name"))).when((found != "") & (name != "") & ~only_codes, named).otherwise(out)
+        else:
+            out = F.when((found != "") & (name != "") & ~only_codes, named).otherwise(out)
+    return out
 
 
 def escape_data(c: Column | str) -> Column:
@@ -226,11 +256,21 @@ def numbers_in(c: Column | str) -> Column:
 
 
 def apply_glossary(c: Column | str, glossary: dict[str, str]) -> Column:
-    """Replace terms, longest first, in one pass: what was put in is not looked at again."""
-    terms = sorted(glossary, key=lambda k: (-len(k), k))
-    out = _c(c)
-    for i, term in enumerate(terms):  # private-use marks stand for replaced terms until the end
-        out = F.replace(out, F.lit(term), F.lit(chr(0xE100 + i)))
-    for i, term in enumerate(terms):
-        out = F.replace(out, F.lit(chr(0xE100 + i)), F.lit(glossary[term]))
-    return out
+    """Replace terms, longest first, in one pass: what was put in is not looked at again.
+
+    A term that starts or ends in an ASCII letter or digit is not found inside a longer word or number.
+    """
+    if not glossary:
+        return _c(c)
+    edge = "[A-Za-z0-9]"
+
+    def bounded(term: str) -> str:
+        word = lambda x: x.isascii() and x.isalnum()
+        quoted = "".join(x if word(x) or not x.isascii() else f"\\{x}" for x in term)
+        return f"{f'(?<!{edge})' if word(term[0]) else ''}{quoted}{f'(?!{edge})' if word(term[-1]) else ''}"
+
+    pattern = "|".join(bounded(t) for t in sorted(glossary, key=lambda k: (-len(k), k)))
+    table = F.create_map(*[F.lit(x) for pair in glossary.items() for x in pair])
+    between, found = F.split(_c(c), pattern, -1), F.regexp_extract_all(_c(c), F.lit(f"({pattern})"), F.lit(1))
+    pairs = F.zip_with(between, found, lambda text, term: F.concat(F.coalesce(text, F.lit("")), F.coalesce(table[term], F.lit(""))))
+    return F.when(F.size(found) == 0, _c(c)).otherwise(F.array_join(pairs, ""))

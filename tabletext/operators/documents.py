@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,54 +89,57 @@ def part_sizes(df: DataFrame, by: list[str], order: list[str], size: str, limit:
     return df.withColumn("parts", parts).withColumn("part", part.cast("bigint"))
 
 
-def _tokens(text: str) -> int:
-    wide = digits = marks = runs = 0
-    before = False
-    for c in text:
-        o = ord(c)
-        digit = 48 <= o <= 57
-        if o > 127:
-            wide += 1
-        elif digit:
-            digits += 1
-            runs += not before
-        elif 33 <= o <= 47 or 58 <= o <= 64 or 91 <= o <= 96 or 123 <= o <= 126:
-            marks += 1
-        before = digit
-    other = len(text) - wide - digits - marks
-    return -(-(33 * wide + 15 * other + 30 * marks + 10 * digits + 30 * runs) // 30)
+class TokenCounts:
+    """Token estimates of any ranges of a text, by running sums."""
+
+    def __init__(self, text: str):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        digit = (code >= 48) & (code <= 57)
+        mark = (code >= 33) & (code <= 126) & ~digit & ~((code >= 65) & (code <= 90)) & ~((code >= 97) & (code <= 122))
+        inner = digit.copy()  # goes on a run of digits
+        inner[1:] &= digit[:-1]
+        inner[:1] = False
+        weight = np.select([code > 127, digit, mark], [33, 10, 30], 15) + 30 * (digit & ~inner)
+        self.sums, self.inner = [0, *np.cumsum(weight).tolist()], inner.tolist()
+
+    def __call__(self, start: int, end: int) -> int:
+        cut_run = 30 if start < end and self.inner[start] else 0
+        return -(-(self.sums[end] - self.sums[start] + cut_run) // 30)
+
+
+#: Signs that a text is cut behind, coarsest first.
+CUTS = ["。", "！？!?", "、，,", ".;:", " \n"]
 
 
 def text_pieces(text: str, budget: int) -> list[str]:
     """Cut a text at sentence ends, then commas, spaces and characters, so that each piece keeps to the budget; the pieces joined are the text."""
-    levels = ["。", "！？!?", "、，,", ".;:", " \n"]
-
-    def cut(piece: str, level: int) -> list[str]:
-        if _tokens(piece) <= budget or len(piece) < 2:
-            return [piece]
-        if level == len(levels):
-            half = len(piece) // 2
-            return cut(piece[:half], level) + cut(piece[half:], level)
-        parts, start = [], 0
-        for i, c in enumerate(piece):
-            if c in levels[level]:
-                parts.append(piece[start : i + 1])
-                start = i + 1
-        if start < len(piece):
-            parts.append(piece[start:])
-        return [q for p in parts for q in cut(p, level + 1)] if len(parts) > 1 else cut(piece, level + 1)
-
-    out: list[str] = []
-    size = 0
-    for piece in cut(text, 0):
-        n = _tokens(piece)
-        if out and size + n + 1 <= budget:
-            out[-1] += piece
-            size = size + n + 1
+    size = TokenCounts(text)
+    if size(0, len(text)) <= budget or len(text) < 2:
+        return [text]
+    ends = [[m.end() for m in re.finditer(f"[{re.escape(signs)}]", text)] for signs in CUTS]
+
+    def cut(start: int, end: int, level: int) -> Iterator[tuple[int, int]]:
+        if size(start, end) <= budget or end - start < 2:
+            yield start, end
+        elif level == len(CUTS):
+            half = start + (end - start) // 2
+            yield from cut(start, half, level)
+            yield from cut(half, end, level)
+        else:
+            inside = ends[level][bisect.bisect_right(ends[level], start) : bisect.bisect_left(ends[level], end)]
+            for a, b in itertools.pairwise([start, *inside, end]):
+                yield from cut(a, b, level + 1)
+
+    pieces: list[list[int]] = []
+    total = 0
+    for start, end in cut(0, len(text), 0):
+        n = size(start, end)
+        if pieces and total + n + 1 <= budget:
+            pieces[-1][1], total = end, total + n + 1
         else:
-            out.append(piece)
-            size = n
-    return out
+            pieces.append([start, end])
+            total = n
+    return [text[a:b] for a, b in pieces]
 
 
 def split_texts(df: DataFrame, text: str, budget: int = BLOCK_TOKENS, out: str = "pieces") -> DataFrame:

@@ -69,11 +69,21 @@ def zip_bytes(files: DataFrame, limit_bytes: int = 400 << 20) -> bytes:
 
 
 def issues_csv(issues: DataFrame, top: int = 10_000) -> bytes:
-    """The first issues as CSV with a BOM, errors first, formulas guarded."""
+    """The first issues as CSV with a BOM, errors first, formulas guarded; a last row says how many were left out. ``write_issues`` writes all."""
+    left_out = issues.count() - top
     guarded = issues.orderBy(F.col("level") != "error", "file", "sheet", "code", "column").limit(top)
     guarded = guarded.select(*[tx.guard_formula(F.col(c).cast("string")).alias(c) if t == "string" else c for c, t in issues.dtypes])
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\r\n")
     writer.writerow(issues.columns)
     writer.writerows(guarded.collect())
+    if left_out > 0:
+        texts = {"level": "info", "code": "issues_truncated", "message": f"{left_out} more"}
+        writer.writerow([texts.get(c, "") for c in issues.columns])
     return b"\xef\xbb\xbf" + out.getvalue().encode()
+
+
+def write_issues(issues: DataFrame, path: str) -> None:
+    """All issues as CSV files, written by Spark, formulas guarded."""
+    guarded = issues.select(*[tx.guard_formula(F.col(c).cast("string")).alias(c) if t == "string" else F.col(c) for c, t in issues.dtypes])
+    guarded.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabletext.functions import text, values
-from tabletext.operators import checks, documents, enrich, logs, records
+from tabletext.functions import text, titles, values
+from tabletext.operators import checks, documents, enrich, log_details, logs, records
 from tabletext.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -361,7 +361,11 @@ def split_dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 GLOSSARY = {"the": "THE", "then": "THEN", "of": "OF", "and": "AND", "THE": "x"}
 
 
-@query("glossary_replace")
+@query(
+    "glossary_replace",
+    f"""SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+'),
+      lambda x: CASE x {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in GLOSSARY.items())} ELSE x END), '')) AS replaced_md5 FROM documents""",
+)
 def glossary_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.apply_glossary("text", GLOSSARY)).alias("replaced_md5"))
 
@@ -475,6 +479,54 @@ def entity_code_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", written.alias("written")).select("c_custkey", split["code"].alias("code"), split["name"].alias("name"))
 
 
+@query(
+    "normalized_numbers",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * round(o_totalprice, 2) AS number, strftime(o_orderdate, '%Y-%m-%d') AS day,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'date' ELSE 'number' END AS kind FROM orders""",
+)
+def normalized_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and dates written in full-width forms, with thousands commas, triangles and yen signs, read as numbers and dates."""
+    wide = lambda c: F.translate(c, text.HALF_WIDTH, text.FULL_WIDTH)
+    price = F.format_number(F.col("o_totalprice").cast("double"), 2)
+    price = wide(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("△"), price)).otherwise(F.concat(F.lit("¥"), price)))
+    day = wide(F.concat(F.date_format("o_orderdate", "yyyy/M/d"), F.lit("(火)")))
+    plain = wide(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy年M月d日")).otherwise(F.format_number(F.col("o_totalprice").cast("double"), 2)))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price"), day.alias("day"), plain.alias("plain"))
+    return rows.select(
+        "o_orderkey", values.parse_number("price").alias("number"), values.parse_date("day")["date"].cast("string").alias("day"), text.value_kind("plain").alias("kind")
+    )
+
+
+@query(
+    "log_quantities",
+    """SELECT l_orderkey, l_linenumber, [l_quantity::INTEGER::VARCHAR || '個', '×' || l_linenumber::VARCHAR, '¥' || l_partkey::VARCHAR] AS quantities,
+      ['P-' || l_partkey::VARCHAR || 'x', '5xyz'] AS identifiers, ['次回' || l_linenumber::VARCHAR || '/1予定'] AS plans FROM lineitem""",
+)
+def log_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers, quantities and plans of a log line about each item."""
+    part, n, line = (F.col(c).cast("int").cast("string") for c in ("l_partkey", "l_quantity", "l_linenumber"))
+    said = F.concat(F.lit("P-"), part, F.lit("xを"), n, F.lit("個交換（×"), line, F.lit("、¥"), part, F.lit("）。N2と5xyz、次回"), line, F.lit("/1予定"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", said.alias("said"))
+    return rows.select(
+        "l_orderkey", "l_linenumber", log_details.quantities("said").alias("quantities"), log_details.log_identifiers("said").alias("identifiers"), log_details.plans("said").alias("plans")
+    )
+
+
+@query(
+    "clipped_titles",
+    """SELECT p_partkey, CASE WHEN length(n) > 8 THEN substr(n, 1, 8) || '…' ELSE n END AS plain,
+      'abcdef…' AS opened, CASE WHEN length(n) > 1 THEN '(abcd)' || substr(n, 1, 2) || '…' ELSE '(abcd)' || n || 'z' END AS closed
+    FROM (SELECT p_partkey, p_partkey::VARCHAR || 'x' AS k, 'n' || p_partkey::VARCHAR || '000000000' AS n FROM part)""",
+)
+def clipped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to eight characters: as they are, before a bracket that stays open, and behind one that is closed."""
+    name = F.concat(F.lit("n"), F.col("p_partkey").cast("string"), F.lit("000000000"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("n"))
+    return rows.select(
+        "p_partkey", titles.clip_title("n", 8).alias("plain"), titles.clip_title(F.concat(F.lit("abcdef（"), "n"), 8).alias("opened"), titles.clip_title(F.concat(F.lit("(abcd)"), "n"), 8).alias("closed")
+    )
+
+
 @query(
     "unit_convert",
     """SELECT l_linenumber, round(sum(l_quantity * 60.0), 2) AS minutes, round(sum(l_quantity * 3600.0), 2) AS seconds FROM lineitem GROUP BY l_linenumber""",

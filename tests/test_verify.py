@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabletext.functions import titles
 from tabletext.operators import enrich, verify
@@ -51,8 +52,16 @@ def test_calls_are_injected(spark):
 
 
 def test_titles(spark):
-    assert titles.clip("あいうえお", 5) == "あいうえお" and titles.clip("あいうえおか", 5) == "あいうえお…"
-    assert titles.clip("送風機の点検（3番・北側の建屋）", 12) == "送風機の点検…" and titles.clip("（長い括弧のままで続く文章）", 8).startswith("（長い")
+    cases = [
+        ("あいうえお", 5, "あいうえお"), ("あいうえおか", 5, "あいうえお…"), ("送風機の点検（3番・北側の建屋）", 12, "送風機の点検…"),
+        ("送風機（3番）の点検（北側）の件", 13, "送風機（3番）の点検…"), ("a(b)c[d]e(f)ghij", 9, "a(b)c[d]e…"), ("a((b)cdefgh", 6, "a((b)c…"), ("一二三、四五", 4, "一二三…"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, n int, want string")
+    for i, (_, n, want) in enumerate(cases):
+        assert rows.where(F.col("i") == i).select(titles.clip_title("t", n).alias("x")).first()["x"] == want
+    assert rows.where("i = 0").select(titles.clip_title(F.lit("（長い括弧のままで続く文章）"), 8).alias("x")).first()["x"].startswith("（長い")
+    lines = spark.createDataFrame([("2026/4/1 10:00 【連絡】\n・ポンプ停止\n復旧",), ("\n",), (None,)], "t string")
+    assert [r["x"] for r in lines.select(titles.title_line("t").alias("x")).collect()] == ["ポンプ停止", "", ""]
     df = spark.createDataFrame([("K-1", "ポンプ", "EQ-1", "2026/4/1 10:00 【重要】異音がした\n続き", "2026-04-01"), (None, None, None, None, None)], "k string, n string, c string, t string, d string")
     rows = [r["v"] for r in df.select(titles.record_title("k", "n", "c", "t", "d").alias("v")).collect()]
     assert rows == ["【K-1】ポンプ（EQ-1） 異音がした｜2026-04-01", ""]
