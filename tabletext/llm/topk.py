@@ -1,11 +1,13 @@
 """Exact top-k search by inner product, block-at-a-time.
 
-Vectors of integers lie in blocks of a range of (sign code, id); a block knows the largest and smallest value of each
-component. The sum of a query's terms, each with the extreme that makes it largest, bounds every score in the block.
-Blocks are taken in order of their bounds and scored whole, until the bounds fall below the query's k-th score.
+Vectors of integers lie in blocks of near ones (those nearest the same pivot, by id); a block knows the largest and smallest
+value of each component. The sum of a query's terms, each with the extreme that makes it largest, bounds every score in the
+block. Blocks are taken in order of their bounds and scored whole, until the bounds fall below the query's k-th score.
 
-Blocks lie in groups of bounded size. First each query meets the group that holds its own neighbourhood, which gives it a
-k-th score to start from; then blocks of queries meet the other groups, cell by cell. The best k of all cells are ranked.
+Blocks lie in groups of bounded size, which have such bounds too. First each query meets the group that holds its own
+neighbourhood, which gives it a k-th score to start from; the bounds of all groups, in chunks, then tell which other groups
+it has to see, and only there queries and vectors are sent. The best k of all cells are ranked. Vectors that lie in clusters
+are pruned so; of vectors without any structure no bound can rule out a block, and all are scored.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; a query
 is compared with vectors of its own length and another id; of rows with equal id and vector one counts; ties go to the
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,39 +31,63 @@ SCALE = 1024
 BLOCK = 128
 #: Vectors in a group, about, and queries that meet a group at once.
 GROUP_ROWS, QUERY_ROWS = 8192, 2048
-CODE_BITS = 10
+#: Vectors, those with the smallest hashes, that the others are sorted by; a bounded sample, on which only speed depends.
+PIVOTS = 256
+#: Groups whose bounds are compared with a part of the queries at once.
+CHUNK_GROUPS = 2048
 
 
 def integer_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, dim, code, v): whole components as doubles, which hold them exactly; code: signs along fixed directions."""
+    """(vec_id, dim, v): whole components as doubles, which hold them exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, dims, codes, values = [], [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = v.as_py()
-                if i is None or not v or None in v:
-                    continue
-                x = np.array(v, float)
-                if not np.isfinite(x).all():
-                    continue
-                x = np.floor(SCALE * x)
-                if not np.isfinite(x).all():
-                    raise ValueError(f"vector {i} is out of range")
-                n = len(x)
-                if n not in directions:
-                    directions[n] = np.random.Generator(np.random.PCG64(n)).standard_normal((n, CODE_BITS))
-                ids.append(i)
-                dims.append(n)
-                codes.append(int(((x @ directions[n]) > 0) @ (1 << np.arange(CODE_BITS))))
-                values.append(x)
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            bad = ~np.isfinite(flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
+            ends = np.cumsum(sizes)
+            odd = np.concatenate([[0], np.cumsum(bad)])
+            use = pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False) & (sizes > 0) & (odd[ends] == odd[ends - sizes])
+            kept = batch.filter(pa.array(use))
+            x = np.floor(SCALE * kept.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
+            if not np.isfinite(x).all():
+                raise ValueError("a component is out of range")
+            bounds = np.concatenate([[0], np.cumsum(sizes[use])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(codes, pa.int32()), pa.array(values, pa.list_(pa.float64()))],
-                names=["vec_id", "dim", "code", "v"],
+                [kept.column(0), pa.array(sizes[use].astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(x))], names=["vec_id", "dim", "v"]
             )
 
-    return rows.select(F.col(key).cast("long"), F.col(vector)).mapInArrow(run, "vec_id long, dim int, code int, v array<double>")
+    return rows.select(F.col(key).cast("long"), F.col(vector)).mapInArrow(run, "vec_id long, dim int, v array<double>")
+
+
+def with_codes(vectors: DataFrame) -> DataFrame:
+    """Adds ``code``, the number of the nearest pivot of a vector's length."""
+    turn = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "v"))
+    share = min(1.0, 4 * PIVOTS / max(1, vectors.count()))
+    few = F.pmod(F.xxhash64(F.lit("pivot"), "vec_id"), F.lit(10**9)) < F.lit(int(share * 10**9))
+    pivots: dict[int, list] = {}
+    for r in vectors.where(few).withColumn("turn", turn).where(F.col("turn") <= PIVOTS).orderBy("dim", "turn").limit(4 * PIVOTS).collect():
+        pivots.setdefault(r["dim"], []).append(r["v"])
+    tables = {}
+    for dim, listed in pivots.items():
+        p = np.array(listed)
+        p = p[np.argsort(p @ p[0], kind="stable")]  # near pivots get near numbers
+        tables[dim] = p, (p * p).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(1).to_numpy()
+            codes = np.zeros(len(dims), np.int32)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                if dim in tables:
+                    p, norms = tables[dim]
+                    x = batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    codes[at] = np.argmax(2 * x @ p.T - norms, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=["vec_id", "dim", "v", "code"])
+
+    return vectors.mapInArrow(run, "vec_id long, dim int, v array<double>, code int")
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -106,9 +133,57 @@ def _cells(found: list[tuple[int, int, int]]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in found], pa.int64()) for i, n in enumerate(names)})
 
 
+def group_bounds(grouped: DataFrame) -> DataFrame:
+    """(dim, group, top, low): the extremes of each component in each group; a row for thousands of vectors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        v = _matrix(table.column("v"), dim)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "group": table.column("group").slice(0, 1), "top": [v.max(axis=0).tolist()], "low": [v.min(axis=0).tolist()]})
+
+    found = grouped.select("dim", "group", "v").groupBy("dim", "group").applyInArrow(run, "dim int, group string, top array<double>, low array<double>")
+    return written(found, "topk-bounds")
+
+
+def open_groups(queries: DataFrame, bounds: DataFrame, parts: int) -> DataFrame:
+    """(vec_id, dim, part, group): the groups, beside its own, that a query has to see, as their bounds reach its k-th score.
+
+    Each part of the queries meets each chunk of the bounds.
+    """
+    chunks = max(1, -(-bounds.count() // CHUNK_GROUPS))
+    held = bounds.withColumn("chunk", F.pmod(F.xxhash64("group"), F.lit(chunks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    none = F.lit(None)
+    held = held.select("dim", "chunk", F.col("part").cast("long"), none.cast("long").alias("vec_id"), "group", F.col("top").alias("v"), "low", none.cast("long").alias("least"))
+    asks = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asks = asks.select("dim", "chunk", F.col("part").cast("long"), "vec_id", "group", "v", none.cast("array<double>").alias("low"), "least")
+
+    def run(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        is_query = pc.is_valid(table.column("vec_id"))
+        asked, groups = table.filter(is_query), table.filter(pc.invert(is_query))
+        q, top, low = _matrix(asked.column("v"), dim), _matrix(groups.column("v"), dim), _matrix(groups.column("low"), dim)
+        names, own = np.array(groups.column("group").to_pylist(), object), np.array(asked.column("group").to_pylist(), object)
+        least = asked.column("least").to_pylist()
+        rows = []
+        plus = np.maximum(q, 0)
+        reach = (plus @ top.T + (q - plus) @ low.T) if len(q) and len(top) else np.zeros((len(q), len(top)))
+        slack = 1e-9 * (np.abs(q) @ np.maximum(np.abs(top), np.abs(low)).T + 1) if reach.size else reach  # of rounding
+        for i, vec_id in enumerate(asked.column("vec_id").to_pylist()):
+            sees = (names != own[i]) & (True if least[i] is None else reach[i] + slack[i] >= float(least[i]))
+            rows += [(vec_id, n) for n in names[sees].tolist()]
+        part = table.column("part")[0].as_py()
+        return pa.table({
+            "vec_id": pa.array([r[0] for r in rows], pa.int64()), "dim": pa.array([dim] * len(rows), pa.int32()),
+            "part": pa.array([part] * len(rows), pa.int64()), "group": pa.array([r[1] for r in rows], pa.string()),
+        })
+
+    return held.unionByName(asks).groupBy("dim", "chunk", "part").applyInArrow(run, "vec_id long, dim int, part long, group string")
+
+
 def top_k(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) for each row whose key is divisible by ``every``, among all rows but its own."""
-    vectors = written(integer_vectors(rows, key, vector).dropDuplicates(), "topk-vectors")
+    vectors = written(integer_vectors(rows, key, vector).dropDuplicates(), "topk-integers")
+    vectors = written(with_codes(vectors), "topk-vectors")
     # groups: ranges of (length, code, id) of about GROUP_ROWS vectors; counts of codes are few rows
     counts = vectors.groupBy("dim", "code").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy("dim").orderBy("code").rowsBetween(W.unboundedPreceding, -1))
@@ -131,18 +206,15 @@ def top_k(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", every
 
     first = written(grouped.groupBy("dim", "group").applyInArrow(home, result), "topk-home")
     start = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("least", F.when(F.col("n") >= k, F.col("least"))).drop("n")
-    names = grouped.select(F.col("dim").alias("in_dim"), F.col("group").alias("in_group")).distinct()
     queries = grouped.where(F.col("vec_id") % every == 0).join(start.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)))
-    n_queries = queries.count()
-    parts = max(1, -(-n_queries // QUERY_ROWS))
-    queries = queries.withColumn("part", F.col("part") % parts)
-    lists = names.groupBy("in_dim").agg(F.collect_list("in_group").alias("groups"))  # one row a length; a name for thousands of vectors
-    asking = queries.join(lists, F.col("dim") == F.col("in_dim")).select(
-        "dim", F.explode(F.filter("groups", lambda g: g != F.col("group"))).alias("group"), "part", "vec_id", "code", "v", "least", F.lit(True).alias("asks")
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
+    queries = written(queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))), "topk-queries")
+    open_ = written(open_groups(queries, group_bounds(grouped), parts), "topk-open")
+    asking = queries.withColumnRenamed("group", "own_group").join(open_, ["vec_id", "dim", "part"]).select(
+        "dim", "group", "part", "vec_id", "code", "v", "least", F.lit(True).alias("asks")
     )
-    held = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
-        "dim", "group", F.col("part").cast("long").alias("part"), "vec_id", "code", "v", F.lit(None).cast("long").alias("least"), F.lit(False).alias("asks")
+    held = grouped.join(open_.select("dim", "group", "part").distinct(), ["dim", "group"]).select(
+        "dim", "group", "part", "vec_id", "code", "v", F.lit(None).cast("long").alias("least"), F.lit(False).alias("asks")
     )
 
     def cell(table: pa.Table) -> pa.Table:

@@ -180,6 +180,22 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_prunes_clusters(spark, monkeypatch):
+    """Of vectors in clusters, queries see few of the other groups, and the answer stays exact."""
+    monkeypatch.setattr(topk, "GROUP_ROWS", 50)
+    seen = []
+    plain = topk.open_groups
+    monkeypatch.setattr(topk, "open_groups", lambda q, b, p: seen.append((plain(q, b, p), q.count() * (b.count() - 1))) or seen[-1][0])
+    rng = np.random.Generator(np.random.PCG64(3))
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 20] + 0.05 * rng.normal(size=16)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {tuple(r) for r in topk.top_k(df, every=50, k=5).collect()}
+    assert found == brute_top(rows, 50, 5)
+    asked, possible = seen[0][0].count(), seen[0][1]
+    assert asked < 0.3 * possible, (asked, possible)
+
+
 def test_topk_exact_beyond_doubles():
     big = float(2**40)
     ids, v = np.array([1, 2]), np.array([[big, 1.0], [big, 2.0]])
