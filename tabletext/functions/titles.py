@@ -61,9 +61,12 @@ def title_line(c: Column | str) -> Column:
 
 
 def record_title(key: Column | str, name: Column | str, code: Column | str, text: Column | str, date: Column | str, limit: int = 200) -> Column:
-    """``【key】name（code） text｜date``, parts left out where they are blank."""
+    """``【key】name（code）text｜date``, parts left out where they are blank; a space only behind a name that no bracket ends."""
     part = lambda c, a, b: F.when(F.coalesce(_c(c), F.lit("")) != "", F.concat(F.lit(a), _c(c), F.lit(b))).otherwise(F.lit(""))
-    return clip_title(F.concat(part(key, "【", "】"), part(name, "", ""), part(code, "（", "）"), part(clip_title(title_line(text), 40), " ", ""), part(date, "｜", "")), limit)
+    head = F.concat(part(key, "【", "】"), part(name, "", ""), part(code, "（", "）"))
+    space = F.when((head == "") | head.rlike("[】）]$"), "").otherwise(" ")
+    line = part(clip_title(title_line(text), 40), "", "")
+    return clip_title(F.concat(head, F.when(line != "", space).otherwise(""), line, part(date, "｜", "")), limit)
 
 
 def upper_code(c: Column | str) -> Column:

@@ -11,13 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabletext.functions.text import normalize_label, value_kind
+from tabletext.functions.titles import year_context
 
 HEAD_ROWS, HEADER_ROWS, BLANK_END = 80, 40, 3
 # Fixed values.
 TOTAL_WORDS = "^(小計|合計|総合計|総計|計|中計|月計|年計|累計|sub ?total|grand ?total|total)$"
 NOTE_MARKS = "^(※|注|備考[:：]|\\*|注意|出典|note[:：])"
 LAYOUT = (
-    "file string, sheet string, table_kind string, header_rows array<int>, data_start int, width int, headers array<string>, key_columns array<int>, confidence double"
+    "file string, sheet string, table_kind string, header_rows array<int>, data_start int, width int, headers array<string>, key_columns array<int>, confidence double, context_fiscal_year int, context_year int"
 )
 _VALUE = re.compile(r"[-+△▲]?[0-9][0-9,./:% -]*")
 _MONTH = re.compile(r"([0-9]{4}[-/年])?(0?[1-9]|1[0-2])月(度|分)?|[0-9]{4}[-/](0?[1-9]|1[0-2])")
@@ -104,11 +105,16 @@ def guess(rows: list[tuple[int, list[str | None]]], words: frozenset[str] = froz
 
 
 def detect_layouts(rows: DataFrame, words: frozenset[str] = frozenset()) -> DataFrame:
-    """One layout a (file, sheet), from its first HEAD_ROWS rows."""
+    """One layout a (file, sheet), from its first HEAD_ROWS rows, with the year that its title rows, name or file name state."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row_index")
-        found = guess([(int(r), list(t)) for r, t in zip(frame["row_index"], frame["texts"], strict=True)], words)
+        rows = [(int(r), list(t)) for r, t in zip(frame["row_index"], frame["texts"], strict=True)]
+        found = guess(rows, words)
+        first = min(found["header_rows"], default=0)
+        titles = [("title", " ".join(t for t in texts if t)) for r, texts in rows if r < first]
+        named = year_context([*titles, ("sheet", key[1]), ("file", key[0].rsplit("/", 1)[-1])])
+        found |= {"context_fiscal_year": named["fiscal_year"], "context_year": named["year"]}
         return pd.DataFrame([{"file": key[0], "sheet": key[1]} | found])
 
     head = rows.where(f"error IS NULL AND row_index <= {HEAD_ROWS}").select("file", "sheet", "row_index", F.transform("cells", lambda c: c["text"]).alias("texts"))

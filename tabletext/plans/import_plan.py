@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,8 +29,8 @@ class Imported:
     rows: DataFrame
 
 
-def convert(df: DataFrame, fiscal_year: int | None = None, year: int | None = None) -> DataFrame:
-    """Adds ``value`` and ``failed`` to (text, type, unit): unreadable values stay as they are written."""
+def convert(df: DataFrame, fiscal_year: Column | int | None = None, year: Column | int | None = None) -> DataFrame:
+    """Adds ``value``, ``failed``, ``year_missing`` and ``year_inferred`` to (text, type, unit): unreadable values stay as they are written."""
     # stepwise, so that no step's code grows large
     df = df.withColumn("_t", tx.trim_spaces("text"))
     t = F.col("_t")
@@ -52,8 +52,9 @@ def convert(df: DataFrame, fiscal_year: int | None = None, year: int | None = No
         .otherwise(tx.one_line(t))
     )
     failed = ~F.col("_none") & (((kind == "number") & amount.isNull()) | (kind.isin("date", "datetime") & day.isNull()))
-    missing = kind.isin("date", "datetime") & F.col("_date.year_missing")
-    out = df.withColumn("value", value).withColumn("failed", failed).withColumn("year_missing", missing)
+    dated = kind.isin("date", "datetime")
+    out = df.withColumn("value", value).withColumn("failed", failed)
+    out = out.withColumn("year_missing", dated & F.col("_date.year_missing")).withColumn("year_inferred", dated & F.col("_date.year_inferred"))
     return out.drop("_t", "_date", "_number", "_minutes", "_none", "_factor", "_amount", "_day")
 
 
@@ -66,7 +67,10 @@ def read_records(
     spec: TableSpec | None = None,
     **read: object,
 ) -> Imported:
-    """Read, detect, infer, normalize and check all files under a path. A spec stands in for the inferred columns."""
+    """Read, detect, infer, normalize and check all files under a path. A spec stands in for the inferred columns.
+
+    Days without a year take the given one, else the one that the sheet's title rows, its name or the file's name state.
+    """
     if spec is not None:
         if problems := validate(spec):
             raise ValueError("; ".join(problems))
@@ -83,8 +87,9 @@ def read_records(
     # a continuation without a record above it is a record
     kept = kept.withColumn("starts", (F.col("row_kind") == "data") | (F.row_number().over(sheet) == 1))
     kept = kept.withColumn("record_row", F.max(F.when(F.col("starts"), F.col("row_index"))).over(upto))
-    long = kept.select("file", "sheet", "row_index", "record_row", "starts", F.posexplode("cells").alias("col", "cell"))
-    long = long.select("file", "sheet", "row_index", "record_row", "starts", "col", F.coalesce("cell.text", F.lit("")).alias("text"), "cell.link", "cell.anchor_row", "cell.anchor_col")
+    named = ["context_fiscal_year", "context_year"]
+    long = kept.select("file", "sheet", "row_index", "record_row", "starts", *named, F.posexplode("cells").alias("col", "cell"))
+    long = long.select("file", "sheet", "row_index", "record_row", "starts", *named, "col", F.coalesce("cell.text", F.lit("")).alias("text"), "cell.link", "cell.anchor_row", "cell.anchor_col")
     # blank members of merged cells take the anchor's text where the anchor lies in the data
     anchors = long.select("file", "sheet", F.col("row_index").alias("anchor_row"), F.col("col").alias("anchor_col"), F.col("text").alias("anchor_text"))
     long = long.join(anchors, ["file", "sheet", "anchor_row", "anchor_col"], "left")
@@ -100,7 +105,8 @@ def read_records(
     long = long.withColumn("unfilled", F.col("ditto") & F.col("filled_from").isNull()).withColumn("text", F.when(F.col("ditto"), F.coalesce("filled_from", "text")).otherwise(F.col("text")))
     down = F.last(F.when(F.col("text") != "", F.col("text")), ignorenulls=True).over(above)
     long = long.withColumn("text", F.when(F.col("fill_down") & F.col("starts") & (F.col("text") == ""), F.coalesce(down, F.lit(""))).otherwise(F.col("text")))
-    done = convert(long, fiscal_year, year)
+    given = fiscal_year is not None or year is not None
+    done = convert(long, fiscal_year, year) if given else convert(long, F.col("context_fiscal_year"), F.col("context_year"))
     texty = F.col("role").isin("text", "log") | (F.col("type") == "text")
     done = done.where("starts").unionByName(done.where(~F.col("starts") & texty & (F.col("text") != "")))
     # one value a record and column: that of its row, with the texts of its continuations below
@@ -126,37 +132,76 @@ def read_records(
     turn = F.row_number().over(W.partitionBy("file", "base").orderBy("sheet", "record_row"))
     records = records.withColumn("base", base).withColumn("turn", turn)
     records = records.withColumn("record_key", F.when(F.col("turn") == 1, F.col("base")).otherwise(F.concat("base", F.lit("#"), F.col("turn").cast("string"))))
-    issues = check(done, records, rows, rows_in)
+    subtotals = reconcile_subtotals(rows_in, cols)
+    issues = check(done, records, rows, rows_in, subtotals)
     if spec is not None:
-        issues = issues.unionByName(spec_issues(records, cols, spec))
+        issues = issues.unionByName(spec_issues(records, cols, spec)).unionByName(unused_headers(layouts, cols)).unionByName(assumed_units(done, cols, spec))
         records = apply_values(records, spec)
-    subtotals = reconcile_subtotals(rows_in, cols)
     records = records.select("file", "sheet", "record_row", "record_key", "date_value", "values", "originals", "warnings")
     return Imported(records, issues, subtotals, cols, rows_in)
 
 
-def check(cells: DataFrame, records: DataFrame, rows: DataFrame, classified: DataFrame) -> DataFrame:
+def check(cells: DataFrame, records: DataFrame, rows: DataFrame, classified: DataFrame, subtotals: DataFrame) -> DataFrame:
     """(file, sheet, level, code, column, n) of the whole batch."""
-    row = lambda df, level, code: df.withColumn("level", level if not isinstance(level, str) else F.lit(level)).withColumn("code", F.lit(code)).select("file", "sheet", "level", "code", "column", F.col("n").cast("bigint"))
     own = cells.where("starts")
     checked = ~tx.is_na("text") & ~tx.is_excel_error("text")
-    per = own.groupBy("file", "sheet", F.col("key").alias("column")).agg(
-        F.count_if(checked).alias("checked"), F.count_if(F.col("failed")).alias("failed"), F.count_if(F.col("year_missing")).alias("year_missing"),
-        F.count_if(F.col("ditto")).alias("ditto_filled"), F.count_if(F.col("unfilled")).alias("ditto_unfilled"), F.count_if(tx.is_excel_error("text")).alias("excel_error"),
-    )
-    rate = F.col("failed") / F.greatest("checked", F.lit(1))
-    out = row(per.where(rate >= WARN_RATE).withColumn("n", F.col("failed")), F.when(rate > BLOCK_RATE, "error").otherwise("warning"), "type_error_rate")
-    for code in ("year_missing", "ditto_filled", "ditto_unfilled", "excel_error"):
-        out = out.unionByName(row(per.where(F.col(code) > 0).withColumn("n", F.col(code)), "warning", code))
     nobody = F.lit(None).cast("string")
-    doubled = records.where("turn > 1").groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("n")).withColumn("column", nobody)
-    undated = records.where("date_value IS NULL").groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("n")).withColumn("column", nobody)
-    gone = classified.where("row_kind = 'excluded'").groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("n")).withColumn("column", nobody)
-    crossed = classified.where("table_kind <> 'list'").groupBy("file", "sheet").agg(F.first("table_kind").alias("column"), F.count(F.lit(1)).alias("n"))
-    bad = rows.where("error IS NOT NULL").select("file", "sheet", F.col("error").alias("column"), F.lit(1).alias("n"))
-    for df, level, code in ((doubled, "warning", "duplicate_key"), (undated, "warning", "undated"), (gone, "warning", "excluded_rows"), (crossed, "error", "layout"), (bad, "error", "unreadable")):
-        out = out.unionByName(row(df, level, code))
-    return out
+
+    def issue(level: Column | str, code: Column | str, n: Column, column: Column = nobody) -> Column:
+        text = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.when(n > 0, F.struct(text(level).alias("level"), text(code).alias("code"), column.alias("column"), n.cast("bigint").alias("n")))
+
+    def listed(df: DataFrame, *issues: Column) -> DataFrame:
+        """All issues of a row in one pass."""
+        return df.select("file", "sheet", F.explode(F.array_compact(F.array(*issues))).alias("i")).select("file", "sheet", "i.*")
+
+    linked = F.col("link").isNotNull() & F.col("type").isin("string", "text") & ~F.contains("text", F.col("link"))
+    counts = {
+        "checked": checked, "failed": F.col("failed"), "year_missing": F.col("year_missing"), "year_inferred": F.col("year_inferred"), "ditto_filled": F.col("ditto"),
+        "ditto_unfilled": F.col("unfilled"), "excel_error": tx.is_excel_error("text"), "cell_link": linked,
+    }
+    per = own.groupBy("file", "sheet", "key").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    rate = F.col("failed") / F.greatest("checked", F.lit(1))
+    key = F.col("key")
+    out = listed(
+        per, issue(F.when(rate > BLOCK_RATE, "error").otherwise("warning"), "type_error_rate", F.when(rate >= WARN_RATE, F.col("failed")), key),
+        *[issue("warning", code, F.col(code), key) for code in counts if code not in ("checked", "failed")],
+    )
+    # a sheet with rows and no record, not seen among the records, is a group of its own here
+    kinds = classified.groupBy("file", "sheet").agg(F.count_if(F.col("row_kind") == "excluded").alias("excluded"), F.first("table_kind").alias("kind"), F.count(F.lit(1)).alias("n"))
+    kinds = kinds.select("file", "sheet", "excluded", "kind", "n", F.lit(0).alias("records"), F.lit(0).alias("doubled"), F.lit(0).alias("undated"))
+    made = records.groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("turn") > 1).alias("doubled"), F.count_if(F.col("date_value").isNull()).alias("undated"))
+    sheets = kinds.unionByName(made, allowMissingColumns=True).groupBy("file", "sheet").agg(
+        F.max("kind").alias("kind"), *[F.sum(c).alias(c) for c in ("excluded", "n", "records", "doubled", "undated")]
+    )
+    out = out.unionByName(listed(
+        sheets, issue("warning", "duplicate_key", F.col("doubled")), issue("warning", "undated", F.col("undated")), issue("warning", "excluded_rows", F.col("excluded")),
+        issue("error", "layout", F.when(F.col("kind") != "list", F.col("n")), F.col("kind")), issue("error", "no_records", F.when(F.col("records") == 0, F.lit(1))),
+    ))
+    # what the reader noted at a row: an open quote is noted at its record
+    noted = rows.select("file", "sheet", "error", F.explode_outer("notes").alias("note")).where("note IS NOT NULL OR error IS NOT NULL")
+    noted = noted.groupBy("file", "sheet", "note", "error").agg(F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("note") == "unclosed_quote", "error").otherwise("warning")
+    out = out.unionByName(listed(noted, issue(level, F.col("note"), F.when(F.col("note").isNotNull(), F.col("n"))), issue("error", "unreadable", F.when(F.col("error").isNotNull(), F.lit(1)), F.col("error"))))
+    unlike = subtotals.where("NOT agrees").groupBy("file", "sheet", "key").agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(listed(unlike, issue("warning", "reconcile", F.col("n"), key)))
+
+
+def unused_headers(layouts: DataFrame, cols: DataFrame) -> DataFrame:
+    """An issue for each header that no column of the spec reads."""
+    heads = layouts.select("file", "sheet", F.posexplode("headers").alias("col", "column"))
+    left = heads.join(cols.select("file", "sheet", "col"), ["file", "sheet", "col"], "left_anti")
+    return left.select("file", "sheet", F.lit("warning").alias("level"), F.lit("unused_headers").alias("code"), "column", F.lit(1).cast("bigint").alias("n"))
+
+
+def assumed_units(cells: DataFrame, cols: DataFrame, spec: TableSpec) -> DataFrame:
+    """An issue for each number column whose unit stands in the spec alone: neither in the header nor at any value."""
+    named = F.regexp_extract("header", "[(（\\[［]([^()（）\\[\\]［］]{1,8})[)）\\]］]$", 1)
+    bare = cols.where((F.col("type") == "number") & (F.coalesce("unit", F.lit("")) != "") & (named == "")).select("file", "sheet", "key")
+    own = cells.where("starts").join(bare, ["file", "sheet", "key"], "left_semi").groupBy("file", "sheet", F.col("key").alias("column"))
+    written = vl.number_unit("text") != ""
+    found = own.agg(F.count_if(written).alias("written"), F.count_if(tx.trim_spaces("text") != "").alias("n")).where("written = 0 AND n > 0")
+    return found.select("file", "sheet", F.lit("warning").alias("level"), F.lit("unit_assumed").alias("code"), "column", "n")
 
 
 def reconcile_subtotals(rows: DataFrame, cols: DataFrame) -> DataFrame:

@@ -162,9 +162,11 @@ def spec_issues(records: DataFrame, columns: DataFrame, spec: TableSpec, long_ti
     sheets = columns.select("file", "sheet").distinct()
     for c in spec.columns:
         value = F.coalesce(F.element_at("values", c.key), F.lit(""))
+        absent = sheets.join(columns.where(F.col("key") == c.key).select("file", "sheet"), ["file", "sheet"], "left_anti")
+        add(absent, "warning", "column_missing", c.key)
         if c.required:
+            add(absent, "error", "required_missing", c.key)
             add(records.where(value == ""), "warning", "required_empty", c.key)
-            add(sheets.join(columns.where(F.col("key") == c.key).select("file", "sheet"), ["file", "sheet"], "left_anti"), "error", "column_missing", c.key)
         if c.allowed:
             add(records.where((value != "") & ~value.isin(c.allowed)), "warning", "not_allowed", c.key)
         if c.role in ("key", "entity", "entity_label"):

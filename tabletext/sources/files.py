@@ -24,10 +24,10 @@ CELL = pa.struct([
 ])
 ROWS = (
     "file string, sheet string, row_index int, hidden boolean, cells array<struct<kind string, text string, number_format string, bold boolean, "
-    "strike boolean, anchor_row int, anchor_col int, link string>>, error string"
+    "strike boolean, anchor_row int, anchor_col int, link string>>, notes array<string>, error string"
 )
 _EXCEL_TEXT = re.compile(r'^="(.*)"$', re.DOTALL)
-_SCHEMA = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row_index", pa.int32()), ("hidden", pa.bool_()), ("cells", pa.list_(CELL)), ("error", pa.string())])
+_SCHEMA = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row_index", pa.int32()), ("hidden", pa.bool_()), ("cells", pa.list_(CELL)), ("notes", pa.list_(pa.string())), ("error", pa.string())])
 
 
 def clean_cell(raw: str | None) -> str | None:
@@ -43,18 +43,21 @@ def clean_cell(raw: str | None) -> str | None:
 
 def delimited_rows(data: bytes, name: str, encoding: str | None, delimiter: str | None, strict: bool) -> Iterator[dict]:
     dialect = encodings.sniff(data, name)
-    text = encodings.decode(data, encoding or dialect.encoding, strict)
-    for i, row in enumerate(encodings.records(text, delimiter or dialect.delimiter), 1):
+    encoding, delimiter = encoding or dialect.encoding, delimiter or dialect.delimiter
+    text = encodings.decode(data, encoding, strict)
+    replaced = not strict and encodings.first_error(data, encoding) is not None
+    for i, (row, notes) in enumerate(encodings.noted_records(text, delimiter), 1):
         if len(row) > encodings.MAX_COLUMNS:
             raise encodings.SourceError(f"record {i} has {len(row)} columns")
+        notes += ["replaced_chars"] if replaced and any(encodings.GETA in c for c in row) else []
         cells = [{"kind": "blank" if c is None else "string", "text": c} for c in map(clean_cell, row)]
-        yield {"sheet": "", "row_index": i, "hidden": None, "cells": cells}
+        yield {"sheet": "", "row_index": i, "hidden": None, "cells": cells, "notes": notes}
 
 
 def read_files(
     spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, strict: bool = False, sheets: list[str] | None = None
 ) -> DataFrame:
-    """(file, sheet, row_index, hidden, cells, error) of all files under a path or glob.
+    """(file, sheet, row_index, hidden, cells, notes, error) of all files under a path or glob.
 
     The kind is taken from the extension. A file that cannot be read gives one row with ``error`` set.
     """
@@ -81,7 +84,7 @@ def read_files(
                             yield pa.RecordBatch.from_pylist(out, _SCHEMA)
                             out = []
                 except (encodings.SourceError, UnicodeError, csv.Error) as e:
-                    out.append({"file": path_, "sheet": None, "row_index": None, "hidden": None, "cells": None, "error": str(e)})
+                    out.append({"file": path_, "sheet": None, "row_index": None, "hidden": None, "cells": None, "notes": None, "error": str(e)})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 

@@ -75,3 +75,37 @@ def test_file_headers(spark):
     assert heads["a_2.md"][-2:] == ["- 前のファイル: a_1.md", "- 次のファイル: なし（これが最後）"]
     assert heads["b.md"][0] == "# 点検 2026年2月の記録" and heads["b.md"][3:] == ["- 対象期間: 2026-02-01〜2026-02-28", "- このファイルの記録: 1,200件（2026年2月の全件）"]
     assert heads["c.md"][0] == "# 点検 日付なしの記録" and heads["d.md"] == ["# 点検の記録", "", "- データ種別: 点検（1行＝1件）の記録", "- このファイルの記録: 5件（全件）"]
+
+
+@pytest.mark.parametrize(
+    ("text", "days", "times", "shift", "author", "body"),
+    [
+        ("令和8年4月1日 10:00 田中：連絡", ("2026-04-01", None), ("10:00", None), None, "田中", "連絡"),
+        ("R8.4.2 PM1:30 交換", ("2026-04-02", None), ("13:30", None), None, None, "交換"),
+        ("26/04/03 9時半 佐藤 確認した", ("2026-04-03", None), ("09:30", None), None, "佐藤", "確認した"),
+        ("2026/4/4(土) 22:00〜6:00 夜勤 巡回（田中）", ("2026-04-04", None), ("22:00", "06:00"), "夜勤", "田中", "巡回"),
+        ("【2026年12月30日〜1/2】休止", ("2026-12-30", "2027-01-02"), (None, None), None, None, "休止"),
+        ("2026/4/5 25:10 対応", ("2026-04-05", None), ("25:10", None), None, None, "対応"),
+        ("2026-04-06T10:30:00+09:00 自動", ("2026-04-06", None), ("10:30", None), None, None, "自動"),
+        ("2026/4/7 00:03 PM明け", ("2026-04-07", None), ("00:03", None), None, None, "PM明け"),
+        ("２０２６／４／８　１０：００　全角", ("2026-04-08", None), ("10:00", None), None, None, "全角"),
+        ("2026/4/8 99:99 停止", ("2026-04-08", None), (None, None), None, None, "99:99 停止"),
+        ("1.5mm 交換", (None, None), (None, None), None, None, "1.5mm 交換"),
+        ("納期4/8", (None, None), (None, None), None, None, "納期4/8"),
+        ("2026/2/30 ない日", (None, None), (None, None), None, None, "2026/2/30 ない日"),
+        ("10:30 だけ", (None, None), (None, None), None, None, "10:30 だけ"),
+        ("2026/4/9 停止（未完）", ("2026-04-09", None), (None, None), None, None, "停止（未完）"),
+    ],
+)
+def test_heads(spark, text, days, times, shift, author, body):
+    df = logs.parse_log(spark.createDataFrame([(text,)], "t string"), "t", people=["田中", "佐藤"])
+    (s,) = df.first()["log"]["segments"]
+    assert (s["date"], s["date_to"]) == days and (s["time"], s["time_to"]) == times
+    assert (s["shift"], s["author"], s["body"]) == (shift, author, body)
+
+
+def test_people_and_base_dates(spark):
+    df = spark.createDataFrame([("田中 一郎、佐藤さん",), ("不明",), (None,), ("佐藤",)], "who string")
+    assert {r["name"] for r in logs.people_names(df, "who").collect()} == {"田中 一郎", "田中", "佐藤"}
+    values = spark.createDataFrame([({"at": "2026/4/1 10:00", "end": "2026-04-05"},), ({"at": "4/1", "end": "2026-04-05"},), ({},)], "v map<string,string>")
+    assert [r["d"] for r in values.select(logs.base_date("v", ["at", "end"]).alias("d")).collect()] == ["2026-04-01", "2026-04-05", None]
