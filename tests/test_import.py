@@ -42,6 +42,14 @@ def test_sniff_limits(spark, tmp_path):
     assert rows["a.csv"]["columns"] == 7 and rows["b.csv"]["error"]
 
 
+def test_notes_of_records():
+    notes = lambda t: [n for _, n in encodings.noted_records(t, ",")]
+    assert notes("a,b\n1,2\n") == [[], []] and notes("") == []
+    assert notes('a,b\n"1,2\n3,4') == [[], ["unclosed_quote"]]
+    assert notes('a,b\n"1\n2",x"y') == [[], []] and notes('a,"b"""') == [[]]
+    assert notes('"' + "x\n" * 500 + '",1\n2,3') == [["long_record"], []]
+
+
 def test_csv_end_to_end(spark, tmp_path):
     (tmp_path / "list.csv").write_text(table_csv(), encoding="cp932")
     got = read_records(spark, str(tmp_path))
@@ -103,7 +111,7 @@ def test_spec(spark, tmp_path):
     values = {r["record_key"]: r["values"] for r in got.records.collect()}
     assert values["K-000"] == {"no": "K-000", "at": "2026-04-01 10:00", "eq": "A", "stop": "0"}
     codes = {(r["code"], r["column"], r["n"]) for r in got.issues.collect()}
-    assert ("column_missing", "none", 1) in codes and ("not_allowed", "eq", 6) in codes
+    assert {("column_missing", "none", 1), ("required_missing", "none", 1), ("unused_headers", "設備名", 1)} <= codes and ("not_allowed", "eq", 6) in codes
     bad = spec.TableSpec("t", [spec.ColumnSpec("a", "A b", "x", "y", "分", "z"), spec.ColumnSpec("b", "k", role="date"), spec.ColumnSpec("c", "k")], ["q"])
     assert len(spec.validate(bad)) >= 7
     with pytest.raises(ValueError):
