@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +22,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often the expression names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC by Arrow batches; Spark has no such function. Null stays null."""

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabletext.functions.text import _c, one_line
+from tabletext.functions.text import _c, let, one_line
 
 # Fixed values.
 BRACKETS = {"(": ")", "（": "）", "[": "]", "［": "］", "「": "」", "『": "』", "【": "】", "〔": "〕"}
@@ -41,12 +41,18 @@ def clip_title(c: Column | str, limit: int) -> Column:
     """Cut to ``limit`` characters and an ellipsis, before a bracket that stays open if it opens in the second half; 0: no limit."""
     if limit <= 0:
         return _c(c)
-    head = F.substring(_c(c), 1, limit)
-    opened = _first_open(head)
-    kept = F.when(opened >= limit // 2, F.substring(head, F.lit(1), opened)).otherwise(head)
-    kept = F.regexp_replace(kept, "(?U)[\\s、,。.]*[、,。.]$|(?U)\\s+$", "")
-    kept = F.when(kept == "", F.regexp_replace(head, "(?U)\\s+$", "")).otherwise(kept)
-    return F.when(F.length(_c(c)) > limit, F.concat(kept, F.lit("…"))).otherwise(_c(c))
+
+    def kept(head: Column, opened: Column) -> Column:
+        before = F.when(opened >= limit // 2, F.substring(head, F.lit(1), opened)).otherwise(head)
+        tidy = F.regexp_replace(before, "(?U)[\\s、,。.]*[、,。.]$|(?U)\\s+$", "")
+        return let(tidy, lambda t: F.when(t == "", F.regexp_replace(head, "(?U)\\s+$", "")).otherwise(t))
+
+    def cut(text: Column) -> Column:
+        head = F.substring(text, 1, limit)
+        short = let(head, lambda h: let(_first_open(h), lambda opened: kept(h, opened)))
+        return F.when(F.length(text) > limit, F.concat(short, F.lit("…"))).otherwise(text)
+
+    return let(_c(c), cut)
 
 
 def title_line(c: Column | str) -> Column:
@@ -63,10 +69,14 @@ def title_line(c: Column | str) -> Column:
 def record_title(key: Column | str, name: Column | str, code: Column | str, text: Column | str, date: Column | str, limit: int = 200) -> Column:
     """``【key】name（code）text｜date``, parts left out where they are blank; a space only behind a name that no bracket ends."""
     part = lambda c, a, b: F.when(F.coalesce(_c(c), F.lit("")) != "", F.concat(F.lit(a), _c(c), F.lit(b))).otherwise(F.lit(""))
+
+    def joined(head: Column, line: Column) -> Column:
+        space = F.when((head == "") | (line == "") | head.rlike("[】）]$"), "").otherwise(" ")
+        return F.concat(head, space, line, part(date, "｜", ""))
+
     head = F.concat(part(key, "【", "】"), part(name, "", ""), part(code, "（", "）"))
-    space = F.when((head == "") | head.rlike("[】）]$"), "").otherwise(" ")
-    line = part(clip_title(title_line(text), 40), "", "")
-    return clip_title(F.concat(head, F.when(line != "", space).otherwise(""), line, part(date, "｜", "")), limit)
+    line = F.coalesce(clip_title(title_line(text), 40), F.lit(""))
+    return clip_title(let(head, lambda h: let(line, lambda x: joined(h, x))), limit)
 
 
 def upper_code(c: Column | str) -> Column:

@@ -65,6 +65,8 @@ def test_titles(spark):
     df = spark.createDataFrame([("K-1", "ポンプ", "EQ-1", "2026/4/1 10:00 【重要】異音がした\n続き", "2026-04-01"), (None, None, None, None, None)], "k string, n string, c string, t string, d string")
     rows = [r["v"] for r in df.select(titles.record_title("k", "n", "c", "t", "d").alias("v")).collect()]
     assert rows == ["【K-1】ポンプ（EQ-1）異音がした｜2026-04-01", ""]
+    plan = df.select(titles.record_title("k", "n", "c", "t", "d").alias("v"))
+    assert len(plan._jdf.queryExecution().toString()) < 50_000  # arguments that an expression names often are bound once
     df = spark.createDataFrame([("eq-12a ポンプ", '#,##0"分"'), ("ポンプ", "0.0%"), ("x", "General")], "t string, f string")
     assert [tuple(r) for r in df.select(titles.upper_code("t"), titles.format_unit("f")).collect()] == [("EQ-12A ポンプ", "分"), ("ポンプ", "%"), ("x", "")]
 
