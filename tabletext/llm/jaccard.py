@@ -32,7 +32,7 @@ empty table gives an empty result. Columns other than key and text are not read;
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -57,22 +57,22 @@ PACK_BYTES, BUCKET_BYTES = 1_000_000, 16 << 20
 #: these; what kind it is (first division of the own band, of the next band, or a later division; 3: a need, not a signature).
 SHARED, KNOWN, KIND, BARE = np.uint64(1 << 55), np.uint64(1 << 54), np.uint64(52), np.uint64((1 << 52) - 1)
 SHORT = np.uint64((1 << 48) - 1)
-#: Divisions that a set is tried under before giving up; each fails with a chance well below one half.
+#: Divisions that a set is tried under before its elements sign for it; each fails with a chance well below one half.
 DIVISIONS = 200
 
 
-def linked(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
-    return 100 * common >= 75 * (a + b - common)
+def linked(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, percent: int = 75) -> np.ndarray:
+    return 100 * common >= percent * (a + b - common)
 
 
-def _shingles(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(words: np.ndarray, rows: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles, in the lanes of the words, and their rows; those of a short document are its whole sequence."""
     counts = np.bincount(rows, minlength=n)
     at = np.cumsum(counts) - counts
-    whole = window_digests(words, WIDTH)
-    inside = rows[: whole.shape[1]] == rows[WIDTH - 1 :] if whole.shape[1] else np.zeros(0, bool)
+    whole = window_digests(words, width)
+    inside = rows[: whole.shape[1]] == rows[width - 1 :] if whole.shape[1] else np.zeros(0, bool)
     values, owner = [whole[:, inside]], [rows[: whole.shape[1]][inside]]
-    for size in range(1, WIDTH):
+    for size in range(1, width):
         short = np.flatnonzero(counts == size)
         if len(short):
             values.append(window_digests(words, size)[:, at[short]])
@@ -80,7 +80,7 @@ def _shingles(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.concatenate(values, axis=1), np.concatenate(owner)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """(values, offsets, number of words, class): the distinct shingles of each row, sorted within the row.
 
     The class is a 128-bit digest of the set. That of a small set takes in both lanes of its shingles; larger sets that
@@ -88,7 +88,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
     """
     words, rows = words_of(texts, lower=True)
     n = len(texts)
-    values, owner = _shingles(words[:1], rows, n)
+    values, owner = _shingles(words[:1], rows, n, width)
     values = values[0]
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
@@ -101,7 +101,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
     extra = dict.fromkeys(few.tolist(), b"")
     if len(few):
         use = np.isin(rows, few)
-        second, owner = _shingles(words[1:, use], rows[use], n)
+        second, owner = _shingles(words[1:, use], rows[use], n, width)
         pairs = np.unique(np.column_stack([owner.astype(np.uint64), second[0]]), axis=0)
         ends = row_starts(pairs[:, 0].astype(np.int64), n)
         extra = {i: pairs[ends[i] : ends[i + 1], 1].tobytes() for i in few.tolist()}
@@ -206,8 +206,12 @@ def _band_signatures(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray,
         for sig, i in signed_subsets:
             out.append((sig, rows[i], np.full(len(i), 2 if division else ahead), asked[i]))
         rows = rows[need < 1]
-    if n1 and len(rows):
-        raise RuntimeError("a set has no division with enough filled cells")
+    if n1 and len(rows):  # no division fills enough cells: linked sets share an element at least, so each one signs
+        sizes = offsets[rows + 1] - offsets[rows]
+        ends = np.cumsum(sizes)
+        element = np.repeat(offsets[rows] - (ends - sizes), sizes) + np.arange(ends[-1])
+        owner = np.repeat(rows, sizes)
+        out.append((mix(values[element] ^ np.uint64(band * 1_000_003 + DIVISIONS)), owner, np.full(len(owner), 2), np.ones(len(owner), np.int64)))
     return out
 
 
@@ -300,43 +304,56 @@ def shared_prefixes(prefixes: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "short long, n long")
 
 
-def shared_signatures(sets: DataFrame, buckets: int) -> DataFrame:
-    """(sig, short, kind, need) of the signatures that at least two classes have, and rows without ``sig`` of needs above one.
+def packed_entries(sig: np.ndarray, cls: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, sig, cls) of a batch of entries: marked signatures (56 bits) and the short ids that hold them."""
+    order = np.argsort(sig & BARE)
+    sig, cls = sig[order], cls[order]
+    met, others = _spread(sig, cls, buckets)
+    yield met
+    yield scattered(sig[others] | KNOWN, cls[others], buckets)
 
-    ``sets`` (short, shingles) has one row a class.
-    """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "shingles", fill=False, size=2 * PACK_BYTES):
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
-            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 8)])
-            short = batch.column(0).to_numpy().view(np.uint64)
-            sig, owner, kind, need = signatures(values, offsets)
-            asked = np.unique(np.column_stack([owner, kind, need]), axis=0)
-            asked = asked[asked[:, 2] > 1].astype(np.uint64)
-            order = np.argsort(sig & BARE)
-            entries, cls = (sig & BARE | kind.astype(np.uint64) << KIND)[order], short[owner[order]]
-            met, others = _spread(entries, cls, buckets)
-            yield met
-            # what is known to be shared goes anywhere, as do the needs of classes
-            apart = np.concatenate([entries[others] | KNOWN, np.minimum(asked[:, 2], BARE >> np.uint64(2)) << np.uint64(2) | asked[:, 1] | np.uint64(3) << KIND | KNOWN])
-            of = np.concatenate([cls[others], short[asked[:, 0].astype(np.int64)]])
-            bucket = mix(of ^ apart) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            yield _in_buckets(bucket[order], apart[order], of[order])
+def scattered(sig: np.ndarray, cls: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of entries that need not meet others: what is known to be shared, and needs."""
+    bucket = mix(cls ^ sig) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return _in_buckets(bucket[order], sig[order], cls[order])
+
+
+def meeting_entries(packed: DataFrame) -> DataFrame:
+    """(sig, short, kind, need) of the signatures that at least two classes have, and rows without ``sig`` that alone hold the needs."""
 
     def meet(table: pa.Table) -> pa.Table:
         sig, cls = _meeting(table)
         kind, bare = ((sig >> KIND) & np.uint64(3)).astype(np.int32), sig & BARE
         asked = kind == 3
-        need = np.where(asked, bare >> np.uint64(2), 1).astype(np.int32)
+        need = (bare >> np.uint64(2)).astype(np.int32)
         kind = np.where(asked, bare & np.uint64(3), kind).astype(np.int32)
-        return pa.table({"sig": pa.array(signed(bare), mask=asked), "short": signed(cls), "kind": kind, "need": need})
+        return pa.table({"sig": pa.array(signed(bare), mask=asked), "short": signed(cls), "kind": kind, "need": pa.array(need, mask=~asked)})
 
-    packed = sets.select("short", "shingles").mapInArrow(pack, "bucket long, sig binary, cls binary")
     return packed.groupBy("bucket").applyInArrow(meet, "sig long, short long, kind int, need int")
 
 
+ENTRIES = "bucket long, sig binary, cls binary"
+
+
+def shared_signatures(sets: DataFrame, buckets: int) -> DataFrame:
+    """``meeting_entries`` of all signatures of ``sets`` (short, shingles), which has one row a class."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "shingles", fill=False, size=2 * PACK_BYTES):
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 8)])
+            short = batch.column(0).to_numpy().view(np.uint64)
+            sig, owner, kind, need = signatures(values, offsets)
+            yield from packed_entries(sig & BARE | kind.astype(np.uint64) << KIND, short[owner], buckets)
+            asked = np.unique(np.column_stack([owner, kind, need]), axis=0).astype(np.uint64)
+            needs = np.minimum(asked[:, 2], BARE >> np.uint64(2)) << np.uint64(2) | asked[:, 1] | np.uint64(3) << KIND | KNOWN
+            yield scattered(needs, short[asked[:, 0].astype(np.int64)], buckets)
+
+    return meeting_entries(sets.select("short", "shingles").mapInArrow(pack, ENTRIES))
+
+
 def _in_buckets(bucket: np.ndarray, sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket, of entries sorted by bucket."""
     which, starts = np.unique(bucket, return_index=True)
@@ -346,25 +363,35 @@ def _in_buckets(bucket: np.ndarray, sig: np.ndarray, cls: np.ndarray) -> pa.Reco
 
 
 def rarest_signatures(shared: DataFrame) -> DataFrame:
-    """(sig, short): for each class with enough shared signatures, the rarest ones, all but ``need - 1``."""
+    """(sig, short): for each class with enough shared signatures, the rarest ones, all but ``need - 1``.
+
+    Classes that share a short id are taken as one; the smallest of their needs counts, so that none loses a signature.
+    """
     often = shared.where("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("freq"))
     return (
         shared.join(often, "sig", "left")
         .groupBy("short", "kind")
         # at most the document's own signatures
-        .agg(F.max("need").alias("need"), F.sort_array(F.collect_list(F.when(F.col("sig").isNotNull(), F.struct("freq", "sig")))).alias("sigs"))
+        .agg(F.coalesce(F.min("need"), F.lit(1)).alias("need"), F.sort_array(F.collect_list(F.when(F.col("sig").isNotNull(), F.struct("freq", "sig")))).alias("sigs"))
         .where(F.size("sigs") >= F.col("need"))
         .select("short", F.explode(F.slice("sigs", F.lit(1), F.size("sigs") - F.col("need") + 1)).alias("s"))
         .select(F.col("s.sig").alias("sig"), "short")
     )
 
 
-def forest(sets: list[np.ndarray], roots: list, pivots: list[bool] | None = None) -> list[tuple[int, int]]:
+#: Tells which of some sets may be linked with one: (its sketch, their sketches, its size, their sizes).
+Estimate = Callable[[np.ndarray, np.ndarray, int, np.ndarray], np.ndarray]
+
+
+def forest(
+    sets: list[np.ndarray], roots: list, pivots: list[bool] | None = None, percent: int = 75, sketches: np.ndarray | None = None, estimate: Estimate | None = None
+) -> list[tuple[int, int]]:
     """Links that span the link graph of some sets, those with equal roots being linked already.
 
     Breadth first, each set compared with sets not yet reached. With ``pivots``, these alone are compared with the others.
+    With ``sketches``, only sets that the ``estimate`` does not rule out are compared element by element.
     """
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
     ends = np.cumsum(sizes)
     root = np.unique(np.array(roots, object).astype(str), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
@@ -372,48 +399,62 @@ def forest(sets: list[np.ndarray], roots: list, pivots: list[bool] | None = None
     left, flat, mark = np.arange(len(sets)), codes, np.zeros(int(codes.max(initial=-1)) + 1, bool)
     out, queue = [], []
     starts = None if pivots is None else [i for i, p in enumerate(pivots) if p]
+
+    def without(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return flat if estimate else flat[np.repeat(~gone, sizes[left])], left[~gone]
+
+    def common_of(pivot: int) -> np.ndarray:
+        """Elements that each set left has in common with one; -1 where the estimate rules a link out."""
+        out, maybe, of = np.full(len(left), -1), np.arange(len(left)), flat
+        if estimate:
+            maybe = np.flatnonzero(estimate(sketches[pivot], sketches[left], int(sizes[pivot]), sizes[left]))
+            n = sizes[left[maybe]]
+            last = np.cumsum(n)
+            of = codes[np.repeat(ends[left[maybe]] - last, n) + np.arange(last[-1] if len(last) else 0)]
+        mark[own(pivot)] = True
+        hits = np.concatenate([[0], np.cumsum(mark[of])])
+        mark[own(pivot)] = False
+        bounds = np.concatenate([[0], np.cumsum(sizes[left[maybe]])])
+        out[maybe] = hits[bounds[1:]] - hits[bounds[:-1]]
+        return out
+
     while len(left) or queue:
         if not queue:
             if starts is not None and not starts:
                 break
             i = int(left[0]) if starts is None else starts.pop()
             queue.append(i)
-            stay = left != i
-            flat, left = flat[np.repeat(stay, sizes[left])], left[stay]
+            flat, left = without(left == i)
         if not len(left):
             break
         pivot = queue.pop()
-        mark[own(pivot)] = True
-        bounds = np.concatenate([[0], np.cumsum(sizes[left])])
-        hits = np.concatenate([[0], np.cumsum(mark[flat])])
-        common = hits[bounds[1:]] - hits[bounds[:-1]]
-        mark[own(pivot)] = False
+        common = common_of(pivot)
         known = root[left] == root[pivot]
-        found = linked(common, sizes[pivot], sizes[left]) | known
+        found = (common >= 0) & linked(common, sizes[pivot], sizes[left], percent) | known
         if found.any():
             out += [(pivot, r) for r in left[found & ~known].tolist()]
             if starts is None:
                 queue += left[found].tolist()
-            flat, left = flat[np.repeat(~found, sizes[left])], left[~found]
+            flat, left = without(found)
     return out
 
 
 LINKS = "a binary, b binary"
 
 
-def links_of(rows: DataFrame, by: list[str], pivots: bool) -> DataFrame:
-    """(a, b) links between classes within groups of (*by, cls, root, pivot, shingles) rows."""
+def links_of(rows: DataFrame, by: list[str], pivots: bool, percent: int = 75, sketch: Callable | None = None, estimate: Estimate | None = None) -> DataFrame:
+    """(a, b) links between classes within groups of (*by, cls, root, pivot, shingles) rows; ``sketch`` makes the matrix of what ``estimate`` takes."""
 
     def run(table: pa.Table) -> pa.Table:
         cls = table.column("cls").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        found = forest(sets, table.column("root").to_pylist(), table.column("pivot").to_pylist() if pivots else None)
+        found = forest(sets, table.column("root").to_pylist(), table.column("pivot").to_pylist() if pivots else None, percent, sketch(sets) if sketch else None, estimate)
         return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.binary()), "b": pa.array([cls[j] for _, j in found], pa.binary())})
 
     return rows.groupBy(*by).applyInArrow(run, LINKS)
 
 
-def with_classes(docs: DataFrame, text: str, shingles: bool = False) -> DataFrame:
+def with_classes(docs: DataFrame, text: str, shingles: bool = False, width: int = WIDTH) -> DataFrame:
     """Adds ``jaccard_cls`` and ``jaccard_size``, class and size of each document's set; with ``shingles`` these, in place of the text."""
     kept = [c for c in docs.columns if not (shingles and c == text)]
     added = [T.StructField("jaccard_cls", T.BinaryType()), T.StructField("jaccard_size", T.LongType())] + [T.StructField("jaccard_set", T.BinaryType())] * shingles
@@ -422,7 +463,7 @@ def with_classes(docs: DataFrame, text: str, shingles: bool = False) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, text, fill=False):
             column = batch.column(batch.schema.get_field_index(text))
-            values, offsets, _, ids = shingle_sets(column.fill_null(""))
+            values, offsets, _, ids = shingle_sets(column.fill_null(""), width)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             columns = [c.cast(pa.string()) if c.type == pa.large_string() else c for c in columns]
             columns += [pa.array(ids, pa.binary()), pa.array(np.diff(offsets).astype(np.int64))]
@@ -457,11 +498,31 @@ def class_links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFra
     need = F.floor(F.ceil(F.col("n_shingles") * 3 / 4) / 10) + 1
     wanted = written(classes.join(met, "short").where(F.col("met") >= need).select("cls", "short", "rep", "n_shingles"), "jaccard-wanted")
     total = wanted.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
-    sets = of_classes(with_classes(docs, "text", shingles=True), wanted.drop("n_shingles"), "key").dropDuplicates(["cls"])
-    sets = written(sets.select("cls", "short", F.col("jaccard_size").alias("n"), F.col("jaccard_set").alias("shingles")), "jaccard-sets")
+    sets = written(sets_of(docs, wanted), "jaccard-sets")
     met = written(shared_signatures(sets, _buckets_of(int(0.7 * total))), "jaccard-met")
     shared = written(rarest_signatures(met), "jaccard-shared")
     drop_written(met)
+    links = candidate_links(sets, shared)
+    for df in (shared, sets, wanted):
+        drop_written(df)
+    return links
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(cls, short, n, shingles) of the classes ``wanted`` (cls, short, rep): the set of the document that stands for each.
+
+    Texts are joined by key before they are cut into shingles, so only those of wanted keys are; a key can be null or
+    repeated, hence the class is compared behind. Classes grow with the input: the plan is the same merge join at every size.
+    """
+    by_key = wanted.select("cls", "short", "rep", F.xxhash64("rep").alias("place")).hint("merge")
+    texts = docs.select("key", "text", F.xxhash64("key").alias("place")).join(by_key, "place").where(F.col("key").eqNullSafe(F.col("rep")))
+    texts = texts.dropDuplicates(["place", "key", "cls", "text"]).select("cls", "short", "text")
+    found = with_classes(texts, "text", shingles=True, width=width).where(F.col("jaccard_cls") == F.col("cls"))
+    return found.select("cls", "short", F.col("jaccard_size").alias("n"), F.col("jaccard_set").alias("shingles"))
+
+
+def candidate_links(sets: DataFrame, shared: DataFrame, percent: int = 75, sketch: Callable | None = None, estimate: Estimate | None = None) -> DataFrame:
+    """(a, b) links that span each component of ``sets`` (cls, short, n, shingles) whose linked members share a value of ``shared`` (sig, short)."""
     centres = shared.groupBy("sig").agg(F.min("short").alias("centre"), F.max("short").alias("most")).where("centre <> most").drop("most")
     met = shared.join(centres, "sig")
     stars = written(met.groupBy("short").agg(F.min(F.when(F.col("short") != F.col("centre"), F.col("centre"))).alias("centre")), "jaccard-stars")
@@ -473,7 +534,7 @@ def class_links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFra
         "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", F.lit(True).alias("pivot"), "shingles"
     )
     rows = rows.unionByName(middle).withColumn("root", F.hex("cls"))
-    first = written(links_of(rows, ["centre", "part"], pivots=True), "jaccard-star-links")
+    first = written(links_of(rows, ["centre", "part"], True, percent, sketch, estimate), "jaccard-star-links")
     # what is left: signatures whose classes have several roots
     roots = components(first, "jaccard-roots")
     rooted = sets.select("cls", "short").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "short", F.coalesce("root", "cls").alias("root"))
@@ -491,40 +552,48 @@ def class_links(docs: DataFrame, base: DataFrame, classes: DataFrame) -> DataFra
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("group", F.least("mine", "other").alias("left_block"), F.greatest("mine", "other").alias("right_block"), "cls", F.hex("root").alias("root"), F.lit(False).alias("pivot"), "shingles")
     )
-    second = links_of(rows, ["group", "left_block", "right_block"], pivots=False)
+    second = links_of(rows, ["group", "left_block", "right_block"], False, percent, sketch, estimate)
     links = written(first.unionByName(second), "jaccard-links")
-    for df in (shared, stars, sets, parts, first, edges, blocks, wanted):
+    for df in (stars, parts, first, edges, blocks):
         drop_written(df)
     return links
 
 
-def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows of ``set_rows`` for every document, and (cls, rep, n_class, component, first) for every class of equal sets.
-
-    ``rep`` is the smallest key of a class, ``component`` the smallest one it is linked with; one class of a component is
-    its ``first``.
-    """
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    base = written(set_rows(docs, "key", "text"), "jaccard-base")
-    classes = base.where("n_shingles > 0").groupBy("cls").agg(
+def classes_of(base: DataFrame) -> DataFrame:
+    """(cls, rep, n_class, n_shingles, short) of the rows of documents that have words; ``rep`` is the smallest key."""
+    return base.where("n_shingles > 0").groupBy("cls").agg(
         F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.first("n_shingles").alias("n_shingles"), F.first("short").alias("short")
     )
-    classes = written(classes, "jaccard-classes")
-    roots = components(class_links(docs, base, classes), "jaccard")
+
+
+def named_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, rep, n_class, component, first): ``component`` is the smallest key that a class is linked with; one class of a component is its ``first``."""
+    roots = components(links, "jaccard")
     named = classes.select("cls", "rep", "n_class").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     order = F.struct(F.col("rep").isNull(), "rep", "cls")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"), F.min_by("cls", order).alias("first_cls"))
-    found = named.join(smallest, "root").select("cls", "rep", "n_class", "component", (F.col("cls") == F.col("first_cls")).alias("first"))
-    return base, written(found, "jaccard-components")
+    return named.join(smallest, "root").select("cls", "rep", "n_class", "component", (F.col("cls") == F.col("first_cls")).alias("first"))
+
+
+def with_components(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every row of ``base`` with the size of its class and its component, its own key if it has no words."""
+    classes = classes.select(F.col("cls").alias("c"), "n_class", "component")
+    found = base.join(classes, (F.col("cls") == F.col("c")) & (F.col("n_shingles") > 0), "left")
+    return found.withColumn("component", F.coalesce("component", "key"))
+
+
+def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows of ``set_rows`` for every document, and the ``named_classes``."""
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    base = written(set_rows(docs, "key", "text"), "jaccard-base")
+    classes = written(classes_of(base), "jaccard-classes")
+    return base, written(named_classes(classes, class_links(docs, base, classes)), "jaccard-components")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_shingles, n_class, component) for every document."""
     base, classes = duplicate_classes(docs, key, text)
-    classes = classes.select(F.col("cls").alias("c"), "n_class", "component")
-    return base.join(classes, (F.col("cls") == F.col("c")) & (F.col("n_shingles") > 0), "left").select(
-        "key", "n_words", "n_shingles", "n_class", F.coalesce("component", "key").alias("component")
-    )
+    return with_components(base, classes).select("key", "n_words", "n_shingles", "n_class", "component")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -536,7 +605,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     first = classes.where("first").select("cls", "rep")
     rows = with_classes(plain, text)
     kept = of_classes(rows, first, key)
-    turn = F.row_number().over(W.partitionBy("jaccard_key").orderBy("jaccard_key"))
+    turn = F.row_number().over(W.partitionBy("jaccard_key", "rep", "cls").orderBy("jaccard_key"))
     kept = kept.withColumn("jaccard_turn", turn).where("jaccard_turn = 1")
     out = kept.select(*plain.columns).unionByName(rows.where("jaccard_size = 0").select(*plain.columns))
     return out.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(columns)])

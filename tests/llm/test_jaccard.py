@@ -64,6 +64,22 @@ def meet(pairs):
     return ok
 
 
+def test_classes_under_one_short_id_keep_their_signatures(spark):
+    """One with need 1 and signature 100, one with need 5 and signatures 1 to 5; all are shared with others."""
+    rows = [(s, 7, 0, None) for s in (1, 2, 3, 4, 5, 100)] + [(None, 7, 0, 1), (None, 7, 0, 5)] + [(100, 8, 0, None), (None, 8, 0, 1)]
+    rows += [(s, 9, 0, None) for s in (1, 2, 3, 4, 5)] + [(None, 9, 0, 5)] + [(100, 10, 0, None), (None, 10, 0, 1)]
+    kept = {tuple(r) for r in jaccard.rarest_signatures(spark.createDataFrame(rows, "sig long, short long, kind int, need int")).collect()}
+    assert {(100, 7), (100, 8), (100, 10)} <= kept and {s for s, short in kept if short == 9} <= {s for s, short in kept if short == 7}
+
+
+def test_sets_without_a_division_sign_their_elements(monkeypatch):
+    monkeypatch.setattr(jaccard, "DIVISIONS", 1)
+    rng = np.random.Generator(np.random.PCG64(5))
+    pool = rng.integers(1, 2**62, 40).astype(np.uint64)
+    pairs = [x for n in range(3, 32) for x in (pool[:n], pool[: n + 1])]
+    assert all(ok or not jaccard.linked(np.array([n]), n, n + 1)[0] for ok, n in zip(meet(pairs), range(3, 32), strict=True))
+
+
 def test_schemes_enumerate_subsets():
     for band in range(2, 14):
         n1, n2, k2 = jaccard.scheme(band)
