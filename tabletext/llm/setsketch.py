@@ -108,7 +108,7 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def band_values(sketch: np.ndarray) -> np.ndarray:
     """A signature of 52 bits for each band (sets x bands)."""
-    words = np.ascontiguousarray(sketch).view(np.uint64).reshape(len(sketch), BANDS, -1)
+    words = np.ascontiguousarray(sketch).view(np.uint64).reshape(len(sketch), BANDS, ROWS // 4)
     out = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP)[None, :]
     for k in range(words.shape[2]):
         out = mix(out * np.uint64(3) + words[:, :, k])
