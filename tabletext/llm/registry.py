@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from tabletext.llm import jaccard, media, mixing, pii, quality, repeats, sentencepiece, setsketch, topk, toxicity, warc
+from tabletext.llm import align, jaccard, media, mixing, pii, quality, repeats, sentencepiece, setsketch, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_quality": quality.op10_quality,
     "op12_setsketch": setsketch.op12_setsketch,
+    "op13_align": align.op13_align,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
