@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from tabletext.llm import align, jaccard, media, mixing, pii, quality, repeats, sentencepiece, setsketch, topk, toxicity, warc
+from tabletext.llm import align, jaccard, media, mixing, negatives, pii, quality, repeats, sentencepiece, setsketch, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_quality": quality.op10_quality,
+    "op11_negatives": negatives.op11_negatives,
     "op12_setsketch": setsketch.op12_setsketch,
     "op13_align": align.op13_align,
     "pipeline": corpus_pipeline.run,
@@ -27,6 +28,7 @@ ORACLES = {
     "op6_warc": warc.ORACLE,
     "op8_repeats": repeats.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
+    "op11_negatives": negatives.ORACLE,
     "op12_setsketch": setsketch.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
