@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabletext.functions.values import time_of_day
-from tabletext.operators import checks, documents, log_details, logs
+from tabletext.operators import checks, documents, log_details, logs, people
 
 
 def one(spark, f, text):
@@ -77,31 +77,62 @@ def test_file_headers(spark):
     assert heads["c.md"][0] == "# 点検 日付なしの記録" and heads["d.md"] == ["# 点検の記録", "", "- データ種別: 点検（1行＝1件）の記録", "- このファイルの記録: 5件（全件）"]
 
 
-@pytest.mark.parametrize(
-    ("text", "days", "times", "shift", "author", "body"),
-    [
-        ("令和8年4月1日 10:00 田中：連絡", ("2026-04-01", None), ("10:00", None), None, "田中", "連絡"),
-        ("R8.4.2 PM1:30 交換", ("2026-04-02", None), ("13:30", None), None, None, "交換"),
-        ("26/04/03 9時半 佐藤 確認した", ("2026-04-03", None), ("09:30", None), None, "佐藤", "確認した"),
-        ("2026/4/4(土) 22:00〜6:00 夜勤 巡回（田中）", ("2026-04-04", None), ("22:00", "06:00"), "夜勤", "田中", "巡回"),
-        ("【2026年12月30日〜1/2】休止", ("2026-12-30", "2027-01-02"), (None, None), None, None, "休止"),
-        ("2026/4/5 25:10 対応", ("2026-04-05", None), ("25:10", None), None, None, "対応"),
-        ("2026-04-06T10:30:00+09:00 自動", ("2026-04-06", None), ("10:30", None), None, None, "自動"),
-        ("2026/4/7 00:03 PM明け", ("2026-04-07", None), ("00:03", None), None, None, "PM明け"),
-        ("２０２６／４／８　１０：００　全角", ("2026-04-08", None), ("10:00", None), None, None, "全角"),
-        ("2026/4/8 99:99 停止", ("2026-04-08", None), (None, None), None, None, "99:99 停止"),
-        ("1.5mm 交換", (None, None), (None, None), None, None, "1.5mm 交換"),
-        ("納期4/8", (None, None), (None, None), None, None, "納期4/8"),
-        ("2026/2/30 ない日", (None, None), (None, None), None, None, "2026/2/30 ない日"),
-        ("10:30 だけ", (None, None), (None, None), None, None, "10:30 だけ"),
-        ("2026/4/9 停止（未完）", ("2026-04-09", None), (None, None), None, None, "停止（未完）"),
-    ],
-)
-def test_heads(spark, text, days, times, shift, author, body):
-    df = logs.parse_log(spark.createDataFrame([(text,)], "t string"), "t", people=["田中", "佐藤"])
-    (s,) = df.first()["log"]["segments"]
-    assert (s["date"], s["date_to"]) == days and (s["time"], s["time_to"]) == times
-    assert (s["shift"], s["author"], s["body"]) == (shift, author, body)
+HEADS = [
+    ("令和8年4月1日 10:00 田中：連絡", ("2026-04-01", None), ("10:00", None), None, "田中", "連絡"),
+    ("R8.4.2 PM1:30 交換", ("2026-04-02", None), ("13:30", None), None, None, "交換"),
+    ("26/04/03 9時半 佐藤 確認した", ("2026-04-03", None), ("09:30", None), None, "佐藤", "確認した"),
+    ("2026/4/4(土) 22:00〜6:00 夜勤 巡回（田中）", ("2026-04-04", None), ("22:00", "06:00"), "夜勤", "田中", "巡回"),
+    ("【2026年12月30日〜1/2】休止", ("2026-12-30", "2027-01-02"), (None, None), None, None, "休止"),
+    ("2026/4/5 25:10 対応", ("2026-04-05", None), ("25:10", None), None, None, "対応"),
+    ("2026-04-06T10:30:00+09:00 自動", ("2026-04-06", None), ("10:30", None), None, None, "自動"),
+    ("2026/4/7 00:03 PM明け", ("2026-04-07", None), ("00:03", None), None, None, "PM明け"),
+    ("２０２６／４／８　１０：００　全角", ("2026-04-08", None), ("10:00", None), None, None, "全角"),
+    ("2026/4/8 99:99 停止", ("2026-04-08", None), (None, None), None, None, "99:99 停止"),
+    ("1.5mm 交換", (None, None), (None, None), None, None, "1.5mm 交換"),
+    ("納期4/8", (None, None), (None, None), None, None, "納期4/8"),
+    ("2026/2/30 ない日", (None, None), (None, None), None, None, "2026/2/30 ない日"),
+    ("10:30 だけ", (None, None), (None, None), None, None, "10:30 だけ"),
+    ("2026/4/9 停止（未完）", ("2026-04-09", None), (None, None), None, None, "停止（未完）"),
+    ("2026/9/25 22:00〜9/26 6:00 夜間停止", ("2026-09-25", "2026-09-26"), ("22:00", "06:00"), None, None, "夜間停止"),
+    ("2026/12/31 23:00〜1/1 1:00 監視", ("2026-12-31", "2027-01-01"), ("23:00", "01:00"), None, None, "監視"),
+    ("1. 2026.4.10（金曜日） 8時5分30秒 始動", ("2026-04-10", None), ("08:05", None), None, None, "始動"),
+    ("2026/4/11 3:20 p.m. 停止", ("2026-04-11", None), ("15:20", None), None, None, "停止"),
+    ("2026/4/11 12:05 AM 停止", ("2026-04-11", None), ("00:05", None), None, None, "停止"),
+    ("2026/4/12 午後3時〜5時 清掃", ("2026-04-12", None), ("15:00", "05:00"), None, None, "清掃"),
+    ("2026/4/13 3時間 停止", ("2026-04-13", None), (None, None), None, None, "3時間 停止"),
+    ("2026/4/14 午前中 待機", ("2026-04-14", None), (None, None), "午前中", None, "待機"),
+    ("平成30年4月15日〜4月16日 停止", ("2018-04-15", "2018-04-16"), (None, None), None, None, "停止"),
+    ("2026.4.1.2 版", (None, None), (None, None), None, None, "2026.4.1.2 版"),
+    ("製造課 田中 確認", (None, None), (None, None), None, "田中", "確認"),
+    ("2026/4/16 製造課: 連絡", ("2026-04-16", None), (None, None), None, "製造課", "連絡"),
+    ("2026/4/17 製造課長に連絡", ("2026-04-17", None), (None, None), None, None, "製造課長に連絡"),
+    ("2026/4/18田中弁を交換", ("2026-04-18", None), (None, None), None, "田中", "弁を交換"),
+    ("2026/4/19 田中→佐藤 引継ぎ", ("2026-04-19", None), (None, None), None, "田中", "引継ぎ"),
+    ("2026/4/20 調整した（2026/4/21 佐藤）", ("2026-04-20", None), (None, None), None, "佐藤", "調整した"),
+    ("2026/4/22 確認（済）佐藤", ("2026-04-22", None), (None, None), None, "佐藤", "確認（済）"),
+    ("2026/4/23 ｽｽﾞｷ 点検", ("2026-04-23", None), (None, None), None, "スズキ", "点検"),
+    ("2026/4/24 スズキ製の弁", ("2026-04-24", None), (None, None), None, None, "スズキ製の弁"),
+    ("2026/4/25 伊藤 確認", ("2026-04-25", None), (None, None), None, "伊藤", "確認"),
+]
+
+
+def test_heads_and_authors(spark):
+    """Registered people, a loose form from a column, a group, and a surname that two people share."""
+    column = spark.createDataFrame([("スズキ、不明",), (None,)], "who string")
+    index = people.people_index(spark, column, [{"name": "田中"}, {"name": "佐藤"}, {"name": "伊藤 一"}, {"name": "伊藤 二"}], ["製造課"])
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(HEADS)], "i int, t string")
+    got = {r["i"]: r["log"]["segments"][0] for r in logs.parse_log(df, "t", people=index).collect()}
+    for i, (text, days, times, shift, author, body) in enumerate(HEADS):
+        s = got[i]
+        assert ((s["date"], s["date_to"]), (s["time"], s["time_to"]), s["shift"], s["author"], s["body"]) == (days, times, shift, author, body), text
+    assert got[len(HEADS) - 1]["author_people"] == 2
+
+
+def test_cutting_is_linear_and_exact(spark):
+    text = "前書き\n" + "\n".join(f"2026/4/{i % 28 + 1} 10:00 作業{i}\n続き" for i in range(8000))
+    df = spark.createDataFrame([(text,), ("\n",), ("２０２６／４／１ a\nb",)], "t string")
+    got = [r["p"] for r in df.select(logs.split_pieces("t").alias("p")).collect()]
+    assert len(got[0]) == 8001 and "\n".join(got[0]) == text and got[1] == ["\n"] and got[2] == ["２０２６／４／１ a\nb"]
 
 
 def test_people_and_base_dates(spark):
