@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletext.functions import text as tx
+from tabletext.functions.titles import record_title
 from tabletext.operators import documents
+from tabletext.plans import rendering
+from tabletext.plans.spec import TableSpec
 
 
 def record_blocks(records: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
@@ -19,18 +22,23 @@ def record_blocks(records: DataFrame, names: dict[str, str] | None = None) -> Da
     label = lambda k: F.coalesce(F.element_at(shown, k), k)
     pairs = F.array_sort(F.map_entries("values"))
     bullets = F.transform(F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != ""), lambda p: tx.md_bullet(label(p["key"]), p["value"]))
-    title = F.concat(F.lit("## 【"), "record_key", F.lit("】"), F.coalesce(F.concat(F.lit("｜"), "date_value"), F.lit("")))
+    title = F.concat(F.lit("## "), record_title("record_key", F.lit(""), F.lit(""), F.lit(""), "date_value"))
     source = F.concat(F.lit("- 出典: "), F.element_at(F.split("file", "/"), -1), F.when(F.col("sheet") != "", F.concat(F.lit("・"), "sheet")).otherwise(F.lit("")), F.lit(" "), F.col("record_row").cast("string"), F.lit("行目"))
     return records.withColumn("block", F.concat(title, F.lit("\n\n"), F.array_join(F.concat(bullets, F.array(source)), "\n")))
 
 
-def render(records: DataFrame, group: Column | None = None, limit: int = documents.FILE_CHARS, names: dict[str, str] | None = None, table: str | None = None) -> DataFrame:
+def render(
+    records: DataFrame, group: Column | None = None, limit: int = documents.FILE_CHARS, names: dict[str, str] | None = None, table: str | None = None,
+    spec: TableSpec | None = None, people: DataFrame | None = None,
+) -> DataFrame:
     """(file_name, text, n_records): a file for each month (or other group), cut by size, with unique names.
 
     With the name of the ``table``, files start with the full head of ``documents.file_headers``, else with group and count.
-    """
+    With a ``spec``, records are rendered in its order, those over the token budget in parts.
+    """
     month = F.coalesce(F.substring("date_value", 1, 7), F.lit("日付なし")) if group is None else group
-    blocks = record_blocks(records, names).withColumn("file_group", month)
+    blocks = record_blocks(records, names) if spec is None else rendering.spec_blocks(records, spec, people)
+    blocks = blocks.withColumn("file_group", month)
     order = [*documents.dated_first("date_value", "file", "sheet", "record_row", "record_key")]
     files = documents.file_groups(blocks, ["file_group"], order, "block", limit)
     number = F.concat(F.lpad(F.col("part").cast("string"), F.length(F.col("parts").cast("string")), "0"), F.lit("of"), F.col("parts").cast("string"))
