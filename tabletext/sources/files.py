@@ -45,11 +45,14 @@ def delimited_rows(data: bytes, name: str, encoding: str | None, delimiter: str
     dialect = encodings.sniff(data, name)
     encoding, delimiter = encoding or dialect.encoding, delimiter or dialect.delimiter
     text = encodings.decode(data, encoding, strict)
-    replaced = not strict and encodings.first_error(data, encoding) is not None
+    replaced = not strict and (encoding != dialect.encoding or dialect.error_line is not None)
     for i, (row, notes) in enumerate(encodings.noted_records(text, delimiter), 1):
         if len(row) > encodings.MAX_COLUMNS:
             raise encodings.SourceError(f"record {i} has {len(row)} columns")
         notes += ["replaced_chars"] if replaced and any(encodings.GETA in c for c in row) else []
+        if any(encodings.MIXED in c for c in row):
+            notes += ["mixed_encoding"]
+            row = [c.replace(encodings.MIXED, "") for c in row]
         cells = [{"kind": "blank" if c is None else "string", "text": c} for c in map(clean_cell, row)]
         yield {"sheet": "", "row_index": i, "hidden": None, "cells": cells, "notes": notes}
 

@@ -21,8 +21,33 @@ def table_csv(n=30):
     return "\n".join([HEADER, *rows]) + "\n"
 
 
+def test_ladder_of_encodings():
+    """Lines of two encodings in one file, characters of the vendors' table, half-width kana, and switches of character sets."""
+    shifted = "管理No,内容\r\n1,髙﨑さん\r\n".encode("cp932")
+    assert encodings.detect_encoding(shifted)[0] == "cp932"
+    assert encodings.detect_encoding(shifted + b"2,\x81\n")[0::2] == ("cp932", 3)
+    assert encodings.decode(shifted + b"2,\x81\n", "cp932", strict=False).endswith("2,〓\n")
+    mixed = shifted + "2,日本語\r\n".encode()
+    name = encodings.detect_encoding(mixed)[0]
+    text = encodings.decode(mixed, name, strict=False)
+    assert name == "cp932" and text.replace(encodings.MIXED, "") == "管理No,内容\r\n1,髙﨑さん\r\n2,日本語\r\n" and text.count(encodings.MIXED) == 1
+    assert encodings.detect_encoding("ﾎﾟﾝﾌﾟ,ﾃｽﾄ\n".encode("cp932"))[0] == "cp932"
+    assert encodings.detect_encoding("これはひらがなの文です\n".encode("euc_jp"))[0] == "euc_jp"
+    assert encodings.detect_encoding("丂,鷗\n".encode("iso2022_jp_ext"))[0] == "iso2022_jp_ext"
+    assert encodings.detect_encoding("a,b\n1,漢\n".encode("utf-16-be"))[0] == "utf-16-be"
+    long = ("1,あ\n" * 400_000).encode("cp932")
+    assert encodings.sniff(long, "x.csv").encoding == "cp932" and len(encodings.part(long, "cp932")) < encodings.HEAD_BYTES
+
+
+def test_mixed_lines_are_noted(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("No,内容\n1,漢字\n".encode("cp932") + "2,日本\n".encode())
+    rows = {r["row_index"]: r for r in read_files(spark, str(tmp_path)).collect()}
+    assert [c["text"] for c in rows[3]["cells"]] == ["2", "日本"] and rows[3]["notes"] == ["mixed_encoding"] and not rows[2]["notes"]
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp932", "euc_jp", "iso2022_jp", "utf-16"])
 def test_sniff_encodings(encoding):
+    """Whole files in one encoding."""
     d = encodings.sniff(table_csv().encode(encoding), "x.csv")
     assert encodings.decode(table_csv().encode(encoding), d.encoding) == table_csv()
     assert (d.delimiter, d.header_record, d.columns) == (",", 0, 7)
