@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from tabletext.functions.text import normalize_label, value_kind
 from tabletext.functions.titles import year_context
+from tabletext.operators.columns import UNITS
 
 HEAD_ROWS, HEADER_ROWS, BLANK_END = 80, 40, 3
 # Fixed values.
 TOTAL_WORDS = "^(小計|合計|総合計|総計|計|中計|月計|年計|累計|sub ?total|grand ?total|total)$"
 NOTE_MARKS = "^(※|注|備考[:：]|\\*|注意|出典|note[:：])"
 LAYOUT = (
-    "file string, sheet string, table_kind string, header_rows array<int>, data_start int, width int, headers array<string>, key_columns array<int>, confidence double, context_fiscal_year int, context_year int"
+    "file string, sheet string, table_kind string, header_rows array<int>, data_start int, width int, headers array<string>, key_columns array<int>, confidence double, header_reason string, context_fiscal_year int, context_year int"
 )
+_DATE = re.compile(r"(?:[0-9]{4}[-/.年])?[0-9]{1,2}[-/.月][0-9]{1,2}日?(?: .*)?")
 _VALUE = re.compile(r"[-+△▲]?[0-9][0-9,./:% -]*")
 _MONTH = re.compile(r"([0-9]{4}[-/年])?(0?[1-9]|1[0-2])月(度|分)?|[0-9]{4}[-/](0?[1-9]|1[0-2])")
 
@@ -56,6 +58,40 @@ def header_scores(rows: list[list[str | None]], words: frozenset[str] = frozense
     return out
 
 
+def header_place(rows: list[list[str | None]], words: frozenset[str] = frozenset()) -> int:
+    """Place of the row that looks most like a header, -1 if none does."""
+    scores = header_scores(rows, words)
+    return max(range(len(scores)), key=lambda i: (round(scores[i], 3), -i)) if scores and max(scores) > 0 else -1
+
+
+def looks_like_data(row: list[str | None], below: list[list[str | None]], words: frozenset[str] = frozenset()) -> str:
+    """Why a row is one of the rows below it and no header (``date``, ``number``, ``code`` or ``same``), empty if it may be one.
+
+    Its columns have the kinds that they mostly have below; a known word, or long texts in half of the row, speak for a header.
+    """
+    filled = [(i, (c or "").strip()) for i, c in enumerate(row) if (c or "").strip()]
+    if len(filled) < 2 or any(t.lower() in words for _, t in filled) or 2 * sum(len(t) > 40 for _, t in filled) >= len(filled):
+        return ""
+    alike = 0
+    for i, t in filled:
+        own = Counter(k for k in (_kind(r[i]) if i < len(r) else "blank" for r in below[:12]) if k != "blank")
+        alike += bool(own) and own.most_common(1)[0][0] == _kind(t)
+    if alike < 0.8 * len(filled):
+        return ""
+    if any(_DATE.fullmatch(t) for _, t in filled):
+        return "date"
+    kinds = [_kind(t) for _, t in filled]
+    return "number" if 2 * kinds.count("value") >= len(kinds) else "code" if kinds.count("code") >= 2 else "same"
+
+
+def unit_row(row: list[str | None], header: list[str | None]) -> list[str] | None:
+    """The units of a row below a header that holds nothing else, at least two of them and only under headers; else none."""
+    texts = [(c or "").strip() for c in row]
+    bare = [t[1:-1].strip() if len(t) > 2 and t[0] in "(（[［" and t[-1] in ")）]］" else t for t in texts]
+    ok = all(not b or (b in UNITS and i < len(header) and (header[i] or "").strip()) for i, b in enumerate(bare))
+    return bare if ok and sum(map(bool, bare)) >= 2 else None
+
+
 def _unique(headers: list[str]) -> list[str]:
     seen: Counter = Counter()
     out = []
@@ -71,7 +107,7 @@ def guess(rows: list[tuple[int, list[str | None]]], words: frozenset[str] = froz
     texts = [t for _, t in rows]
     scores = header_scores(texts, words)
     if not scores or max(scores) <= 0:
-        return {"table_kind": "unknown", "header_rows": [], "data_start": 1, "width": 0, "headers": [], "key_columns": [], "confidence": 0.0}
+        return {"header_reason": "", "table_kind": "unknown", "header_rows": [], "data_start": 1, "width": 0, "headers": [], "key_columns": [], "confidence": 0.0}
     top = max(range(len(scores)), key=lambda i: (round(scores[i], 3), -i))
     row = texts[top]
     band = [top]
@@ -88,6 +124,16 @@ def guess(rows: list[tuple[int, list[str | None]]], words: frozenset[str] = froz
             if group and i >= filled_above[0]:
                 headers[i] = f"{group}_{headers[i]}" if headers[i] else group
     below = texts[top + 1 :]
+    start, reason = top + 1, looks_like_data(row, [r for r in below if any((c or "").strip() for c in r)], words)
+    if reason:  # no header at all: the row is the first record
+        band, start, headers = [], top, [""] * width
+        below = texts[top:]
+    elif below and (units := unit_row(below[0], row)):
+        band, start, below = [*band, top + 1], top + 2, below[1:]
+        headers = [f"{h}({u})" if u else h for h, u in zip(headers, [*units, *[""] * width], strict=False)]
+    used = [r for r in below if any((c or "").strip() for c in r)][:30]
+    while used and sum(bool(width < len(r) and (r[width] or "").strip()) for r in used) > 0.1 * len(used):
+        width, headers = width + 1, [*headers, ""]  # values go on to the right of the headers
     keys = []
     whole = [r for r in below if sum(bool((x or "").strip()) for x in r) >= max(2, width / 2)][:50]  # not notes, totals, continuations
     for c in range(width):
@@ -99,7 +145,7 @@ def guess(rows: list[tuple[int, list[str | None]]], words: frozenset[str] = froz
     data = sum(any((c or "").strip() for c in r) for r in below)
     kind = "crosstab" if months >= 3 and months >= 0.3 * len(headers) else "form_like" if pairs >= 5 and width <= 2 else "list" if data >= 3 and scores[top] >= 0.4 else "unknown"
     return {
-        "table_kind": kind, "header_rows": [rows[i][0] for i in band], "data_start": rows[top][0] + 1, "width": width, "headers": _unique(headers),
+        "table_kind": kind, "header_rows": [rows[i][0] for i in band], "data_start": rows[start][0] if start < len(rows) else rows[top][0] + 1, "header_reason": reason, "width": width, "headers": _unique(headers),
         "key_columns": keys, "confidence": round(scores[top], 3),
     }
 
@@ -117,7 +163,8 @@ def detect_layouts(rows: DataFrame, words: frozenset[str] = frozenset()) -> Data
         found |= {"context_fiscal_year": named["fiscal_year"], "context_year": named["year"]}
         return pd.DataFrame([{"file": key[0], "sheet": key[1]} | found])
 
-    head = rows.where(f"error IS NULL AND row_index <= {HEAD_ROWS}").select("file", "sheet", "row_index", F.transform("cells", lambda c: c["text"]).alias("texts"))
+    first = "block_row" if "block_row" in rows.columns else "row_index"
+    head = rows.where(f"error IS NULL AND {first} <= {HEAD_ROWS}").select("file", "sheet", "row_index", F.transform("cells", lambda c: c["text"]).alias("texts"))
     return head.groupBy("file", "sheet").applyInPandas(run, LAYOUT)
 
 
@@ -138,6 +185,8 @@ def classify(rows: DataFrame, layouts: DataFrame) -> DataFrame:
     blank = F.size(filled) == 0
     same = F.size(F.array_intersect(texts, F.col("headers")))
     total = F.exists(F.slice(texts, 1, 3), lambda t: normalize_label(t).rlike(TOTAL_WORDS))
+    # keys of the record above that reach down to this row
+    merged = F.exists("key_columns", lambda i: F.get("inner", i)["anchor_row"].between(F.col("data_start"), F.col("row_index") - 1))
     words = F.size(F.filter(F.transform(filled, lambda c: value_kind(c["text"])), lambda k: k.isin("number", "date", "datetime", "time"))) == 0
     kind = (
         F.when(F.array_contains("header_rows", F.col("row_index")), "header")
@@ -147,7 +196,7 @@ def classify(rows: DataFrame, layouts: DataFrame) -> DataFrame:
         .when((same >= 2) & (same >= 0.6 * F.size("headers")), "header")
         .when(first.rlike(NOTE_MARKS) & (F.size(filled) <= 2), "note")
         .when(total, "subtotal")
-        .when((F.size("key_columns") > 0) & key_blank & ~F.lag(blank, 1, True).over(w), F.when(words, "continuation").otherwise("data"))
+        .when((F.size("key_columns") > 0) & key_blank & (~F.lag(blank, 1, True).over(w) | merged), F.when(words, "continuation").otherwise("data"))
         .otherwise("data")
     )
     # three blank rows end the table: what is below them belongs to something else

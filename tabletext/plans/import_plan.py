@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabletext.functions import text as tx
 from tabletext.functions import values as vl
-from tabletext.operators import columns, layout
+from tabletext.operators import columns, extents, layout
 from tabletext.operators.checks import BLOCK_RATE, WARN_RATE
 from tabletext.plans.spec import TableSpec, apply_values, columns_of, spec_issues, validate
 from tabletext.sources.files import read_files
@@ -77,6 +77,7 @@ def read_records(
         fiscal_year, year = fiscal_year or spec.fiscal_year, year or spec.year
     rows = read_files(spark, path, **read)
     words = frozenset(n for s in standards or columns.STANDARDS for n in s.names)
+    rows = extents.cut_blocks(rows, lambda texts: layout.header_place(texts, words))
     layouts = layout.detect_layouts(rows, words)
     rows_in = layout.classify(rows, layouts).persist()
     cols = (columns.suggest_columns(rows_in, standards) if spec is None else columns_of(spark, spec, layouts)).persist()
