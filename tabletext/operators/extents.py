@@ -56,10 +56,10 @@ def row_blocks(rows: DataFrame) -> DataFrame:
     df = df.withColumn("x_n", filled).withColumn("x_above", F.collect_list("x_kinds").over(sheet.rowsBetween(-NEAR_ROWS, -1)))
     df = df.withColumn("x_below", F.collect_list("x_kinds").over(sheet.rowsBetween(1, NEAR_ROWS)))
     words = F.forall("x_kinds", lambda k: k.isin("b", "w")) & (F.col("x_n") >= 2)
-    # the next two rows are filled, and some column of words stands over values
+    # the next two rows are filled (or the one that is left), and some column of words stands over values
     under = F.slice("x_below", 1, 2)
     over_values = F.exists(under, lambda r: F.exists(F.zip_with("x_kinds", r, lambda a, b: (a == "w") & b.isin("v", "c")), lambda x: F.coalesce(x, F.lit(False))))
-    table = words & (F.size(under) == 2) & F.forall(under, lambda r: F.size(F.filter(r, lambda k: k != "b")) >= 2) & over_values
+    table = words & (F.size(under) > 0) & F.forall(under, lambda r: F.size(F.filter(r, lambda k: k != "b")) >= 2) & over_values
     df = df.withColumn("x_header", table & ~_alike(F.col("x_kinds"), F.col("x_below")) & ~_alike(F.col("x_kinds"), F.col("x_above")))
     df = df.withColumn("x_open", F.coalesce(F.lag("x_n").over(sheet) == 0, F.lit(True)) & (F.col("x_n") > 0))
     titled = (F.col("x_n") == 1) & F.coalesce(F.lead("x_header").over(sheet), F.lit(False))

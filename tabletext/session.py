@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,23 @@ def build_session(app: str = "tabletext", cores: str | int | None = None, **conf
     return builder.getOrCreate()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share (``spark.checkpoint.dir``); a local one only if the master is local."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = f"{tempfile.gettempdir()}/tabletext-files"
+    return f"{path}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: what is expensive or not repeatable is done once, and survives lost executors."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,9 +7,11 @@ import pytest
 
 import __spark_entry__
 from tabletext.operators import documents
-from tabletext.plans import record_queries, table_queries
+from tabletext.plans import file_queries, record_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES = table_queries.QUERIES | record_queries.QUERIES | file_queries.QUERIES
+ORACLES = table_queries.ORACLES | record_queries.ORACLES | file_queries.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -27,10 +29,10 @@ def norm(v):
     return tuple(norm(x) for x in v) if isinstance(v, list | tuple) else v
 
 
-@pytest.mark.parametrize("name", sorted(table_queries.ORACLES | record_queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, con, name):
-    df = (table_queries.QUERIES | record_queries.QUERIES)[name](spark, SF)
-    found = con.execute((table_queries.ORACLES | record_queries.ORACLES)[name])
+    df = QUERIES[name](spark, SF)
+    found = con.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(names)
     want = sorted((tuple(norm(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall()), key=repr)
