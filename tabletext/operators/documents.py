@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabletext.session import stored
+
 #: Characters of a file, and estimated tokens of a block, at most.
 FILE_CHARS, BLOCK_TOKENS = 700_000, 400
 
@@ -76,17 +80,120 @@ def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_
     return df.withColumn(out, F.when(turn == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), turn.cast("string"), ext)))
 
 
-def part_sizes(df: DataFrame, by: list[str], order: list[str], size: str, limit: int = FILE_CHARS) -> DataFrame:
-    """Adds ``part`` and ``parts``: each group is cut where its running size passes the next equal share of its total.
+#: Rows of a range, about, that a task cuts.
+RANGE_ROWS = 1_000_000
+
+
+def _starts(sums: np.ndarray, target: float) -> np.ndarray:
+    """For a part that starts at each row, where the next one starts: before the first row that passes the target, behind its own."""
+    before = np.concatenate([[0], sums[:-1]])
+    return np.maximum(np.searchsorted(sums, before + target, "right"), np.arange(len(sums)) + 1)
+
+
+def _range_summary(sums: np.ndarray, target: float) -> tuple[list[float], list[float], list[int]]:
+    """What becomes of a part that comes in from the range before: for each row that can start the next part, the running sum
+    at it, the size of the part that goes out, and how many parts start behind that row."""
+    starts, n = _starts(sums, target), len(sums)
+    entries = min(n, int(np.searchsorted(sums, target, "right")) + 1)
+    out, more = np.zeros(n), np.zeros(n, np.int64)
+    for j in range(n - 1, -1, -1):
+        k = starts[j]
+        out[j] = sums[-1] - (sums[j - 1] if j else 0) if k == n else out[k]
+        more[j] = 0 if k == n else 1 + more[k]
+    return sums[:entries].tolist(), out[:entries].tolist(), more[:entries].tolist()
+
+
+def _row_parts(sums: np.ndarray, target: float, carried: float, fresh: bool, before: int) -> np.ndarray:
+    """The number of the part of each row of a range."""
+    starts, n = _starts(sums, target), len(sums)
+    first = np.zeros(n, np.int64)
+    j = 0 if fresh else int(np.searchsorted(sums, target - carried, "right"))
+    if fresh:
+        j = int(starts[0])
+    while j < n:
+        first[j] = 1
+        j = int(starts[j])
+    return before + np.cumsum(first)
+
+
+def part_sizes(df: DataFrame, by: list[str], order: list[Column | str], size: str, limit: int = FILE_CHARS) -> DataFrame:
+    """Adds ``part``, ``parts`` and ``place`` (in the group): each group is cut where the size of a part would pass an equal share of its total.
 
-    The number of parts is total / limit, rounded up; a running sum decides alone, so no group is gathered anywhere.
+    The number of parts is total / limit, rounded up; the last part takes what is left. Rows are sorted into ranges of groups
+    and order, whatever the groups' sizes. Every range says, for each row that can start its first part, what goes out of it;
+    a walk over these summaries (one row a group and range) tells each range what comes in, and the ranges number their rows.
     """
-    group = W.partitionBy(*by)
-    total = F.sum(size).over(group)
-    parts = F.greatest(F.lit(1), F.ceil(total / F.lit(limit))).cast("bigint")
-    middle = F.sum(size).over(group.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(size) / 2
-    part = F.least(F.floor(middle * parts / F.greatest(total, F.lit(1))), parts - 1) + 1
-    return df.withColumn("parts", parts).withColumn("part", part.cast("bigint"))
+    spark = df.sparkSession
+    keys = [f"cut_key_{i}" for i in range(len(by))]
+    places = [f"cut_order_{i}" for i in range(len(order))]
+    rows = df.select("*", *[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[(F.col(o) if isinstance(o, str) else o).alias(p) for o, p in zip(order, places, strict=True)])
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGE_ROWS + 1)
+    sorted_ = rows.repartitionByRange(ranges, *keys, *places).sortWithinPartitions(*keys, *places)
+    # the numbers of rows are those of the written table, also if tasks run again later
+    rows = stored(sorted_.drop(*places).withColumn("cut_at", F.monotonically_increasing_id()))
+    narrow = rows.select(F.shiftright("cut_at", 33).cast("int").alias("cut_range"), *keys, F.col(size).cast("double").alias("cut_size"), "cut_at")
+    spans = narrow.groupBy("cut_range", *keys).agg(F.sum("cut_size").alias("cut_sum"), F.count(F.lit(1)).alias("cut_rows"))
+    spans = stored(spans)
+    totals = spans.groupBy(*keys).agg(F.sum("cut_sum").alias("total"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("bigint")
+    totals = totals.withColumn("parts", parts).withColumn("target", F.col("total") / F.col("parts"))
+    # keys may be null; equal ones are told by other names on one side of a join
+    renamed = {k: f"{k}_of" for k in keys}
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(o)) for k, o in renamed.items()], F.lit(True))
+    numbered = spans.join(totals.withColumnsRenamed(renamed), same).select("cut_range", *keys, "cut_rows", "parts", "target")
+    numbered = stored(numbered.withColumn("cut_span", F.monotonically_increasing_id()))
+    narrow = narrow.join(numbered.drop("cut_rows", "parts").withColumnsRenamed(renamed | {"cut_range": "range_of"}), same & (F.col("cut_range") == F.col("range_of")))
+    narrow = narrow.select("cut_range", "cut_span", "cut_at", "cut_size", "target")
+
+    def by_span(table: pa.Table) -> Iterator[tuple[int, float, pa.Table, np.ndarray]]:
+        table = table.sort_by("cut_at")
+        span = table.column("cut_span").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(span)) + 1, [len(span)]]).tolist() if len(span) else [0]
+        for i, j in itertools.pairwise(edges):
+            own = table.slice(i, j - i)
+            yield int(span[i]), own.column("target")[0].as_py(), own, np.cumsum(own.column("cut_size").to_numpy())
+
+    def summarize(table: pa.Table) -> pa.Table:
+        found = [(span, float(sums[-1]), *_range_summary(sums, target)) for span, target, _, sums in by_span(table)]
+        kinds = [("cut_span", pa.int64()), ("sum", pa.float64()), ("sums", pa.list_(pa.float64())), ("out", pa.list_(pa.float64())), ("more", pa.list_(pa.int64()))]
+        return pa.table({name: pa.array([f[i] for f in found], kind) for i, (name, kind) in enumerate(kinds)})
+
+    summaries = narrow.groupBy("cut_range").applyInArrow(summarize, "cut_span long, sum double, sums array<double>, out array<double>, more array<long>")
+    summaries = numbered.join(summaries, "cut_span").withColumn("cut_group", F.xxhash64(*keys))
+
+    def walk(table: pa.Table) -> pa.Table:
+        """What comes into each range of a group, from the first one on."""
+        done = []
+        state: dict = {}
+        for r in sorted(table.to_pylist(), key=lambda r: r["cut_range"]):
+            group = tuple(r[k] for k in keys)
+            carried, cuts, place, fresh = state.get(group, (0.0, 0, 0, True))
+            done.append((r["cut_span"], carried, cuts, place, fresh, r["parts"]))
+            j = 0 if fresh else int(np.searchsorted(np.array(r["sums"]), r["target"] - carried, "right"))
+            if fresh or j < len(r["sums"]):
+                carried, cuts = r["out"][j], cuts + r["more"][j] + (not fresh)
+            else:
+                carried += r["sum"]
+            state[group] = carried, cuts, place + r["cut_rows"], False
+        kinds = [("cut_span", pa.int64()), ("carried", pa.float64()), ("cuts", pa.int64()), ("before", pa.int64()), ("fresh", pa.bool_()), ("parts", pa.int64())]
+        return pa.table({name: pa.array([d[i] for d in done], kind) for i, (name, kind) in enumerate(kinds)})
+
+    incoming = stored(summaries.groupBy("cut_group").applyInArrow(walk, "cut_span long, carried double, cuts long, before long, fresh boolean, parts long"))
+
+    def number(table: pa.Table, known: pa.Table) -> pa.Table:
+        state = {r["cut_span"]: r for r in known.to_pylist()}
+        out = [[], [], [], []]
+        for span, target, own, sums in by_span(table):
+            s = state[span]
+            part = np.minimum(_row_parts(sums, target, s["carried"], s["fresh"], s["cuts"]), s["parts"] - 1) + 1
+            for x, y in zip(out, (own.column("cut_at").to_numpy(), part, np.full(len(part), s["parts"]), s["before"] + np.arange(1, len(part) + 1)), strict=True):
+                x.append(y)
+        names = ["cut_row", "part", "parts", "place"]
+        return pa.table({n: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for n, x in zip(names, out, strict=True)})
+
+    incoming = incoming.join(numbered.select("cut_span", F.col("cut_range").alias("in_range")), "cut_span")
+    placed = narrow.groupBy("cut_range").cogroup(incoming.groupBy("in_range")).applyInArrow(number, "cut_row long, part long, parts long, place long")
+    return rows.join(placed, F.col("cut_at") == F.col("cut_row")).select(*df.columns, "part", "parts", "place")
 
 
 class TokenCounts:
@@ -154,13 +261,12 @@ def split_texts(df: DataFrame, text: str, budget: int = BLOCK_TOKENS, out: str =
 
 
 def file_groups(records: DataFrame, group: list[str], order: list[Column], block: str, limit: int = FILE_CHARS) -> DataFrame:
-    """Records to files: one row a (group, part) with its text, name parts and record span."""
-    w = W.partitionBy(*group).orderBy(*order)
-    numbered = records.withColumn("_ord", F.row_number().over(w)).withColumn("_size", F.length(block) + 1)
-    cut = part_sizes(numbered, group, ["_ord"], "_size", limit)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_ord", F.col(block).alias("b")))), lambda x: x["b"]), "\n\n")
+    """Records to files: one row a (group, part) with its text, name parts and record span. A file holds ``limit`` characters, or one record more."""
+    sized = records.select(*group, F.col(block).alias("file_block"), (F.length(block) + 1).alias("file_size"), *[o.alias(f"file_order_{i}") for i, o in enumerate(order)])
+    cut = part_sizes(sized, group, [f"file_order_{i}" for i in range(len(order))], "file_size", limit)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col("file_block").alias("b")))), lambda x: x["b"]), "\n\n")
     return cut.groupBy(*group, "part", "parts").agg(
-        joined.alias("text"), F.count(F.lit(1)).alias("n_records"), F.min("_ord").alias("first_record"), F.max("_ord").alias("last_record")
+        joined.alias("text"), F.count(F.lit(1)).alias("n_records"), F.min("place").alias("first_record"), F.max("place").alias("last_record")
     )
 
 
@@ -179,7 +285,6 @@ def file_headers(files: DataFrame, table: str, group: str, name: str, out: str =
     g = F.coalesce(F.col(group), F.lit(""))
     is_month = g.rlike("^[0-9]{4}-(?:0[1-9]|1[0-2])$")
     split, count = F.col("parts") > 1, lambda c: F.format_number(c, 0)
-    whole = F.sum("n_records").over(W.partitionBy(group))
     scope = F.when(is_month, month_label(g)).when(g != "", g).otherwise(F.lit("全件"))
     title = F.concat(F.lit(f"# {table}"), F.when(g != "", F.concat(F.lit(" "), F.when(is_month, month_label(g)).otherwise(g))).otherwise(F.lit("")), F.lit("の記録"))
     title = F.concat(title, F.when(split, F.concat(F.lit("（"), F.col("part").cast("string"), F.lit("/"), F.col("parts").cast("string"), F.lit("）"))).otherwise(F.lit("")))
@@ -194,5 +299,11 @@ def file_headers(files: DataFrame, table: str, group: str, name: str, out: str =
         F.when(split, F.concat(F.lit("- 前のファイル: "), F.coalesce("prev_name", F.lit("なし（これが最初）")))),
         F.when(split, F.concat(F.lit("- 次のファイル: "), F.coalesce("next_name", F.lit("なし（これが最後）")))),
     )
-    placed = neighbours(files.withColumn("whole", whole), name, [group], "part")
+    # of narrow rows: counts of groups, and the names of the parts before and behind
+    named = files.select(F.col(group).alias("of_group"), F.col("part").alias("of_part"), F.col(name).alias("of_name"), "n_records")
+    counts = named.groupBy("of_group").agg(F.sum("n_records").alias("whole"))
+    placed = files.join(counts, F.col(group).eqNullSafe(F.col("of_group"))).drop("of_group")
+    for column, step in (("prev_name", 1), ("next_name", -1)):
+        other = named.select("of_group", (F.col("of_part") + step).alias("of_part"), F.col("of_name").alias(column))
+        placed = placed.join(other, F.col(group).eqNullSafe(F.col("of_group")) & (F.col("part") == F.col("of_part")), "left").drop("of_group", "of_part")
     return placed.withColumn(out, F.concat(title, F.lit("\n\n"), F.array_join(F.array_compact(lines), "\n"))).drop("whole", "prev_name", "next_name")

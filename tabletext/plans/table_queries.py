@@ -288,15 +288,20 @@ def sort_dated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "size_split_files",
-    """WITH s AS (SELECT lang, doc_id, coalesce(n_chars, 0) AS n, sum(coalesce(n_chars, 0)) OVER (PARTITION BY lang) AS total,
-      sum(coalesce(n_chars, 0)) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents),
-    p AS (SELECT lang, doc_id, n, greatest(1, ceil(total / 100000))::BIGINT AS parts, total, upto FROM s)
-    SELECT lang, parts, (least(floor((upto - n / 2) * parts / greatest(total, 1)), parts - 1) + 1)::BIGINT AS part, count(*) AS n_records, sum(n)::BIGINT AS n_chars
-    FROM p GROUP BY 1, 2, 3""",
+    """WITH RECURSIVE s AS (
+      SELECT coalesce(lang, '-') AS lang, doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id, n_chars) AS k, sum(coalesce(n_chars, 0)) OVER (PARTITION BY lang) AS total FROM documents),
+    p AS (SELECT lang, k, n, greatest(1, ceil(total / 100000))::BIGINT AS parts, total / greatest(1, ceil(total / 100000)) AS target FROM s),
+    w(lang, k, n, parts, target, part, size) AS (
+      SELECT lang, k, n, parts, target, 1, n::DOUBLE FROM p WHERE k = 1
+      UNION ALL SELECT p.lang, p.k, p.n, p.parts, p.target, CASE WHEN w.size + p.n > p.target AND w.part < p.parts THEN w.part + 1 ELSE w.part END,
+        CASE WHEN w.size + p.n > p.target AND w.part < p.parts THEN p.n::DOUBLE ELSE w.size + p.n END
+      FROM w JOIN p ON p.lang = w.lang AND p.k = w.k + 1)
+    SELECT lang, parts, part::BIGINT AS part, count(*) AS n_records, sum(n)::BIGINT AS n_chars FROM w GROUP BY 1, 2, 3""",
 )
 def size_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
-    cut = documents.part_sizes(rows, ["lang"], ["doc_id"], "n", 100_000)
+    """Files of a language: a part ends before the document that would pass an equal share, and the last one takes the rest."""
+    rows = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("-")).alias("lang"), "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    cut = documents.part_sizes(rows, ["lang"], ["doc_id", "n"], "n", 100_000)
     return cut.groupBy("lang", "parts", "part").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_chars"))
 
 
