@@ -282,7 +282,8 @@ def shared_prefixes(prefixes: DataFrame, buckets: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = _uncut(batch.column(1).to_pylist(), 7) >> np.uint64(4)
+            # prefixes are the smallest values of sets: mixed, they fill all buckets alike
+            values = mix(_uncut(batch.column(1).to_pylist(), 7)) & BARE
             sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 7
             cls = np.repeat(batch.column(0).to_numpy().view(np.uint64), sizes)
             order = np.argsort(values)
