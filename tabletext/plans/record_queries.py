@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tabletext.functions import text
 from tabletext.operators import logs, masks, people, record_parts
-from tabletext.plans import rendering
+from tabletext.plans import enrichment, rendering
 from tabletext.plans.spec import ColumnSpec, TableSpec
-from tabletext.session import table
+from tabletext.session import scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,27 @@ def people_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = people.people_index(spark, None, [{"name": "佐藤 一"}, {"name": "田中"}, {"name": "伊藤 一"}, {"name": "伊藤 二"}], ["製造課"])
     segments = logs.parse_log(cells, "cell", people=index).select("conv_id", F.explode("log.segments").alias("s"))
     return segments.select("conv_id", "s.id", "s.date", "s.author", "s.author_people", "s.body")
+
+
+def _answer(prompt: str) -> str:
+    """A model that leaves some requests unanswered, some until they are repaired, and invents a number in others."""
+    k = int(prompt.split("\n", 1)[0])
+    if k % 7 == 0 or k % 5 == 0 and enrichment.REPAIR not in prompt:
+        return "no answer"
+    text = "部品 9 個" if k % 3 == 0 else "部品 3 個"
+    return f'{{"entries": [{{"segments": [1], "type": "点検", "text": "{text}", "quote": ""}}]}}'
+
+
+@query(
+    "enrich_repair",
+    """SELECT conv_id, turn, role, CASE WHEN k % 7 = 0 THEN 'error' WHEN k % 3 = 0 THEN 'flagged' ELSE 'ok' END AS status,
+      CASE WHEN k % 7 = 0 OR k % 5 = 0 OR k % 3 = 0 THEN 2 ELSE 1 END AS attempts, count(*) AS n_rows
+    FROM (SELECT conv_id, turn, role, (conv_id * 31 + turn) % 60 AS k FROM conversations) GROUP BY ALL""",
+)
+def enrich_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as requests, sixty distinct ones: answers from one call each, checked, and asked once more where they fail."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    k = (F.col("conv_id") * 31 + F.col("turn")) % 60
+    works = rows.select(F.struct("conv_id", "turn", "role").alias("key"), k.cast("string").alias("prompt"), F.array(F.lit("部品 3 個を点検した")).alias("segments"))
+    done = enrichment.execute(works, scratch_dir(spark), _answer, ["点検"])
+    return done.groupBy("key.conv_id", "key.turn", "key.role", "status", "attempts").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -11,7 +11,7 @@ from tabletext.plans import export, spec
 from tabletext.plans.import_plan import read_records
 from tabletext.sources import encodings, workbook
 from tabletext.sources.files import read_files, sniff_files
-from tabletext.streaming.ingest import watch
+from tabletext.streaming.ingest import taken, watch
 
 HEADER = "管理No,発生日時,設備番号,設備名,現象,停止時間(分),担当者"
 
@@ -224,3 +224,9 @@ def test_drop_folder(spark, tmp_path):
     (drop / "b.csv").write_text("y")
     run()
     assert seen == ["a.csv", "b.csv"]
+    (drop / "c.csv").write_text("x")  # the content of the first under another name, in a later batch and run
+    (drop / "d.csv").write_text("z")
+    (drop / "e.csv").write_text("z")
+    run()
+    assert seen == ["a.csv", "b.csv", "d.csv"]
+    assert {(r["path"].rsplit("/", 1)[-1], r["batch"]) for r in taken(spark, f"{tmp_path / 'state'}-contents").collect()} == {("a.csv", 0), ("b.csv", 1), ("d.csv", 2)}
