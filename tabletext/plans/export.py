@@ -36,6 +36,8 @@ def render(
     With the name of the ``table``, files start with the full head of ``documents.file_headers``, else with group and count.
     With a ``spec``, records are rendered in its order, those over the token budget in parts.
     """
+    if group is None and spec is not None and spec.group:
+        group = rendering.group_name(spec)
     month = F.coalesce(F.substring("date_value", 1, 7), F.lit("日付なし")) if group is None else group
     blocks = record_blocks(records, names) if spec is None else rendering.spec_blocks(records, spec, people)
     blocks = blocks.withColumn("file_group", month)

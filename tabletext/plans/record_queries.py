@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletext.functions import text
-from tabletext.operators import logs, masks, people, record_parts
+from tabletext.operators import documents, enrich, logs, masks, people, record_parts
 from tabletext.plans import enrichment, rendering
 from tabletext.plans.spec import ColumnSpec, TableSpec
 from tabletext.session import scratch_dir, table
@@ -200,3 +200,48 @@ def enrich_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = rows.select(F.struct("conv_id", "turn", "role").alias("key"), k.cast("string").alias("prompt"), F.array(F.lit("部品 3 個を点検した")).alias("segments"))
     done = enrichment.execute(works, scratch_dir(spark), _answer, ["点検"])
     return done.groupBy("key.conv_id", "key.turn", "key.role", "status", "attempts").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(
+    "group_order",
+    """WITH g AS (SELECT DISTINCT CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS prio, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m') END AS month FROM orders)
+    SELECT CASE WHEN prio = '' THEN '優先度なし' ELSE prio END || '_' || CASE WHEN month = '' THEN '日付なし' ELSE month END AS name,
+      row_number() OVER (ORDER BY prio = '', prio, month = '', month) AS position FROM g""",
+)
+def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and places of the files of orders, by priority and month, groups without a value last in each column."""
+    spec = TableSpec("注文", [ColumnSpec("注文日", "day", "date", "date"), ColumnSpec("優先度", "prio", "string", "category")], ["day", "prio"])
+    key = F.col("o_orderkey")
+    values = F.create_map(F.lit("day"), F.when(key % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")), F.lit("prio"), F.when(key % 5 != 0, F.col("o_orderpriority")))
+    rows = table(spark, sf_dir, "orders").select(values.alias("values"))
+    order = rendering.group_order(spec)
+    keys = [f"k{i}" for i in range(len(order))]
+    groups = rows.select(rendering.group_name(spec).alias("name"), *[o.alias(k) for o, k in zip(order, keys, strict=True)]).distinct()
+    return documents.positions(groups, [F.col(k) for k in keys]).select("name", "position")
+
+
+@query(
+    "ai_estimate",
+    f"""WITH w AS (SELECT coalesce(c.text, '') AS t, c.turn, l.quality FROM conversations c LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = c.conv_id),
+    r AS (SELECT *, CASE WHEN trim(t) = '' THEN 'skipped' WHEN length(t) >= 200 THEN 'ai' ELSE 'rule_only' END AS route,
+      quality IS NULL OR quality = 0 OR turn % 4 = 0 AS asked, {TOKENS_SQL.format("t")}::BIGINT AS tokens FROM w),
+    k AS (SELECT substr(t, 1, 2) AS k, count(*) AS n, min(tokens) AS tokens_in, min(least(2000, 400 + greatest(40 * (turn + 1), 2 * tokens))) AS max_tokens FROM r WHERE asked AND route = 'ai' GROUP BY 1),
+    c AS (SELECT *, k IN (SELECT substr(coalesce(text, ''), 1, 2) FROM conversations WHERE turn = 3) AS held FROM k)
+    SELECT (SELECT count(*) FROM r) AS n_rows, (SELECT count(*) FILTER (asked AND route = 'ai') FROM r) AS n_ai, (SELECT count(*) FILTER (asked AND route = 'rule_only') FROM r) AS n_rule_only,
+      (SELECT count(*) FILTER (asked AND route = 'skipped') FROM r) AS n_skipped, (SELECT count(*) FILTER (NOT asked) FROM r) AS n_already,
+      coalesce(sum(n - 1), 0)::BIGINT AS n_duplicates, count(*) FILTER (held) AS n_cached, count(*) FILTER (NOT held) AS n_calls,
+      coalesce(sum(tokens_in) FILTER (NOT held), 0)::BIGINT AS tokens_in, coalesce(sum(max_tokens) FILTER (NOT held), 0)::BIGINT AS tokens_out,
+      count(*) FILTER (NOT held) * 8.0::DOUBLE / 60.0 / 4 AS minutes FROM c""",
+)
+def ai_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over all turns would call: routes, results already there, shared requests, the cache, tokens and minutes."""
+    items = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("conv_id")).agg(F.max("quality").alias("quality"))
+    rows = table(spark, sf_dir, "conversations").join(items, "conv_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    status = F.when(F.col("quality") == 1, "ok").when(F.col("quality") == 0, "error")
+    tokens = text.estimate_tokens("text")
+    works = rows.select(
+        F.substring("text", 1, 2).alias("cache_key"), enrich.route("text", 200).alias("route"), status.alias("status"), (F.col("turn") % 4 == 0).alias("outdated"), tokens.alias("tokens_in"),
+        enrichment.output_tokens(F.col("turn") + 1, tokens).alias("max_tokens"),
+    )
+    cache = table(spark, sf_dir, "conversations").where("turn = 3").select(F.substring(F.coalesce("text", F.lit("")), 1, 2).alias("cache_key"))
+    return enrichment.estimate_import(works, cache)

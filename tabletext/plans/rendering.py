@@ -130,6 +130,35 @@ def source_line(spec: TableSpec) -> Column:
     return F.concat(F.lit("- 出典: "), name, F.lit("（"), F.concat_ws("・", stated, place), F.lit("）"))
 
 
+def group_columns(spec: TableSpec) -> list[ColumnSpec]:
+    """The columns that files are grouped by: in the order of the table, days last."""
+    chosen = [c for c in spec.columns if c.key in spec.group]
+    return sorted(chosen, key=lambda c: c.type in ("date", "datetime"))
+
+
+def group_value(spec: TableSpec, c: ColumnSpec) -> Column:
+    """The group of a record by one column: the month of a day, the number of an entity, else the value on one line."""
+    if c.type in ("date", "datetime") or c.role == "date":
+        return F.when(value_of(c).rlike("^(?:19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])"), F.substring(value_of(c), 1, 7)).otherwise("")
+    return entity_parts(spec)["code"] if c.role == "entity" else tx.one_line(value_of(c))
+
+
+def group_name(spec: TableSpec) -> Column:
+    """The groups of a record joined, those without a value named so."""
+
+    def named(c: ColumnSpec) -> Column:
+        none = "日付なし" if c.type in ("date", "datetime") else f"{shown_name(c)}なし"
+        return tx.let(group_value(spec, c), lambda v: F.when(v == "", none).otherwise(clip_title(v, NAME_CHARS)))
+
+    parts = [named(c) for c in group_columns(spec)]
+    return F.concat_ws("_", *parts) if parts else F.lit("")
+
+
+def group_order(spec: TableSpec) -> list[Column]:
+    """Order of the files: by each column of groups, those without a value last."""
+    return [part for c in group_columns(spec) for part in (group_value(spec, c) == "", group_value(spec, c))]
+
+
 def rendered(records: DataFrame, spec: TableSpec, people: DataFrame | None = None, budget: int = documents.BLOCK_TOKENS) -> DataFrame:
     """Adds ``title``, ``body`` and ``repeats`` (lines), and ``lines``: the lines of the record's parts, each within the budget.
 

@@ -4,6 +4,9 @@ import json
 import os
 import uuid
 
+from pyspark.sql import functions as F
+
+from tabletext.operators import logs
 from tabletext.plans import enrichment
 
 TYPES = ["点検", "計画"]
@@ -58,3 +61,23 @@ def test_settings_are_part_of_the_key(spark, tmp_path):
     for settings in ("m1", "m2", "m1"):
         enrichment.execute(works, cache, client_of(str(folder)), TYPES, settings=settings).collect()
     assert calls(folder) == ["0", "0"]
+
+
+def test_preparation(spark):
+    log = logs.parse_log(spark.createDataFrame([("2026/4/1 田中：点検",), ("2026/4/1 佐藤：点検",), ("2026/4/2 田中：点検",)], "t string"), "t")
+    hashes = [r["h"] for r in log.select(enrichment.segments_hash("log").alias("h")).collect()]
+    assert hashes[0] == hashes[1] != hashes[2]  # who wrote it does not count
+    one = {"url": "u", "model": "m", "params": {"b": 1, "a": 2}, "key": "secret"}
+    assert enrichment.settings_fingerprint(one) == enrichment.settings_fingerprint({**one, "key": "x", "params": {"a": 2, "b": 1}}) != enrichment.settings_fingerprint(one, "json")
+    told = log.select(enrichment.messages("rules", [("q", "a"), ("", "x")], F.col("t")).alias("m")).first()["m"]
+    assert [(m["role"], m["content"]) for m in told] == [("system", "rules"), ("user", "q"), ("assistant", "a"), ("user", "2026/4/1 田中：点検")]
+    assert enrichment.answer_schema(TYPES)["properties"]["entries"]["items"]["properties"]["type"]["enum"] == TYPES
+    states = spark.createDataFrame([(None, None), ("ok", False), ("ok", True), ("error", False), ("flagged", False), ("outdated", False)], "s string, o boolean")
+    asked = {scope: [r["x"] for r in states.select(enrichment.in_scope(scope, F.col("s"), F.col("o")).alias("x")).collect()] for scope in enrichment.SCOPES}
+    assert asked == {
+        "pending": [True, False, True, True, False, True], "all": [True] * 6, "errors": [False, False, False, True, False, False],
+        "flagged": [False, False, False, False, True, False], "changed": [False, False, True, False, False, True],
+    }
+    assert enrichment.usable(states.withColumnRenamed("s", "status")).count() == 3
+    issues = spark.createDataFrame([("error", 2), ("warning", 3), ("error", 1)], "level string, n long")
+    assert {(r["level"], r["n"], r["blocks"]) for r in enrichment.level_counts(issues).collect()} == {("error", 3, True), ("warning", 3, False)}
