@@ -32,7 +32,9 @@ class Imported:
 def convert(df: DataFrame, fiscal_year: Column | int | None = None, year: Column | int | None = None) -> DataFrame:
     """Adds ``value``, ``failed``, ``year_missing`` and ``year_inferred`` to (text, type, unit): unreadable values stay as they are written."""
     # stepwise, so that no step's code grows large
-    df = df.withColumn("_t", tx.trim_spaces("text"))
+    # NFKC once a cell, in one Arrow pass that only cells beyond ASCII go through; circled marks stay
+    df = df.withColumn("_plain", tx.nfkc_keep_enclosed(F.when(F.col("text").rlike("[^\\x00-\\x7F]"), F.col("text"))))
+    df = df.withColumn("_t", tx.trim_spaces(F.coalesce("_plain", "text"))).drop("_plain")
     t = F.col("_t")
     df = df.withColumn("_date", vl.parse_date(t, year, fiscal_year)).withColumn("_number", vl.parse_number(t)).withColumn("_minutes", vl.duration_minutes(t))
     df = df.withColumn("_none", tx.is_na(t) | tx.is_excel_error(t)).withColumn("_factor", vl.unit_factor(vl.number_unit(t), F.col("unit")))
@@ -135,6 +137,7 @@ def read_records(
     records = records.withColumn("record_key", F.when(F.col("turn") == 1, F.col("base")).otherwise(F.concat("base", F.lit("#"), F.col("turn").cast("string"))))
     subtotals = reconcile_subtotals(rows_in, cols)
     issues = check(done, records, rows, rows_in, subtotals)
+    issues = issues.unionByName(no_date_column(cols))
     if spec is not None:
         issues = issues.unionByName(spec_issues(records, cols, spec)).unionByName(unused_headers(layouts, cols)).unionByName(assumed_units(done, cols, spec))
         records = apply_values(records, spec)
@@ -188,6 +191,12 @@ def check(cells: DataFrame, records: DataFrame, rows: DataFrame, classified: Dat
     return out.unionByName(listed(unlike, issue("warning", "reconcile", F.col("n"), key)))
 
 
+def no_date_column(cols: DataFrame) -> DataFrame:
+    """An issue for each sheet with columns of which none holds the date of a record."""
+    sheets = cols.groupBy("file", "sheet").agg(F.count_if(F.col("role") == "date").alias("dated")).where("dated = 0")
+    return sheets.select("file", "sheet", F.lit("warning").alias("level"), F.lit("no_date_column").alias("code"), F.lit(None).cast("string").alias("column"), F.lit(1).cast("bigint").alias("n"))
+
+
 def unused_headers(layouts: DataFrame, cols: DataFrame) -> DataFrame:
     """An issue for each header that no column of the spec reads."""
     heads = layouts.select("file", "sheet", F.posexplode("headers").alias("col", "column"))

@@ -39,6 +39,15 @@ def test_ladder_of_encodings():
     assert encodings.sniff(long, "x.csv").encoding == "cp932" and len(encodings.part(long, "cp932")) < encodings.HEAD_BYTES
 
 
+def test_compatibility_forms_and_sheets_without_days(spark, tmp_path):
+    lines = "管理No,設備名,停止時間(分)\n" + "".join(f"ＡＢ－{i},ﾎﾟﾝﾌﾟ㈱½①,１{i}\n" for i in range(1, 9))
+    (tmp_path / "a.csv").write_text(lines, encoding="utf-8")
+    got = read_records(spark, str(tmp_path))
+    row = got.records.orderBy("record_row").first()
+    assert row["record_key"] == "AB-1" and set(row["values"].values()) == {"AB-1", "ポンプ(株)1⁄2①", "11"}
+    assert ("no_date_column", 1) in {(r["code"], r["n"]) for r in got.issues.collect()}
+
+
 def test_mixed_lines_are_noted(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("No,内容\n1,漢字\n".encode("cp932") + "2,日本\n".encode())
     rows = {r["row_index"]: r for r in read_files(spark, str(tmp_path)).collect()}
