@@ -1,9 +1,9 @@
 """Hard negatives from labelled vectors, by a vector-approximation file.
 
 The file has a row for some thousands of vectors: ids, labels, vectors of whole numbers, and for each component its cells
-(sixteen, of equal numbers of these vectors, with the least and largest value in each) and each vector's cell, two components
-to a byte. For a query, a table gives what each byte adds to the score at least and at most; summed over a vector's bytes these
-are bounds of its score. Only vectors whose bounds reach a window that is not yet filled by better ones are scored exactly.
+(256, of equal numbers of these vectors, with the least and largest value in each) and each vector's cell, a byte. For a
+query, a table gives what each cell adds to the score at least and at most; summed over a vector's bytes these are bounds of
+its score. Only vectors whose bounds reach a window that is not yet filled by better ones are scored exactly.
 
 First each anchor finds its positives, the best rows of its own label; each positive's score sets a window, for which the
 best rows of other labels inside it are found. Anchors meet the file in cells (a row of the file, a part of the anchors) of
@@ -32,7 +32,7 @@ from tabletext.llm.common import drop_written, read, written
 SCALE = 256
 #: Vectors in a row of the file, and anchors that meet it at once, about.
 GROUP_ROWS, ANCHOR_ROWS = 8192, 4096
-CELLS = 16
+CELLS = 256
 
 
 def whole_vectors(rows: DataFrame, key: str, vector: str, label: str, scale: int = SCALE) -> DataFrame:
@@ -60,7 +60,7 @@ def whole_vectors(rows: DataFrame, key: str, vector: str, label: str, scale: int
 
 
 class Approximation(NamedTuple):
-    """A row of the file: vectors, cells (component x cell: least and largest value) and bytes of two cells each (pair of components x vector)."""
+    """A row of the file: vectors, cells (component x cell: least and largest value) and the cell of each (component x vector)."""
 
     ids: np.ndarray
     labels: np.ndarray
@@ -71,21 +71,20 @@ class Approximation(NamedTuple):
 
     def bounds(self, query: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest score that each vector can have with a query."""
-        q = np.append(query, [0] * (2 * len(self.codes) - len(query))).astype(np.int64)[:, None]
+        q = query.astype(np.int64)[:, None]
         ends = q * self.least, q * self.most
+        codes = self.codes if rows is None else self.codes[:, rows]
         out = []
         for table in (np.minimum(*ends), np.maximum(*ends)):
-            pairs = (table[0::2, :, None] + table[1::2, None, :]).reshape(len(self.codes), CELLS * CELLS)
-            codes = self.codes if rows is None else self.codes[:, rows]
             total = np.zeros(codes.shape[1], np.int64)
-            for t, c in zip(pairs, codes, strict=True):
+            for t, c in zip(table, codes, strict=True):
                 total += t[c]
             out.append(total)
         return out[0], out[1]
 
     def bounded(self, query: np.ndarray) -> bool:
         """Whether the bounds of a query stay within 64 bits."""
-        return float(np.abs(query).astype(float) @ np.maximum(np.abs(self.least), np.abs(self.most)).max(axis=1)[: len(query)].astype(float)) < 2.0**62
+        return float(np.abs(query).astype(float) @ np.maximum(np.abs(self.least), np.abs(self.most)).max(axis=1).astype(float)) < 2.0**62
 
     def best(self, query: np.ndarray, rows: np.ndarray, windows: list[tuple[int | None, int | None]], k: int) -> tuple[list[np.ndarray], int]:
         """For each window (least and largest score, None: open) the best k of some vectors inside it, ties to smaller ids, and how many were scored."""
@@ -115,8 +114,7 @@ class Approximation(NamedTuple):
 def approximate(ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> Approximation:
     """Cells of equal numbers of the vectors for each component; equal values share a cell."""
     n, dim = vectors.shape
-    least, most = np.zeros((dim + dim % 2, CELLS), np.int64), np.zeros((dim + dim % 2, CELLS), np.int64)
-    cells = np.zeros((dim + dim % 2, n), np.uint8)
+    least, most, cells = np.zeros((dim, CELLS), np.int64), np.zeros((dim, CELLS), np.int64), np.zeros((dim, n), np.uint8)
     for d in range(dim):
         x = np.sort(vectors[:, d])
         edges = np.unique(x[(np.arange(1, CELLS) * n) // CELLS])  # first values of cells
@@ -124,7 +122,7 @@ def approximate(ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> App
         starts = np.unique(np.concatenate([[0], np.searchsorted(x, edges)]))
         of = np.searchsorted(edges, x[starts], "right")
         least[d, of], most[d, of] = x[starts], x[np.append(starts[1:], n) - 1]
-    return Approximation(ids, labels, vectors, least, most, cells[0::2] * np.uint8(CELLS) + cells[1::2])
+    return Approximation(ids, labels, vectors, least, most, cells)
 
 
 _FILE = "dim int, group long, n int, ids binary, labels binary, vectors binary, least binary, most binary, codes binary"
