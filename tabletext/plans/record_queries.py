@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletext.functions import text
-from tabletext.operators import documents, enrich, logs, masks, people, record_parts
+from tabletext.operators import documents, enrich, incidents, logs, masks, people, record_parts
 from tabletext.plans import enrichment, rendering
 from tabletext.plans.spec import ColumnSpec, TableSpec
 from tabletext.session import scratch_dir, table
@@ -245,3 +245,31 @@ def ai_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cache = table(spark, sf_dir, "conversations").where("turn = 3").select(F.substring(F.coalesce("text", F.lit("")), 1, 2).alias("cache_key"))
     return enrichment.estimate_import(works, cache)
+
+
+@query(
+    "incident_points",
+    """WITH p AS (SELECT p_partkey AS k, p_brand AS brand, p_size AS size, p_type AS type FROM part)
+    SELECT k, array_to_string(list_filter([
+        CASE WHEN k % 4 <> 0 THEN '原因: ' || type || '（推定）' END, '暫定処置: 停止した、点検した',
+        CASE WHEN k % 3 <> 0 THEN '使用部品: ' || brand || ' ' || size::VARCHAR || '個' END, CASE WHEN k % 7 <> 0 THEN '最終状態: 復旧' END], lambda x: x IS NOT NULL), chr(10)) AS lines,
+      array_to_string(list_filter([CASE WHEN k % 4 = 0 THEN 'certainty' END, CASE WHEN k % 3 = 0 THEN 'quote' END, CASE WHEN k % 7 = 0 THEN 'state' END, CASE WHEN k % 5 = 0 THEN 'bad_source' END], lambda x: x IS NOT NULL), ',') AS codes
+    FROM p""",
+)
+def incident_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about every part: points that their segments carry are written, others dropped with the reason."""
+    k = F.col("p_partkey")
+    qty = F.concat(F.col("p_size").cast("string"), F.lit("個"))
+    src = lambda *n: F.array(*[F.lit(x) for x in n])
+    cause = F.struct(F.col("p_type").alias("v"), F.when(k % 4 == 0, "多分").otherwise("推定").alias("certainty"), src(1).alias("src"))
+    action = lambda text, source: F.struct(F.lit(text).alias("v"), source.alias("src"))
+    actions = F.concat(F.array(action("停止した", src(1)), action("点検した", src(2))), F.when(k % 5 == 0, F.array(action("交換した", src(3)))).otherwise(F.array().cast("array<struct<v:string,src:array<int>>>")))
+    parts = F.array(F.struct(F.col("p_brand").alias("name"), qty.alias("qty"), src(2).alias("src")))
+    last = F.struct(F.when(k % 7 == 0, "完了").otherwise("復旧").alias("v"), src(2).alias("src"))
+    incident = F.struct(cause.alias("root_cause"), actions.alias("temporary_actions"), parts.alias("parts"), last.alias("final_state"))
+    second = F.concat(F.lit("点検した。"), F.col("p_brand"), F.lit("を"), F.when(k % 3 == 0, F.lit("数個")).otherwise(qty), F.lit("使い復旧"))
+    rows = table(spark, sf_dir, "part").select(k.alias("k"), F.to_json(F.struct(incident.alias("incident"))).alias("answer"), F.array(F.concat(F.lit("停止した。"), F.col("p_type")), second).alias("segments"))
+    done = incidents.check_incident(rows, "answer", "segments")
+    kinds = F.array(*[F.lit(x) for x in ("certainty", "quote", "state", "bad_source")])
+    found = F.transform("points_issues", lambda x: x["code"])
+    return done.select("k", F.array_join(incidents.point_lines("points"), "\n").alias("lines"), F.array_join(F.array_intersect(kinds, found), ",").alias("codes"))

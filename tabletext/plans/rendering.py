@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabletext.functions import text as tx
 from tabletext.functions.titles import clip_title, record_title
-from tabletext.operators import documents, logs, record_parts
+from tabletext.operators import documents, incidents, logs, record_parts
 from tabletext.operators.columns import split_unit
 from tabletext.plans.spec import ColumnSpec, TableSpec
 
@@ -159,17 +159,21 @@ def group_order(spec: TableSpec) -> list[Column]:
     return [part for c in group_columns(spec) for part in (group_value(spec, c) == "", group_value(spec, c))]
 
 
-def rendered(records: DataFrame, spec: TableSpec, people: DataFrame | None = None, budget: int = documents.BLOCK_TOKENS) -> DataFrame:
+def rendered(records: DataFrame, spec: TableSpec, people: DataFrame | None = None, budget: int = documents.BLOCK_TOKENS, points: str | None = None) -> DataFrame:
     """Adds ``title``, ``body`` and ``repeats`` (lines), and ``lines``: the lines of the record's parts, each within the budget.
 
     A log column becomes its timeline, with authors by the index ``people``; undated logs take the record's date. Titles that
-    several records of a file share get the row.
+    several records of a file share get the row. ``points`` names a column of ``incidents.check_incident``, written before the log.
     """
     bullets, again = bullets_of(spec)
     log = _first(spec, "log")
+    nothing = F.array().cast("array<string>")
     lines = lambda bullet: F.filter(F.split(bullet, "\n"), lambda x: x != "")
     out = records
     own = [F.transform(F.array(bullet), lines)[0] for _, bullet in bullets]
+    if points is not None:
+        said = incidents.point_lines(points)
+        own.append(tx.let(said, lambda x: F.when(F.size(x) > 0, F.concat(F.array(F.lit("- 対応の要点（AI抽出）:")), F.transform(x, lambda y: F.concat(F.lit("  "), tx.escape_md_line(y))))).otherwise(nothing)))
     if log is not None and log.output != "omit":
         dated = out.withColumn("log_text", value_of(log)).withColumn("log_day", F.substring(F.coalesce("date_value", F.lit("")), 1, 10).try_cast("date").cast("string"))
         out = logs.parse_log(dated, "log_text", "log_day", people=people)
