@@ -79,3 +79,25 @@ def test_ids_spell_the_texts(stages):
     assert len(out) == stages[4].count()
     spelled = lambda ids: b"".join(bytes([coder.of_byte[k]]) if k in coder.of_byte else coder.names[k].replace("▁", " ").encode() for k in ids).decode()[1:]
     assert all(spelled(r["ids"]) == texts[r["doc_id"]] and r["round_trip"] for r in out)
+
+
+def test_stages_on_edge_rows(spark, edge_docs, no_docs, labels, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns through every stage, and no rows at all."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    given = sorted((r["text"] or "" for r in edge_docs.collect()))
+    docs = edge_docs
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, str(tmp_path)).count() == 0, name
+        before = docs.collect()
+        docs = stage(spark, docs, str(tmp_path))
+        got = docs.collect()
+        if name == "toxicity":
+            assert sorted(r["text"] or "" for r in got) == given and docs.columns == corpus_pipeline.COLUMNS
+        elif name == "n-gram Jaccard join":
+            # the long text and the short one stand once, texts without words all stay
+            assert len(got) == len(before) - 3 and sorted(r["text"] or "" for r in got) == sorted([*{r["text"] for r in before if (r["text"] or "").strip()}, *[r["text"] or "" for r in before if not (r["text"] or "").strip()]])
+        elif name == "PII":
+            assert sorted(map(repr, (r["text"] for r in got))) == sorted(map(repr, (r["text"] for r in before)))
+            assert all((r["n_chars"] is None) == (r["text"] is None) for r in got)
+        elif name == "SentencePiece":
+            assert len(got) == len(before) and all(r["round_trip"] for r in got)
