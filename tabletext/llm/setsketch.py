@@ -52,8 +52,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.02, 20.0, (1 << 16) - 1
 #: Log of how much likelier than the threshold a smaller similarity must be to leave a pair: a chance of 1e-10 at the threshold.
 SURE = 20.0
-#: Draws worked on at once.
-DRAWS = 2_000_000
+#: Draws and sets worked on at once.
+DRAWS, SLICE = 2_000_000, 2000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,9 +96,13 @@ def first_arrivals(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def registers(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The registers of each set: first arrivals in steps of ``BASE``, earlier ones larger, held between 0 and ``TOP``; an empty set has zeros."""
-    with np.errstate(divide="ignore"):
-        steps = np.floor(1 - np.log(first_arrivals(values, offsets)) / np.log(BASE))
-    return np.clip(steps, 0, TOP).astype(np.uint16)
+    out = np.zeros((len(offsets) - 1, REGISTERS), np.uint16)
+    for at in range(0, len(out), SLICE):  # arrival times are four times as large as registers
+        own = offsets[at : at + SLICE + 1]
+        with np.errstate(divide="ignore"):
+            steps = np.floor(1 - np.log(first_arrivals(values[own[0] : own[-1]], own - own[0])) / np.log(BASE))
+        out[at : at + SLICE] = np.clip(steps, 0, TOP)
+    return out
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
