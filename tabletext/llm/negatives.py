@@ -69,18 +69,14 @@ class Approximation(NamedTuple):
     most: np.ndarray
     codes: np.ndarray
 
-    def bounds(self, query: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Least and largest score that each vector can have with a query."""
+    def reach(self, query: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """The largest score that each vector can have with a query. The smallest one is what it can reach with the opposite query, negated."""
         q = query.astype(np.int64)[:, None]
-        ends = q * self.least, q * self.most
-        codes = self.codes if rows is None else self.codes[:, rows]
-        out = []
-        for table in (np.minimum(*ends), np.maximum(*ends)):
-            total = np.zeros(codes.shape[1], np.int64)
-            for t, c in zip(table, codes, strict=True):
-                total += t[c]
-            out.append(total)
-        return out[0], out[1]
+        table, codes = np.maximum(q * self.least, q * self.most), self.codes if rows is None else self.codes[:, rows]
+        total = np.zeros(codes.shape[1], np.int64)
+        for t, c in zip(table, codes, strict=True):
+            total += t[c]
+        return total
 
     def bounded(self, query: np.ndarray) -> bool:
         """Whether the bounds of a query stay within 64 bits."""
@@ -88,16 +84,23 @@ class Approximation(NamedTuple):
 
     def best(self, query: np.ndarray, rows: np.ndarray, windows: list[tuple[int | None, int | None]], k: int) -> tuple[list[np.ndarray], int]:
         """For each window (least and largest score, None: open) the best k of some vectors inside it, ties to smaller ids, and how many were scored."""
-        if self.bounded(query):
-            low, high = self.bounds(query, None if len(rows) == len(self.ids) else rows)
+        if self.bounded(query) and len(rows):
+            high = self.reach(query, None if len(rows) == len(self.ids) else rows)
+            if all(start is not None for start, _ in windows):
+                at = high >= min((start for start, _ in windows), default=0)
+                rows, high = rows[at], high[at]
+            low = -self.reach(-query.astype(np.int64), rows) if any(end is not None for _, end in windows) else None
             maybe = np.zeros(len(rows), bool)
             for start, end in windows:
-                inside = np.ones(len(rows), bool) if end is None else high <= end
-                meets = np.ones(len(rows), bool) if end is None else low <= end
-                if start is not None:
-                    inside &= low >= start
-                    meets &= high >= start
-                sure = low[inside]
+                meets = np.ones(len(rows), bool) if start is None else high >= start
+                if end is not None:
+                    meets &= low <= end
+                    sure = low[(high <= end) & (low >= start if start is not None else True)]
+                elif len(rows) > k:  # some real scores, of those that reach highest
+                    sure = self.vectors[rows[np.argpartition(-high, k - 1)[:k]]].astype(np.int64) @ query.astype(np.int64)
+                    sure = sure[sure >= start] if start is not None else sure
+                else:
+                    sure = high[:0]
                 if len(sure) >= k:  # k vectors surely inside score this or more
                     meets &= high >= np.partition(sure, len(sure) - k)[len(sure) - k]
                 maybe |= meets

@@ -60,11 +60,13 @@ def test_bounds_hold_and_prune(clustered):
     one = negatives.approximate(np.arange(4000), rng.integers(0, 10, 4000), vectors)
     scored = 0
     for q in vectors[:40]:
-        low, high = one.bounds(q)
+        low, high = -one.reach(-q), one.reach(q)
         exact = vectors @ q
         assert (low <= exact).all() and (exact <= high).all()
         window = int(exact.max() * 0.5), int(exact.max() * 0.9)
         (best,), n = one.best(q, np.arange(4000), [window], 3)
+        (first,), _ = one.best(q, np.arange(4000), [(None, None)], 5)
+        assert first.tolist() == [[i, -s] for s, i in sorted((-s, i) for i, s in enumerate(exact.tolist()))[:5]]
         inside = sorted((-s, i) for i, s in enumerate(exact.tolist()) if window[0] <= s <= window[1])[:3]
         assert best.tolist() == [[i, -s] for s, i in inside]
         scored += n
@@ -74,5 +76,6 @@ def test_bounds_hold_and_prune(clustered):
 def test_constant_components():
     vectors = np.array([[3, 0, 5], [3, 0, -5], [3, 0, 7]], np.int64)
     one = negatives.approximate(np.arange(3), np.zeros(3, np.int64), vectors)
-    low, high = one.bounds(np.array([1, 2, -3]))
+    q = np.array([1, 2, -3])
+    low, high = -one.reach(-q), one.reach(q)
     assert (low <= vectors @ [1, 2, -3]).all() and (high >= vectors @ [1, 2, -3]).all()
