@@ -81,7 +81,7 @@ def spans_in(text: str, rules: tuple[str, ...], automata: list) -> list[tuple[in
     if "amount" in rules:
         found += [(*s, "amount") for s in _amounts(plain)]
     if "person" in rules:
-        found += [(m[0], m[1], "person") for m in matches_in(automata, plain) if m[4] != "group"]
+        found += [(m[0], m[1], "person") for m in matches_in(automata, plain, apart=False) if m[4] != "group"]  # an earlier span of another kind may cover the first of two
     out: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(found, key=lambda s: (s[0], -s[1], s[2])):
         if not out or starts[start] >= out[-1][1]:

@@ -1,5 +1,6 @@
 """People and personal data on texts as they are written."""
 
+import ahocorasick
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,21 @@ def test_index_and_several_automata(spark, monkeypatch):
     assert people.find_people(texts, "t", people.people_index(spark)).first()["people_found"] == [[], [], []]
     with pytest.raises(ValueError, match="unknown"):
         masks.find_masks(names, "who", ("name",))
+
+
+def test_overlapping_forms_are_taken_from_the_left():
+    """A form does not overlap itself, and a person behind an address counts although a form inside the address overlaps it."""
+    automaton = ahocorasick.Automaton()
+    for form in ("enen", "comab", "abcd"):
+        automaton.add_word(form, (form, form, "name", 1, form == "enen"))
+    automaton.make_automaton()
+    assert masks.spans_in("thenenen x", ("person",), [automaton]) == []
+    assert masks.spans_in("thenen enen x", ("person",), [automaton]) == [(2, 6, "person"), (7, 11, "person")]
+    assert masks.spans_in("a@b.com　comabcd", ("email", "person"), [automaton]) == [(0, 7, "email"), (8, 13, "person")]
+    # comab starts in the address and is left out, abcd stands behind it
+    assert masks.spans_in("a@b.comab", ("email", "person"), [automaton]) == [(0, 9, "email")]
+    automaton = ahocorasick.Automaton()
+    for form in ("m語", "語abcd"):
+        automaton.add_word(form, (form, form, "name", 1, False))
+    automaton.make_automaton()
+    assert masks.spans_in("a@b.com語abcd", ("email", "person"), [automaton]) == [(0, 7, "email"), (7, 12, "person")]
