@@ -6,6 +6,7 @@ import bisect
 import functools
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,7 +208,8 @@ class TokenCounts:
         inner[1:] &= digit[:-1]
         inner[:1] = False
         weight = np.select([code > 127, digit, mark], [33, 10, 30], 15) + 30 * (digit & ~inner)
-        self.sums, self.inner = [0, *np.cumsum(weight).tolist()], inner.tolist()
+        self.sums, self.inner = array("q", bytes(8)), inner.tobytes()
+        self.sums.frombytes(np.cumsum(weight, dtype=np.int64).tobytes())
 
     def __call__(self, start: int, end: int) -> int:
         cut_run = 30 if start < end and self.inner[start] else 0

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tabletext import session
 from tabletext.operators import checks, documents, enrich, records
 
 
@@ -78,3 +79,17 @@ def test_enrichment(spark):
     with pytest.raises(ValueError):
         enrich.run_if({"other": 1}, F.col("n"), F.col("t"))
     assert enrich.stable_json({"b": 1, "a": "あ"}) == '{"a":"あ","b":1}'
+
+
+def test_tables_of_texts_come_in_bounded_batches(spark):
+    """At Spark's defaults a Python worker would hold 10,000 whole texts; limits set by hand stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+    try:
+        for given, held in (("10000", "1000"), ("37", "37")):
+            spark.conf.set(rows, given)
+            session.table(spark, "/root/testdata/sf0.001", "documents")
+            assert spark.conf.get(rows) == held
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
