@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletext.functions.text import _c, estimate_tokens
+from tabletext.functions.text import _c, estimate_tokens, let
 from tabletext.operators.documents import BLOCK_TOKENS, TokenCounts, text_pieces
 
 #: Weights of a token and of a line feed, in thirtieths.
@@ -40,8 +41,15 @@ class Line:
     again: str
 
 
+_WIDE, _DIGITS, _RUNS, _MARKS = (re.compile(p) for p in ("[^\\x00-\\x7F]+", "[0-9]", "[0-9]+", "[!-/:-@\\[-`{-~]"))
+
+
 def weight(text: str) -> int:
-    return TokenCounts(text).sums[-1]
+    """What ``TokenCounts`` sums up to, for short texts."""
+    if len(text) > 2000:
+        return TokenCounts(text).sums[-1]
+    wide = 0 if text.isascii() else len(text) - len(_WIDE.sub("", text))
+    return 15 * len(text) + 18 * wide + 15 * len(_MARKS.findall(text)) - 5 * len(_DIGITS.findall(text)) + 30 * len(_RUNS.findall(text))
 
 
 def _clipped(text: str, chars: int) -> str:
@@ -174,9 +182,13 @@ def split_records(df: DataFrame, title: str, body: str, repeats: str, budget: in
 
 def part_texts(lines: Column | str) -> Column:
     """The text of each part."""
-    l = _c(lines)  # noqa: E741
-    numbers = F.sequence(F.lit(1), F.array_max(F.transform(l, lambda x: x["part"])))
-    return F.transform(numbers, lambda n: F.array_join(F.transform(F.filter(l, lambda x: x["part"] == n), lambda x: x["text"]), "\n"))
+    # the lines stand in the order of their parts, and each part is a run of them
+    def of(l: Column) -> Column:  # noqa: E741
+        return let(F.filter(F.transform(l, lambda x, i: F.when((i == 0) | (x["part"] != F.get(l, i - 1)["part"]), i)), lambda i: i.isNotNull()), lambda starts: F.transform(
+            starts, lambda a, k: F.array_join(F.transform(F.slice(l, a + 1, F.coalesce(F.get(starts, k + 1), F.size(l)) - a), lambda x: x["text"]), "\n")
+        ))
+
+    return let(_c(lines), of)
 
 
 def restored(lines: Column | str) -> Column:

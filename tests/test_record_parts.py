@@ -1,5 +1,6 @@
 """Records over the budget: parts within it, told by their heads, and the record back from them."""
 
+import time
 import random
 
 import pytest
@@ -88,3 +89,18 @@ def test_as_columns(spark):
     assert len(got[2]["p"]) > 2 and all(tokens(p) <= 400 for p in got[2]["p"])
     assert all((g["r"] or "") == "\n".join(g["body"] or []) for g in got.values())
     assert df.where(F.size("lines") > 3).count() == 1
+
+
+def test_weights_of_short_texts_and_parts_as_runs(spark):
+    """Weights by counting equal the running sums, and the texts of parts take one pass over the lines."""
+    for t in ["", "a1b22", "①０é日本", "x-[`{~!/:@\n\t\x00\x7f\x80", "😀12,345.6", "9" * 2001]:
+        assert rp.weight(t) == TokenCounts(t).sums[-1]
+    rows = [(1, [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (3, "e")]), (2, [(1, "x")])]
+    df = spark.createDataFrame(rows, "k int, lines array<struct<part:int,text:string>>")
+    assert {r["k"]: r["t"] for r in df.select("k", rp.part_texts("lines").alias("t")).collect()} == {1: ["a\nb", "c", "d\ne"], 2: ["x"]}
+    # 20,000 lines in 4,000 parts: a pass for each part would be 80 million steps
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.struct((F.floor(i / 5) + 1).cast("int").alias("part"), i.cast("string").alias("text"))).alias("lines"))
+    began = time.monotonic()
+    got = many.select(rp.part_texts("lines").alias("t")).first()["t"]
+    assert got == ["\n".join(str(5 * k + i) for i in range(5)) for k in range(4000)]
+    assert time.monotonic() - began < 10
