@@ -118,7 +118,7 @@ def cut_blocks(rows: DataFrame, header_of) -> DataFrame:
     turn = F.row_number().over(W.partitionBy("file", "sheet").orderBy("block", "first"))
     found = found.withColumn("turn", turn).withColumnsRenamed({"file": "x_file", "sheet": "x_sheet", "block": "x_block"})
     same = (F.col("file") == F.col("x_file")) & (F.col("sheet") == F.col("x_sheet")) & (F.col("block") == F.col("x_block"))
-    cut = numbered.join(found, same)
+    cut = numbered.join(found.hint("merge"), same)  # tables of text are larger than their files: none is sent to all tasks
     own = F.slice("cells", F.col("first") + 1, F.when(F.col("open"), F.size("cells")).otherwise(F.col("behind") - F.col("first")))
     moved = F.transform(own, lambda c: c.withField("anchor_col", (c["anchor_col"] - F.col("first")).cast("int")))
     name = F.when(F.col("turn") > 1, F.concat("sheet", F.lit("［"), F.col("turn").cast("string"), F.lit("］"))).otherwise(F.col("sheet"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,9 @@ from tabletext.session import scratch_dir, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Rows of a file, about: it is read by one task, and more orders make more files.
+FILE_ROWS = 100_000
+
 ENCODINGS = ["utf-8", "cp932", "euc_jp", "utf-16le"]
 DELIMITERS = [",", "\t", ";", ","]
 
@@ -55,8 +59,9 @@ def orders_as_files(spark: SparkSession, sf_dir: str) -> Imported:
         price.alias("金額(円)"), F.col("o_orderstatus").alias("状態"), text.alias("現象"),
     )
     root = scratch_dir(spark)
+    files = max(2, math.ceil(rows.count() / len(ENCODINGS) / FILE_ROWS))
     for way, (encoding, delimiter) in enumerate(zip(ENCODINGS, DELIMITERS, strict=True)):
-        part = rows.where(F.col("way") == way).drop("way").repartition(2, "管理No")  # a file has at most 200 MB
+        part = rows.where(F.col("way") == way).drop("way").repartition(files, "管理No")
         if not encoding.startswith("utf"):
             part = part.select(*[_spelled(encoding)(F.col(c)).alias(c.encode(encoding).decode("latin-1")) for c in part.columns])
             encoding = "iso-8859-1"

@@ -17,6 +17,7 @@ from tabletext.functions import values as vl
 from tabletext.operators import columns, extents, layout
 from tabletext.operators.checks import BLOCK_RATE, WARN_RATE
 from tabletext.plans.spec import TableSpec, apply_values, columns_of, spec_issues, validate
+from tabletext.session import stored
 from tabletext.sources.files import read_files
 
 
@@ -77,11 +78,12 @@ def read_records(
         if problems := validate(spec):
             raise ValueError("; ".join(problems))
         fiscal_year, year = fiscal_year or spec.fiscal_year, year or spec.year
-    rows = read_files(spark, path, **read)
+    # each step over all rows is written once: several others read it, and nothing large stays in the executors' memory
+    rows = stored(read_files(spark, path, **read))
     words = frozenset(n for s in standards or columns.STANDARDS for n in s.names)
-    rows = extents.cut_blocks(rows, lambda texts: layout.header_place(texts, words))
+    rows = stored(extents.cut_blocks(rows, lambda texts: layout.header_place(texts, words)))
     layouts = layout.detect_layouts(rows, words)
-    rows_in = layout.classify(rows, layouts).persist()
+    rows_in = stored(layout.classify(rows, layouts))
     cols = (columns.suggest_columns(rows_in, standards) if spec is None else columns_of(spark, spec, layouts)).persist()
 
     sheet = W.partitionBy("file", "sheet").orderBy("row_index")
@@ -93,11 +95,10 @@ def read_records(
     named = ["context_fiscal_year", "context_year"]
     long = kept.select("file", "sheet", "row_index", "record_row", "starts", *named, F.posexplode("cells").alias("col", "cell"))
     long = long.select("file", "sheet", "row_index", "record_row", "starts", *named, "col", F.coalesce("cell.text", F.lit("")).alias("text"), "cell.link", "cell.anchor_row", "cell.anchor_col")
-    # blank members of merged cells take the anchor's text where the anchor lies in the data
-    anchors = long.select("file", "sheet", F.col("row_index").alias("anchor_row"), F.col("col").alias("anchor_col"), F.col("text").alias("anchor_text"))
-    long = long.join(anchors, ["file", "sheet", "anchor_row", "anchor_col"], "left")
-    long = long.withColumn("text", F.when((F.col("text") == "") & F.col("anchor_text").isNotNull(), F.col("anchor_text")).otherwise(F.col("text")))
-    long = long.join(cols, ["file", "sheet", "col"])
+    # without merged cells there is nothing to look up, and a join by missing anchors would put a sheet into one task
+    if not rows_in.where(F.exists("cells", lambda c: c["anchor_row"].isNotNull())).isEmpty():
+        long = filled_members(long)
+    long = long.join(cols.hint("merge"), ["file", "sheet", "col"])
     # ditto marks, then fill-down, each within a column
     column = W.partitionBy("file", "sheet", "col").orderBy("row_index")
     above = column.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -145,6 +146,14 @@ def read_records(
     return Imported(records, issues, subtotals, cols, rows_in)
 
 
+def filled_members(cells: DataFrame) -> DataFrame:
+    """Blank members of merged cells take the anchor's text where the anchor lies in the data."""
+    anchors = cells.select("file", "sheet", F.col("row_index").alias("anchor_row"), F.col("col").alias("anchor_col"), F.col("text").alias("anchor_text"))
+    members = cells.where("text = '' AND anchor_row IS NOT NULL").select("file", "sheet", "row_index", "col", "anchor_row", "anchor_col")
+    members = members.join(anchors.hint("merge"), ["file", "sheet", "anchor_row", "anchor_col"]).select("file", "sheet", "row_index", "col", "anchor_text")
+    return cells.join(members.hint("merge"), ["file", "sheet", "row_index", "col"], "left").withColumn("text", F.coalesce("anchor_text", "text"))
+
+
 def check(cells: DataFrame, records: DataFrame, rows: DataFrame, classified: DataFrame, subtotals: DataFrame) -> DataFrame:
     """(file, sheet, level, code, column, n) of the whole batch."""
     own = cells.where("starts")
@@ -217,7 +226,7 @@ def assumed_units(cells: DataFrame, cols: DataFrame, spec: TableSpec) -> DataFra
 def reconcile_subtotals(rows: DataFrame, cols: DataFrame) -> DataFrame:
     """Stated totals of number columns on subtotal rows, beside the sum since the last subtotal and the grand sum."""
     cells = rows.where(F.col("row_kind").isin("data", "subtotal")).select("file", "sheet", "row_index", "row_kind", F.posexplode("cells").alias("col", "cell"))
-    cells = cells.join(cols.where("type = 'number'").select("file", "sheet", "col", "key"), ["file", "sheet", "col"])
+    cells = cells.join(cols.where("type = 'number'").select("file", "sheet", "col", "key").hint("merge"), ["file", "sheet", "col"])
     w = W.partitionBy("file", "sheet", "col").orderBy("row_index")
     value, own = vl.parse_number(F.col("cell.text")), F.col("row_kind") == "data"
     cells = cells.withColumn("stated", value).withColumn("own", F.when(own, F.coalesce(value, F.lit(0.0))).otherwise(0.0))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabletext.operators import columns, layout, logs
-from tabletext.plans import export, spec
+from tabletext.plans import export, file_queries, import_plan, spec
 from tabletext.plans.import_plan import read_records
 from tabletext.sources import encodings, workbook
 from tabletext.sources.files import read_files, sniff_files
@@ -239,3 +239,14 @@ def test_drop_folder(spark, tmp_path):
     run()
     assert seen == ["a.csv", "b.csv", "d.csv"]
     assert {(r["path"].rsplit("/", 1)[-1], r["batch"]) for r in taken(spark, f"{tmp_path / 'state'}-contents").collect()} == {("a.csv", 0), ("b.csv", 1), ("d.csv", 2)}
+
+
+def test_orders_make_more_files_as_they_grow(spark, monkeypatch):
+    """Files of a bounded number of rows, and no join by missing anchors where no cell is merged."""
+    joined = []
+    whole = import_plan.filled_members
+    monkeypatch.setattr(import_plan, "filled_members", lambda cells: joined.append(1) or whole(cells))
+    monkeypatch.setattr(file_queries, "FILE_ROWS", 100)
+    got = file_queries.orders_as_files(spark, "/root/testdata/sf0.001")
+    counts = got.records.groupBy("file").count().collect()
+    assert sum(r["count"] for r in counts) == 1500 and len(counts) >= 15 and not joined
