@@ -140,3 +140,12 @@ def test_people_and_base_dates(spark):
     assert {r["name"] for r in logs.people_names(df, "who").collect()} == {"田中 一郎", "田中", "佐藤"}
     values = spark.createDataFrame([({"at": "2026/4/1 10:00", "end": "2026-04-05"},), ({"at": "4/1", "end": "2026-04-05"},), ({},)], "v map<string,string>")
     assert [r["d"] for r in values.select(logs.base_date("v", ["at", "end"]).alias("d")).collect()] == ["2026-04-01", "2026-04-05", None]
+
+
+def test_units_come_from_one_pattern(spark):
+    """Every unit is found alone, and none that ends in a letter where letters go on."""
+    rows = spark.createDataFrame([(u, f"5{u}", f"5{u}q") for u in log_details.UNITS], "u string, alone string, on string")
+    for r in rows.select("u", log_details._unit_of(F.substring("alone", 2, 9)).alias("a"), log_details._unit_of(F.substring("on", 2, 9)).alias("b")).collect():
+        assert r["a"] == r["u"]
+        assert r["b"] == (None if r["u"][-1].isascii() and r["u"][-1].isalpha() else r["u"])
+    assert log_details._UNIT.startswith("^(")
