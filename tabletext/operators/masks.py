@@ -9,16 +9,17 @@ Edge cases: a null text has null spans and stays null; an empty one has none; un
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletext.functions.places import normalized_places
 from tabletext.functions.text import EMAIL, _c
-from tabletext.operators.people import automata_of, matches_in
+from tabletext.operators.people import all_matches, automata_of
 
 # Fixed values.
 WORDS = {"email": "［メール］", "phone": "［電話番号］", "amount": "［金額］", "person": "［人名］"}
@@ -75,17 +76,19 @@ def spans_in(text: str, rules: tuple[str, ...], automata: list) -> list[tuple[in
     plain, starts, ends = normalized_places(text)
     found = []
     if "email" in rules:
-        found += [(*m.span(), "email") for m in _EMAIL.finditer(plain)]
+        found += [(m.start(), -m.end(), "email") for m in _EMAIL.finditer(plain)]
     if "phone" in rules:
-        found += [(*s, "phone") for s in _phones(plain)]
+        found += [(a, -b, "phone") for a, b in _phones(plain)]
     if "amount" in rules:
-        found += [(*s, "amount") for s in _amounts(plain)]
+        found += [(a, -b, "amount") for a, b in _amounts(plain)]
     if "person" in rules:
-        found += [(m[0], m[1], "person") for m in matches_in(automata, plain, apart=False) if m[4] != "group"]  # an earlier span of another kind may cover the first of two
+        found += [(m[0], m[1], "person") for m in all_matches(automata, plain) if m[4] != "group"]  # an earlier span of another kind may cover the first of two
     out: list[tuple[int, int, str]] = []
-    for start, end, kind in sorted(found, key=lambda s: (s[0], -s[1], s[2])):
-        if not out or starts[start] >= out[-1][1]:
-            out.append((starts[start], ends[end - 1], kind))
+    stop = 0
+    for start, end, kind in sorted(found):
+        if starts[start] >= stop:
+            stop = ends[-end - 1]
+            out.append((starts[start], stop, kind))
     return out
 
 
@@ -96,12 +99,15 @@ def find_masks(df: DataFrame, text: str, rules: tuple[str, ...] = DEFAULT_RULES,
     sc = df.sparkSession.sparkContext
     held = [sc.broadcast(a) for a in automata_of(people)] if people is not None and "person" in rules else []
 
-    @F.pandas_udf(SPANS)
-    def find(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(SPANS)
+    def find(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automata = [b.value for b in held]
-        for s in values:
-            made = [None if t is None else [dict(zip(("start", "end", "kind"), x, strict=True)) for x in spans_in(t, rules, automata)] for t in s]
-            yield pd.Series(made, index=s.index, dtype=object)
+        for texts in values:
+            made = [None if t is None else spans_in(t, rules, automata) for t in texts.to_pylist()]
+            flat = [x for spans in made for x in spans or ()]
+            fields = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
+            ends = pa.array([0, *itertools.accumulate(len(spans or ()) for spans in made)], pa.int32())
+            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, ["start", "end", "kind"]), mask=pa.array([spans is None for spans in made]))
 
     return df.withColumn(out, find(F.col(text)))
 

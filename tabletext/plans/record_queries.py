@@ -144,9 +144,13 @@ def _spans_sql(pattern: str, kind: str) -> str:
 def mask_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of mail addresses and of people (named by the addresses) in every whole text, where both overlap the first and longest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = people.people_index(spark, docs.select(F.regexp_extract("text", "([a-z]{2,12})[.][0-9]+@", 1).alias("name")))
-    found = masks.find_masks(docs, "text", ("email", "person"), index)
-    return found.select("doc_id", F.explode("masks").alias("m")).select("doc_id", "m.kind", F.col("m.start").alias("first_place"), F.col("m.end").alias("last_place"))
+    index = people.people_index(spark, docs.where(F.contains("text", F.lit("@"))).select(F.regexp_extract("text", "([a-z]{2,12})[.][0-9]+@", 1).alias("name")))
+    # a file of few row groups is read by few tasks
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    found = masks.find_masks(docs.repartition(parts, "doc_id"), "text", ("email", "person"), index)
+    # an inner explode has texts without finds left out first, by a search of its own
+    spans = found.select("doc_id", F.explode_outer("masks").alias("m")).where("m IS NOT NULL")
+    return spans.select("doc_id", "m.kind", F.col("m.start").alias("first_place"), F.col("m.end").alias("last_place"))
 
 
 @query(

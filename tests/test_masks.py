@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabletext.functions.places import normalized_places
 from tabletext.operators import masks, people
+from tabletext.plans import record_queries
 
 ALL = ("email", "phone", "amount", "person")
 
@@ -78,3 +79,17 @@ def test_overlapping_forms_are_taken_from_the_left():
         automaton.add_word(form, (form, form, "name", 1, False))
     automaton.make_automaton()
     assert masks.spans_in("a@b.com語abcd", ("email", "person"), [automaton]) == [(0, 7, "email"), (7, 12, "person")]
+
+
+def test_places_are_found_by_several_tasks(spark):
+    """A table of one row group, which one task reads, is dealt out before its texts are searched, once."""
+    got = record_queries.mask_places(spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= 4
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_characters_between_runs_keep_their_places():
+    """Marks behind characters that stay as they are, at both ends of a run, and marks alone."""
+    plain, starts, ends = normalized_places("あがいｶﾞ㈱́z")
+    assert plain == "あがいガ(株)́z" and starts == [0, 1, 3, 4, 6, 6, 6, 6, 8] and ends == [1, 3, 4, 6, 8, 8, 8, 8, 9]
+    assert normalized_places("゙漢") == ("゙漢", [0, 1], [1, 2])
