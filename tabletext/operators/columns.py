@@ -14,8 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabletext.functions.text import value_kind
+from tabletext.session import stored
 
-SAMPLE_ROWS = 200
+SAMPLE_ROWS, RUN_ROWS = 200, 1000
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,11 @@ def lookup(header: str, standards: list[Standard] | None = None) -> tuple[Standa
 def suggest_columns(classified: DataFrame, standards: list[Standard] | None = None) -> DataFrame:
     """(file, sheet, col, header, key, type, role, unit, fill_down, blank_rate, matched_by) from the first data rows."""
     w = W.partitionBy("file", "sheet").orderBy("row_index")
-    data = classified.where("row_kind = 'data'").withColumn("n", F.row_number().over(w)).where(f"n <= {SAMPLE_ROWS}")
+    # the first rows lie in the first runs of rows, which are found by counting
+    data = classified.where("row_kind = 'data'").withColumn("run", F.floor(F.col("row_index") / RUN_ROWS))
+    above = F.sum("n").over(W.partitionBy("file", "sheet").orderBy("run").rowsBetween(W.unboundedPreceding, -1))
+    runs = stored(data.groupBy("file", "sheet", "run").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.coalesce(above, F.lit(0))).where(f"above < {SAMPLE_ROWS}").select("file", "sheet", "run"))
+    data = data.join(runs, ["file", "sheet", "run"]).withColumn("n", F.row_number().over(w)).where(f"n <= {SAMPLE_ROWS}")
     heads = data.select("file", "sheet", "n", F.posexplode("headers").alias("col", "header"), "cells")
     cells = heads.select("file", "sheet", "n", "col", "header", F.coalesce(F.get("cells", F.col("col"))["text"], F.lit("")).alias("text"))
     kind = value_kind("text")

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabletext.functions.text import let
+from tabletext.session import by_sheets, stored
 
 #: Rows above and below that a row is compared with, rows that decide the shape of a block.
 NEAR_ROWS, HEAD_ROWS = 12, 80
@@ -103,7 +104,16 @@ def cut_blocks(rows: DataFrame, header_of) -> DataFrame:
 
     ``header_of`` tells the place of the header among the first rows of a block, from their texts, or -1.
     """
-    numbered = row_blocks(rows.where("error IS NULL"))
+    good = rows.where("error IS NULL")
+    # another block starts behind a blank row only: a sheet without one is one block, and its rows need no window
+    empty = F.forall("cells", lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) == "")
+    first, last = F.min("row_index"), F.max("row_index")
+    sheets = stored(good.groupBy("file", "sheet").agg(first.alias("x_first"), ((F.count_if(empty) > 0) | (last - first + 1 != F.count(F.lit(1)))).alias("x_parted")))
+    numbered = by_sheets(
+        good, sheets, "x_parted",
+        lambda df: df.withColumn("block", F.lit(1)).withColumn("block_row", F.col("row_index") - F.col("x_first") + 1).select(*rows.columns, "block", "block_row"),
+        lambda df: stored(row_blocks(df.select(*rows.columns))),
+    )
 
     def spans(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row_index")
@@ -116,9 +126,9 @@ def cut_blocks(rows: DataFrame, header_of) -> DataFrame:
     shape = "file string, sheet string, block int, first int, behind int, open boolean"
     found = head.groupBy("file", "sheet", "block").applyInPandas(spans, shape)
     turn = F.row_number().over(W.partitionBy("file", "sheet").orderBy("block", "first"))
-    found = found.withColumn("turn", turn).withColumnsRenamed({"file": "x_file", "sheet": "x_sheet", "block": "x_block"})
+    found = stored(found.withColumn("turn", turn).withColumnsRenamed({"file": "x_file", "sheet": "x_sheet", "block": "x_block"}))
     same = (F.col("file") == F.col("x_file")) & (F.col("sheet") == F.col("x_sheet")) & (F.col("block") == F.col("x_block"))
-    cut = numbered.join(found.hint("merge"), same)  # tables of text are larger than their files: none is sent to all tasks
+    cut = numbered.join(found, same)
     own = F.slice("cells", F.col("first") + 1, F.when(F.col("open"), F.size("cells")).otherwise(F.col("behind") - F.col("first")))
     moved = F.transform(own, lambda c: c.withField("anchor_col", (c["anchor_col"] - F.col("first")).cast("int")))
     name = F.when(F.col("turn") > 1, F.concat("sheet", F.lit("［"), F.col("turn").cast("string"), F.lit("］"))).otherwise(F.col("sheet"))

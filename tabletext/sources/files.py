@@ -7,6 +7,7 @@ task; many files are read side by side. Sizes are bounded as in an upload: ``MAX
 from __future__ import annotations
 
 import csv
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ ROWS = (
     "file string, sheet string, row_index int, hidden boolean, cells array<struct<kind string, text string, number_format string, bold boolean, "
     "strike boolean, anchor_row int, anchor_col int, link string>>, notes array<string>, error string"
 )
+_LINE_END, _INVISIBLE = re.compile(r"\r\n?"), re.compile("[\x00-\x08\x0b-\x1f\x7f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _EXCEL_TEXT = re.compile(r'^="(.*)"$', re.DOTALL)
 _SCHEMA = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row_index", pa.int32()), ("hidden", pa.bool_()), ("cells", pa.list_(CELL)), ("notes", pa.list_(pa.string())), ("error", pa.string())])
 
@@ -34,13 +36,24 @@ def clean_cell(raw: str | None) -> str | None:
     """A cell's text: line ends, controls and outer white space tidied, ``="..."`` unwrapped, empty as none."""
     if raw is None:
         return None
-    text = re.sub(r"\r\n?", "\n", raw.replace("_x000D_", ""))
-    text = re.sub("[\x00-\x08\x0b-\x1f\x7f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]", "", text).strip()
-    wrapped = _EXCEL_TEXT.match(text)
+    text = raw.replace("_x000D_", "") if "_x000D_" in raw else raw
+    if not text.isprintable():  # line ends, controls and invisible characters are not
+        text = _INVISIBLE.sub("", _LINE_END.sub("\n", text))
+    text = text.strip()
+    wrapped = text.startswith('="') and _EXCEL_TEXT.match(text)
     text = wrapped[1].replace('""', '"') if wrapped else text
     return text or None
 
 
+def _batch(out: list[dict]) -> pa.RecordBatch:
+    """Rows as columns; the cells of all rows as one run, of which absent fields are not built cell by cell."""
+    cells = [c for row in out for c in row.get("cells") or ()]
+    fields = [pa.array([c.get(f.name) for c in cells], f.type) if f.name in ("kind", "text") or any(f.name in c for c in cells) else pa.nulls(len(cells), f.type) for f in CELL]
+    ends = pa.array([0, *itertools.accumulate(len(row.get("cells") or ()) for row in out)], pa.int32())
+    lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, fields=list(CELL)), mask=pa.array([row.get("cells") is None for row in out]))
+    return pa.RecordBatch.from_arrays([lists.cast(f.type) if f.name == "cells" else pa.array([row.get(f.name) for row in out], f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
 def delimited_rows(data: bytes, name: str, encoding: str | None, delimiter: str | None, strict: bool) -> Iterator[dict]:
     dialect = encodings.sniff(data, name)
     encoding, delimiter = encoding or dialect.encoding, delimiter or dialect.delimiter
@@ -84,12 +97,12 @@ def read_files(
                     for row in rows_of(path_, data.as_py()):
                         out.append({"file": path_, "error": None} | row)
                         if len(out) >= BATCH_ROWS:
-                            yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+                            yield _batch(out)
                             out = []
                 except (encodings.SourceError, UnicodeError, csv.Error) as e:
                     out.append({"file": path_, "sheet": None, "row_index": None, "hidden": None, "cells": None, "notes": None, "error": str(e)})
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+                    yield _batch(out)
 
     return files.mapInArrow(run, ROWS)
 

@@ -250,3 +250,37 @@ def test_orders_make_more_files_as_they_grow(spark, monkeypatch):
     got = file_queries.orders_as_files(spark, "/root/testdata/sf0.001")
     counts = got.records.groupBy("file").count().collect()
     assert sum(r["count"] for r in counts) == 1500 and len(counts) >= 15 and not joined
+
+
+def test_plain_sheets_need_no_window(spark, monkeypatch):
+    """Sheets without blank rows, continuations and ditto marks: one window, that of equal keys, and no row for each cell."""
+    monkeypatch.setattr(file_queries, "FILE_ROWS", 100)
+    plan = file_queries.orders_as_files(spark, "/root/testdata/sf0.001").records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_plain_sheets_beside_others(spark, tmp_path):
+    """A file that needs windows (blank rows, ditto marks, continuations) and one that does not, read together and alone."""
+    marked = "\n".join([HEADER, *(f"M-{i},2026/4/{i},EQ-1,{'〃' if i % 2 == 0 else f'炉{i}'},故障した{i},{i},田中" + ("\n,,,,続き,," if i == 5 else "") for i in range(1, 12)), "", "N-1,2026/5/1,EQ-2,〃,止まった,3,田中"])
+    for name, body in (("a", table_csv()), ("b", marked + "\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.csv").write_text(body)
+    taken = lambda path: sorted((r["file"], r["record_row"], r["record_key"], r["date_value"], sorted(r["values"].items()), sorted(r["originals"].items())) for r in read_records(spark, path).records.collect())
+    both = taken(f"{tmp_path}/*/*.csv")
+    values = {r[2]: dict(r[4]) for r in both}
+    assert len(both) == 42 and values["M-4"]["equipment_name"] == "炉3" and values["N-1"]["equipment_name"] == "炉11" and values["M-5"]["symptom"] == "故障した5\n続き"
+    assert both == taken(f"{tmp_path}/a/*.csv") + taken(f"{tmp_path}/b/*.csv")
+
+
+def test_values_in_plain_and_other_forms(spark):
+    rows = [
+        ("1,234.50", "number", "円"), ("￥1,000", "number", "円"), ("12", "number", "円"), ("1,23", "number", "円"), ("△3千円", "number", "円"), ("-", "number", "円"), ("1:30", "number", "分"),
+        ("2026/4/1", "date", ""), ("2026年4月31日", "date", ""), ("2026-04-01 9:05", "datetime", ""), ("2026.4", "date", ""), ("4/1", "date", ""), ("#N/A", "date", ""), ("Ａ  1", "code", ""), ("a\nb", "string", ""), ("a\nb", "text", ""),
+    ]
+    entry = "struct<col:int,key:string,role:string,type:string,unit:string,fill_down:boolean,text:string,link:string,ditto:boolean,unfilled:boolean>"
+    df = spark.createDataFrame([([(0, "k", "r", kind, unit, False, t, None, False, False) for t, kind, unit in rows],)], f"entries array<{entry}>")
+    got = [(e["value"], e["failed"]) for e in import_plan.with_values(df, None, 2025).first()["entries"]]
+    assert got == [
+        ("1234.5", False), ("1000", False), ("12", False), ("1,23", True), ("-3000", False), (None, False), ("90", False), ("2026-04-01", False), ("2026年4月31日", True), ("2026-04-01 09:05", False),
+        ("2026-04", False), ("2025-04-01", False), (None, False), ("A 1", False), ("a b", False), ("a\nb", False),
+    ]
